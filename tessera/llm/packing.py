@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ class WordEncoder:
     Latin ranges, or with markers of special tokens, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,16 +64,18 @@ class WordEncoder:
         if ids is None:
             if len(self.parts) >= self.most:
                 self.parts.clear()
-            spelled = "".join(map(self.byte.__getitem__, part.encode()))
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+            spelled = part if part.isascii() else "".join(map(self.byte.__getitem__, part.encode()))
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
             self.parts[part] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        if len(self.chunks) >= self.most:
-            self.chunks.clear()
+        if chunk.isalpha():  # a single part already
+            return self._part(chunk)
         ids = b"".join(map(self._part, self.split(chunk)))
         if len(chunk) <= 64:
+            if len(self.chunks) >= self.most:
+                self.chunks.clear()
             self.chunks[chunk] = ids
         return ids
 
@@ -81,9 +85,15 @@ class WordEncoder:
             return b""
         if self.other(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        get, make = self.chunks.get, self._chunk
-        # an empty table entry is impossible for a chunk, so `or` finds the misses
-        return b"".join([get(c) or make(c) for c in text.lower().split()])
+        part, chunk, make = self.parts.get, self.chunks.get, self._chunk
+        # no chunk is without ids, so `or` finds the misses
+        return b"".join([part(c) or chunk(c) or make(c) for c in text.lower().split()])
+
+
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder a worker process, so that its tables serve the process's later tasks."""
+    return WordEncoder(path)
 
 
 class SquareSumPacker:
@@ -213,7 +223,7 @@ def pack_documents(
             import public_tokenizers
 
             path = public_tokenizers.path(tokenizer)
-        encoder, packer = WordEncoder(path), SquareSumPacker(size, gap, most_open)
+        encoder, packer = encoder_for(path), SquareSumPacker(size, gap, most_open)
         first = TaskContext.get().partitionId() << 40
         end = np.array([end_id], "<u4").tobytes()
         kinds = [pa.int64()] * 7

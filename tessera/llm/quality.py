@@ -15,8 +15,7 @@ def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, words, hashes): white-space words and a 64-bit hash of each."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(F.col(id_col), text.alias("text"))
-    trimmed = F.regexp_replace("text", "^[ \\t-\\r]+|[ \\t-\\r]+$", "")
-    found = found.withColumn("trimmed", trimmed)
+    found = found.withColumn("trimmed", F.btrim("text", F.lit(" \t\n\x0b\f\r")))
     words = F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", BLANK))
     found = found.withColumn("words", words)
     return found.select(id_col, "text", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
@@ -89,8 +88,9 @@ def gram_weights(
     )
     words = with_words(docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")), "k", "t")
     marked = words.join(F.broadcast(good), F.col("k") == F.col("good"), "left")
-    each = marked.select(F.col("good").isNotNull().cast("long").alias("target"), F.explode(grams(buckets)).alias("b"))
-    counts = {r.b: (r.raw, r.target) for r in each.groupBy("b").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()}
+    # an inner explode would infer a filter that repeats the whole expression under it
+    each = marked.select(F.col("good").isNotNull().cast("long").alias("target"), F.explode_outer(grams(buckets)).alias("b"))
+    counts = {r.b: (r.raw, r.target) for r in each.where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()}
     raw_n = sum(x for x, _ in counts.values()) + buckets
     target_n = sum(x for _, x in counts.values()) + buckets
     both = [counts.get(b, (0, 0)) for b in range(buckets)]
@@ -146,6 +146,8 @@ def quality_rules(
         )
         .withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * round(100 * max_repeat)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr_millis") >= round(1000 * threshold)))
+        # not deterministic in name only: it keeps a caller's filter from being repeated below
+        .withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0))
     )
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, minhash, packing, toxicity
+from . import decontamination, licenses, minhash, packing, quality, sharding, toxicity
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     found = decontamination.decontaminate(docs, items)
@@ -24,6 +28,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -43,5 +51,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op7_packing, op8_minhash, op9_toxicity, op10_licenses)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_sharding, op3_decontamination, op4_quality, op7_packing, op8_minhash, op9_toxicity, op10_licenses,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -21,52 +21,56 @@ def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.select(id_col, "text", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
-def _windows(n: Column, width: int) -> Column:
-    """Starts of all windows of ``width`` places, none if there are too few."""
-    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+def _joined(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
 
 
-def with_repeats(words: DataFrame, width: int = 5) -> DataFrame:
-    """Adds n_repeat: words inside ``width``-word windows that occur twice or more in the text.
+def _from(hashes: Column, start: int, fewer: int) -> Column:
+    """All but ``fewer`` of the elements, from place ``start`` (1 is the first)."""
+    return F.slice(hashes, start, F.greatest(F.size(hashes) - fewer, F.lit(0)))
 
-    Distinct window hashes are counted first; only texts with a repeat sort
-    (hash, place) pairs, so a text of n words takes n log n steps.
+
+def with_pairs(words: DataFrame) -> DataFrame:
+    """Adds pairs: a hash of each two adjacent words."""
+    h = F.col("hashes")
+    return words.withColumn("pairs", _joined(_from(h, 1, 1), _from(h, 2, 1)))
+
+
+def with_repeats(words: DataFrame) -> DataFrame:
+    """Adds n_repeat: words inside five-word windows that occur twice or more in the text.
+
+    A window's hash is built from those of its pairs. Distinct window hashes
+    are counted first; only texts with a repeat sort (hash, place) pairs, so a
+    text of n words takes n log n steps.
     """
-    hashes = F.col("hashes")
-    windows = F.transform(
-        _windows(F.col("n"), width), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width)))
-    )
-    found = words.withColumn("windows", windows)
+    pairs, hashes = F.col("pairs"), F.col("hashes")
+    found = words.withColumn("fours", _joined(_from(pairs, 1, 2), _from(pairs, 3, 2)))
+    fours = F.col("fours")
+    found = found.withColumn("windows", _joined(_from(fours, 1, 1), _from(hashes, 5, 4))).drop("fours")
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
     # the places of windows whose hash stands beside an equal one in sorted order
-    pairs = F.when(
-        repeated, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.when(
+        repeated, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     )
-    found = found.withColumn("pairs", pairs).drop("windows")
-    p = F.col("pairs")
+    found = found.withColumn("placed", placed).drop("windows")
+    p = F.col("placed")
     twice = F.filter(
         p,
         lambda x, i: ((i > 0) & (F.get(p, i - 1)["h"] == x["h"])) | F.coalesce(F.get(p, i + 1)["h"] == x["h"], F.lit(False)),
     )
-    found = found.withColumn("starts", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("pairs")
+    found = found.withColumn("starts", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("placed")
     s = F.col("starts")
     covered = F.aggregate(
-        F.transform(s, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(s, i + 1) - x, F.lit(width)))),
+        F.transform(s, lambda x, i: F.least(F.lit(5), F.coalesce(F.get(s, i + 1) - x, F.lit(5)))),
         F.lit(0),
         lambda a, b: a + b,
     )
     return found.withColumn("n_repeat", F.coalesce(covered, F.lit(0))).drop("starts")
 
 
-def grams(buckets: int) -> Column:
-    """Buckets of a text's words and adjacent word pairs."""
-    hashes = F.col("hashes")
-    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    double = F.transform(
-        _windows(F.col("n"), 2),
-        lambda i: F.pmod(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(single, double)
+def bucket(gram: Column, buckets: int) -> Column:
+    """``buckets`` is a power of two."""
+    return gram.bitwiseAND(F.lit(buckets - 1).cast("long"))
 
 
 def gram_weights(
@@ -87,9 +91,11 @@ def gram_weights(
         .limit(sample)
     )
     words = with_words(docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")), "k", "t")
+    words = with_pairs(words)
     marked = words.join(F.broadcast(good), F.col("k") == F.col("good"), "left")
     # an inner explode would infer a filter that repeats the whole expression under it
-    each = marked.select(F.col("good").isNotNull().cast("long").alias("target"), F.explode_outer(grams(buckets)).alias("b"))
+    each = marked.select(F.col("good").isNotNull().cast("long").alias("target"), F.explode_outer(F.concat("hashes", "pairs")).alias("g"))
+    each = each.select("target", bucket(F.col("g"), buckets).cast("int").alias("b"))
     counts = {r.b: (r.raw, r.target) for r in each.where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()}
     raw_n = sum(x for x, _ in counts.values()) + buckets
     target_n = sum(x for _, x in counts.values()) + buckets
@@ -126,11 +132,16 @@ def quality_rules(
     weights = gram_weights(docs, labels, label_col, buckets, sample, id_col, text_col)
     if not any(weights) or not _has_target(labels, label_col):
         weights = [0] * buckets
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
+
+    words = with_pairs(with_words(docs, id_col, text_col))
+
+    def total(grams: str, start: Column) -> Column:
+        # the cast of a bucket number to int never fails
+        return F.aggregate(grams, start, lambda a, g: a + F.get(table, bucket(g, buckets).cast("int")))
 
-    words = with_words(docs, id_col, text_col).withColumn("grams", grams(buckets))
-    total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
-    words = words.withColumn("total", total).withColumn("n_grams", F.size("grams")).drop("grams")
+    words = words.withColumn("total", total("pairs", total("hashes", F.lit(0).cast("long"))))
+    words = words.withColumn("n_grams", F.size("hashes") + F.size("pairs"))
     found = with_repeats(words)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     found = found.withColumn("lines", lines)

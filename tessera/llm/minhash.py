@@ -14,6 +14,7 @@ from .common import connected_components, materialise
 
 HASHES, ROWS, LANES = 128, 5, 0x5555555555555555
 BANDS = HASHES // ROWS
+BROADCAST_BUCKETS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -170,11 +171,12 @@ def near_duplicates(
     Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B| for
     their sets of ``width``-word shingles. Steps: documents with equal sets
     become one class; 128 minima give 25 band keys of five and two bits each;
-    in every band bucket each class meets the bucket's smallest id; pairs that
-    pass the packed estimate are confirmed on the full sets; buckets that
-    still hold several components compare members of different components
-    (never pairs inside one), again by estimate, then in full. A pair at 0.85
-    misses all 25 bands with probability 4e-7, and one above it less.
+    each class meets the smallest id of all its band buckets; then, in buckets
+    that still hold several components, the bucket's own smallest id; then,
+    where that leaves several, members of different components (never pairs
+    inside one). Pairs that pass the packed estimate are confirmed on the full
+    sets. A pair at 0.85 misses all 25 bands with probability 4e-7, and one
+    above it less.
 
     Defined cases: null, empty and blank texts have no shingles, link with
     nothing and are kept; rows with one id and one text are one document, all
@@ -194,26 +196,27 @@ def near_duplicates(
         "classes",
     )
     slots = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(slots.join(shared.drop("n"), "bucket"), "members")
-
+    shared = slots.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count("*").alias("n"))
+    shared = materialise(shared.where("n > 1").select("bucket", "hub"), "shared-buckets")
+    if shared.count() <= BROADCAST_BUCKETS:  # sixteen bytes each
+        shared = F.broadcast(shared)
+    members = materialise(slots.join(shared, "bucket"), "members")
     sketch = classes.select("cid", "n_shingles", "sig")
-    pairs = members.where("cid <> hub").select("cid", "hub").distinct()
-    pairs = (
-        pairs.join(sketch.alias("a"), "cid")
-        .join(sketch.withColumnRenamed("cid", "hub").alias("b"), "hub")
-        .where(could_link(percent, "a", "b"))
-        .select(F.col("cid").alias("src"), F.col("hub").alias("dst"))
-    )
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """The (src, dst) of ``pairs`` whose estimate, then full sets, meet the threshold."""
+        pairs = (
+            pairs.join(sketch.withColumnRenamed("cid", "src").alias("a"), "src")
+            .join(sketch.withColumnRenamed("cid", "dst").alias("b"), "dst")
+            .where(could_link(percent, "a", "b"))
+            .select("src", "dst")
+        )
         pairs = materialise(pairs, name)
         wanted = pairs.select(F.explode(F.array("src", "dst")).alias("w")).distinct()
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         texts = source.join(wanted, F.col("id") == F.col("w"), "left_semi")
-        # rows that share an id may differ in text; each class has its own set
+        # rows that share an id are one document here; both joins reuse this exchange by id
         sets = shingle_sets(texts, "id", "text", width).groupBy("id").agg(F.first("shingles").alias("s"))
-        sets = materialise(sets, f"{name}-sets")
         return materialise(
             pairs.join(sets.select(F.col("id").alias("src"), F.col("s").alias("sa")), "src")
             .join(sets.select(F.col("id").alias("dst"), F.col("s").alias("sb")), "dst")
@@ -223,16 +226,32 @@ def near_duplicates(
             f"{name}-links",
         )
 
-    links = confirmed(pairs, "hub-pairs")
-    parts = materialise(connected_components(links), "parts")
+    def merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+        if parts is not None:
+            links = links.union(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        return materialise(connected_components(links), "parts")
 
-    # buckets that hold more than one component yet
-    labelled = members.join(parts, members.cid == parts.node, "left").select(
-        "bucket", "cid", "hub", F.coalesce("component", "cid").alias("part")
-    )
-    split = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    split = split.where("low < high").select("bucket")
-    open_ = materialise(labelled.join(split, "bucket", "left_semi").join(sketch, "cid"), "open-buckets")
+    # each class with the smallest hub of all its buckets
+    hubs = members.where("cid <> hub").groupBy(F.col("cid").alias("src")).agg(F.min("hub").alias("dst"))
+    parts = merged(None, confirmed(hubs, "first-hubs"))
+
+    def labelled(parts: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component yet."""
+        found = members.join(parts, members.cid == parts.node, "left").select(
+            "bucket", "cid", "hub", F.coalesce("component", "cid").alias("part")
+        )
+        split = found.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        return found.join(split.where("low < high").select("bucket"), "bucket", "left_semi")
+
+    # the hubs of buckets that are still split
+    open_ = materialise(labelled(parts), "open-buckets")
+    hub_part = open_.where("cid = hub").select("bucket", F.col("part").alias("hub_part"))
+    other = open_.where("cid <> hub").join(hub_part, "bucket").where("part <> hub_part")
+    other = other.select(F.col("cid").alias("src"), F.col("hub").alias("dst")).distinct()
+    parts = merged(parts, confirmed(other, "other-hubs"))
+
+    # what is split even then: members of different components, none of them a hub
+    open_ = materialise(labelled(parts).where("cid <> hub").join(sketch, "cid"), "open-buckets")
     rest = (
         open_.alias("a")
         .join(
@@ -240,15 +259,12 @@ def near_duplicates(
             (F.col("a.bucket") == F.col("b.bucket"))
             & (F.col("a.cid") < F.col("b.cid"))
             & (F.col("a.part") != F.col("b.part"))
-            & (F.col("a.cid") != F.col("a.hub"))
             & could_link(percent, "a", "b"),
         )
         .select(F.col("b.cid").alias("src"), F.col("a.cid").alias("dst"))
         .distinct()
     )
-    more = confirmed(rest, "rest-pairs")
-    joined = parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    parts = materialise(connected_components(joined.union(more)), "parts")
+    parts = merged(parts, confirmed(rest, "rest-pairs"))
 
     labels = classes.select("set_key", "cid").join(parts, F.col("cid") == F.col("node"), "left")
     labels = labels.select("set_key", F.coalesce("component", "cid").alias("component"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lines, minhash, packing, quality, sharding, toxicity
+from . import decontamination, licenses, lines, minhash, packing, pii, quality, sharding, toxicity
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
+
+    counts = [count(n).alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans")
+    )
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "removed")
@@ -59,7 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_sharding, op3_decontamination, op4_quality, op6_lines, op7_packing, op8_minhash, op9_toxicity, op10_licenses,
+        op2_sharding, op3_decontamination, op4_quality, op5_pii, op6_lines, op7_packing, op8_minhash, op9_toxicity, op10_licenses,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lines, minhash, packing, pii, quality, sharding, toxicity
+from . import decontamination, licenses, lines, minhash, packing, pii, quality, sharding, toxicity, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filters(read_table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_sharding, op3_decontamination, op4_quality, op5_pii, op6_lines, op7_packing, op8_minhash, op9_toxicity, op10_licenses,
+        op1_urls, op2_sharding, op3_decontamination, op4_quality, op5_pii, op6_lines, op7_packing, op8_minhash, op9_toxicity, op10_licenses,
     )
 }
 ORACLES: dict[str, str] = {}

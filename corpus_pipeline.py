@@ -1,14 +1,95 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline: quality rules, line and document deduplication, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row that the stage
+before it kept, and all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, lines, minhash, packing, quality
+from tessera.llm.common import materialise, read_table
+from tessera.llm.queries import TOKENIZER
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row number that a lost executor cannot change: it is written down."""
+    return materialise(docs.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject.
+
+    Null texts have no words and go. Labels are those of the input tables.
+    """
+    labels = read_table(spark, sf_dir, "labels")
+    judged = quality.quality_rules(docs, labels, carry=True)
+    return judged.where("kept").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated lines out of the texts; a text that this leaves without a word goes.
+
+    ``n_chars`` follows the new text. Empty texts that were empty before stay.
+    """
+    cleaned = lines.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    # the marker keeps this filter from being repeated below the text's expression
+    cleaned = cleaned.withColumn("__gone", emptied & (F.spark_partition_id() >= 0)).where("not __gone")
+    columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return cleaned.select(*columns)
+
+
+def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near copies.
+
+    Rows that share this id are repeats of one document: one row of them
+    stays. Rows without an id are linked with nothing and stay.
+    """
+    rows = _keyed(docs)
+    kept = minhash.near_duplicates(rows).where("kept and doc_id is not null").select("doc_id").distinct()
+    first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("__row").alias("__row"))
+    stay = first.join(kept, "doc_id", "left_semi").select("__row")
+    stay = stay.union(rows.where("doc_id is null").select("__row"))
+    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents and cuts benchmark passages out of the others.
+
+    ``n_chars`` follows the new text; null texts stay null.
+    """
+    found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), remove_spans=True, carry=True)
+    kept = found.where(~F.col("contaminated"))
+    columns = [
+        F.col("clean_text").alias(c) if c == "text" else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
+        for c in docs.columns
+    ]
+    return kept.select(*columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack_documents(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("minhash near-dedup", minhash_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+# Packing tokenises, which SQL cannot express; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The rows that all stages leave of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stage's rows written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

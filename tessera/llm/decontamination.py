@@ -8,10 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .common import word_list
 
 BITS = 22
+FOUND = ["n_words", "n_hit", "items", "contaminated", "spans", "clean_text"]
+FOUND_SCHEMA = (
+    "n_words long, n_hit long, items array<string>, contaminated boolean, spans array<array<long>>, clean_text string"
+)
 
 
 class SuffixAutomaton:
@@ -157,6 +162,7 @@ def decontaminate(
     id_col: str = "doc_id",
     text_col: str = "text",
     remove_spans: bool = False,
+    carry: bool = False,
 ) -> DataFrame:
     """One row a document: words, hit words, items found, verdict and hit spans.
 
@@ -170,7 +176,9 @@ def decontaminate(
     Columns: id, n_words, n_hit, items (sorted strings), contaminated (n_hit
     is over 0 and at least ``share`` of the words), spans (array of
     [first word, last word + 1]), and with ``remove_spans`` ``clean_text``:
-    the text without its hit words and what stands between them.
+    the text without its hit words and what stands between them. With
+    ``carry`` the other columns of ``docs`` travel along (their names may not
+    be those above).
 
     Defined cases: null or empty texts have no words and are clean; items
     without words or ids match nothing; an empty benchmark leaves every
@@ -184,10 +192,12 @@ def decontaminate(
     ]
     percent = round(share * 100)
 
+    extra = [c for c in docs.columns if c not in (id_col, text_col)] if carry else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for key, value in zip(b.column(0), b.column(1), strict=True):
+            out: list[list] = [[] for _ in range(6)]
+            for value in b.column(1):
                 text = value.as_py()
                 words = word_list(text)
                 hit, found = np.zeros(len(words), bool), set()
@@ -201,32 +211,28 @@ def decontaminate(
                 clean = None
                 if remove_spans and text is not None:
                     clean = without_words(text, spans) if spans else text
-                for column, x in zip(
-                    out,
-                    (
-                        key.as_py(), len(words), n_hit, sorted(found),
-                        n_hit > 0 and 100 * n_hit >= percent * len(words), spans,
-                        None if clean is None else clean.decode("utf-8", "replace"),
-                    ),
-                    strict=True,
-                ):
+                contaminated = n_hit > 0 and 100 * n_hit >= percent * len(words)
+                row = (
+                    len(words), n_hit, sorted(found), contaminated, spans,
+                    None if clean is None else clean.decode("utf-8", "replace"),
+                )
+                for column, x in zip(out, row, strict=True):
                     column.append(x)
             kinds = [
-                b.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_(),
-                pa.list_(pa.list_(pa.int64())), pa.string(),
+                pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.list_(pa.int64())), pa.string(),
             ]
-            names = ["id", "n_words", "n_hit", "items", "contaminated", "spans", "clean_text"]
+            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names
+                [b.column(0), *arrays, *b.columns[2:]], ["id", *FOUND, *(f"c{i}" for i in range(len(extra)))]
             )
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    result = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(
-        run,
-        f"id {kind}, n_words long, n_hit long, items array<string>, contaminated boolean,"
-        " spans array<array<long>>, clean_text string",
-    )
-    result = result.withColumnRenamed("id", id_col)
+    source = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)),
+    )
+    schema = StructType([source.schema["id"], *_parse_datatype_string(FOUND_SCHEMA), *source.schema[2:]])
+    result = source.mapInArrow(run, schema)
+    result = result.toDF(id_col, *FOUND, *extra)
     return result if remove_spans else result.drop("clean_text")
 
 

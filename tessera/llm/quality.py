@@ -11,14 +11,18 @@ BLANK = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
 
 
-def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, words, hashes): white-space words and a 64-bit hash of each."""
+def with_words(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(id, text, n, hashes): the text, its white-space words and a 64-bit hash of each.
+
+    With ``carry``, ``row`` holds all columns of ``docs`` besides.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col), text.alias("text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    found = docs.select(F.col(id_col), text.alias("text"), *row)
     found = found.withColumn("trimmed", F.btrim("text", F.lit(" \t\n\x0b\f\r")))
     words = F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", BLANK))
     found = found.withColumn("words", words)
-    return found.select(id_col, "text", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return found.select(id_col, "text", *["row"] * carry, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
 def _joined(left: Column, right: Column) -> Column:
@@ -114,6 +118,7 @@ def quality_rules(
     max_repeat: float = 0.2,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
     """One row a document: base statistics, likelihood ratio a gram, verdicts.
 
@@ -123,7 +128,8 @@ def quality_rules(
     pairs of the ratio's logarithm, in thousandths, rounded towards minus
     infinity), kept (base holds and the mean is at least ``threshold``).
     All of it is computed in one pass without a shuffle; whole numbers keep
-    it equal on every run.
+    it equal on every run. With ``carry`` the columns of ``docs`` stand in
+    place of the statistics, beside ``kept``; ``docs`` must have no such column.
 
     Defined cases: null, empty and blank texts have no words and fail; a table
     without labels scores every document 0; repeated rows are judged one by
@@ -134,7 +140,7 @@ def quality_rules(
         weights = [0] * buckets
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
 
-    words = with_pairs(with_words(docs, id_col, text_col))
+    words = with_pairs(with_words(docs, id_col, text_col, carry))
 
     def total(grams: str, start: Column) -> Column:
         # the cast of a bucket number to int never fails
@@ -145,21 +151,22 @@ def quality_rules(
     found = with_repeats(words)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     found = found.withColumn("lines", lines)
-    return (
-        found.select(
-            id_col,
-            F.col("n").cast("long").alias("n_words"),
-            F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            F.col("n_repeat").cast("long").alias("n_repeat_words"),
-            F.when(F.col("n_grams") > 0, F.floor(F.col("total") / F.col("n_grams"))).otherwise(0).alias("llr_millis"),
-        )
-        .withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * round(100 * max_repeat)))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("llr_millis") >= round(1000 * threshold)))
-        # not deterministic in name only: it keeps a caller's filter from being repeated below
-        .withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0))
+    judged = found.select(
+        id_col,
+        *["row"] * carry,
+        F.col("n").cast("long").alias("n_words"),
+        F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.col("n_repeat").cast("long").alias("n_repeat_words"),
+        F.when(F.col("n_grams") > 0, F.floor(F.col("total") / F.col("n_grams"))).otherwise(0).alias("llr_millis"),
     )
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * round(100 * max_repeat))
+    judged = judged.withColumn("base_failed", failed)
+    # the partition id, not deterministic by name, keeps a caller's filter from being repeated below
+    kept = ~F.col("base_failed") & (F.col("llr_millis") >= round(1000 * threshold)) & (F.spark_partition_id() >= 0)
+    judged = judged.withColumn("kept", kept)
+    return judged.select("row.*", "kept") if carry else judged
 
 
 def _has_target(labels: DataFrame, label_col: str) -> bool:

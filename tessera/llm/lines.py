@@ -42,19 +42,24 @@ def segment_keys(line: Column, tau: int) -> tuple[list[Column], list[Column]]:
     return index, probes
 
 
+def code_points(line: Column, tau: int) -> Column:
+    """The characters of a line as numbers, with tau + 1 equal ones at the end."""
+    return F.concat(F.transform(F.split(line, ""), lambda c: F.ascii(c)), F.array_repeat(F.lit(-1), tau + 1))
+
+
 def distance_within(a: Column, b: Column, tau: int) -> Column:
     """Whether two lines are within ``tau`` edits, by a banded bit-parallel recurrence.
 
     Bit i of the words stands for row j - tau + i of column j, so the whole
     band of 2 tau + 1 rows moves through one machine word (vertical deltas
     VP and VN, diagonal ones D0); ``d`` follows the lower edge of the band
-    and then the last row. Lines of tau characters or fewer are padded by
-    equal ends, which adds no edits. Two half steps share a state, because a
-    SQL lambda cannot name D0.
+    and then the last row. Both are columns of ``code_points``, not
+    expressions, which a lambda would evaluate again at each step; their
+    equal ends add no edits. Two half steps share a state, because a SQL
+    lambda cannot name D0.
     """
-    pad = F.lit("\x01" * (tau + 1))
-    a, b = F.concat(a, pad), F.concat(b, pad)
-    m, n = F.length(a), F.length(b)
+    xs, ys = a, b
+    m, n = F.size(a), F.size(b)
     top, mask = 1 << (2 * tau), (1 << (2 * tau + 1)) - 1
     state = "struct<vp:bigint,vn:bigint,d0:bigint,d:int>"
     start = F.struct(
@@ -63,7 +68,6 @@ def distance_within(a: Column, b: Column, tau: int) -> Column:
         F.lit(0).cast("bigint").alias("d0"),
         F.lit(tau).alias("d"),
     ).cast(state)
-    xs, ys = F.split(a, ""), F.split(b, "")
 
     def step(s: Column, t: Column) -> Column:
         j = F.shiftright(t, 1)
@@ -95,11 +99,12 @@ def distance_within(a: Column, b: Column, tau: int) -> Column:
     return last["d"] <= tau
 
 
+KINDS = ("e", "t", "a", "o", "i", "n", "s", "r", "h", "dl", "cumf", " ")
+
+
 def sketch(line: Column) -> Column:
-    """Counts of four kinds of characters; an edit changes their sum of differences by two at most."""
-    return F.array(
-        *(F.length(line) - F.length(F.translate(line, kind, "")) for kind in ("etaoin", "shrdlu", " .,", "cmfwyp"))
-    )
+    """Counts of twelve kinds of characters; an edit changes their sum of differences by two at most."""
+    return F.array(*(F.length(line) - F.length(F.translate(line, kind, "")) for kind in KINDS))
 
 
 def duplicate_lines(
@@ -141,16 +146,17 @@ def duplicate_lines(
     wanted = slots.select("h", "first").distinct()
     texts = lines.join(wanted, (lines.h == wanted.h) & (lines.id == wanted["first"]), "left_semi")
     texts = texts.select("h", "line").dropDuplicates(["h"])
-    full = materialise(slots.join(texts, "h").withColumn("sketch", sketch(F.col("line"))), "slot-texts")
+    texts = texts.select("h", code_points(F.col("line"), tau).alias("points"), sketch(F.col("line")).alias("sketch"))
+    full = materialise(slots.join(texts, "h"), "slot-texts")
     a, b = full.alias("a"), full.alias("b")
-    difference = sum((F.abs(F.col("a.sketch")[i] - F.col("b.sketch")[i]) for i in range(4)), F.lit(0))
+    difference = sum((F.abs(F.col("a.sketch")[i] - F.col("b.sketch")[i]) for i in range(len(KINDS))), F.lit(0))
     near = (
         (F.col("a.key") == F.col("b.key"))
         & ((F.col("b.first") < F.col("a.first")) | ((F.col("b.first") == F.col("a.first")) & (F.col("b.h") < F.col("a.h"))))
         & (F.col("a.indexed") | F.col("b.indexed"))
-        & (F.abs(F.length("a.line") - F.length("b.line")) <= tau)
+        & (F.abs(F.size("a.points") - F.size("b.points")) <= tau)
         & (difference <= 2 * tau)
-        & distance_within(F.col("a.line"), F.col("b.line"), tau)
+        & distance_within(F.col("a.points"), F.col("b.points"), tau)
     )
     # a semi join ends its search at the first earlier line, so groups of near copies stay linear
     later = a.join(b, near, "left_semi").select("h").distinct()

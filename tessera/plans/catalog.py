@@ -1,10 +1,670 @@
-"""Registered queries of the conformance engine and the SQL they must equal."""
+"""Registered queries of the conformance engine and the SQL they must equal.
+
+The driver's tables stand in for the engine's own: orders for scans (status,
+priority, time), lineitem for findings (return flag for the tier, line status
+for the state), customer for sites, nation for organisations, part for the
+rule catalog, events for the event log, pages for crawled pages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import color, text
+from tessera.operators import frontier, ledger, remediation, reports, rules, scoring
+from tessera.sources.html import html_elements
+from tessera.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+c = F.col
+
+
+def query(sql: str | None = None):
+    """Registers a function of (table reader) under its name, with its SQL if it has one."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def money(x: Column) -> Column:
+    """Exact sums whatever the order of rows."""
+    return x.cast("decimal(18,2)")
+
+
+# the flagship: pages to elements to findings to scores
+def _analysed(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Elements are kept, on disk if need be: five rule passes read them."""
+    from pyspark import StorageLevel
+
+    pages = t("pages")
+    elements = html_elements(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    return pages, elements, rules.find_all(elements, pages)
+
+
+@query()
+def page_scores(t):
+    pages, _, found = _analysed(t)
+    return scoring.page_results(pages, found)
+
+
+@query()
+def page_findings(t):
+    _, _, found = _analysed(t)
+    return found.select("page_id", "rule_id", "impact", "tier", "css_path", "line", "col", "key", "signature")
+
+
+@query()
+def page_elements(t):
+    return html_elements(t("pages")).select("page_id", "node_id", "parent_id", "depth", "tag", "css_path", "role", "acc_name", "hidden_deep", "focusable")
+
+
+@query()
+def element_tags(t):
+    return html_elements(t("pages")).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+@query()
+def page_coverage(t):
+    return scoring.coverage(html_elements(t("pages")))
+
+
+@query()
+def site_totals(t):
+    _, _, found = _analysed(t)
+    site = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    return scoring.totals(found.withColumn("site", site), "site")
+
+
+@query()
+def rule_report(t):
+    _, _, found = _analysed(t)
+    return reports.group_by_rule(found)
+
+
+@query()
+def conformance(t):
+    _, _, found = _analysed(t)
+    return scoring.conformance(found)
+
+
+@query()
+def remediation_plans(t):
+    pages, _, found = _analysed(t)
+    return remediation.remediation_plan(pages, found).select("page_id", "applied", "skipped", "automatic", "manual", F.sha2("diff", 256).alias("diff_sha256"))
+
+
+@query()
+def page_links(t):
+    return frontier.extract_links(t("pages"))
+
+
+@query("select 50 as total, 2 as full, 25 as partial, 23 as none, 54 as tested_percent")
+def coverage_stats(t):
+    return scoring.coverage_stats(t("region").sparkSession)
+
+
+@query(r"""
+with x as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as link from pages)
+select distinct page_id, link from x where not regexp_matches(link, '^(#|mailto:|tel:|javascript:|data:)') and link <> ''
+""")
+def raw_links(t):
+    return t("pages").select("page_id", F.explode_outer(frontier.raw_links(c("html"))).alias("link")).where("link is not null")
+
+
+@query(r"""
+select page_id, case when regexp_matches(html, '(?i)<meta[^>]+name="viewport"') then 0 else 1 end as viewport_missing,
+  case when regexp_matches(html, '(?i)<main[ >]') then 0 else 1 end as main_missing,
+  case when regexp_matches(html, '<html[^>]* lang="[^"]+"') then 0 else 1 end as lang_missing from pages
+""")
+def page_rule_flags(t):
+    _, elements, _ = pages = _analysed(t)
+    found = rules.page_findings(elements)
+    flags = found.groupBy("page_id").agg(*(F.max((c("rule_id") == r).cast("int")).alias(a) for r, a in (("viewport-missing", "viewport_missing"), ("landmark-main", "main_missing"), ("html-has-lang", "lang_missing"))))
+    return pages[0].select("page_id").join(flags, "page_id", "left").select("page_id", *(F.coalesce(a, F.lit(0)).alias(a) for a in ("viewport_missing", "main_missing", "lang_missing")))
+
+
+# urls
+PATH = r"case when regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) end"
+
+
+@query(rf"""
+with p as (select page_id, {PATH} as p from pages)
+select page_id, case when regexp_replace(p, '/$', '') = '' then '/' else regexp_replace(p, '/$', '') end as path from p
+""")
+def url_paths(t):
+    return t("pages").select("page_id", text.path_of(c("url")).alias("path"))
+
+
+SHAPE = r"""'/' || array_to_string(list_transform(list_filter(string_split(p, '/'), lambda s: s <> ''),
+  lambda s: case when regexp_matches(s, '^\d+$') or length(s) > 24 then ':id' else s end), '/')"""
+
+
+@query(rf"""
+with p as (select {PATH} as p from pages) select {SHAPE} as shape, count(*) as n from p group by 1
+""")
+def path_shapes(t):
+    return t("pages").groupBy(text.path_shape(c("url")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""
+with p as (select page_id, url, {PATH} as p from pages),
+s as (select page_id, url, p, {SHAPE} as shape, len(list_filter(string_split(p, '/'), lambda s: s <> '')) as depth from p),
+n as (select *, row_number() over (partition by shape order by page_id, url) - 1 as seen from s),
+q as (select page_id, shape, cast(depth * 10 + case when seen > 0 then 200 + seen * 40 else 0 end + case when regexp_matches(url, '\?[^#]') then 30 else 0 end
+  - case when regexp_matches(p, '(?i)(checkout|cart|payment|account|login|signup|register|contact|search|booking|apply)') then 60 else 0 end
+  - case when depth = 0 then 100 else 0 end as int) as priority, url from n)
+select page_id, shape, priority, cast(row_number() over (order by priority, page_id, url) as int) as position from q qualify position <= 25
+""")
+def crawl_frontier(t):
+    urls = t("pages").select(F.lit(1).alias("site_id"), "url", c("page_id").alias("seq"))
+    return frontier.crawl_order(urls, 25).select(c("seq").alias("page_id"), "shape", "priority", "position")
+
+
+@query(rf"""
+with p as (select page_id, {PATH} as p from pages) select page_id, substr(sha1('img-alt' || '|' || p || '|' || 'body > img' || '|' || ''), 1, 20) as signature from p
+""")
+def signatures(t):
+    return t("pages").select("page_id", text.signature(F.lit("img-alt"), c("url"), F.lit("body > img"), F.lit(None).cast("string")).alias("signature"))
+
+
+ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/11\nDisallow: /de\n# note\nUser-agent: other\nDisallow: /\n"
+
+
+@query(rf"""
+with p as (select page_id, {PATH} as p from pages),
+r(ord, allow, prefix) as (values (1, false, '/en/1'), (2, true, '/en/11'), (3, false, '/de')),
+h as (select page_id, allow, row_number() over (partition by page_id order by length(prefix) desc, ord) as n from p join r on starts_with(p, prefix))
+select p.page_id, coalesce(h.allow, true) as allowed from p left join (select * from h where n = 1) h on p.page_id = h.page_id
+""")
+def robots_allowed(t):
+    files = t("pages").sparkSession.createDataFrame([("o", ROBOTS)], "origin string, body string")
+    paths = t("pages").select("page_id", F.lit("o").alias("origin"), text.url_path(c("url")).alias("path"))
+    ok = frontier.robots_allowed(paths.select("origin", "path").distinct(), frontier.robots_rules(files, "ourbot"))
+    return paths.join(ok, ["origin", "path"]).select("page_id", "allowed")
+
+
+# joins
+@query("""
+select l_returnflag as tier, o_orderstatus as status, count(*) as n, sum(cast(l_extendedprice as decimal(18,2))) as price
+from lineitem join orders on l_orderkey = o_orderkey group by all
+""")
+def findings_with_scans(t):
+    rows = t("lineitem").join(t("orders"), c("l_orderkey") == c("o_orderkey"))
+    return rows.groupBy(c("l_returnflag").alias("tier"), c("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.sum(money(c("l_extendedprice"))).alias("price"))
+
+
+@query("select l_partkey as signature, max(o_orderdate) as last_seen from lineitem join orders on l_orderkey = o_orderkey group by 1")
+def last_seen(t):
+    rows = t("lineitem").select("l_orderkey", "l_partkey").join(t("orders").select("o_orderkey", "o_orderdate"), c("l_orderkey") == c("o_orderkey"))
+    return rows.groupBy(c("l_partkey").alias("signature")).agg(F.max("o_orderdate").alias("last_seen"))
+
+
+@query("select event_id, event_type, c_name from events left join customer on user_id = c_custkey")
+def events_with_owner(t):
+    return t("events").join(t("customer"), c("user_id") == c("c_custkey"), "left").select("event_id", "event_type", "c_name")
+
+
+@query("""
+select o_orderstatus as status, n_name as org, count(*) as n from orders left join customer on o_custkey = c_custkey
+left join nation on c_nationkey = n_nationkey group by all
+""")
+def requests_by_org(t):
+    rows = t("orders").join(t("customer"), c("o_custkey") == c("c_custkey"), "left").join(t("nation"), c("c_nationkey") == c("n_nationkey"), "left")
+    return rows.groupBy(c("o_orderstatus").alias("status"), c("n_name").alias("org")).agg(F.count("*").alias("n"))
+
+
+@query("select c_custkey as site from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def sites_never_scanned(t):
+    return t("customer").join(t("orders"), c("c_custkey") == c("o_custkey"), "left_anti").select(c("c_custkey").alias("site"))
+
+
+@query("select c_custkey as site from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
+def sites_with_finished_scan(t):
+    return t("customer").join(t("orders").where("o_orderstatus = 'F'"), c("c_custkey") == c("o_custkey"), "left_semi").select(c("c_custkey").alias("site"))
+
+
+@query("""
+select o_custkey as site, o_orderkey as scan, o_orderstatus as status from orders
+qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1
+""")
+def latest_scan(t):
+    rows = reports.latest(t("orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return rows.select(c("o_custkey").alias("site"), c("o_orderkey").alias("scan"), c("o_orderstatus").alias("status"))
+
+
+@query("""
+with last as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders)
+select a.o_custkey as site, a.o_orderkey as scan, b.o_orderkey as other from last a left join last b on a.o_custkey = b.o_custkey and b.n = 2 where a.n = 1
+""")
+def newest_other_scan(t):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    rows = t("orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("other"), F.row_number().over(w).alias("n")).where("n = 1")
+    return rows.select(c("o_custkey").alias("site"), c("o_orderkey").alias("scan"), "other")
+
+
+@query("select count(*) as n from orders where o_orderdate >= (select max(o_orderdate) - interval 30 day from orders)")
+def new_since_scan(t):
+    start = t("orders").agg((F.max("o_orderdate") - F.expr("interval 30 days")).alias("start"))
+    return t("orders").join(F.broadcast(start), c("o_orderdate") >= c("start")).agg(F.count("*").alias("n"))
+
+
+LEDGER_SQL = """
+with f as (select distinct l_suppkey as site, l_partkey as sig from lineitem where l_returnflag = 'R'),
+led as (select l_suppkey as site, l_partkey as sig, case when min(l_linenumber) = 1 then 'open' when min(l_linenumber) = 2 then 'resolved' else 'wontfix' end as status
+  from lineitem where l_returnflag <> 'N' group by all),
+cov as (select distinct s_suppkey as site from supplier where s_suppkey % 2 = 0)
+select coalesce(led.site, f.site) as site_id, coalesce(led.sig, f.sig) as signature,
+  case when led.site is null or (f.site is not null and status = 'resolved') then 'open'
+    when f.site is null and status = 'open' and cov.site is not null then 'resolved' else status end as status
+from led full join f on led.site = f.site and led.sig = f.sig left join cov on cov.site = coalesce(led.site, f.site)
+"""
+
+
+@query(LEDGER_SQL)
+def ledger_reconcile(t):
+    items = t("lineitem").select(c("l_suppkey").alias("site_id"), c("l_partkey").alias("signature"), "l_returnflag", "l_linenumber")
+    now, none = F.timestamp_seconds(F.lit(0)), F.lit(None).cast("timestamp")
+    first = F.min("l_linenumber")
+    status = F.when(first == 1, "open").when(first == 2, "resolved").otherwise("wontfix")
+    state = items.where("l_returnflag <> 'N'").groupBy("site_id", "signature").agg(status.alias("status"))
+    state = state.withColumns({"first_seen_at": now, "last_seen_at": now, "resolved_at": none, "resolved_scan_id": F.lit(None).cast("string")})
+    url = F.concat(F.lit("https://s.example/"), c("site_id").cast("string"))
+    history = items.select("site_id", "signature", url.alias("page_url"))
+    pages = t("supplier").where("s_suppkey % 2 = 0").select(c("s_suppkey").alias("site_id"), F.concat(F.lit("https://s.example/"), c("s_suppkey").cast("string")).alias("url"), F.lit(None).cast("string").alias("error"))
+    return ledger.reconcile(state, items.where("l_returnflag = 'R'"), history, pages, "s", now).select("site_id", "signature", "status")
+
+
+# aggregations
+@query("""
+with e as (select count(*) filter (event_type = 'view') a, count(*) filter (event_type = 'click') b, count(*) filter (event_type = 'signup') c,
+  count(*) filter (event_type = 'purchase') d from events where ts >= timestamp '2024-01-10')
+select a as visits, b as started, c as signed, d as paid, case when b > 0 then floor(c / b * 100 * 10 + 0.5) / 10 else 0 end as signup_rate,
+  case when c > 0 then floor(d / c * 100 * 10 + 0.5) / 10 else 0 end as paid_rate from e
+""")
+def funnel(t):
+    events = t("events").select(c("event_type").alias("name"), c("ts").alias("created_at"))
+    return reports.funnel(events, F.lit("2024-01-10").cast("timestamp"), ("view", "click", "signup", "purchase"))
+
+
+@query("""
+select (select count(*) from customer) as sites, (select count(*) from orders) as scans, (select count(*) from lineitem) as findings,
+  (select count(distinct user_id) from events) as users
+""")
+def headline_counts(t):
+    parts = [t("customer").agg(F.count("*").alias("sites")), t("orders").agg(F.count("*").alias("scans")), t("lineitem").agg(F.count("*").alias("findings")), t("events").agg(F.count_distinct("user_id").alias("users"))]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.join(F.broadcast(more))  # single rows
+    return out
+
+
+@query("""
+select l_suppkey as site_id, count(*) filter (l_linestatus = 'O') as open, 0::bigint as in_progress, count(*) filter (l_linestatus = 'F') as resolved,
+  0::bigint as wontfix, 0::bigint as false_positive from lineitem group by 1
+""")
+def ledger_status_counts(t):
+    status = F.when(c("l_linestatus") == "O", "open").otherwise("resolved")
+    return ledger.status_counts(t("lineitem").select(c("l_suppkey").alias("site_id"), status.alias("status")))
+
+
+@query("""
+with k(ord, status) as (values (0, 'new'), (1, 'contacted'), (2, 'scoping'), (3, 'quoted'), (4, 'in_progress'), (5, 'delivered'), (6, 'closed')),
+r as (select case o_orderstatus when 'O' then 'new' when 'F' then 'closed' else 'quoted' end as status, cast(floor(o_totalprice) as bigint) as v from orders)
+select k.ord, k.status, count(r.status) as n, coalesce(sum(v), 0)::bigint as value from k left join r on k.status = r.status group by all
+""")
+def service_pipeline(t):
+    status = F.when(c("o_orderstatus") == "O", "new").when(c("o_orderstatus") == "F", "closed").otherwise("quoted")
+    return reports.service_pipeline(t("orders").select(status.alias("status"), F.floor("o_totalprice").alias("quoted_amount")))
+
+
+@query("select l_partkey as rule_id, count(*) as n, count(distinct l_suppkey) as sites from lineitem group by 1 order by n desc, rule_id limit 12")
+def top_issues(t):
+    return reports.top_issues(t("lineitem").select(c("l_partkey").alias("rule_id"), c("l_suppkey").alias("site_id")))
+
+
+@query("""
+with o as (select case c_mktsegment when 'BUILDING' then 'free' when 'MACHINERY' then 'scale' when 'AUTOMOBILE' then 'growth' else 'starter' end as plan from customer),
+p(plan, price) as (values ('free', 0), ('starter', 79), ('growth', 249), ('scale', 749))
+select sum(price)::bigint as mrr, count(*) filter (price > 0) as paying from o join p using (plan)
+""")
+def recurring_revenue(t):
+    plan = F.when(c("c_mktsegment") == "BUILDING", "free").when(c("c_mktsegment") == "MACHINERY", "scale").when(c("c_mktsegment") == "AUTOMOBILE", "growth").otherwise("starter")
+    return reports.recurring_revenue(t("customer").select(plan.alias("plan")))
+
+
+@query("select o_custkey as org, strftime(o_orderdate, '%Y-%m') as period, count(*) as scans from orders group by all")
+def monthly_usage(t):
+    return t("orders").groupBy(c("o_custkey").alias("org"), F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.count("*").alias("scans"))
+
+
+@query("select o_orderkey as page, count(l_orderkey) as n from orders left join (select * from lineitem where l_returnflag = 'R') on l_orderkey = o_orderkey group by 1")
+def findings_per_page(t):
+    some = t("lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("k"))
+    return t("orders").join(some, c("o_orderkey") == c("l_orderkey"), "left").select(c("o_orderkey").alias("page"), F.coalesce("k", F.lit(0)).alias("n"))
+
+
+@query("""
+select n_nationkey as org, n_name as name, (select count(*) from customer where c_nationkey = n_nationkey) as sites,
+  (select count(*) from supplier where s_nationkey = n_nationkey) as users,
+  (select count(*) from orders join customer on o_custkey = c_custkey where c_nationkey = n_nationkey) as scans,
+  (select max(o_orderdate) from orders join customer on o_custkey = c_custkey where c_nationkey = n_nationkey) as last_activity from nation
+""")
+def org_rollup(t):
+    sites = t("customer").groupBy("c_nationkey").agg(F.count("*").alias("s"))
+    users = t("supplier").groupBy("s_nationkey").agg(F.count("*").alias("u"))
+    scans = t("orders").join(t("customer"), c("o_custkey") == c("c_custkey")).groupBy(c("c_nationkey").alias("k")).agg(F.count("*").alias("o"), F.max("o_orderdate").alias("last_activity"))
+    rows = t("nation").join(sites, c("n_nationkey") == c("c_nationkey"), "left").join(users, c("n_nationkey") == c("s_nationkey"), "left").join(scans, c("n_nationkey") == c("k"), "left")
+    zero = F.lit(0)
+    return rows.select(c("n_nationkey").alias("org"), c("n_name").alias("name"), F.coalesce("s", zero).alias("sites"), F.coalesce("u", zero).alias("users"), F.coalesce("o", zero).alias("scans"), "last_activity")
+
+
+IMPACT = "case l_linenumber when 1 then 'critical' when 2 then 'serious' when 3 then 'moderate' else 'minor' end"
+TIER = "case l_returnflag when 'R' then 'definite' when 'A' then 'review' else 'advisory' end"
+SCORED = f"""
+with f as (select l_orderkey as scan, l_suppkey as site, {IMPACT} as impact, {TIER} as tier from lineitem),
+w as (select *, case impact when 'critical' then 10 when 'serious' then 5 when 'moderate' then 2 else 1 end * case tier when 'definite' then 10 when 'review' then 4 else 0 end as p from f)
+"""
+
+
+def _as_findings(t) -> DataFrame:
+    return t("lineitem").select(
+        c("l_orderkey").alias("scan"), c("l_suppkey").alias("site"), c("l_suppkey").alias("site_id"), c("l_partkey").alias("signature"),
+        c("l_orderkey").alias("page_id"), c("l_linenumber").alias("node_id"), c("l_partkey").cast("string").alias("rule_id"),
+        F.expr(IMPACT).alias("impact"), F.expr(TIER).alias("tier"), F.concat(F.lit("p"), c("l_linenumber").cast("string")).alias("css_path"),
+    )
+
+
+def _totals_sql(by: str) -> str:
+    counts = ", ".join([f"count(*) filter (impact = '{x}') as {x}" for x in scoring.IMPACTS] + [f"count(*) filter (tier = '{x}') as {x}" for x in scoring.TIERS])
+    return SCORED + f"select {by}, count(*) as total, {counts}, cast(floor(100 / (1 + sum(p) / 200.0::double) + 0.5) as int) as score from w group by 1"
+
+
+@query(_totals_sql("scan"))
+def scan_totals(t):
+    return scoring.totals(_as_findings(t), "scan")
+
+
+@query(_totals_sql("site"))
+def site_scores(t):
+    return scoring.totals(_as_findings(t), "site")
+
+
+@query("""
+with d as (select l_suppkey as site, l_returnflag as r, count(*) as n from lineitem group by all)
+select site, array_to_string(list(r || '=' || n order by r), ',') as by_rule from d group by 1
+""")
+def rule_maps(t):
+    rows = t("lineitem").select(c("l_suppkey").alias("site"), c("l_returnflag").alias("rule_id"))
+    m = F.transform(F.map_entries("by_rule"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return scoring.rule_map(rows, "site").select("site", F.array_join(m, ",").alias("by_rule"))
+
+
+@query(f"""
+with f as (select l_partkey as rule_id, l_orderkey as page_id, l_linenumber as node_id, {IMPACT} as impact from lineitem)
+select cast(rule_id as varchar) as rule_id, arg_min(impact, page_id * 100 + node_id) as impact, count(*) as items, count(distinct page_id) as pages from f group by rule_id
+""")
+def findings_by_rule(t):
+    return reports.group_by_rule(_as_findings(t)).select("rule_id", "impact", "items", "pages")
+
+
+@query("""
+with d as (select l_partkey, count(*) filter (l_returnflag = 'R') as f, count(*) filter (l_returnflag = 'A') as r from lineitem group by 1)
+select p_partkey as criterion, coalesce(f, 0) as failures, coalesce(r, 0) as reviews, case when p_size % 3 = 0 then 'Not Evaluated' when f > 0 then 'Does Not Support'
+  when r > 0 then 'Partially Supports' when p_size % 3 = 1 then 'Supports' else 'Needs Manual Review' end as verdict from part left join d on p_partkey = l_partkey
+""")
+def criterion_verdicts(t):
+    d = t("lineitem").groupBy("l_partkey").agg(F.count_if(c("l_returnflag") == "R").alias("f"), F.count_if(c("l_returnflag") == "A").alias("r"))
+    verdict = F.when(c("p_size") % 3 == 0, "Not Evaluated").when(c("f") > 0, "Does Not Support").when(c("r") > 0, "Partially Supports").when(c("p_size") % 3 == 1, "Supports").otherwise("Needs Manual Review")
+    rows = t("part").join(d, c("p_partkey") == c("l_partkey"), "left")
+    return rows.select(c("p_partkey").alias("criterion"), F.coalesce("f", F.lit(0)).alias("failures"), F.coalesce("r", F.lit(0)).alias("reviews"), verdict.alias("verdict"))
+
+
+@query("""
+with d as (select epoch_us(o_orderdate) - epoch_us(timestamp '1992-01-01') as us from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 200),
+s as (select list(us / 86400e6 order by us) as l from d) select floor(l[len(l) // 2 + 1] * 10 + 0.5) / 10 as median_days from s
+""")
+def days_to_fix(t):
+    rows = t("orders").where("o_orderstatus = 'F'").select(F.lit("resolved").alias("status"), c("o_orderdate").alias("resolved_at"), F.lit("1992-01-01").cast("timestamp").alias("first_seen_at"), c("o_orderkey").alias("signature"))
+    return ledger.days_to_fix(rows)
+
+
+@query("""
+with m as (select strftime(o_orderdate, '%Y-%m') as period, count(*) as n from orders group by 1)
+select period, n, cast(floor(n * 100 / greatest(1, max(n) over ()) + 0.5) as int) as bar from m
+""")
+def trend_bars(t):
+    m = t("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"))
+    top = m.agg(F.greatest(F.lit(1), F.max("n")).alias("top"))
+    return m.join(F.broadcast(top)).select("period", "n", text.rounded(c("n") * 100 / c("top")).alias("bar"))
+
+
+@query("""
+with e as (select *, row_number() over (partition by user_id order by ts, event_id) as seq from events)
+select cast(user_id as varchar) as scan_id, max(seq) as seq, count(*) filter (event_type = 'view') as done, max(event_type = 'error') as ended from e group by 1
+""")
+def progress_snapshots(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = F.when(c("event_type") == "view", "page").when(c("event_type") == "error", "end").otherwise("phase")
+    none = F.lit(None)
+    rows = t("events").select(c("user_id").cast("string").alias("scan_id"), F.row_number().over(w).alias("seq"), kind.alias("type"), c("event_type").alias("phase"), none.cast("long").alias("planned"), none.cast("string").alias("url"), none.cast("long").alias("findings"))
+    return progress.snapshot(rows).select("scan_id", c("seq").cast("long").alias("seq"), "done", "ended")
+
+
+@query("""
+with e as (select *, row_number() over (partition by user_id order by ts, event_id) as seq, count(*) over (partition by user_id) as n from events)
+select event_id, user_id as scan_id, seq from e where seq > n - 400
+""")
+def progress_buffer(t):
+    return progress.numbered(t("events").withColumnRenamed("user_id", "scan_id")).select("event_id", "scan_id", c("seq").cast("long").alias("seq"))
+
+
+@query("select l_orderkey as page, l_partkey as id, count(*) as n from lineitem group by all having count(*) > 1")
+def duplicate_ids(t):
+    return t("lineitem").groupBy(c("l_orderkey").alias("page"), c("l_partkey").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("""
+select o_orderkey as scan, case when p is null then 'first' when s > p then 'up ' || (s - p) when s < p then 'down ' || (p - s) else 'unchanged' end as movement from (
+select o_orderkey, cast(floor(o_totalprice) as bigint) % 101 as s, lag(cast(floor(o_totalprice) as bigint) % 101) over (partition by o_custkey order by o_orderdate, o_orderkey) as p from orders)
+""")
+def score_movement(t):
+    s = F.floor("o_totalprice") % 101
+    rows = t("orders").select("o_orderkey", s.alias("s"), F.lag(s).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("p"))
+    move = F.when(c("p").isNull(), "first").when(c("s") > c("p"), F.concat(F.lit("up "), (c("s") - c("p")).cast("string"))).when(c("s") < c("p"), F.concat(F.lit("down "), (c("p") - c("s")).cast("string"))).otherwise("unchanged")
+    return rows.select(c("o_orderkey").alias("scan"), move.alias("movement"))
+
+
+@query("""
+select l_orderkey as page, l_linenumber as node, cast(l_quantity as int) % 6 + 1 as level from lineitem
+qualify level > lag(cast(l_quantity as int) % 6 + 1) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) + 1
+""")
+def heading_jumps(t):
+    level = c("l_quantity").cast("int") % 6 + 1
+    w = Window.partitionBy("page").orderBy("node", "l_partkey", "l_suppkey")
+    rows = t("lineitem").select(c("l_orderkey").alias("page"), c("l_linenumber").alias("node"), level.alias("level"), "l_partkey", "l_suppkey")
+    return rows.withColumn("before", F.lag("level").over(w)).where("level > before + 1").select("page", "node", "level")
+
+
+@query("""
+select l_suppkey as page, l_orderkey as node, l_linenumber as line from lineitem
+qualify row_number() over (partition by l_suppkey, l_partkey order by l_orderkey, l_linenumber) > 1
+""")
+def repeated_keys(t):
+    w = Window.partitionBy("l_suppkey", "l_partkey").orderBy("l_orderkey", "l_linenumber")
+    rows = t("lineitem").withColumn("n", F.row_number().over(w)).where("n > 1")
+    return rows.select(c("l_suppkey").alias("page"), c("l_orderkey").alias("node"), c("l_linenumber").alias("line"))
+
+
+@query("""
+select l_suppkey as page, l_partkey as name, count(distinct l_shipdate) as targets, min(l_orderkey) as first_node from lineitem group by all having count(distinct l_shipdate) >= 2
+""")
+def names_with_several_targets(t):
+    rows = t("lineitem").groupBy(c("l_suppkey").alias("page"), c("l_partkey").alias("name")).agg(F.count_distinct("l_shipdate").alias("targets"), F.min("l_orderkey").alias("first_node"))
+    return rows.where("targets >= 2")
+
+
+# order and limits
+@query(f"""
+select l_orderkey as scan, l_linenumber as node, {TIER} as tier, {IMPACT} as impact from lineitem
+order by case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end, least(l_linenumber, 4), l_partkey, l_orderkey limit 500
+""")
+def worst_findings(t):
+    rows = _as_findings(t)
+    order = [reports.rank(c("tier"), scoring.TIERS), reports.rank(c("impact"), scoring.IMPACTS), c("signature"), c("scan")]
+    return rows.orderBy(*order).limit(500).select("scan", c("node_id").alias("node"), "tier", "impact")
+
+
+@query("""
+with x as (select l_orderkey, l_linenumber, l_returnflag, l_linestatus from lineitem order by l_orderkey desc, l_linenumber limit 500)
+select l_orderkey as scan, l_linenumber as node from x where l_linestatus = 'O'
+""")
+def limit_then_filter(t):
+    rows = t("lineitem").orderBy(F.desc("l_orderkey"), "l_linenumber").limit(500).where("l_linestatus = 'O'")
+    return rows.select(c("l_orderkey").alias("scan"), c("l_linenumber").alias("node"))
+
+
+@query("select * from (select o_orderkey as scan, o_orderdate as created_at from orders order by o_orderdate desc, o_orderkey desc limit 20) order by created_at, scan")
+def scan_history(t):
+    rows = t("orders").select(F.lit("s").alias("site_id"), c("o_orderkey").alias("scan_id"), c("o_orderdate").alias("created_at"))
+    return reports.scan_history(rows, "s").select(c("scan_id").alias("scan"), "created_at")
+
+
+@query("""
+select c_custkey as lead, max(o_totalprice) as score from customer left join orders on o_custkey = c_custkey group by 1 order by score asc nulls last, lead desc limit 200
+""")
+def leads_nulls_last(t):
+    best = t("orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("score"))
+    rows = t("customer").join(best, c("c_custkey") == c("o_custkey"), "left").select(c("c_custkey").alias("lead"), "score")
+    return rows.orderBy(F.asc_nulls_last("score"), F.desc("lead")).limit(200)
+
+
+@query("select l_orderkey as page, l_linenumber as node from lineitem where l_returnflag = 'R' qualify row_number() over (partition by l_orderkey order by l_linenumber) <= 3")
+def worst_three_per_page(t):
+    rows = t("lineitem").where("l_returnflag = 'R'").select(c("l_orderkey").alias("page"), c("l_linenumber").alias("node"))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("node"))).where("n <= 3").drop("n")
+
+
+@query("""
+select c_custkey as id, c_name as name from customer where c_acctbal <= 0 order by c_acctbal, c_custkey limit 20
+""")
+def due_sites(t):
+    day = lambda x: F.timestamp_micros((x * 1e6).cast("long"))
+    sites = t("customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_nationkey").alias("org_id"), F.lit(None).cast("timestamp").alias("archived_at"), day(c("c_acctbal")).alias("next_scan_at"), F.lit("daily").alias("scan_frequency"))
+    orgs = t("nation").select(c("n_nationkey").alias("id"), F.lit("growth").alias("plan"))
+    return reports.due_sites(sites, orgs, F.timestamp_seconds(F.lit(0))).select("id", "name")
+
+
+# sets
+@query("select l_partkey as k from lineitem where l_returnflag = 'R' union all select l_partkey from lineitem where l_linestatus = 'O'")
+def candidates_union_all(t):
+    rows = t("lineitem")
+    return rows.where("l_returnflag = 'R'").select(c("l_partkey").alias("k")).unionAll(rows.where("l_linestatus = 'O'").select(c("l_partkey").alias("k")))
+
+
+@query("select l_partkey as k from lineitem where l_returnflag = 'R' except select l_partkey from lineitem where l_linestatus = 'O'")
+def rules_introduced(t):
+    rows = t("lineitem")
+    return rows.where("l_returnflag = 'R'").select(c("l_partkey").alias("k")).subtract(rows.where("l_linestatus = 'O'").select("l_partkey"))
+
+
+@query("select l_partkey as k from lineitem where l_returnflag = 'R' intersect select l_partkey from lineitem where l_linestatus = 'O'")
+def present_and_crawled(t):
+    rows = t("lineitem")
+    return rows.where("l_returnflag = 'R'").select(c("l_partkey").alias("k")).intersect(rows.where("l_linestatus = 'O'").select("l_partkey"))
+
+
+# entitlements and schedules
+@query("""
+select c_custkey as org, case when c_custkey % 3 = 0 and c_custkey % 2 = 0 then 'growth' when c_acctbal <= -86400 / 86400.0 then 'free' else 'growth' end as plan from customer
+""")
+def effective_plans(t):
+    now = F.timestamp_seconds(F.lit(0))
+    ends = F.timestamp_micros((c("c_acctbal") * 86_400e6).cast("long"))
+    sub = F.when(c("c_custkey") % 3 == 0, "sub")
+    billing = F.when(c("c_custkey") % 2 == 0, "active").otherwise("past_due")
+    return t("customer").select(c("c_custkey").alias("org"), reports.effective_plan(F.lit("growth"), ends, sub, billing, now).alias("plan"))
+
+
+@query("""
+select c_custkey as org, (c_custkey % 40) < 30 as allowed, 'growth' as next_plan from customer
+""")
+def quota_checks(t):
+    orgs = t("customer").select(c("c_custkey").alias("org"), F.lit("starter").alias("plan"), (c("c_custkey") % 40).alias("used"))
+    return reports.check_limit(orgs, c("used"), "max_scans").select("org", "allowed", "next_plan")
+
+
+@query("""
+select n_name as org, n_nationkey % 4 as p, case n_nationkey % 4 when 0 then false when 1 then false else true end as daily_allowed from nation
+""")
+def cadence_checks(t):
+    plan = F.element_at(F.array(*(F.lit(p) for p in ("free", "starter", "growth", "scale"))), c("n_nationkey") % 4 + 1)
+    return t("nation").select(c("n_name").alias("org"), (c("n_nationkey") % 4).alias("p"), reports.cadence_allowed(plan, F.lit("daily")).alias("daily_allowed"))
+
+
+@query("select o_orderkey as site, o_orderdate + interval 168 hour as next_run from orders")
+def next_runs(t):
+    return t("orders").select(c("o_orderkey").alias("site"), reports.next_run(c("o_orderdate"), F.lit("weekly")).alias("next_run"))
+
+
+# scalar functions
+@query("""
+with k as (select p_partkey, p_partkey % 256 as v from part), s as (select p_partkey, v / 255.0::double as s from k),
+l as (select p_partkey, case when s <= 0.03928 then s / 12.92 else pow((s + 0.055) / 1.055, 2.4) end as l from s)
+select p_partkey as id, floor(1.05 / (l + 0.05) * 100 + 0.5) / 100 as ratio, 1.05 / (l + 0.05) >= 4.5 as enough from l
+""")
+def gray_contrast(t):
+    two = F.lower(F.lpad(F.hex((c("p_partkey") % 256).cast("long")), 2, "0"))
+    ratio = color.contrast_ratio(F.concat(F.lit("#"), two, two, two), F.lit("#ffffff"))
+    need = color.required_ratio(F.lit(16.0), F.lit(False))
+    return t("part").select(c("p_partkey").alias("id"), text.rounded(ratio, 2).alias("ratio"), (ratio >= need).alias("enough"))
+
+
+@query("""
+select p_partkey as id, left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 40) as slug, case when length(p_type) > 12 then left(p_type, 11) || '…' else p_type end as short from part
+""")
+def slugs(t):
+    return t("part").select(c("p_partkey").alias("id"), text.slug(c("p_name")).alias("slug"), text.shortened(c("p_type"), 12).alias("short"))
+
+
+@query("""
+select event_id, cast(json_extract(props, '$.n') as bigint) as n from events
+""")
+def event_props(t):
+    return t("events").select("event_id", reports.tolerant_json(c("props"), "n bigint")["n"].alias("n"))
+
+
+@query("select conv_id, turn, role, coalesce(lag(role) over (partition by conv_id order by turn), '') as before from conversations")
+def turn_order(t):
+    return t("conversations").select("conv_id", "turn", "role", F.coalesce(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("before"))
+
+
+@query("select s_suppkey as site, case when s_acctbal >= 90 then 'good' when s_acctbal >= 70 then 'fair' when s_acctbal >= 50 then 'poor' else 'bad' end as band from supplier")
+def score_bands(t):
+    return t("supplier").select(c("s_suppkey").alias("site"), text.score_band(c("s_acctbal")).alias("band"))
+
+
+# a stream run to its end
+@query("select event_type, date_trunc('day', ts) as day, count(*) as n from events group by all")
+def streamed_daily_counts(t):
+    spark = t("region").sparkSession
+    source = t("events")
+    folder, _, _ = source.inputFiles()[0].rpartition("/")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    name = "streamed_daily_counts"
+    counts = progress.windowed_counts(stream).select("event_type", c("window.start").cast("timestamp_ntz").alias("day"), "n")
+    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination(600)
+    return spark.table(name)

@@ -10,25 +10,25 @@ from pyspark.sql import functions as F
 
 from .common import materialise, unsigned_crc32
 
-ROW = "doc_id long, size long, text_crc32 long, text_key long, id_key long"
+def composite_key() -> Column:
+    """Both hashes as hexadecimal digits, which order like a pair of unsigned numbers."""
+    return F.concat(F.lpad(F.hex("text_key"), 16, "0"), F.lpad(F.hex("id_key"), 16, "0"))
 
 
-def _bounds(keys: list[tuple[int, int]]) -> Column:
-    """A literal array of composite keys, ascending."""
-    text = ",".join(f"{a}:{b}" for a, b in keys)
-    pair = lambda x: F.struct(
-        F.split_part(x, F.lit(":"), F.lit(1)).cast("long").alias("text_key"),
-        F.split_part(x, F.lit(":"), F.lit(2)).cast("long").alias("id_key"),
-    )
-    return F.transform(F.split(F.lit(text), ","), pair)
-
+def _range_of(splitters: list[str]) -> Column:
+    """The number of splitters at or under the row's key.
 
-def _range_of(keys: list[tuple[int, int]]) -> Column:
-    """The number of splitters at or under the row's key."""
-    if not keys:
-        return F.lit(0)
-    here = F.struct("text_key", "id_key")
-    return F.size(F.filter(_bounds(keys), lambda b: b <= here))
+    The key's first byte picks the few splitters to compare with; the others
+    are counted beforehand. Both tables are literals.
+    """
+    groups: list[list[str]] = [[] for _ in range(256)]
+    for s in splitters:
+        groups[int(s[:2], 16)].append(s)
+    before = [0, *accumulate(map(len, groups))]
+    top = F.shiftrightunsigned("text_key", 56).cast("int")
+    mine = F.split(F.get(F.split(F.lit(";".join(map(",".join, groups))), ";"), top), ",")
+    key = F.col("key")
+    return (F.get(_longs(before), top) + F.size(F.filter(mine, lambda s: (s != "") & (s <= key)))).cast("int")
 
 
 def _longs(values: list[int]) -> Column:
@@ -40,8 +40,11 @@ def _unit(*seed: int) -> Column:
     return F.pmod(F.xxhash64("id_key", "text_key", *map(F.lit, seed)), F.lit(1 << 53)) / float(1 << 53)
 
 
-def find_splitters(rows: DataFrame, total: int, ranges: int, per_range: int = 32, rounds: int = 4) -> list[tuple[int, int]]:
-    """Splitters that cut ``rows`` into ranges of about ``total / ranges`` bytes.
+def find_splitters(
+    rows: DataFrame, total: int, ranges: int, per_range: int = 32, rounds: int = 4
+) -> tuple[list[str], list[tuple[int, int]]]:
+    """Splitters that cut ``rows`` into ranges of about ``total / ranges`` bytes,
+    and the (bytes, rows) of each range.
 
     Each row enters the sample with a chance in proportion to its size, so
     every sampled key stands for equally many bytes; about ``ranges *
@@ -50,21 +53,23 @@ def find_splitters(rows: DataFrame, total: int, ranges: int, per_range: int = 32
     and id cannot be told apart and stay in one range.
     """
     due = total / ranges
-    splitters: list[tuple[int, int]] = []
+    splitters: list[str] = []
     over = rows
     for turn in range(rounds):
         sample = over.where(_unit(turn) < F.col("size") * per_range / due)
-        keys = sorted(map(tuple, sample.select("text_key", "id_key").collect()))
+        keys = sorted(r.key for r in sample.select("key").collect())
         splitters = sorted({*splitters, *keys[per_range - 1 :: per_range]})
         numbered = rows.withColumn("range", _range_of(splitters))
         sizes = numbered.groupBy("range").agg(
-            F.sum("size").alias("n"), F.min(F.struct("text_key", "id_key")).alias("a"), F.max(F.struct("text_key", "id_key")).alias("b")
-        )
-        wide = [r.range for r in sizes.where((F.col("n") > 1.5 * due) & (F.col("a") < F.col("b"))).collect()]
+            F.sum("size").alias("n"), F.count("*").alias("rows"),
+            F.max("text_key").alias("a"), F.min("text_key").alias("b"), F.max("id_key").alias("c"), F.min("id_key").alias("d"),
+        ).collect()
+        wide = [r.range for r in sizes if r.n > 1.5 * due and (r.a, r.c) != (r.b, r.d)]
         if not wide:
             break
         over = numbered.where(F.col("range").isin(wide))
-    return splitters
+    found = {r.range: (r.n, r.rows) for r in sizes}
+    return splitters, [found.get(i, (0, 0)) for i in range(len(splitters) + 1)]
 
 
 def level_for(loads: list[int], volume: int) -> list[int]:
@@ -140,10 +145,9 @@ def shard(
     )
 
     small_total = total - sum(loads)
-    splitters = find_splitters(small, max(1, small_total), 8 * shards)
+    small = small.withColumn("key", composite_key())
+    splitters, each = find_splitters(small, max(1, small_total), 8 * shards)
     ranged = small.withColumn("range", _range_of(splitters))
-    sizes = {r["range"]: (r.n, r.rows) for r in ranged.groupBy("range").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()}
-    each = [sizes.get(i, (0, 0)) for i in range(len(splitters) + 1)]
     before_bytes = [0, *accumulate(n for n, _ in each)]
     before_rows = [0, *accumulate(n for _, n in each)]
     ends = list(accumulate(level_for(list(loads), small_total)))[:-1]
@@ -165,6 +169,6 @@ def shard(
     )
 
 
-def shard_of_range(splitters: list[tuple[int, int]], key: tuple[int, int]) -> int:
+def shard_of_range(splitters: list[str], key: str) -> int:
     """The range that a key falls into; the scalar form of the operator's lookup."""
     return bisect_right(splitters, key)

@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     labels = read_table(spark, sf_dir, "labels")
     judged = quality.quality_rules(docs, labels, carry=True)
-    return judged.where("kept").select(*docs.columns)
+    return judged.where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the new text. Empty texts that were empty before stay.
     """
-    cleaned = lines.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    cleaned = lines.dedup_lines(docs, prefix="__")
+    emptied = (F.col("__n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
     # the marker keeps this filter from being repeated below the text's expression
     cleaned = cleaned.withColumn("__gone", emptied & (F.spark_partition_id() >= 0)).where("not __gone")
     columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
@@ -53,7 +53,7 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("__row").alias("__row"))
     stay = first.join(kept, "doc_id", "left_semi").select("__row")
     stay = stay.union(rows.where("doc_id is null").select("__row"))
-    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+    return rows.join(stay, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +62,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ``n_chars`` follows the new text; null texts stay null.
     """
     found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), remove_spans=True, carry=True)
-    kept = found.where(~F.col("contaminated"))
+    kept = found.where(~F.col("__contaminated"))
     columns = [
-        F.col("clean_text").alias(c) if c == "text" else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
+        F.col("__clean_text").alias(c) if c == "text" else F.length("__clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
         for c in docs.columns
     ]
     return kept.select(*columns)

@@ -177,8 +177,8 @@ def decontaminate(
     is over 0 and at least ``share`` of the words), spans (array of
     [first word, last word + 1]), and with ``remove_spans`` ``clean_text``:
     the text without its hit words and what stands between them. With
-    ``carry`` the other columns of ``docs`` travel along (their names may not
-    be those above).
+    ``carry`` the other columns of ``docs`` travel along, and two underscores
+    go before the names above.
 
     Defined cases: null or empty texts have no words and are clean; items
     without words or ids match nothing; an empty benchmark leaves every
@@ -232,8 +232,9 @@ def decontaminate(
     )
     schema = StructType([source.schema["id"], *_parse_datatype_string(FOUND_SCHEMA), *source.schema[2:]])
     result = source.mapInArrow(run, schema)
-    result = result.toDF(id_col, *FOUND, *extra)
-    return result if remove_spans else result.drop("clean_text")
+    names = [f"__{n}" for n in FOUND] if carry else FOUND
+    result = result.toDF(id_col, *names, *extra)
+    return result if remove_spans else result.drop(names[-1])
 
 
 def without_words(text: bytes, spans: list[list[int]]) -> bytes:

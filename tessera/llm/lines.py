@@ -172,10 +172,12 @@ def duplicate_lines(
 
 
 def dedup_lines(
-    docs: DataFrame, tau: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tau: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", prefix: str = ""
 ) -> DataFrame:
     """``docs`` with ``text_col`` less its duplicate lines, plus n_lines, n_removed, removed.
 
+    ``prefix`` goes before the names of these three, for tables that have such columns.
+
     Within a document the first of equal lines stays; lines found in
     ``duplicate_lines`` all go. Other lines, their order and spelling are
     kept; ``removed`` lists the numbers, from 0, of the lines that went.
@@ -205,8 +207,8 @@ def dedup_lines(
         F.col("__gone").isNotNull(),
         F.filter(F.transform(h, lambda x, i: F.when(F.array_contains("__gone", x), i)), lambda i: i.isNotNull()),
     )
-    rows = rows.withColumn("removed", F.sort_array(F.array_union(F.coalesce(again, none), F.coalesce(gone_at, none))))
-    gaps = F.col("removed")
+    rows = rows.withColumn("__removed", F.sort_array(F.array_union(F.coalesce(again, none), F.coalesce(gone_at, none))))
+    gaps = F.col("__removed")
     # lines between removed ones, joined again; the cost follows the text's length
     lines = F.split(F.col(text_col).cast("string"), "\n")
     rows = rows.withColumn("__lines", F.when(F.size(gaps) > 0, lines))
@@ -218,7 +220,7 @@ def dedup_lines(
     text = F.coalesce(F.array_join("__kept", "\n"), F.col(text_col))
     return rows.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(h)).cast("long").alias("n_lines"),
-        F.size(gaps).cast("long").alias("n_removed"),
-        "removed",
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(h)).cast("long").alias(f"{prefix}n_lines"),
+        F.size(gaps).cast("long").alias(f"{prefix}n_removed"),
+        gaps.alias(f"{prefix}removed"),
     )

@@ -18,11 +18,11 @@ def with_words(docs: DataFrame, id_col: str, text_col: str, carry: bool = False)
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    found = docs.select(F.col(id_col), text.alias("text"), *row)
+    found = docs.select(F.col(id_col).alias("id"), text.alias("text"), *row)
     found = found.withColumn("trimmed", F.btrim("text", F.lit(" \t\n\x0b\f\r")))
     words = F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", BLANK))
     found = found.withColumn("words", words)
-    return found.select(id_col, "text", *["row"] * carry, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return found.select("id", "text", *["row"] * carry, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
 def _joined(left: Column, right: Column) -> Column:
@@ -96,7 +96,7 @@ def gram_weights(
     )
     words = with_words(docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")), "k", "t")
     words = with_pairs(words)
-    marked = words.join(F.broadcast(good), F.col("k") == F.col("good"), "left")
+    marked = words.join(F.broadcast(good), F.col("id") == F.col("good"), "left")
     # an inner explode would infer a filter that repeats the whole expression under it
     each = marked.select(F.col("good").isNotNull().cast("long").alias("target"), F.explode_outer(F.concat("hashes", "pairs")).alias("g"))
     each = each.select("target", bucket(F.col("g"), buckets).cast("int").alias("b"))
@@ -129,7 +129,7 @@ def quality_rules(
     infinity), kept (base holds and the mean is at least ``threshold``).
     All of it is computed in one pass without a shuffle; whole numbers keep
     it equal on every run. With ``carry`` the columns of ``docs`` stand in
-    place of the statistics, beside ``kept``; ``docs`` must have no such column.
+    place of the statistics, beside ``__kept``.
 
     Defined cases: null, empty and blank texts have no words and fail; a table
     without labels scores every document 0; repeated rows are judged one by
@@ -152,7 +152,7 @@ def quality_rules(
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     found = found.withColumn("lines", lines)
     judged = found.select(
-        id_col,
+        F.col("id").alias(id_col),
         *["row"] * carry,
         F.col("n").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
@@ -166,7 +166,7 @@ def quality_rules(
     # the partition id, not deterministic by name, keeps a caller's filter from being repeated below
     kept = ~F.col("base_failed") & (F.col("llr_millis") >= round(1000 * threshold)) & (F.spark_partition_id() >= 0)
     judged = judged.withColumn("kept", kept)
-    return judged.select("row.*", "kept") if carry else judged
+    return judged.select("row.*", F.col("kept").alias("__kept")) if carry else judged
 
 
 def _has_target(labels: DataFrame, label_col: str) -> bool:

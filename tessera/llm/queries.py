@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lines, minhash, packing, pii, quality, sharding, toxicity, urls
+from . import decontamination, licenses, lines, minhash, oracles, packing, pii, quality, sharding, toxicity, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,4 +78,4 @@ QUERIES = {
         op1_urls, op2_sharding, op3_decontamination, op4_quality, op5_pii, op6_lines, op7_packing, op8_minhash, op9_toxicity, op10_licenses,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

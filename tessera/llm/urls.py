@@ -41,13 +41,14 @@ def longest_rule(rules: tuple[tuple[str, str], ...], host: Column, path: Column)
     return found
 
 
-def merge_branches(children: Column, z: float) -> Column:
+def merge_branches(children: Column, z: float, least: int) -> Column:
     """Names of groups of sibling branches, as (child, name).
 
     Branches are taken by rising share of bad labels; one joins the group
     before it when a two-proportion test, pooled with one good and one bad
-    pseudo-label each, finds no difference at ``z`` standard errors. A parent
-    has at most 1 / least share branches, so the fold is short.
+    pseudo-label each, finds no difference at ``z`` standard errors; both need
+    ``least`` labels. A parent has at most 1 / least share branches, so the
+    fold is short.
     """
     kind = "array<struct<lab:double,bad:double,names:array<string>>>"
 
@@ -56,7 +57,8 @@ def merge_branches(children: Column, z: float) -> Column:
         n1, n2 = last["lab"] + 2, child["lab"] + 2
         p1, p2 = (last["bad"] + 1) / n1, (child["bad"] + 1) / n2
         pool = (last["bad"] + child["bad"] + 2) / (n1 + n2)
-        alike = F.abs(p1 - p2) <= z * F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2))
+        enough = F.least(last["lab"], child["lab"]) >= least
+        alike = enough & (F.abs(p1 - p2) <= z * F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2)))
         alone = F.struct(child["lab"].alias("lab"), child["bad"].alias("bad"), F.array(child["child"]).alias("names"))
         both = F.struct(
             (last["lab"] + child["lab"]).alias("lab"),
@@ -105,7 +107,8 @@ def url_filters(
     labels do not differ statistically become one branch. A template's purity
     is its share of blocked labels, smoothed by ``weight`` labels at the share
     of its domain (the last two names of the host), which is smoothed by that
-    of all urls. Urls that no rule fits are blocked at ``reject`` or above.
+    of all urls. Urls that no rule fits are blocked at ``reject`` or above, if
+    their template has a label of its own at all.
 
     Rows are never shuffled while the branch tables are small (their size is
     checked); counts are combined before each shuffle, so a hot host is no
@@ -137,7 +140,7 @@ def url_filters(
         child = F.struct(((F.col("bad") + 1) / (F.col("lab") + 2)).alias("rate"), "child", "lab", "bad")
         # at most 1 / least_share children each
         siblings = literal.groupBy("host", "template").agg(F.sort_array(F.collect_list(child)).alias("children"))
-        named = siblings.select("host", "template", F.explode_outer(merge_branches(F.col("children"), z)).alias("b"))
+        named = siblings.select("host", "template", F.explode_outer(merge_branches(F.col("children"), z, support)).alias("b"))
         named = materialise(named.select("host", "template", F.col("b.child").alias("child"), F.col("b.name").alias("name")), "names")
         if named.count() <= BROADCAST_ROWS:  # four short strings each
             named = F.broadcast(named)
@@ -155,11 +158,11 @@ def url_filters(
     # one row joins as a scalar
     domains = domains.join(F.broadcast(whole)).select("domain", ((F.col("d_bad") + weight * share) / (F.col("d_lab") + weight)).alias("prior"))
     purity = stats.join(domains, "domain").select(
-        "host", "template", F.round((F.col("bad") + weight * F.col("prior")) / (F.col("lab") + weight), 6).alias("purity")
+        "host", "template", F.round((F.col("bad") + weight * F.col("prior")) / (F.col("lab") + weight), 6).alias("purity"), "lab"
     )
     purity = materialise(purity, "purity")
     if purity.count() <= BROADCAST_ROWS:
         purity = F.broadcast(purity)
     judged = rows.join(purity, ["host", "template"])
-    verdict = F.coalesce("given", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
+    verdict = F.coalesce("given", F.when((F.col("purity") >= reject) & (F.col("lab") > 0), "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -113,21 +113,22 @@ def duplicate_lines(
     """(id, line): normalised lines to remove from each document.
 
     A line goes if an earlier document holds an equal line, or if an earlier
-    line (by first document, then by hash) is within ``tau`` edits. Lines of
+    line (by first document, then by place in it) is within ``tau`` edits. Lines of
     fewer than ``min_chars`` characters never go; equal lines inside one
     document are one line here.
     """
     text = docs.select(F.col(id_col).cast("long").alias("id"), normal_lines(F.col(text_col)).alias("lines"))
     # an inner explode would infer a filter that repeats its expression
-    lines = text.select("id", F.explode_outer(F.array_distinct("lines")).alias("line"))
+    lines = text.select("id", F.posexplode_outer(F.array_distinct("lines")).alias("place", "line"))
     lines = lines.where((F.length("line") >= min_chars) & F.col("id").isNotNull())
-    lines = lines.select("id", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    lines = lines.select("id", "place", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
     index, probes = segment_keys(F.col("line"), tau)
     # keys travel with the line's hashes, its text does not
-    keyed = lines.select("id", "h", "g", F.array(*index, *probes).alias("keys"))
+    keyed = lines.select(F.struct("id", "place").alias("at"), "h", "g", F.array(*index, *probes).alias("keys"))
     distinct = materialise(
-        keyed.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")),
+        keyed.groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+        .select("h", "g", F.col("at.id").alias("first"), "at.place", "n", "keys"),
         "lines",
     )
     rows = distinct.select("h", F.posexplode("keys").alias("pos", "key"))
@@ -140,8 +141,8 @@ def duplicate_lines(
     shared = materialise(shared, "shared-keys")
     if shared.count() <= BROADCAST_KEYS:  # eight bytes each
         shared = F.broadcast(shared)
-    slots = distinct.select("h", "first", F.posexplode("keys").alias("pos", "key")).join(shared, "key", "left_semi")
-    slots = materialise(slots.select("h", "first", "key", (F.col("pos") < len(index)).alias("indexed")), "slots")
+    slots = distinct.select("h", "first", "place", F.posexplode("keys").alias("pos", "key")).join(shared, "key", "left_semi")
+    slots = materialise(slots.select("h", "first", "place", "key", (F.col("pos") < len(index)).alias("indexed")), "slots")
 
     wanted = slots.select("h", "first").distinct()
     texts = lines.join(wanted, (lines.h == wanted.h) & (lines.id == wanted["first"]), "left_semi")
@@ -152,7 +153,7 @@ def duplicate_lines(
     difference = sum((F.abs(F.col("a.sketch")[i] - F.col("b.sketch")[i]) for i in range(len(KINDS))), F.lit(0))
     near = (
         (F.col("a.key") == F.col("b.key"))
-        & ((F.col("b.first") < F.col("a.first")) | ((F.col("b.first") == F.col("a.first")) & (F.col("b.h") < F.col("a.h"))))
+        & (F.struct("b.first", "b.place", "b.h") < F.struct("a.first", "a.place", "a.h"))
         & (F.col("a.indexed") | F.col("b.indexed"))
         & (F.abs(F.size("a.points") - F.size("b.points")) <= tau)
         & (difference <= 2 * tau)

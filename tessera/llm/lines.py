@@ -144,7 +144,9 @@ def duplicate_lines(
     slots = distinct.select("h", "first", "place", F.posexplode("keys").alias("pos", "key")).join(shared, "key", "left_semi")
     slots = materialise(slots.select("h", "first", "place", "key", (F.col("pos") < len(index)).alias("indexed")), "slots")
 
-    wanted = slots.select("h", "first").distinct()
+    wanted = materialise(slots.select("h", "first").distinct(), "wanted-lines")
+    if wanted.count() <= BROADCAST_KEYS:  # else all lines' texts would be shuffled
+        wanted = F.broadcast(wanted)
     texts = lines.join(wanted, (lines.h == wanted.h) & (lines.id == wanted["first"]), "left_semi")
     texts = texts.select("h", "line").dropDuplicates(["h"])
     texts = texts.select("h", code_points(F.col("line"), tau).alias("points"), sketch(F.col("line")).alias("sketch"))

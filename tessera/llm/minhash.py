@@ -15,6 +15,7 @@ from .common import connected_components, materialise
 HASHES, ROWS, LANES = 128, 5, 0x5555555555555555
 BANDS = HASHES // ROWS
 BROADCAST_BUCKETS = 1_000_000
+FIRST_BANDS = 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -171,8 +172,8 @@ def near_duplicates(
     Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B| for
     their sets of ``width``-word shingles. Steps: documents with equal sets
     become one class; 128 minima give 25 band keys of five and two bits each;
-    each class meets the smallest id of all its band buckets; then, in buckets
-    that still hold several components, the bucket's own smallest id; then,
+    each class meets the smallest id of its first eight buckets; then, in all
+    buckets that hold several components, the bucket's own smallest id; then,
     where that leaves several, members of different components (never pairs
     inside one). Pairs that pass the packed estimate are confirmed on the full
     sets. A pair at 0.85 misses all 25 bands with probability 4e-7, and one
@@ -195,12 +196,6 @@ def near_duplicates(
         ),
         "classes",
     )
-    slots = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count("*").alias("n"))
-    shared = materialise(shared.where("n > 1").select("bucket", "hub"), "shared-buckets")
-    if shared.count() <= BROADCAST_BUCKETS:  # sixteen bytes each
-        shared = F.broadcast(shared)
-    members = materialise(slots.join(shared, "bucket"), "members")
     sketch = classes.select("cid", "n_shingles", "sig")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
@@ -231,27 +226,34 @@ def near_duplicates(
             links = links.union(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))
         return materialise(connected_components(links), "parts")
 
-    # each class with the smallest hub of all its buckets
-    hubs = members.where("cid <> hub").groupBy(F.col("cid").alias("src")).agg(F.min("hub").alias("dst"))
-    parts = merged(None, confirmed(hubs, "first-hubs"))
+    def sent(buckets: DataFrame, name: str) -> DataFrame:
+        """(bucket, hub), broadcast while there are few: sixteen bytes each."""
+        buckets = materialise(buckets.select("bucket", "hub"), name)
+        return F.broadcast(buckets) if buckets.count() <= BROADCAST_BUCKETS else buckets
 
-    def labelled(parts: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one component yet."""
-        found = members.join(parts, members.cid == parts.node, "left").select(
-            "bucket", "cid", "hub", F.coalesce("component", "cid").alias("part")
-        )
-        split = found.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        return found.join(split.where("low < high").select("bucket"), "bucket", "left_semi")
+    # each class with the smallest hub of its first buckets: one pair a class joins most groups
+    slots = classes.select("cid", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket"))
+    shared = slots.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = slots.join(sent(shared, "shared-buckets"), "bucket").where("cid <> hub")
+    hubs = hubs.groupBy(F.col("cid").alias("src")).agg(F.min("hub").alias("dst"))
+    parts = merged(None, confirmed(hubs, "first-hubs"))
 
-    # the hubs of buckets that are still split
-    open_ = materialise(labelled(parts), "open-buckets")
+    # the hubs of all buckets that hold more than one component yet
+    labelled = classes.join(parts, F.col("cid") == F.col("node"), "left")
+    labelled = labelled.select("cid", F.coalesce("component", "cid").alias("part"), F.explode("bands").alias("bucket"))
+    split = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("cid").alias("hub"))
+    open_ = materialise(labelled.join(sent(split.where("low < high"), "split-buckets"), "bucket"), "open-buckets")
     hub_part = open_.where("cid = hub").select("bucket", F.col("part").alias("hub_part"))
     other = open_.where("cid <> hub").join(hub_part, "bucket").where("part <> hub_part")
     other = other.select(F.col("cid").alias("src"), F.col("hub").alias("dst")).distinct()
     parts = merged(parts, confirmed(other, "other-hubs"))
 
     # what is split even then: members of different components, none of them a hub
-    open_ = materialise(labelled(parts).where("cid <> hub").join(sketch, "cid"), "open-buckets")
+    left = open_.drop("part").join(parts, F.col("cid") == F.col("node"), "left")
+    left = left.select("cid", "bucket", "hub", F.coalesce("component", "cid").alias("part"))
+    split = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    left = left.join(split.where("low < high").select("bucket"), "bucket", "left_semi")
+    open_ = materialise(left.where("cid <> hub").join(sketch, "cid"), "open-members")
     rest = (
         open_.alias("a")
         .join(

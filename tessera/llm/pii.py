@@ -14,31 +14,40 @@ KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",  # runs of fewer than 13 digits fail as a whole
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-SPAN = "struct<start:int,end:int,value:string>"
+# words with seven digits or an @ that could name somebody
+TOKEN = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){7})\S++"
+SPAN = "struct<start:int,end:int,value:string,left:string>"
+REACH = 64
 
 
 def found_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, value), in code points.
+    """Leftmost non-overlapping matches as (start, end, value, left), in code points.
+
+    ``left`` is what stands before a match, ``REACH`` characters at most.
 
     Matches are fenced by two control characters and the text is split at the
     first one; running lengths of the pieces give the places. Those two
     characters in the text itself stand as a third one meanwhile: no pattern
-    here matches any of the three.
+    here matches any of the three. The list of places is copied at each
+    match, so a text with many thousand matches is slow, though right.
     """
     safe = F.translate(text, "\x01\x02", "\x03\x03")
     parts = F.split(F.regexp_replace(safe, f"({pattern})", "\x01$1\x02"), "\x01")
-    start = F.struct(F.length(F.get(parts, 0)).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    first = F.get(parts, 0)
+    start = F.struct(
+        F.length(first).alias("at"), F.right(first, F.lit(REACH)).alias("left"), F.array().cast(f"array<{SPAN}>").alias("out")
+    )
 
     def take(acc: Column, part: Column) -> Column:
         value = F.substring_index(part, "\x02", 1)
         end = acc["at"] + F.length(value)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), value.alias("value")).cast(SPAN)
+        span = F.struct(acc["at"].alias("start"), end.alias("end"), value.alias("value"), acc["left"].alias("left")).cast(SPAN)
+        left = F.right(F.concat(acc["left"], F.replace(part, F.lit("\x02"), F.lit(""))), F.lit(REACH))
         return F.struct(
-            (acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(span)).alias("out")
+            (acc["at"] + F.length(part) - 1).alias("at"), left.alias("left"), F.concat(acc["out"], F.array(span)).alias("out")
         )
 
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
@@ -67,10 +76,9 @@ def holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def cues(text: Column, start: Column, reach: int = 64) -> Column:
-    """The last word, and the last two words, of the ``reach`` characters before a place."""
-    low = F.greatest(start - reach, F.lit(0))
-    left = F.lower(F.substring(text, low + 1, start - low))
+def cues(left: Column) -> Column:
+    """The last word, and the last two words, of what stands before a place."""
+    left = F.lower(left)
     return F.array(
         F.regexp_extract(left, r"(\p{L}+)[^\p{L}]*$", 1), F.regexp_extract(left, r"(\p{L}+[^\p{L}]+\p{L}+)[^\p{L}]*$", 1)
     )
@@ -78,7 +86,7 @@ def cues(text: Column, start: Column, reach: int = 64) -> Column:
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(uid, id, one array of spans a kind, others): ``others`` are the remaining tokens
-    with a digit or @ in them that could name somebody; all with their cues."""
+    with seven digits or an @ that could name somebody; all with their cues."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), text.alias("text"))
     for kind in KINDS:
@@ -92,15 +100,14 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("tokens", found_spans(F.col("text"), TOKEN)).withColumn("all", F.concat(*KINDS))
     free = F.filter(
         "tokens",
-        lambda t: ((F.length(F.regexp_replace(t["value"], "[^0-9]", "")) >= 5) | F.contains(t["value"], F.lit("@")))
-        & ~F.exists("all", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
+        lambda t: ~F.exists("all", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
     )
     rows = rows.withColumn("others", free)
 
     def cued(name: str) -> Column:
         return F.transform(
             name,
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), cues(F.col("text"), s["start"]).alias("cues")),
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), cues(s["left"]).alias("cues")),
         )
 
     return rows.select("uid", "id", *[cued(k).alias(k) for k in (*KINDS, "others")])

@@ -39,7 +39,7 @@ class OrdinalModel:
         return sigmoid(x - self.cuts)
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 0.02, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 0.002, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts of a proportional-odds model, by accelerated gradient descent.
 
     ``x`` is a dense block of sampled rows by selected features; grades that
@@ -76,7 +76,9 @@ def train(sample: list[tuple[list[bytes], int]], grades: int, vocabulary: int =
 
     The vocabulary holds the words of at least ``least`` sampled documents
     whose log-odds of standing in a graded document, smoothed by a half, are
-    at least three standard errors away from 0: the ``vocabulary`` strongest.
+    at least three standard errors over 0, and that stand in graded documents
+    at least as often as in others: the ``vocabulary`` strongest. Words of
+    clean documents are left out, as they would only tell languages apart.
     """
     in_graded: dict[bytes, int] = {}
     in_clean: dict[bytes, int] = {}
@@ -93,8 +95,8 @@ def train(sample: list[tuple[list[bytes], int]], grades: int, vocabulary: int =
             continue
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
         error = (1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5)) ** 0.5
-        if abs(odds) >= 3 * error:
-            strength.append((-abs(odds) / error, w))
+        if odds >= 3 * error and a >= b:
+            strength.append((-odds / error, w))
     words = {w: i for i, (_, w) in enumerate(sorted(strength)[:vocabulary])}
     model = OrdinalModel(words, np.zeros(len(words)), np.full(grades - 1, 40.0))
     if n1 and n0:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
+BROADCAST_LABELS = 2_000_000
 BLANK = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -72,48 +73,73 @@ def with_repeats(words: DataFrame) -> DataFrame:
     return found.withColumn("n_repeat", F.coalesce(covered, F.lit(0))).drop("starts")
 
 
-def bucket(gram: Column, buckets: int) -> Column:
-    """``buckets`` is a power of two."""
-    return gram.bitwiseAND(F.lit(buckets - 1).cast("long"))
+def gram_edges(rows: DataFrame, text: Column) -> DataFrame:
+    """(uid, good, g, c): how often each word and word pair, as a 64-bit hash, stands in each row."""
+    words = with_pairs(with_words(rows.select("uid", "good", text.alias("t")), "uid", "t", carry=True))
+    words = words.select("row.uid", "row.good", F.sort_array(F.concat("hashes", "pairs")).alias("s"))
+    s = F.col("s")
+    starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+    words = words.withColumn("starts", starts)
+    at = F.col("starts")
+    runs = F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("g"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).alias("c")))
+    # an inner explode would infer a filter that repeats the whole expression under it
+    each = words.select("uid", F.coalesce("good", F.lit(0)).alias("good"), F.explode_outer(runs).alias("e"))
+    return each.select("uid", "good", "e.g", "e.c").where("g is not null")
 
 
-def gram_weights(
-    docs: DataFrame, labels: DataFrame, label_col: str, buckets: int, sample: int, id_col: str, text_col: str
-) -> list[int]:
-    """Thousandths of ln(p_target / p_raw) of each bucket.
+def gram_totals(edges: DataFrame, n_rows: int, raw_n: int, target_n: int) -> DataFrame:
+    """(uid, total): sums over a row's grams of ln(p_target / p_raw) in whole thousandths.
 
-    The raw multinomial counts every document; the target one counts the
-    labelled good documents among at most ``sample`` labelled ids of the
-    lowest hashes. Both are smoothed by one count a bucket. Counts are
-    combined before the shuffle, ``buckets`` rows a task at most.
+    Every gram of every row is counted, in the raw multinomial and, where the
+    row is labelled good, in the target one. A row is judged by the others:
+    its own counts are taken out of both, so a gram of one row alone weighs 0
+    and needs no place in the table. The target's share is smoothed by one
+    count at the raw share. The grams in a thousandth of the rows or more,
+    bounded in number by the mean length of a text, are broadcast; the rest
+    meets the table by a shuffle, where no gram has more rows than that.
     """
-    good = (
-        labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("good"))
-        .distinct()
-        .orderBy(F.xxhash64("good"), "good")
-        .limit(sample)
-    )
-    words = with_words(docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")), "k", "t")
-    words = with_pairs(words)
-    marked = words.join(F.broadcast(good), F.col("id") == F.col("good"), "left")
-    # an inner explode would infer a filter that repeats the whole expression under it
-    each = marked.select(F.col("good").isNotNull().cast("long").alias("target"), F.explode_outer(F.concat("hashes", "pairs")).alias("g"))
-    each = each.select("target", bucket(F.col("g"), buckets).cast("int").alias("b"))
-    counts = {r.b: (r.raw, r.target) for r in each.where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()}
-    raw_n = sum(x for x, _ in counts.values()) + buckets
-    target_n = sum(x for _, x in counts.values()) + buckets
-    both = [counts.get(b, (0, 0)) for b in range(buckets)]
-    return [round(1000 * log((t + 1) / target_n * raw_n / (r + 1))) for r, t in both]
+    counts = edges.groupBy("g").agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("good")).alias("t"), F.count("*").alias("df"))
+    table = materialise(counts.where("df > 1"), "grams")
+    common = F.col("df") >= max(2, n_rows // 1000)
+    often, seldom = F.broadcast(table.where(common).drop("df")), table.where(~common).drop("df")
+    share = F.lit(target_n / raw_n)
+    ratio = (F.col("t") - F.col("c") * F.col("good") + 1) / ((F.col("r") - F.col("c")) * share + 1)
+    weight = (F.round(F.log(ratio) * 1000).cast("long") * F.col("c")).alias("w")
+    first = edges.join(often, "g").select("uid", weight)
+    rest = edges.join(often.select("g"), "g", "left_anti").join(seldom, "g").select("uid", weight)
+    return first.unionByName(rest).groupBy("uid").agg(F.sum("w").alias("total"))
+
+
+def score_threshold(scores: list[tuple[int, int, int]], good_share: float = 0.99) -> int:
+    """The cut, in thousandths, of (score, good, rows) of labelled rows.
+
+    It parts good rows from the others best (largest difference of the shares
+    kept, the lowest such score). Without other rows it keeps ``good_share``
+    of the good ones.
+    """
+    all_good, all_other = (sum(n for _, g, n in scores if g == kind) for kind in (1, 0))
+    if not all_good:
+        return min((s for s, _, _ in scores), default=0)
+    by_score: dict[int, list[int]] = {}
+    for score, good, n in scores:
+        by_score.setdefault(score, [0, 0])[good] += n
+    best, cut, good, other = None, 0, all_good, all_other
+    for score in sorted(by_score):
+        if all_other:
+            gain = good / all_good - other / all_other
+        else:
+            gain = score if good >= good_share * all_good else None
+        if gain is not None and (best is None or gain > best):
+            best, cut = gain, score
+        other, good = other - by_score[score][0], good - by_score[score][1]
+    return cut
 
 
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "quality",
-    threshold: float = -0.08,
-    buckets: int = 8192,
-    sample: int = 20_000,
+    threshold: float | None = None,
     min_words: int = 10,
     max_repeat: float = 0.2,
     id_col: str = "doc_id",
@@ -126,48 +152,64 @@ def quality_rules(
     base_failed (under ``min_words`` words, or more than ``max_repeat`` of the
     words in repeated windows), llr_millis (mean over a text's words and word
     pairs of the ratio's logarithm, in thousandths, rounded towards minus
-    infinity), kept (base holds and the mean is at least ``threshold``).
-    All of it is computed in one pass without a shuffle; whole numbers keep
+    infinity), kept (base holds and the mean is at least ``threshold``, by
+    default the score that parts the labelled rows best). Whole numbers keep
     it equal on every run. With ``carry`` the columns of ``docs`` stand in
     place of the statistics, beside ``__kept``.
 
     Defined cases: null, empty and blank texts have no words and fail; a table
-    without labels scores every document 0; repeated rows are judged one by
+    without good labels scores every document 0; repeated rows are judged one by
     one; null ids pass through; other columns are ignored.
     """
-    weights = gram_weights(docs, labels, label_col, buckets, sample, id_col, text_col)
-    if not any(weights) or not _has_target(labels, label_col):
-        weights = [0] * buckets
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
-
-    words = with_pairs(with_words(docs, id_col, text_col, carry))
-
-    def total(grams: str, start: Column) -> Column:
-        # the cast of a bucket number to int never fails
-        return F.aggregate(grams, start, lambda a, g: a + F.get(table, bucket(g, buckets).cast("int")))
-
-    words = words.withColumn("total", total("pairs", total("hashes", F.lit(0).cast("long"))))
-    words = words.withColumn("n_grams", F.size("hashes") + F.size("pairs"))
-    found = with_repeats(words)
+    marks = (
+        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).cast("long").alias("k"))
+        .agg(F.max((F.col(label_col) == 1).cast("int")).alias("good"))
+    )
+    marks = materialise(marks, "labels")
+    if marks.count() <= BROADCAST_LABELS:  # twelve bytes each
+        marks = F.broadcast(marks)
+    columns = docs.columns if carry else list(dict.fromkeys([id_col, text_col]))
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    rows = rows.join(marks, "k", "left").select(F.monotonically_increasing_id().alias("uid"), "row", "good")
+    rows = materialise(rows, "quality-rows")
+    text = F.col("row")[text_col]
+
+    found = with_words(rows.select("uid", "good", F.col("row")[id_col].alias("id"), text.alias("t")), "uid", "t", carry=True)
+    found = with_repeats(with_pairs(found))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     found = found.withColumn("lines", lines)
     judged = found.select(
-        F.col("id").alias(id_col),
-        *["row"] * carry,
+        "row.uid",
+        "row.good",
+        F.col("row.id").alias(id_col),
         F.col("n").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("n_repeat").cast("long").alias("n_repeat_words"),
-        F.when(F.col("n_grams") > 0, F.floor(F.col("total") / F.col("n_grams"))).otherwise(0).alias("llr_millis"),
+        (F.size("hashes") + F.size("pairs")).cast("long").alias("n_grams"),
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * round(100 * max_repeat))
-    judged = judged.withColumn("base_failed", failed)
-    # the partition id, not deterministic by name, keeps a caller's filter from being repeated below
-    kept = ~F.col("base_failed") & (F.col("llr_millis") >= round(1000 * threshold)) & (F.spark_partition_id() >= 0)
+    judged = materialise(judged.withColumn("base_failed", failed), "statistics")
+    size = judged.agg(F.count("*").alias("n"), F.sum("n_grams").alias("raw"), F.sum(F.col("n_grams") * F.col("good")).alias("target")).first()
+    if size.target:
+        totals = gram_totals(gram_edges(rows, text), size.n, size.raw, size.target)
+        judged = judged.join(totals, "uid", "left")
+    else:
+        judged = judged.withColumn("total", F.lit(0).cast("long"))
+    score = F.when(F.col("n_grams") > 0, F.floor(F.coalesce("total", F.lit(0)) / F.col("n_grams"))).otherwise(0)
+    judged = materialise(judged.withColumn("llr_millis", score), "scores")
+    if threshold is not None:
+        cut = round(1000 * threshold)
+    else:
+        # whole thousandths: few groups
+        marked = judged.where(~F.col("base_failed") & F.col("good").isNotNull()).groupBy("llr_millis", "good").count().collect()
+        cut = score_threshold([(r[0], r[1], r[2]) for r in marked])
+    kept = ~F.col("base_failed") & (F.col("llr_millis") >= cut)
     judged = judged.withColumn("kept", kept)
-    return judged.select("row.*", F.col("kept").alias("__kept")) if carry else judged
-
-
-def _has_target(labels: DataFrame, label_col: str) -> bool:
-    return bool(labels.where(F.col(label_col) == 1).take(1))
+    if carry:
+        return rows.join(judged.select("uid", F.col("kept").alias("__kept")), "uid").select("row.*", "__kept")
+    return judged.drop("uid", "good", "n_grams", "total").select(
+        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_millis", "base_failed", "kept"
+    )

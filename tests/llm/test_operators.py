@@ -163,6 +163,42 @@ def test_quality_ratio_tells_junk(spark):
     assert mean[1] > mean[0]
 
 
+def test_quality_counts_every_gram_of_every_labelled_row(spark):
+    """60,000 words and some 180,000 pairs, of which each says on which side its text is."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(30_000)}" for _ in range(300))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.quality_rules(docs, marks).where("kept").collect()}
+    assert kept == {i for i in range(600) if i % 2 == 0}
+
+
+def test_quality_scores_against_brute_force(spark):
+    docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in marks.where("quality = 1").collect()}
+    grams = []
+    for i, t in texts(spark):
+        words = BLANK.findall(t or "")
+        grams.append((i, Counter(words) + Counter(pairwise(words))))
+    raw, target = Counter(), Counter()
+    for i, g in grams:
+        raw.update(g)
+        if i in good:
+            target.update(g)
+    share = sum(target.values()) / sum(raw.values())
+    want = Counter()
+    for i, g in grams:
+        total = sum(c * round(1000 * float(np.log((target[x] - c * (i in good) + 1) / ((raw[x] - c) * share + 1)))) for x, c in g.items())
+        want[(i, total // (sum(g.values()) or 1))] += 1
+    assert Counter((r.doc_id, r.llr_millis) for r in quality.quality_rules(docs, marks).collect()) == want
+
+
+def test_quality_threshold_follows_the_scores():
+    assert quality.score_threshold([(-900, 0, 5), (-300, 0, 5), (-200, 1, 5), (10, 1, 50)]) == -200
+    assert quality.score_threshold([(s, 1, 1) for s in range(100)]) == 1
+    assert quality.score_threshold([]) == 0
+
+
 # 5
 SHAPES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

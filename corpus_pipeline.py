@@ -43,13 +43,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies.
+    """Keeps the document of the smallest id of each group of near copies, of Jaccard 0.8 or more.
 
     Rows that share this id are repeats of one document: one row of them
     stays. Rows without an id are linked with nothing and stay.
     """
     rows = _keyed(docs)
-    kept = minhash.near_duplicates(rows).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = minhash.near_duplicates(rows, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("__row").alias("__row"))
     stay = first.join(kept, "doc_id", "left_semi").select("__row")
     stay = stay.union(rows.where("doc_id is null").select("__row"))

@@ -41,3 +41,10 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = P.minhash_stage(spark, docs, SF)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 7), (True, 0)]
+
+
+def test_near_copies_at_0_82_are_one_group(spark):
+    a = [f"w{i}" for i in range(200)]
+    b = a[:181] + [f"x{i}" for i in range(19)]  # 177 of 215 shingles are common
+    docs = spark.createDataFrame([(2, " ".join(b)), (1, " ".join(a))], "doc_id long, text string")
+    assert [r.doc_id for r in P.minhash_stage(spark, docs, SF).collect()] == [1]

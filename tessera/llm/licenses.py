@@ -58,15 +58,21 @@ class TemplateIndex:
             for p in range(len(tokens) - need + 1):
                 self.prefix.setdefault(tokens[p], []).append((len(self.entries), p))
             self.entries.append((label, tokens, need))
+        self.span = max((len(word_list(t.encode())) for _, t in templates), default=0)
 
     def search(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
         """(label, containment) of every template that ``block`` meets."""
+        for entry, share in self.entries_met(block):
+            yield self.entries[entry][0], share
+
+    def entries_met(self, block: set[bytes]) -> Iterator[tuple[int, float]]:
+        """(number, containment) of every template that ``block`` meets."""
         first: dict[int, int] = {}
         for w in self.prefix.keys() & block:
             for entry, p in self.prefix[w]:
                 first[entry] = min(p, first.get(entry, p))
         for entry, p in first.items():
-            label, tokens, need = self.entries[entry]
+            _, tokens, need = self.entries[entry]
             if len(block) < need:
                 continue
             common = 0
@@ -75,7 +81,34 @@ class TemplateIndex:
                     break
                 common += tokens[i] in block
             if common >= need:
-                yield label, common / len(tokens)
+                yield entry, common / len(tokens)
+
+    def search_windows(self, words: list[bytes], present: set[bytes]) -> Iterator[tuple[str, float]]:
+        """(label, best containment) of every template that ``span`` words in a row meet.
+
+        A template is looked for only if all words together meet it. Its tokens'
+        places are passed once, with those less than ``span`` apart in hand.
+        """
+        met = [entry for entry, _ in self.entries_met(present)]
+        if not met:
+            return
+        wanted = set().union(*(self.entries[entry][1] for entry in met))
+        found = [(i, w) for i, w in enumerate(words) if w in wanted]
+        for entry in met:
+            label, tokens, need = self.entries[entry]
+            inside, count, best, back = set(tokens), {}, 0, 0
+            own = [x for x in found if x[1] in inside]
+            for i, w in own:
+                count[w] = count.get(w, 0) + 1
+                while own[back][0] <= i - self.span:
+                    gone = own[back][1]
+                    count[gone] -= 1
+                    if not count[gone]:
+                        del count[gone]
+                    back += 1
+                best = max(best, len(count))
+            if best >= need:
+                yield label, best / len(tokens)
 
 
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -122,9 +155,10 @@ def scan_licenses(
 
     Columns: id, n_words, n_base, first_word, last_word, base_labels (array),
     labels (array: those of phrases and of templates), score (best containment
-    of a template that a line of the text meets, 1 where a phrase stands,
-    else 0). Blocks of the join are the lines of the text. Templates are a
-    parameter and few; the index holds their tokens only.
+    of a template that a block of the text meets, 1 where a phrase stands,
+    else 0). Blocks of the join are the lines of the text, and all runs of as
+    many words as the longest template has, across lines: notices are often
+    wrapped. Templates are a parameter and few; the index holds their tokens only.
 
     Defined cases: null and empty texts have no words, no label and score 0;
     long lines are one block; repeated rows are scanned one by one; null ids
@@ -154,6 +188,9 @@ def scan_licenses(
                             base.add(label)
                             score = 1.0
                 if not telling.isdisjoint(present):
+                    for label, share in index.search_windows(words, present):
+                        labels.add(label)
+                        score = max(score, share)
                     for line in text.split(b"\n"):
                         block = set(word_list(line))
                         if not telling.isdisjoint(block):

@@ -450,6 +450,35 @@ def test_licenses(spark, rough, none):
     assert licenses.scan_licenses(rough).count() == len(ROWS) and licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_notices(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal"""
+    bsd = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:"""
+    far = "released\n" + "under the\n" + "word " * 14 + "\nmit license"
+    rows = [(1, mit), (2, bsd), (3, "head\n" * 50 + mit.replace(" ", "\n")), (4, far)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (["mit"], 1.0), 2: (["bsd"], 1.0), 3: (["mit"], 1.0), 4: ([], 0.0)}
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(10)
+    vocabulary = [f"t{i}".encode() for i in range(30)]
+    for threshold in (0.5, 0.9):
+        templates = [(str(k), b" ".join(rng.sample(vocabulary, rng.randint(1, 9))).decode()) for k in range(12)]
+        index = licenses.TemplateIndex(templates, {}, threshold)
+        span = max(len(t.split()) for _, t in templates)
+        for _ in range(100):
+            words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 40))]
+            want = set()
+            for label, t in templates:
+                tokens = set(t.encode().split())
+                share = max(len(tokens & set(words[i : i + span])) for i in range(len(words))) / len(tokens)
+                if share >= threshold - 1e-9:
+                    want.add((label, share))
+            assert set(index.search_windows(words, set(words))) == want
+
+
 def test_template_index_is_exact():
     rng = random.Random(9)
     vocabulary = [f"t{i}" for i in range(25)]

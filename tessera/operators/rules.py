@@ -160,7 +160,7 @@ RULES = [
          f"tag = 'table' and {SEEN} and facts['two_way'] = 'true' and facts['bare_th'] is not null"),
     Rule("id-invalid", "4.1.1", "A", "minor", DEFINITE, "Id contains blanks", "attrs['id'] rlike '\\\\s'"),
     Rule("audio-no-transcript", "1.2.1", "A", "serious", REVIEW, "Audio without a transcript nearby",
-         f"tag = 'audio' and {SEEN} and not coalesce(lower(facts['beside']), '') like '%transcript%'"),
+         f"tag = 'audio' and {SEEN} and not coalesce(facts['transcript'], '') = 'true'"),
     Rule("video-no-audio-description", "1.2.5", "AA", "moderate", REVIEW, "Video without a description track",
          f"tag = 'video' and {SEEN} and not exists(kids, k -> k.tag = 'track' and k.kind = 'descriptions')"),
     Rule("object-no-fallback", "1.1.1", "A", "moderate", REVIEW, "Embedded object without an alternative",

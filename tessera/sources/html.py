@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.fixed import INPUT_ROLES, TAG_ROLES
+from tessera.functions.fixed import ICON_NAMES, INPUT_ROLES, TAG_ROLES
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
@@ -354,6 +354,7 @@ ELEMENT_DDL = (
     " kids array<struct<tag:string,kind:string>>, stray_text boolean, holds_focusable boolean,"
     " classes string, facts map<string,string>"
 )
+ICONS = [(re.compile(rf"\b({words})\b", re.IGNORECASE | re.ASCII), words.split("|")[0]) for words, _ in ICON_NAMES]
 # tags whose text no rule and no report reads
 BULKY = frozenset("html head body div main section article".split())
 
@@ -364,13 +365,14 @@ def element_rows(html: str) -> Iterator[dict]:
 
     doc = Document(html)
     focus = [False] * len(doc.nodes)
-    classes = [""] * len(doc.nodes)
+    icons = [len(ICONS)] * len(doc.nodes)
     for n in reversed(doc.nodes):
         inner = [k.number for k in n.elements()]
         focus[n.number] = focusable(n) or any(focus[i] for i in inner)
         own = " ".join(n.attrs[k] for k in ("class", "id", "data-icon") if n.attrs.get(k))
-        # words of a subtree matter on small controls only
-        classes[n.number] = " ".join([own, *(classes[i] for i in inner)]).strip()[:2000]
+        # of the class names of a whole subtree only the first icon that they name matters
+        first = next((k for k, (pattern, _) in enumerate(ICONS) if pattern.search(own)), len(ICONS))
+        icons[n.number] = min([first, *(icons[i] for i in inner)])
     legend = {n.number: any(k.tag == "legend" for k in n.elements()) for n in doc.nodes if n.tag == "fieldset"}
     names = [doc.name(n) for n in doc.nodes]
     styles = text_styles(doc)
@@ -383,7 +385,7 @@ def element_rows(html: str) -> Iterator[dict]:
         elif n.tag == "a":
             facts = facts | image_facts(n)
         elif n.tag == "audio":
-            facts = facts | {"beside": text_of(n.parent)[:2000]}
+            facts = facts | {"transcript": str("transcript" in text_of(n.parent).lower()).lower()}
         elif n.tag == "body":
             facts = facts | {"chars": str(len(text_of(n)))}
         source = "" if n.start is None else collapsed(html[n.start : n.end])
@@ -413,7 +415,7 @@ def element_rows(html: str) -> Iterator[dict]:
             "kids": [{"tag": k.tag, "kind": k.attrs.get("kind", "").lower()} for k in n.elements()],
             "stray_text": any(isinstance(k, str) and k.strip() for k in n.kids),
             "holds_focusable": focus[n.number],
-            "classes": classes[n.number],
+            "classes": ICONS[icons[n.number]][1] if icons[n.number] < len(ICONS) else "",
             "facts": list(facts.items()),
         }
 

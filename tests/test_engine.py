@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import color, text
 from tessera.operators import frontier, ledger, remediation, reports, rules, scoring
 from tessera.sources.css import declared, matches, parse_css
-from tessera.sources.html import Document, element_rows, html_elements
+from tessera.sources.html import ICONS, Document, element_rows, html_elements
 
 BROKEN = """<html><head><meta name="viewport" content="width=device-width, user-scalable=no"><title></title>
 <style>.pale{color:#aaaaaa;background:#ffffff} a:focus{outline:none}</style></head><body>
@@ -98,6 +98,24 @@ def test_patch_and_rescan(spark, both):
     assert not new
 
 
+def test_nothing_is_cut_in_long_parents(spark):
+    long, names = "<p>" + "words " * 1000 + "</p>", " ".join(f"layout-{i}x" for i in range(400))
+    deep = f'<button><span class="{names}"><i class="{names} icon-search"></i></span></button>'
+    pages = [
+        f'<body><audio src="a.mp3"></audio>{long}<a href="/t">Transcript</a>{deep}</body>',
+        f'<body><audio src="a.mp3"></audio>{long}<button><i class="{names}"></i></button></body>',
+    ]
+    found = analysed(spark, *pages)[2]
+    assert [r.page_id for r in found.where("rule_id = 'audio-no-transcript'").collect()] == [1]
+    fixes = {r.page_id: str(r.fix) for r in found.where("rule_id = 'button-name'").collect()}
+    assert "Search" in fixes[0] and "Search" not in fixes[1]
+
+
+def test_icon_words_name_their_own_icon():
+    for pattern, word in ICONS:
+        assert next(w for p, w in ICONS if p.search(word)) == word and pattern.search(word)
+
+
 @pytest.mark.parametrize("html", ["<p>a<p>b", "<div><span></div></span>", "<!doctype html><html>", "<table><tr><td>x"])
 def test_malformed_pages_parse(html):
     rows = list(element_rows(html))

@@ -118,8 +118,9 @@ def discovered(rows: DataFrame, confidence: float, support: int, rounds: int) ->
 
     Cues and the values after them form a bipartite graph. A seed value has
     score 1 for its kind. A cue's score is the mean score of its distinct
-    values; an unseen value takes the best score of cues that at least
-    ``support`` seeds follow. After ``rounds`` rounds the cues of at least
+    values; to a cue, an unseen value is worth the best score of the cues of
+    another last word that at least ``support`` seeds follow, so a cue, or the
+    same one with a word before it, never backs itself. After ``rounds`` rounds the cues of at least
     ``confidence`` mark the unseen values that follow them. Distinct values
     are counted, so copies of a document add nothing, and every count is
     combined before its shuffle.
@@ -140,11 +141,16 @@ def discovered(rows: DataFrame, confidence: float, support: int, rounds: int) ->
     graph = backed.where(F.col("backing") >= support).join(width, "cue")
     open_ = edges.where("kind is null").select("value", "cue").join(graph.select("cue", "kind"), "cue")
     graph, open_ = materialise(graph, "cues"), materialise(open_, "open-edges")
+    word = F.regexp_extract("cue", r"(\p{L}+)$", 1)
     scores = graph.withColumn("score", F.col("backing") / F.col("width"))
     for _ in range(rounds):
         values = open_.join(scores.select("cue", "kind", "score"), ["cue", "kind"])
-        values = values.groupBy("value", "kind").agg(F.max("score").alias("worth"))
-        added = open_.join(values, ["value", "kind"]).groupBy("cue", "kind").agg(F.sum("worth").alias("added"))
+        values = values.groupBy("value", "kind", word.alias("word")).agg(F.max("score").alias("score"))
+        best = values.groupBy("value", "kind").agg(F.max(F.struct("score", "word")).alias("best"))
+        rest = values.join(best, ["value", "kind"]).where(F.col("word") != F.col("best.word"))
+        best = best.join(rest.groupBy("value", "kind").agg(F.max("score").alias("next")), ["value", "kind"], "left")
+        worth = F.when(word == F.col("best.word"), F.coalesce("next", F.lit(0.0))).otherwise(F.col("best.score"))
+        added = open_.join(best, ["value", "kind"]).groupBy("cue", "kind").agg(F.sum(worth).alias("added"))
         scores = graph.join(added, ["cue", "kind"], "left")
         scores = scores.withColumn("score", (F.col("backing") + F.coalesce("added", F.lit(0.0))) / F.col("width"))
         scores = materialise(scores.drop("added"), "scores")

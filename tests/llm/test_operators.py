@@ -237,6 +237,13 @@ def test_pii_cues_find_more(spark):
     assert got[50] == "phone:20:32" and got[51] == "" and got[3].startswith("phone:20:")
 
 
+def test_pii_cue_with_half_seeds_marks_nothing(spark):
+    rows = [(i, f"the order number +1 (555) 555-{1000 + i} today") for i in range(5)]
+    rows += [(10 + i, f"the order number 2024000{100 + i} today") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.find_pii(docs).where("size(spans) > size(base)").count() == 0
+
+
 # 6
 def test_distances(spark):
     rng, rows = random.Random(5), []

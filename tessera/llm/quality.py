@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS = BROADCAST_ROWS = 10_000_000
+BROADCAST_BITS = 25  # nine bytes a bucket
 BLANK = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -73,41 +74,68 @@ def with_repeats(words: DataFrame) -> DataFrame:
     return found.withColumn("n_repeat", F.coalesce(covered, F.lit(0))).drop("starts")
 
 
-def gram_edges(rows: DataFrame, text: Column) -> DataFrame:
-    """(uid, good, g, c): how often each word and word pair, as a 64-bit hash, stands in each row."""
-    words = with_pairs(with_words(rows.select("uid", "good", text.alias("t")), "uid", "t", carry=True))
-    words = words.select("row.uid", "row.good", F.sort_array(F.concat("hashes", "pairs")).alias("s"))
-    s = F.col("s")
-    starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
-    words = words.withColumn("starts", starts)
-    at = F.col("starts")
-    runs = F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("g"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).alias("c")))
+def table_bits(n_bytes: int) -> int:
+    """The hashed table has 2**bits buckets: 400 times the cube root of the corpus' bytes, rounded up.
+
+    25 MB of text get 2**17 buckets, 50 GB 2**21 and 170 TB 2**25, so it grows with the
+    corpus, and a task's part of the counts stays under its part of the input.
+    """
+    return max(10, int(400 * n_bytes ** (1 / 3)).bit_length())
+
+
+def bucket(hashed: Column, bits: int) -> Column:
+    """The upper bits of a 64-bit hash."""
+    return F.shiftrightunsigned(hashed, 64 - bits).cast("int")
+
+
+def each_gram(words: DataFrame, bits: int) -> DataFrame:
+    """(k, l, good, b): the bucket of each word and word pair of each row."""
     # an inner explode would infer a filter that repeats the whole expression under it
-    each = words.select("uid", F.coalesce("good", F.lit(0)).alias("good"), F.explode_outer(runs).alias("e"))
-    return each.select("uid", "good", "e.g", "e.c").where("g is not null")
+    grams = words.select("k", "l", F.coalesce("good", F.lit(0)).alias("good"), F.explode_outer(F.concat("hashes", "pairs")).alias("g"))
+    return grams.where("g is not null").select("k", "l", "good", bucket(F.col("g"), bits).alias("b"))
+
+
+def gram_table(grams: DataFrame) -> DataFrame:
+    """(block, w): the weights of 64 buckets; that of bucket b and a row with mark ``good`` is at 2 (b % 64) + good.
+
+    The raw multinomial counts the words and word pairs of every row, the
+    target one those of every row labelled good; counts are combined before
+    the shuffle. A weight is ln(p_target / p_raw) in whole thousandths, the
+    target's share smoothed by one count at the raw share. A gram is judged by
+    the others: its own count is taken out of both, so a row labelled good does
+    not speak for itself.
+    """
+    counts = grams.groupBy("b").agg(F.count("*").alias("r"), F.sum(F.col("good").cast("long")).alias("t"))
+    counts = materialise(counts, "gram-counts")
+    size = counts.agg(F.sum("r").alias("raw"), F.sum("t").alias("target")).first()
+    share = (size.target or 0) / (size.raw or 1)
+
+    def weight(good: int) -> Column:
+        ratio = (F.greatest(F.col("t") - good, F.lit(0)) + 1) / ((F.col("r") - 1) * F.lit(share) + 1)
+        return F.round(F.log(ratio) * 1000).cast("int") if share else F.lit(0)
+
+    both = F.struct(weight(0).alias("other"), weight(1).alias("good"))
+    entry = F.struct(F.col("b").bitwiseAND(63).alias("at"), both.alias("w"))
+    blocks = counts.groupBy(F.shiftright("b", 6).alias("block")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    place = lambda i: F.element_at("m", F.shiftright(i, 1))
+    found = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.when(i % 2 == 0, place(i)["other"]).otherwise(place(i)["good"]), F.lit(0)))
+    return materialise(blocks.select("block", found.alias("w")), "gram-weights")
 
 
-def gram_totals(edges: DataFrame, n_rows: int, raw_n: int, target_n: int) -> DataFrame:
-    """(uid, total): sums over a row's grams of ln(p_target / p_raw) in whole thousandths.
+def gram_means(grams: DataFrame, bits: int) -> DataFrame:
+    """(k, l, llr_millis): the mean weight of each row's grams, rounded towards minus infinity.
 
-    Every gram of every row is counted, in the raw multinomial and, where the
-    row is labelled good, in the target one. A row is judged by the others:
-    its own counts are taken out of both, so a gram of one row alone weighs 0
-    and needs no place in the table. The target's share is smoothed by one
-    count at the raw share. The grams in a thousandth of the rows or more,
-    bounded in number by the mean length of a text, are broadcast; the rest
-    meets the table by a shuffle, where no gram has more rows than that.
+    The table is sent while it has ``BROADCAST_BITS`` bits at most, so that
+    only one row a document is shuffled; beyond, grams meet it in a shuffle join.
+    Rows of one key have equal grams, and their mean is that of one.
     """
-    counts = edges.groupBy("g").agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("good")).alias("t"), F.count("*").alias("df"))
-    table = materialise(counts.where("df > 1"), "grams")
-    common = F.col("df") >= max(2, n_rows // 1000)
-    often, seldom = F.broadcast(table.where(common).drop("df")), table.where(~common).drop("df")
-    share = F.lit(target_n / raw_n)
-    ratio = (F.col("t") - F.col("c") * F.col("good") + 1) / ((F.col("r") - F.col("c")) * share + 1)
-    weight = (F.round(F.log(ratio) * 1000).cast("long") * F.col("c")).alias("w")
-    first = edges.join(often, "g").select("uid", weight)
-    rest = edges.join(often.select("g"), "g", "left_anti").join(seldom, "g").select("uid", weight)
-    return first.unionByName(rest).groupBy("uid").agg(F.sum("w").alias("total"))
+    table = gram_table(grams)
+    if bits <= BROADCAST_BITS:
+        table = F.broadcast(table)
+    found = grams.withColumn("block", F.shiftright("b", 6)).join(table, "block")
+    weight = F.get("w", F.col("b").bitwiseAND(63) * 2 + F.col("good"))
+    found = found.groupBy("k", "l").agg(F.sum(weight.cast("long")).alias("total"), F.count("*").alias("n"))
+    return found.select("k", "l", F.floor(F.col("total") / F.col("n")).alias("llr_millis"))
 
 
 def score_threshold(scores: list[tuple[int, int, int]], good_share: float = 0.99) -> int:
@@ -157,6 +185,10 @@ def quality_rules(
     it equal on every run. With ``carry`` the columns of ``docs`` stand in
     place of the statistics, beside ``__kept``.
 
+    Texts are read three times, to count grams, to weigh them and to judge, and
+    are not shuffled while the labels, the table and the means are small enough
+    to be sent (their sizes are checked); beyond that they meet in shuffle joins.
+
     Defined cases: null, empty and blank texts have no words and fail; a table
     without good labels scores every document 0; repeated rows are judged one by
     one; null ids pass through; other columns are ignored.
@@ -171,35 +203,33 @@ def quality_rules(
         marks = F.broadcast(marks)
     columns = docs.columns if carry else list(dict.fromkeys([id_col, text_col]))
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    rows = rows.join(marks, "k", "left").select(F.monotonically_increasing_id().alias("uid"), "row", "good")
-    rows = materialise(rows, "quality-rows")
-    text = F.col("row")[text_col]
-
-    found = with_words(rows.select("uid", "good", F.col("row")[id_col].alias("id"), text.alias("t")), "uid", "t", carry=True)
-    found = with_repeats(with_pairs(found))
+    rows = rows.join(marks, "k", "left").select("k", "row", "good", F.col("row")[text_col].alias("t"))
+    words = with_pairs(with_words(rows, "k", "t", carry=True))
+    # 96 bits of hashes stand for an id and its text
+    key = [F.xxhash64("id", "text").alias("k"), F.hash("text", "id").alias("l")]
+    words = words.select(*key, "row.good", "row.row", "text", "n", "hashes", "pairs")
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    bits = table_bits(n_bytes)
+    means = materialise(gram_means(each_gram(words, bits), bits), "gram-means")
+
+    found = with_repeats(words)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     found = found.withColumn("lines", lines)
     judged = found.select(
-        "row.uid",
-        "row.good",
-        F.col("row.id").alias(id_col),
+        "k", "l", "good",
+        *(["row"] if carry else [F.col("row")[id_col].alias(id_col)]),
         F.col("n").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("n_repeat").cast("long").alias("n_repeat_words"),
-        (F.size("hashes") + F.size("pairs")).cast("long").alias("n_grams"),
-    )
+    )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * round(100 * max_repeat))
-    judged = materialise(judged.withColumn("base_failed", failed), "statistics")
-    size = judged.agg(F.count("*").alias("n"), F.sum("n_grams").alias("raw"), F.sum(F.col("n_grams") * F.col("good")).alias("target")).first()
-    if size.target:
-        totals = gram_totals(gram_edges(rows, text), size.n, size.raw, size.target)
-        judged = judged.join(totals, "uid", "left")
-    else:
-        judged = judged.withColumn("total", F.lit(0).cast("long"))
-    score = F.when(F.col("n_grams") > 0, F.floor(F.coalesce("total", F.lit(0)) / F.col("n_grams"))).otherwise(0)
-    judged = materialise(judged.withColumn("llr_millis", score), "scores")
+    judged = judged.withColumn("base_failed", failed)
+    if means.count() <= BROADCAST_ROWS:  # twenty bytes each
+        means = F.broadcast(means)
+    judged = judged.join(means, ["k", "l"], "left").withColumn("llr_millis", F.coalesce("llr_millis", F.lit(0)))
+    judged = materialise(judged.drop("k", "l"), "judged")
     if threshold is not None:
         cut = round(1000 * threshold)
     else:
@@ -207,9 +237,8 @@ def quality_rules(
         marked = judged.where(~F.col("base_failed") & F.col("good").isNotNull()).groupBy("llr_millis", "good").count().collect()
         cut = score_threshold([(r[0], r[1], r[2]) for r in marked])
     kept = ~F.col("base_failed") & (F.col("llr_millis") >= cut)
-    judged = judged.withColumn("kept", kept)
     if carry:
-        return rows.join(judged.select("uid", F.col("kept").alias("__kept")), "uid").select("row.*", "__kept")
-    return judged.drop("uid", "good", "n_grams", "total").select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_millis", "base_failed", "kept"
+        return judged.select("row.*", kept.alias("__kept"))
+    return judged.select(
+        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_millis", "base_failed", kept.alias("kept")
     )

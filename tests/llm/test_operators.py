@@ -173,13 +173,20 @@ def test_quality_counts_every_gram_of_every_labelled_row(spark):
     assert kept == {i for i in range(600) if i % 2 == 0}
 
 
-def test_quality_scores_against_brute_force(spark):
+@pytest.mark.parametrize("sent", [25, 0])
+def test_quality_scores_against_brute_force(spark, monkeypatch, sent):
+    """Weights of all buckets and means of all rows, with the table sent and with it joined."""
+    monkeypatch.setattr(quality, "BROADCAST_BITS", sent)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 10_000 * sent)
     docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     good = {r.doc_id for r in marks.where("quality = 1").collect()}
-    grams = []
-    for i, t in texts(spark):
-        words = BLANK.findall(t or "")
-        grams.append((i, Counter(words) + Counter(pairwise(words))))
+    rows = [(i, BLANK.findall(t or "")) for i, t in texts(spark)]
+    bits = quality.table_bits(sum(len((t or "").encode()) for _, t in texts(spark)))
+    single = spark.createDataFrame([(w,) for w in {w for _, ws in rows for w in ws}], "w string")
+    h = {r.w: r.h for r in single.select("w", F.xxhash64("w").alias("h")).collect()}
+    double = spark.createDataFrame([(h[a], h[b]) for a, b in {p for _, ws in rows for p in pairwise(ws)}], "a long, b long")
+    h2 = {(r.a, r.b): r.h for r in double.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    grams = [(i, [(x % 2**64) >> (64 - bits) for x in (*(h[w] for w in ws), *(h2[h[a], h[b]] for a, b in pairwise(ws)))]) for i, ws in rows]
     raw, target = Counter(), Counter()
     for i, g in grams:
         raw.update(g)
@@ -188,11 +195,15 @@ def test_quality_scores_against_brute_force(spark):
     share = sum(target.values()) / sum(raw.values())
     want = Counter()
     for i, g in grams:
-        total = sum(c * round(1000 * float(np.log((target[x] - c * (i in good) + 1) / ((raw[x] - c) * share + 1)))) for x, c in g.items())
-        want[(i, total // (sum(g.values()) or 1))] += 1
+        total = sum(round(1000 * float(np.log((target[x] - (i in good) + 1) / ((raw[x] - 1) * share + 1)))) for x in g)
+        want[(i, total // (len(g) or 1))] += 1
     assert Counter((r.doc_id, r.llr_millis) for r in quality.quality_rules(docs, marks).collect()) == want
 
 
+def test_quality_table_grows():
+    assert [quality.table_bits(n) for n in (0, 25_000_000, 50_000_000_000)] == [10, 17, 21]
+
+
 def test_quality_threshold_follows_the_scores():
     assert quality.score_threshold([(-900, 0, 5), (-300, 0, 5), (-200, 1, 5), (10, 1, 50)]) == -200
     assert quality.score_threshold([(s, 1, 1) for s in range(100)]) == 1

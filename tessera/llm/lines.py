@@ -11,9 +11,11 @@ BROADCAST_KEYS = 1_000_000
 
 
 def normal_lines(text: Column) -> Column:
-    """The \\n-split lines, lower-cased, blanks collapsed and trimmed."""
-    flat = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[ \\t\\x0B\\f\\r]+", " ")
-    return F.split(F.btrim(F.regexp_replace(flat, " ?\\n ?", "\n"), F.lit(" ")), "\n")
+    """The \\n-split lines, lower-cased and with blanks collapsed; blanks at their ends are for ``btrim``."""
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    # most texts hold single blanks only, and a search is cheaper than a replacement of each blank by itself
+    flat = F.when(low.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(low, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(low)
+    return F.split(flat, "\n")
 
 
 def segment_keys(line: Column, tau: int) -> tuple[list[Column], list[Column]]:
@@ -107,50 +109,57 @@ def sketch(line: Column) -> Column:
     return F.array(*(F.length(line) - F.length(F.translate(line, kind, "")) for kind in KINDS))
 
 
-def duplicate_lines(
-    docs: DataFrame, tau: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, line): normalised lines to remove from each document.
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds __k and __l: 96 bits of hashes that stand for an id and its text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    number = F.col(id_col).cast("long")
+    return docs.withColumns({"__k": F.xxhash64(number, text), "__l": F.hash(text, number)})
 
-    A line goes if an earlier document holds an equal line, or if an earlier
-    line (by first document, then by place in it) is within ``tau`` edits. Lines of
-    fewer than ``min_chars`` characters never go; equal lines inside one
-    document are one line here.
-    """
-    text = docs.select(F.col(id_col).cast("long").alias("id"), normal_lines(F.col(text_col)).alias("lines"))
-    # an inner explode would infer a filter that repeats its expression
-    lines = text.select("id", F.posexplode_outer(F.array_distinct("lines")).alias("place", "line"))
-    lines = lines.where((F.length("line") >= min_chars) & F.col("id").isNotNull())
-    lines = lines.select("id", "place", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
-    index, probes = segment_keys(F.col("line"), tau)
-    # keys travel with the line's hashes, its text does not
-    keyed = lines.select(F.struct("id", "place").alias("at"), "h", "g", F.array(*index, *probes).alias("keys"))
-    distinct = materialise(
-        keyed.groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-        .select("h", "g", F.col("at.id").alias("first"), "at.place", "n", "keys"),
-        "lines",
-    )
-    rows = distinct.select("h", F.posexplode("keys").alias("pos", "key"))
+def text_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(k, l, id, place, line): each line of ``min_chars`` characters or more."""
+    rows = with_key(docs, id_col, text_col).select(
+        F.col("__k").alias("k"), F.col("__l").alias("l"), F.col(id_col).cast("long").alias("id"),
+        # an inner explode would infer a filter that repeats its expression
+        F.posexplode_outer(normal_lines(F.col(text_col))).alias("place", "line"),
+    )
+    rows = rows.withColumn("line", F.btrim("line", F.lit(" ")))
+    return rows.where(F.length("line") >= min_chars)
+
+
+def sent(table: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def near_lines(lines: DataFrame, docs: DataFrame, tau: int, n_index: int, min_chars: int) -> DataFrame:
+    """(h, g): lines that are within ``tau`` edits of an earlier line.
+
+    ``lines`` holds the keys of all lines of ``docs`` (id, text), of which only
+    those are read again in which a line with a shared key stands first.
+    """
+    keyed = lines.where("id is not null")
     shared = (
-        rows.groupBy("key")
+        keyed.select("h", F.posexplode("keys").alias("pos", "key"))
+        .groupBy("key")
         .agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("pos").alias("pos"))
-        .where((F.col("low") < F.col("high")) & (F.col("pos") < len(index)))
+        .where((F.col("low") < F.col("high")) & (F.col("pos") < n_index))
         .select("key")
     )
-    shared = materialise(shared, "shared-keys")
-    if shared.count() <= BROADCAST_KEYS:  # eight bytes each
-        shared = F.broadcast(shared)
-    slots = distinct.select("h", "first", "place", F.posexplode("keys").alias("pos", "key")).join(shared, "key", "left_semi")
-    slots = materialise(slots.select("h", "first", "place", "key", (F.col("pos") < len(index)).alias("indexed")), "slots")
-
-    wanted = materialise(slots.select("h", "first").distinct(), "wanted-lines")
-    if wanted.count() <= BROADCAST_KEYS:  # else all lines' texts would be shuffled
-        wanted = F.broadcast(wanted)
-    texts = lines.join(wanted, (lines.h == wanted.h) & (lines.id == wanted["first"]), "left_semi")
-    texts = texts.select("h", "line").dropDuplicates(["h"])
-    texts = texts.select("h", code_points(F.col("line"), tau).alias("points"), sketch(F.col("line")).alias("sketch"))
-    full = materialise(slots.join(texts, "h"), "slot-texts")
+    shared = sent(materialise(shared, "shared-keys"))
+    slots = keyed.select("h", "g", "id", "place", F.posexplode("keys").alias("pos", "key")).join(shared, "key", "left_semi")
+    slots = slots.groupBy("h", "g", "key").agg(F.min(F.struct("id", "place")).alias("at"), F.min("pos").alias("pos"))
+    slots = slots.select("h", "g", "key", F.col("at.id").alias("first"), "at.place", (F.col("pos") < n_index).alias("indexed"))
+    slots = materialise(slots, "slots")
+
+    wanted = materialise(slots.select("h", "g", "first").distinct(), "wanted-lines")
+    home = sent(materialise(wanted.select(F.col("first").alias("id")).distinct(), "wanted-documents"))
+    found = text_lines(docs.join(home, "id", "left_semi"), min_chars, "id", "text").select("id", "line")
+    found = found.withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
+    found = found.join(sent(wanted).withColumnRenamed("first", "id"), ["id", "h", "g"], "left_semi")
+    found = found.dropDuplicates(["h", "g"])
+    found = found.select("h", "g", code_points(F.col("line"), tau).alias("points"), sketch(F.col("line")).alias("sketch"))
+    full = materialise(slots.join(found, ["h", "g"]), "slot-texts")
     a, b = full.alias("a"), full.alias("b")
     difference = sum((F.abs(F.col("a.sketch")[i] - F.col("b.sketch")[i]) for i in range(len(KINDS))), F.lit(0))
     near = (
@@ -162,16 +171,35 @@ def duplicate_lines(
         & distance_within(F.col("a.points"), F.col("b.points"), tau)
     )
     # a semi join ends its search at the first earlier line, so groups of near copies stay linear
-    later = a.join(b, near, "left_semi").select("h").distinct()
-    equal = distinct.where("n > 1").select("h", "g", "first")
-    flagged = (
-        equal.join(later.withColumn("near", F.lit(True)), "h", "left")
-        .unionByName(
-            distinct.where("n = 1").join(later, "h", "left_semi").select("h", "g", "first", F.lit(True).alias("near"))
-        )
-    )
-    gone = lines.select("id", "h", "g", "line").join(flagged, ["h", "g"])
-    return gone.where((F.col("id") > F.col("first")) | F.coalesce("near", F.lit(False))).select("id", "line")
+    return a.join(b, near, "left_semi").select("h", "g").distinct()
+
+
+def removed_places(
+    docs: DataFrame, tau: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(k, l, removed): numbers, from 0, of the lines to remove from each row that loses any.
+
+    A line goes if an earlier line of its document or any line of an earlier
+    document is equal, or if an earlier line (by first document, then by place
+    in it) is within ``tau`` edits. Texts are normalised once, into a table of
+    hashes and segment keys; all else works on that table.
+    """
+    lines = text_lines(docs, min_chars, id_col, text_col)
+    index, probes = segment_keys(F.col("line"), tau)
+    hashes = [F.xxhash64("line").alias("h"), F.hash("line").alias("g")]
+    rows = materialise(lines.select("k", "l", "id", "place", *hashes, F.array(*index, *probes).alias("keys")), "lines")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    near = materialise(near_lines(rows, texts, tau, len(index), min_chars), "near-lines")
+    equal = rows.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    flagged = equal.select("h", "g", "first").join(near.withColumn("near", F.lit(True)), ["h", "g"], "full_outer")
+    flagged = sent(materialise(flagged, "flagged-lines"))
+    sure = F.col("id").isNotNull() & (F.coalesce("near", F.lit(False)) | F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    gone = rows.drop("keys").join(flagged, ["h", "g"]).select("k", "l", F.struct("h", "g", "place", sure.alias("sure")).alias("x"))
+    gone = gone.groupBy("k", "l").agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    xs = F.col("xs")
+    again = lambda x, i: (i > 0) & (F.get(xs, i - 1)["h"] == x["h"]) & (F.get(xs, i - 1)["g"] == x["g"])
+    places = F.sort_array(F.transform(F.filter(xs, lambda x, i: x["sure"] | again(x, i)), lambda x: x["place"]))
+    return materialise(gone.select("k", "l", places.alias("removed")).where(F.size("removed") > 0), "removed-places")
 
 
 def dedup_lines(
@@ -181,36 +209,23 @@ def dedup_lines(
 
     ``prefix`` goes before the names of these three, for tables that have such columns.
 
-    Within a document the first of equal lines stays; lines found in
-    ``duplicate_lines`` all go. Other lines, their order and spelling are
-    kept; ``removed`` lists the numbers, from 0, of the lines that went.
+    Within a document the first of equal lines stays; the others of
+    ``removed_places`` go. Other lines, their order and spelling are kept;
+    ``removed`` lists the numbers, from 0, of the lines that went. They meet the
+    texts by a broadcast while there are at most ``BROADCAST_KEYS`` documents and
+    four times as many lines, and by a shuffle join beyond.
 
     Defined cases: null and empty texts stay as they are; lines under
     ``min_chars`` characters stay; rows with a null id lose only their own
     repeats; rows that share an id count as one document; an empty table gives
     no rows; other columns are carried along whatever their names.
     """
-    found = duplicate_lines(docs, tau, min_chars, id_col, text_col)
-    # hashes of a document's lines, as many as it has lines
-    gone = found.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.xxhash64("line")).alias("__gone"))
-    rows = docs.withColumn("__normal", normal_lines(F.col(text_col)))
-    hashed = F.transform("__normal", lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(x)))
-    rows = rows.withColumn("__hash", hashed).drop("__normal")
-    rows = rows.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")
-    h = F.col("__hash")
-    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("__placed", F.when(F.size(F.array_distinct(h)) < F.size(h), placed))
-    o = F.col("__placed")
-    # repeats inside the document: in (hash, place) order, all but the first of a hash
-    again = F.transform(
-        F.filter(o, lambda x, i: (i > 0) & x["h"].isNotNull() & (F.get(o, i - 1)["h"] == x["h"])), lambda x: x["i"]
-    )
-    none = F.array().cast("array<int>")
-    gone_at = F.when(
-        F.col("__gone").isNotNull(),
-        F.filter(F.transform(h, lambda x, i: F.when(F.array_contains("__gone", x), i)), lambda i: i.isNotNull()),
-    )
-    rows = rows.withColumn("__removed", F.sort_array(F.array_union(F.coalesce(again, none), F.coalesce(gone_at, none))))
+    gone = removed_places(docs, tau, min_chars, id_col, text_col)
+    if (gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]) <= 4 * BROADCAST_KEYS:
+        gone = sent(gone)
+    gone = gone.select(F.col("k").alias("__k"), F.col("l").alias("__l"), F.col("removed").alias("__removed"))
+    rows = with_key(docs, id_col, text_col).join(gone, ["__k", "__l"], "left")
+    rows = rows.withColumn("__removed", F.coalesce("__removed", F.array().cast("array<int>")))
     gaps = F.col("__removed")
     # lines between removed ones, joined again; the cost follows the text's length
     lines = F.split(F.col(text_col).cast("string"), "\n")
@@ -221,9 +236,10 @@ def dedup_lines(
     )
     rows = rows.withColumn("__kept", F.when(F.size(gaps) > 0, F.flatten(parts)))
     text = F.coalesce(F.array_join("__kept", "\n"), F.col(text_col))
+    n_lines = F.length(text_col) - F.length(F.translate(F.col(text_col).cast("string"), "\n", "")) + 1
     return rows.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(h)).cast("long").alias(f"{prefix}n_lines"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias(f"{prefix}n_lines"),
         F.size(gaps).cast("long").alias(f"{prefix}n_removed"),
         gaps.alias(f"{prefix}removed"),
     )

@@ -14,8 +14,9 @@ from .common import connected_components, materialise
 
 HASHES, ROWS, LANES = 128, 5, 0x5555555555555555
 BANDS = HASHES // ROWS
-BROADCAST_BUCKETS = 1_000_000
+BROADCAST_ROWS = 1_000_000
 FIRST_BANDS = 8
+SMALL_BUCKET = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -104,7 +105,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                 n.append(len(s))
                 if len(s):
                     low = minima(s)
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    keys.append(set_digest(s))
                     sigs.append(packed(low))
                     bs.append(bands(low))
                 else:
@@ -122,20 +123,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     )
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles): sorted distinct shingle hashes as signed longs."""
+def set_digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, set_key, shingles) of (id, text): sorted distinct shingle hashes as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(v.as_py(), hashes, width).view(np.int64) for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"]
-            )
+            sets = [shingle_set(v.as_py(), hashes, width) for v in b.column(1)]
+            keys = pa.array([set_digest(s) for s in sets], pa.binary())
+            longs = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, longs], ["id", "set_key", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
-        run, "id long, shingles array<long>"
-    )
+    return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, set_key binary, shingles array<long>")
 
 
 def mismatches(a: str, b: str) -> Column:
@@ -160,6 +163,44 @@ def could_link(percent: int, a: str, b: str) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (mismatches(f"{a}.sig", f"{b}.sig") <= most)
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of (id, part, shingles): all pairs of different parts that can meet the threshold, and a few more.
+
+    An exact set join: shingles are ordered by the number of sets that hold
+    them, ties by value; two sets of similarity t share one among the first
+    n - ceil(t n) + 1 of each, and where the first common one stands at places
+    i and j, 1 + min(n - i - 1, m - j - 1) is at least t (n + m) / (1 + t).
+    Shingles of one set alone are counted, not shuffled on; so a set whose
+    prefix holds no others meets nothing, however many near copies it has.
+    """
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = materialise(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    met = each.join(often, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"))
+    alone = F.col("n") - F.size("common")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    met = met.where(length > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("common", 1, F.greatest(length, F.lit(0)))).alias("i", "x"))
+    met = met.join(sent(materialise(sets.select("id", "part"), "set-parts")), "id")
+    met = materialise(met.select("id", "n", "part", (F.col("alone") + F.col("i")).alias("i"), F.col("x.s").alias("s")), "prefixes")
+    least = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    return (
+        met.alias("a")
+        .join(
+            met.alias("b"),
+            (F.col("a.s") == F.col("b.s"))
+            & (F.col("a.id") < F.col("b.id"))
+            & (F.col("a.part") != F.col("b.part"))
+            & (least * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent),
+        )
+        .select(F.col("b.id").alias("src"), F.col("a.id").alias("dst"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
@@ -174,20 +215,30 @@ def near_duplicates(
     become one class; 128 minima give 25 band keys of five and two bits each;
     each class meets the smallest id of its first eight buckets; then, in all
     buckets that hold several components, the bucket's own smallest id; then,
-    where that leaves several, members of different components (never pairs
-    inside one). Pairs that pass the packed estimate are confirmed on the full
-    sets. A pair at 0.85 misses all 25 bands with probability 4e-7, and one
-    above it less.
+    of buckets that are split even so, the members that the packed estimates
+    do not rule out meet in an exact set join on their rarest shingles (never
+    within one component). Pairs that pass the packed estimate are confirmed on
+    the full sets. A pair at 0.85 misses all 25 bands with probability 4e-7,
+    and one above it less.
+
+    Full sets are made again from the texts of the documents in question, so a
+    set is shuffled only to the hub that it is compared with.
 
     Defined cases: null, empty and blank texts have no shingles, link with
-    nothing and are kept; rows with one id and one text are one document, all
-    of them kept or none; a null id is kept with a null component; an empty
-    table gives no rows; other columns of ``docs`` are ignored.
+    nothing and are kept; rows with one id are one document, all of them kept
+    or none, and where their sets differ it is the one of the smallest digest
+    that is compared; a null id is kept with a null component; an empty table
+    gives no rows; other columns of ``docs`` are ignored.
     """
     rows = materialise(signatures(docs, id_col, text_col, width), "signatures")
+    named = rows.where("set_key is not null and id is not null")
+    repeated = named.groupBy("id").agg(F.count("*").alias("n"), F.min("set_key").alias("chosen")).where("n > 1")
+    repeated = materialise(repeated.select("id", "chosen"), "repeated-ids")
+    unique = repeated.isEmpty()
+    if not unique:
+        named = named.join(sent(repeated), "id", "left").where(F.coalesce("chosen", "set_key") == F.col("set_key"))
     classes = materialise(
-        rows.where("set_key is not null and id is not null")
-        .groupBy("set_key")
+        named.groupBy("set_key")
         .agg(
             F.min("id").alias("cid"),
             F.first("n_shingles").alias("n_shingles"),
@@ -198,6 +249,15 @@ def near_duplicates(
     )
     sketch = classes.select("cid", "n_shingles", "sig")
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(id, shingles) of the ids in ``wanted``."""
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        found = shingle_sets(texts.join(sent(wanted), "id", "left_semi"), width)
+        if not unique:
+            found = found.join(sent(repeated), "id", "left").where(F.coalesce("chosen", "set_key") == F.col("set_key"))
+            found = found.dropDuplicates(["id"])
+        return found.select("id", "shingles")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The (src, dst) of ``pairs`` whose estimate, then full sets, meet the threshold."""
         pairs = (
@@ -207,14 +267,13 @@ def near_duplicates(
             .select("src", "dst")
         )
         pairs = materialise(pairs, name)
-        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("w")).distinct()
-        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        texts = source.join(wanted, F.col("id") == F.col("w"), "left_semi")
-        # rows that share an id are one document here; both joins reuse this exchange by id
-        sets = shingle_sets(texts, "id", "text", width).groupBy("id").agg(F.first("shingles").alias("s"))
+        members = materialise(pairs.select(F.col("src").alias("id")).distinct(), f"{name}-members")
+        hubs = materialise(pairs.select(F.col("dst").alias("id")).distinct(), f"{name}-hubs")
+        left = sets_of(members).join(sent(pairs).withColumnRenamed("src", "id"), "id")
+        left = left.select(F.col("id").alias("src"), "dst", F.col("shingles").alias("sa"))
+        right = sets_of(hubs).select(F.col("id").alias("dst"), F.col("shingles").alias("sb"))
         return materialise(
-            pairs.join(sets.select(F.col("id").alias("src"), F.col("s").alias("sa")), "src")
-            .join(sets.select(F.col("id").alias("dst"), F.col("s").alias("sb")), "dst")
+            left.join(right, "dst")
             .withColumn("both", F.size(F.array_intersect("sa", "sb")))
             .where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent)
             .select("src", "dst"),
@@ -226,15 +285,11 @@ def near_duplicates(
             links = links.union(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))
         return materialise(connected_components(links), "parts")
 
-    def sent(buckets: DataFrame, name: str) -> DataFrame:
-        """(bucket, hub), broadcast while there are few: sixteen bytes each."""
-        buckets = materialise(buckets.select("bucket", "hub"), name)
-        return F.broadcast(buckets) if buckets.count() <= BROADCAST_BUCKETS else buckets
-
     # each class with the smallest hub of its first buckets: one pair a class joins most groups
     slots = classes.select("cid", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = slots.join(sent(shared, "shared-buckets"), "bucket").where("cid <> hub")
+    shared = sent(materialise(shared.select("bucket", "hub"), "shared-buckets"))
+    hubs = slots.join(shared, "bucket").where("cid <> hub")
     hubs = hubs.groupBy(F.col("cid").alias("src")).agg(F.min("hub").alias("dst"))
     parts = merged(None, confirmed(hubs, "first-hubs"))
 
@@ -242,35 +297,34 @@ def near_duplicates(
     labelled = classes.join(parts, F.col("cid") == F.col("node"), "left")
     labelled = labelled.select("cid", F.coalesce("component", "cid").alias("part"), F.explode("bands").alias("bucket"))
     split = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("cid").alias("hub"))
-    open_ = materialise(labelled.join(sent(split.where("low < high"), "split-buckets"), "bucket"), "open-buckets")
+    split = sent(materialise(split.where("low < high").select("bucket", "hub"), "split-buckets"))
+    open_ = materialise(labelled.join(split, "bucket"), "open-buckets")
     hub_part = open_.where("cid = hub").select("bucket", F.col("part").alias("hub_part"))
     other = open_.where("cid <> hub").join(hub_part, "bucket").where("part <> hub_part")
     other = other.select(F.col("cid").alias("src"), F.col("hub").alias("dst")).distinct()
     parts = merged(parts, confirmed(other, "other-hubs"))
 
-    # what is split even then: members of different components, none of them a hub
+    # what is split even then; in small buckets, only who has a partner in another component by the estimate
     left = open_.drop("part").join(parts, F.col("cid") == F.col("node"), "left")
-    left = left.select("cid", "bucket", "hub", F.coalesce("component", "cid").alias("part"))
-    split = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    left = left.join(split.where("low < high").select("bucket"), "bucket", "left_semi")
-    open_ = materialise(left.where("cid <> hub").join(sketch, "cid"), "open-members")
-    rest = (
-        open_.alias("a")
-        .join(
-            open_.alias("b"),
-            (F.col("a.bucket") == F.col("b.bucket"))
-            & (F.col("a.cid") < F.col("b.cid"))
-            & (F.col("a.part") != F.col("b.part"))
-            & could_link(percent, "a", "b"),
-        )
-        .select(F.col("b.cid").alias("src"), F.col("a.cid").alias("dst"))
-        .distinct()
-    )
-    parts = merged(parts, confirmed(rest, "rest-pairs"))
+    left = left.select("cid", "bucket", F.coalesce("component", "cid").alias("part"))
+    split = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    left = left.join(split.where("low < high").select("bucket", "n"), "bucket")
+    left = materialise(left.join(sketch, "cid"), "open-members")
+    few = left.where(F.col("n") <= SMALL_BUCKET)
+    partner = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.part") != F.col("b.part")) & could_link(percent, "a", "b")
+    some = few.alias("a").join(few.alias("b"), partner, "left_semi")
+    some = some.union(left.where(F.col("n") > SMALL_BUCKET)).select(F.col("cid").alias("id"), "part").distinct()
+    some = materialise(some, "rest-members")
+    if not some.isEmpty():
+        sets = materialise(sets_of(some.select("id")).join(sent(some), "id"), "rest-sets")
+        parts = merged(parts, confirmed(prefix_pairs(sets, percent), "rest-pairs"))
 
     labels = classes.select("set_key", "cid").join(parts, F.col("cid") == F.col("node"), "left")
-    labels = labels.select("set_key", F.coalesce("component", "cid").alias("component"))
-    return rows.join(labels, "set_key", "left").select(
+    labels = labels.select(F.col("set_key").alias("chosen_key"), F.coalesce("component", "cid").alias("component"))
+    chosen = rows.withColumn("chosen_key", F.col("set_key"))
+    if not unique:
+        chosen = rows.join(sent(repeated), "id", "left").withColumn("chosen_key", F.when(F.col("set_key").isNotNull(), F.coalesce("chosen", "set_key")))
+    return chosen.join(labels, "chosen_key", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),

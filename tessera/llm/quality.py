@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-BROADCAST_LABELS = BROADCAST_ROWS = 10_000_000
+BROADCAST_LABELS = 4_000_000
+BROADCAST_ROWS = 2_000_000
 BROADCAST_BITS = 25  # nine bytes a bucket
 BLANK = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"

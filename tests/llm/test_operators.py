@@ -404,6 +404,39 @@ def test_minhash_chains(spark):
     assert Counter(tuple(r) for r in minhash.near_duplicates(docs).collect()) == classes_of(rows)
 
 
+def test_minhash_with_a_bad_hub(spark):
+    """One text in 120 versions, the smallest id the farthest one: links by rare shingles, and versions linked with nothing."""
+    rng, rows = random.Random(6), []
+    base = [f"w{k}" for k in range(150)]
+    for i in range(120):
+        words, changes = list(base), 6 if i == 0 else i % 5
+        for k in rng.sample(range(150), changes):
+            words[k] = f"n{i // 4 if i % 8 == 3 else i}y{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in minhash.near_duplicates(docs).collect()) == classes_of(rows)
+
+
+def test_minhash_joins_rare_shingles_exactly(spark):
+    rng, sets = random.Random(8), []
+    for i in range(150):
+        own = {rng.randrange(200) for _ in range(rng.randint(1, 30))} if i % 5 == 0 else {x for x in sets[i - i % 5][2] if rng.random() > 0.1} | {200 + i}
+        sets.append((i, i % 3, sorted(own - ({200 + i} if rng.random() > 0.5 and len(own) > 1 else set()))))
+    for percent in (60, 80, 85):
+        want = {(j, i) for i, p, a in sets for j, q, b in sets if i < j and p != q and 100 * len({*a} & {*b}) >= percent * len({*a} | {*b})}
+        got = minhash.prefix_pairs(spark.createDataFrame(sets, "id long, part long, shingles array<long>"), percent)
+        assert want and want <= {(r.src, r.dst) for r in got.collect()}
+
+
+def test_minhash_with_one_id_on_two_texts(spark):
+    text = [f"a{i}" for i in range(50)], [f"b{i}" for i in range(50)]
+    rows = [(1, " ".join(text[0])), (2, " ".join(text[1])), (3, " ".join(text[0])), (3, " ".join(text[1])), (3, " ".join(text[1])), (4, ""), (4, " ".join(text[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs.repartition(n)).collect()) for n in (1, 3)]
+    third = {c for i, c, _ in got[0] if i == 3}
+    assert got[0] == got[1] and third in ({1}, {2}) and {(1, 1, True), (2, 2, True), (4, 4, True), (4, 2, False)} <= {*got[0]}
+
+
 def test_signature_estimates():
     words = [f"w{i}".encode() for i in range(2000)]
     a = minhash.shingle_set(b" ".join(words), minhash.WordHashes())

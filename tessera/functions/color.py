@@ -130,3 +130,31 @@ def suggested_color(front: Column, back: Column, target: Column) -> Column:
     best = F.get(good, 0)
     two = lambda v: F.lower(F.lpad(F.hex(v.cast("long")), 2, "0"))
     return F.when(F.size(good) > 0, F.concat(F.lit("#"), two(best["r"]), two(best["g"]), two(best["b"])))
+
+
+def computed(value: Column) -> Column:
+    """struct(r, g, b, a) of a computed ``rgb()`` or ``rgba()`` value; null for others."""
+    parts = F.transform(F.regexp_extract_all(value, F.lit(r"([0-9]*\.?[0-9]+)"), 1), lambda x: x.try_cast("double"))
+    alpha = F.least(F.coalesce(F.get(parts, 3), F.lit(1.0)), F.lit(1.0))
+    found = F.struct(*(F.get(parts, i).alias(k) for i, k in enumerate("rgb")), alpha.alias("a"))
+    return F.when(value.rlike(r"(?i)^\s*rgba?\(") & (F.size(parts) >= 3), found)
+
+
+def nearest_backdrop(backgrounds: Column) -> Column:
+    """Of the backgrounds from an element outwards, the first of over 95 % opacity; white where none is."""
+    opaque = F.filter(backgrounds, lambda b: F.coalesce(computed(b)["a"] > 0.95, F.lit(False)))
+    return F.coalesce(F.get(opaque, 0), F.lit("rgb(255, 255, 255)"))
+
+
+def painted(color: str, background: str, opacity: Column) -> tuple[Column, Column]:
+    """Hexadecimal text color and backdrop as seen: the backdrop over white, the text, with its opacity, over the backdrop."""
+    front, back = computed(F.col(color)), computed(F.col(background))
+    alpha = front["a"] * F.when(opacity < 1, opacity).otherwise(1.0)
+
+    def mixed(top: Column, under: Column, a: Column) -> Column:
+        return F.when(a >= 1, top).otherwise(F.floor(top * a + under * (1 - a) + 0.5))
+
+    def spelled(channels: list[Column]) -> Column:
+        return F.concat(F.lit("#"), *(F.lower(F.lpad(F.hex(F.floor(v + 0.5).cast("long")), 2, "0")) for v in channels))
+
+    return spelled([mixed(front[k], back[k], alpha) for k in "rgb"]), spelled([mixed(back[k], F.lit(255.0), back["a"]) for k in "rgb"])

@@ -12,6 +12,7 @@ from tessera.functions.text import path_shape, url_path
 
 # fixed values: endings of addresses that are no pages
 NO_PAGE = r"(?i)\.(pdf|zip|png|jpe?g|gif|svg|webp|avif|ico|css|js|mjs|json|xml|txt|mp[34]|webm|mov|avi|woff2?|ttf|eot|docx?|xlsx?|pptx?|gz|tar|dmg|exe)$"
+# fixed values: pages that matter most
 RISKY = r"(?i)(checkout|cart|payment|account|login|signup|register|contact|search|booking|apply)"
 HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -24,29 +25,38 @@ def raw_links(html: Column) -> Column:
     return F.array_distinct(ok)
 
 
-def resolved(base: Column, link: Column) -> Column:
-    """Absolute addresses without fragments; null for bad ones. No built-in joins urls."""
-    return F.pandas_udf(_join_all, "string")(base, link)
+def resolved(base: Column, link: Column, keep_fragment: bool = False) -> Column:
+    """Absolute addresses, without fragments unless kept; null for bad ones. No built-in joins urls."""
 
+    def join_all(bases: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([_join(b, u, keep_fragment) for b, u in zip(bases, links, strict=True)], dtype=object)
 
-def _join(base: str, link: str) -> str | None:
+    return F.pandas_udf(join_all, "string")(base, link)
+
+
+def _join(base: str, link: str, keep_fragment: bool) -> str | None:
     try:
-        url = urldefrag(urljoin(base, link.strip()))[0]
+        url = urljoin(base, link.strip())
+        url = url if keep_fragment else urldefrag(url)[0]
         return url if urlsplit(url).netloc else None
     except (ValueError, AttributeError):
         return None
 
 
-def _join_all(bases: pd.Series, links: pd.Series) -> pd.Series:
-    return pd.Series([_join(b, u) for b, u in zip(bases, links, strict=True)], dtype=object)
+def origin_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+)", 1))
+
+
+def same_origin(a: Column, b: Column) -> Column:
+    return origin_of(a) == origin_of(b)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, link): same-origin page links of every page, distinct."""
     rows = pages.select("page_id", "url", F.explode_outer(raw_links(F.col("html"))).alias("raw")).where("raw is not null")
     rows = rows.select("page_id", "url", resolved(F.col("url"), F.col("raw")).alias("link"))
-    origin = lambda u: F.lower(F.regexp_extract(u, r"^([a-zA-Z]+://[^/?#]+)", 1))
-    return rows.where((origin(F.col("link")) == origin(F.col("url"))) & ~url_path(F.col("link")).rlike(NO_PAGE)).select("page_id", "link").distinct()
+    is_page = same_origin(F.col("link"), F.col("url")) & ~url_path(F.col("link")).rlike(NO_PAGE)
+    return rows.where(is_page).select("page_id", "link").distinct()
 
 
 def priority(url: Column, times_seen: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
-from tessera.functions.color import contrast_ratio, required_ratio, suggested_color
+from tessera.functions.color import contrast_ratio, painted, required_ratio, suggested_color
 from tessera.functions.text import icon_name, rounded, signature
 
 FIX = "struct<strategy:string,attribute:string,value:string,tier:string>"
@@ -66,7 +66,7 @@ SKIP = "rlike '(?i)skip|jump'"
 RULES = [
     Rule("img-alt", "1.1.1", "A", "critical", DEFINITE, "Image has no alternative text",
          f"tag = 'img' and {SEEN} and not {DECORATIVE} and attrs['alt'] is null and not {LABELLED}",
-         fix=set_attribute("alt", NO_VALUE), section508=["1194.22(a)"]),
+         fix=set_attribute("alt", NO_VALUE), section508=["502.3.1"]),
     Rule("img-alt-placeholder", "1.1.1", "A", "serious",
          f"case when trim(attrs['alt']) rlike '{fixed.PLACEHOLDER_ALT.replace(chr(92), chr(92) * 2)}' or trim(attrs['alt']) rlike '(?i)[.](png|jpe?g|gif|svg|webp|avif|bmp)$' then 'definite' else 'review' end",
          "Alternative text does not describe the image",
@@ -78,16 +78,16 @@ RULES = [
          " and not exists(ancestors, a -> a.tag in ('a', 'button') and a.named)",
          fix=set_attribute("aria-label", NO_VALUE)),
     Rule("button-name", "4.1.2", "A", "critical", DEFINITE, "Button has no name",
-         f"{LIKE_BUTTON} and {SEEN} and {UNNAMED}", fix=set_attribute("aria-label", "icon"), section508=["1194.22(n)"]),
+         f"{LIKE_BUTTON} and {SEEN} and {UNNAMED}", fix=set_attribute("aria-label", "icon"), section508=["502.3.1"]),
     Rule("link-name", "2.4.4,4.1.2", "A", "critical", DEFINITE, "Link has no name",
-         f"{LINK} and {SEEN} and {UNNAMED}", fix=set_attribute("aria-label", "icon"), section508=["1194.22(a)"]),
+         f"{LINK} and {SEEN} and {UNNAMED}", fix=set_attribute("aria-label", "icon"), section508=["502.3.1"]),
     Rule("link-generic-text", "2.4.4", "A", "moderate", REVIEW, "Link text does not say where it leads",
          f"{LINK} and {SEEN} and not {LABELLED} and trim(regexp_replace(regexp_replace(lower(acc_name), '[^a-z ]', ''), ' +', ' ')) in {_in(fixed.GENERIC_LINKS)}",
          fix=set_attribute("aria-label", NO_VALUE)),
     Rule("input-label", "1.3.1,3.3.2,4.1.2", "A", "critical", DEFINITE, "Form field has no label",
          f"{FIELD} and {SEEN} and {UNNAMED}",
          fix=set_attribute("aria-label", "nullif(trim(attrs['placeholder']), '')", "case when trim(coalesce(attrs['placeholder'], '')) <> '' then 'definite' else 'review' end"),
-         section508=["1194.22(n)"]),
+         section508=["502.3.1"]),
     Rule("frame-title", "4.1.2", "A", "serious", DEFINITE, "Frame has no title",
          f"tag in ('iframe', 'frame') and {SEEN} and trim(coalesce(attrs['title'], '')) = '' and not {LABELLED}",
          fix=set_attribute("title", FRAME_TITLE, f"case when {FRAME_TITLE} is not null then 'definite' else 'review' end")),
@@ -124,7 +124,7 @@ RULES = [
     Rule("blink-marquee", "2.2.2", "A", "serious", DEFINITE, "Moving text that cannot be stopped", "tag in ('blink', 'marquee')"),
     Rule("click-handler-no-keyboard", "2.1.1", "A", "critical", DEFINITE, "Clickable element is out of the keyboard's reach",
          f"attrs['onclick'] is not null and {SEEN} and tag not in {_in(fixed.NATIVE_INTERACTIVE)} and not focusable"
-         f" and not (coalesce(role, '') in {_in(fixed.INTERACTIVE_ROLES)} and attrs['tabindex'] is not null)", section508=["1194.21(a)"]),
+         f" and not (coalesce(role, '') in {_in(fixed.INTERACTIVE_ROLES)} and attrs['tabindex'] is not null)", section508=["502.3.1"]),
     Rule("interactive-role-not-focusable", "2.1.1,4.1.2", "A", "critical", DEFINITE, "Control by role cannot take the focus",
          f"attrs['role'] is not null and role in {_in(fixed.INTERACTIVE_ROLES)} and {SEEN} and tag not in {_in(fixed.NATIVE_INTERACTIVE)}"
          " and not focusable and coalesce(attrs['aria-disabled'], '') <> 'true'", fix=set_attribute("tabindex", "'0'")),
@@ -135,10 +135,10 @@ RULES = [
          "attrs['aria-live'] is not null and lower(trim(attrs['aria-live'])) not in ('off', 'polite', 'assertive')", fix=set_attribute("aria-live", "'polite'")),
     Rule("aria-presentation-on-interactive", "4.1.2", "A", "serious", DEFINITE, "Control is marked as decoration", f"{DECORATIVE} and focusable"),
     Rule("aria-redundant-role", "4.1.2", "A", "minor", ADVISORY, "Role repeats what the element is",
-         "attrs['role'] is not null and role = role_implicit", fix=("remove-attribute", "role", NO_VALUE, REVIEW)),
+         "trim(coalesce(attrs['role'], '')) <> '' and lower(trim(attrs['role'])) = role_implicit", fix=("remove-attribute", "role", NO_VALUE, REVIEW)),
     Rule("autocomplete-missing", "1.3.5", "AA", "moderate", ADVISORY, "Personal field without autocomplete",
-         f"tag = 'input' and {SEEN} and lower(coalesce(attrs['type'], 'text')) in ('text', 'email', 'tel', 'url', 'search', 'number') and attrs['autocomplete'] is null"
-         f" and (lower(attrs['type']) in ('email', 'tel') or coalesce(attrs['name'], attrs['id'], '') rlike '{fixed.PERSONAL_FIELD}')"),
+         f"tag = 'input' and {SEEN} and lower(coalesce(nullif(attrs['type'], ''), 'text')) not in {_in(fixed.IMPERSONAL_TYPES)} and attrs['autocomplete'] is null"
+         f" and (coalesce(lower(attrs['type']), '') in ('email', 'tel') or trim(concat_ws(' ', attrs['name'], attrs['id'])) rlike '{fixed.PERSONAL_FIELD}')"),
     Rule("autocomplete-invalid", "1.3.5", "AA", "moderate", DEFINITE, "Unknown autocomplete token",
          "trim(coalesce(attrs['autocomplete'], '')) <> '' and size(array_except(filter(split(lower(trim(attrs['autocomplete'])), '\\\\s+'), t -> not startswith(t, 'section-')),"
          f" {_array(fixed.AUTOCOMPLETE + fixed.AUTOCOMPLETE_MODIFIERS)})) > 0"),
@@ -147,13 +147,13 @@ RULES = [
     Rule("button-type-missing", "3.2.2", "A", "minor", ADVISORY, "Button in a form without a type",
          f"tag = 'button' and {SEEN} and attrs['type'] is null and exists(ancestors, a -> a.tag = 'form')", fix=set_attribute("type", "'button'")),
     Rule("link-empty-href", "2.1.1,4.1.2", "A", "moderate", ADVISORY, "Link leads nowhere",
-         "tag = 'a' and (trim(attrs['href']) = '#' or lower(trim(attrs['href'])) like 'javascript:%')"),
+         f"tag = 'a' and {SEEN} and (trim(attrs['href']) = '#' or lower(trim(attrs['href'])) like 'javascript:%')"),
     Rule("link-url-as-text", "2.4.4", "A", "minor", ADVISORY, "Link text is a bare address",
          f"{LINK} and {SEEN} and length(text) >= 20 and text rlike '(?i)^(https?://|www[.])[^ ]+$'"),
     Rule("new-window-no-warning", "3.2.2", "A", "minor", ADVISORY, "Link opens a window unannounced",
          f"{LINK} and {SEEN} and attrs['target'] = '_blank' and not (concat(acc_name, ' ', coalesce(attrs['title'], '')) rlike '(?i)new (window|tab)|opens in|external')"),
     Rule("landmark-nesting", "1.3.1", "A", "minor", ADVISORY, "Page header or footer inside a section",
-         "tag in ('header', 'footer') and attrs['role'] in ('banner', 'contentinfo') and exists(ancestors, a -> a.tag in ('main', 'article', 'section', 'aside', 'nav'))"),
+         f"tag in ('header', 'footer') and {SEEN} and exists(ancestors, a -> a.tag in ('main', 'article', 'section', 'aside', 'nav'))"),
     Rule("definition-list-structure", "1.3.1", "A", "minor", DEFINITE, "Definition list holds something else",
          f"tag = 'dl' and {SEEN} and (stray_text or exists(kids, k -> k.tag not in ('dt', 'dd', 'div', 'script', 'template')))"),
     Rule("th-scope-missing", "1.3.1", "A", "moderate", REVIEW, "Header cells do not say what they head",
@@ -173,7 +173,7 @@ RULES = [
          f"tag = 'a' and {SEEN} and facts['same_alt'] is not null", fix=set_attribute("alt", "''")),
     # rules over several rows
     Rule("label-orphan", "1.3.1", "A", "serious", DEFINITE, "Label points to no field"),
-    Rule("html-has-lang", "3.1.1", "A", "serious", DEFINITE, "Page language is not given", fix=set_attribute("lang", "'en'", DEFINITE), section508=["1194.22(c)"]),
+    Rule("html-has-lang", "3.1.1", "A", "serious", DEFINITE, "Page language is not given", fix=set_attribute("lang", "'en'", DEFINITE), section508=["501"]),
     Rule("html-lang-valid", "3.1.1", "A", "moderate", DEFINITE, "Page language is not a language tag"),
     Rule("document-title", "2.4.2", "A", "serious", DEFINITE, "Page has no title"),
     Rule("page-has-h1", "1.3.1,2.4.6", "A", "moderate", REVIEW, "Page has no main heading"),
@@ -182,7 +182,7 @@ RULES = [
     Rule("landmark-main", "1.3.1,2.4.1", "A", "moderate", REVIEW, "Page has no main region"),
     Rule("landmark-unique", "1.3.1", "A", "minor", REVIEW, "Regions of one kind need names", fix=set_attribute("aria-label", NO_VALUE)),
     Rule("skip-link", "2.4.1", "A", "serious", REVIEW, "No way to skip the navigation", fix=("insert-first-child", "", NO_VALUE, REVIEW)),
-    Rule("color-contrast", "1.4.3", "AA", "serious", DEFINITE, "Text stands out too little", fix=("css-color", "color", NO_VALUE, REVIEW), section508=["1194.22(c)"]),
+    Rule("color-contrast", "1.4.3", "AA", "serious", DEFINITE, "Text stands out too little", fix=("css-color", "color", NO_VALUE, REVIEW), section508=["502.3"]),
     Rule("focus-not-obscured", "2.4.7", "AA", "serious", REVIEW, "Focus outline is removed"),
     Rule("target-size-minimum", "2.5.8", "AA", "moderate", DEFINITE, "Target is smaller than 24 pixels"),
     Rule("horizontal-scroll", "1.4.10", "AA", "serious", DEFINITE, "Page is wider than the screen"),
@@ -269,8 +269,13 @@ def page_findings(elements: DataFrame) -> DataFrame:
         any_of(c("role") == "navigation").alias("has_nav"),
         F.count_if(link).alias("links"),
         # the first five links decide; a page's links are bounded by the page
-        F.slice(F.sort_array(F.collect_list(F.when(link, F.struct("node_id", attrs["href"].alias("href"), F.coalesce("text", F.lit("")).alias("text"))))), 1, 5).alias("first_links"),
-        F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.when(c("tag") == "style", F.struct("node_id", "text_all")))), lambda x: x["text_all"])).alias("css"),
+        F.slice(F.sort_array(F.collect_list(F.when(link, F.struct("node_id", attrs["href"].alias("href"), F.coalesce("text_all", F.lit("")).alias("text"))))), 1, 5).alias("first_links"),
+        # linked sheets, which the root holds, come before inline ones
+        F.concat_ws(
+            "\n",
+            F.max(F.when(c("tag") == "html", F.nullif(c("facts")["linked"], F.lit("")))),
+            F.transform(F.sort_array(F.collect_list(F.when(c("tag") == "style", F.struct("node_id", "text_all")))), lambda x: x["text_all"]),
+        ).alias("css"),
     )
     skips = F.exists("first_links", lambda x: x["href"].startswith("#") & x["text"].rlike("(?i)skip|jump"))
     lang = F.trim(c("lang"))
@@ -302,19 +307,48 @@ def page_findings(elements: DataFrame) -> DataFrame:
 
 
 def _focus_findings(pages: DataFrame) -> DataFrame:
-    """Style rules that take the focus outline away: each selector once, three a page."""
-    block = F.explode_outer(F.regexp_extract_all("css", F.lit(r"(?i)([^{}]*:focus(?:-visible)?[^{}]*\{[^}]*\})"), 1))
-    rows = pages.where("body is not null").select("page_id", "body", block.alias("block"))
-    inside = F.regexp_extract("block", r"\{([^}]*)\}", 1)
-    left = F.regexp_replace(inside, r"(?i)outline\s*:[^;]*;?", "")
-    kills = inside.rlike(r"(?i)outline\s*:\s*(none|0(px)?)\s*(!important)?\s*;?") & ~left.rlike(r"(?i)(box-shadow|border|background|outline-offset|text-decoration)\s*:")
-    key = F.left(F.trim(F.regexp_replace(F.split_part("block", F.lit("{"), F.lit(1)), r"\s+", " ")), F.lit(120))
-    rows = rows.where(kills).select("page_id", "body", key.alias("selector"))
-    firsts = rows.groupBy("page_id").agg(F.first("body").alias("body"), F.slice(F.sort_array(F.collect_set("selector")), 1, 3).alias("keys"))
-    rows = firsts.select("page_id", *[F.col(f"body.p.{x}").alias(x) for x in PLACE if x != "page_id"], F.explode("keys").alias("selector"))
+    """Style rules that take the focus outline away: each selector once, the first three of a page's style sheets."""
+    blocks = F.regexp_extract_all("css", F.lit(fixed.FOCUS_BLOCK), 1)
+
+    def bare(block: Column) -> Column:
+        inside = F.regexp_extract(block, r"\{([^}]*)\}", 1)
+        return inside.rlike(fixed.OUTLINE_OFF) & ~F.regexp_replace(inside, fixed.OUTLINE, "").rlike(fixed.FOCUS_SIGN)
+
+    selectors = F.transform(
+        F.filter(blocks, bare), lambda x: F.left(F.trim(F.regexp_replace(F.split_part(x, F.lit("{"), F.lit(1)), r"\s+", " ")), F.lit(120))
+    )
+    rows = pages.where("body is not null").select("page_id", "body", F.explode_outer(F.slice(F.array_distinct(selectors), 1, 3)).alias("selector"))
+    rows = rows.where("selector is not null").select("page_id", *[F.col(f"body.p.{x}").alias(x) for x in PLACE if x != "page_id"], "selector")
     return _as(rows, "focus-not-obscured", F.col("selector"))
 
 
+def measured_looks(elements: DataFrame, measurements: DataFrame) -> DataFrame:
+    """``elements`` whose colors and sizes are those that a browser painted, where it did.
+
+    ``measurements`` may have (color, background, font_size, font_weight,
+    opacity): ``background`` is the nearest opaque one (``color.nearest_backdrop``);
+    a translucent element's color is laid over it. What was not measured keeps
+    its inferred look.
+    """
+    looks = [c for c in ("color", "background", "font_size", "font_weight", "opacity") if c in measurements.columns]
+    if not {"color", "background"} <= {*looks}:
+        return elements
+    absent = [F.lit(None).alias(c) for c in ("font_size", "font_weight", "opacity") if c not in looks]
+    m = measurements.select("page_id", "css_path", *looks, *absent).dropDuplicates(["page_id", "css_path"])
+    rows = elements.join(m, ["page_id", "css_path"], "left")
+    fg, bg = painted("color", "background", F.coalesce(F.col("opacity").cast("double"), F.lit(1.0)))
+    weight = F.col("font_weight").cast("string")
+    bold = (weight == "bold") | F.coalesce(weight.try_cast("int") >= 700, F.lit(False))
+    enough = F.length(F.trim("own_text")) >= 2
+    look = F.create_map(
+        F.lit("fg"), fg, F.lit("bg"), bg, F.lit("px"), F.coalesce(F.col("font_size").cast("double"), F.lit(16.0)).cast("string"),
+        F.lit("bold"), F.coalesce(bold, F.lit(False)).cast("string"),
+    )
+    others = F.map_filter("facts", lambda k, v: ~k.isin("fg", "bg", "px", "bold"))
+    facts = F.when(fg.isNotNull() & bg.isNotNull() & enough, F.map_concat(others, look)).otherwise(F.col("facts"))
+    return rows.withColumn("facts", facts).select(*elements.columns)
+
+
 def window_findings(elements: DataFrame) -> DataFrame:
     """Rules on the order of elements within a page: windows by page, in document order."""
     c, attrs = F.col, F.col("attrs")
@@ -351,7 +385,7 @@ def join_findings(elements: DataFrame) -> DataFrame:
     """Rules on references between elements of a page: anti-joins on (page, id)."""
     c, attrs = F.col, F.col("attrs")
     ids = elements.select("page_id", attrs["id"].alias("target")).where("target <> ''").distinct()
-    labels = elements.where("tag = 'label'").withColumn("target", attrs["for"]).where("target <> ''")
+    labels = elements.where("tag = 'label' and not hidden_deep").withColumn("target", attrs["for"]).where("target <> ''")
     out = _as(labels.join(ids, ["page_id", "target"], "left_anti"), "label-orphan", c("target"))
 
     names = elements.select("page_id", attrs["name"].alias("target")).where("target <> ''").distinct()
@@ -385,7 +419,7 @@ def group_findings(elements: DataFrame) -> DataFrame:
     out = out.unionByName(_as(choices.where((c("n") >= 2) & (c("nth") == 1) & ~F.coalesce(held, F.lit(False))), "fieldset-legend-missing", c("k")))
 
     links = elements.where((c("tag") == "a") & attrs["href"].isNotNull() & ~c("hidden_deep")).withColumn("k", F.lower(F.trim("acc_name"))).where(F.length("k") >= 3)
-    links = links.withColumn("href", F.split_part(attrs["href"], F.lit("#"), F.lit(1))).where("href <> ''")
+    links = links.withColumn("href", F.split_part(attrs["href"], F.lit("#"), F.lit(1)))
     many = links.groupBy("page_id", "k").agg(F.count_distinct("href").alias("n"), F.min("node_id").alias("node_id")).where("n >= 2")
     return out.unionByName(_as(links.join(many.drop("n"), ["page_id", "k", "node_id"], "left_semi"), "link-same-name-different-target", c("k")))
 
@@ -393,7 +427,7 @@ def group_findings(elements: DataFrame) -> DataFrame:
 def measured_findings(elements: DataFrame, measurements: DataFrame | None, layout: DataFrame | None) -> list[DataFrame]:
     """Rules on what a browser measured; none without measurements.
 
-    ``measurements(page_id, css_path, visible, width, height, interactive, display)``,
+    ``measurements(page_id, css_path, visible, width, height, interactive, display)`` and more (``measured_looks``),
     ``layout(page_id, scroll_width, client_width)``.
     """
     found = []
@@ -416,7 +450,8 @@ def find_all(elements: DataFrame, pages: DataFrame, measurements: DataFrame | No
     ``elements`` should be persisted or written: five passes read it.
     ``pages(page_id, url)`` gives the addresses.
     """
-    parts = [row_findings(elements), page_findings(elements), window_findings(elements), join_findings(elements), group_findings(elements)]
+    painted_elements = elements if measurements is None else measured_looks(elements, measurements)
+    parts = [row_findings(elements), page_findings(elements), window_findings(painted_elements), join_findings(elements), group_findings(elements)]
     parts += measured_findings(elements, measurements, layout)
     rows = parts[0]
     for more in parts[1:]:

@@ -176,14 +176,15 @@ def look(style: dict[str, str], tag: str, inherited: tuple) -> tuple:
     return color, px, bold, back, known
 
 
-def text_styles(doc, linked: str = "") -> dict[int, dict[str, str]]:
-    """Looks of the elements with two or more characters of their own text, where they are known.
+def text_styles(doc, linked: str = "") -> tuple[dict[int, dict[str, str]], int]:
+    """Looks of the elements with two or more characters of their own text, where they are known,
+    and the number of color rules whose selectors cannot be read. Linked sheets come before inline ones.
 
     One fold down the tree: each element's style is declared once and
     inherits from its parent's, so the cost is elements times rules.
     """
     inline = "\n".join("".join(k for k in n.kids if isinstance(k, str)) for n in doc.nodes if n.tag == "style")
-    rules, _ = parse_css("\n".join(filter(None, (linked, inline))))
+    rules, unreadable = parse_css("\n".join(filter(None, (linked, inline))))
     looks: dict[int, tuple] = {}
     found = {}
     for n in doc.nodes:
@@ -193,4 +194,4 @@ def text_styles(doc, linked: str = "") -> dict[int, dict[str, str]]:
         own = "".join(k for k in n.kids if isinstance(k, str))
         if color and known and not n.deep and len(re.sub(r"\s+", " ", own).strip()) >= 2:
             found[n.number] = {"fg": hex_of(over(color, back)), "bg": hex_of(back), "px": repr(px), "bold": str(bold).lower()}
-    return found
+    return found, unreadable

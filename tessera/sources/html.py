@@ -359,8 +359,11 @@ ICONS = [(re.compile(rf"\b({words})\b", re.IGNORECASE | re.ASCII), words.split("
 BULKY = frozenset("html head body div main section article".split())
 
 
-def element_rows(html: str) -> Iterator[dict]:
-    """The rows of one document, in document order; none for an empty one."""
+def element_rows(html: str, linked: str = "") -> Iterator[dict]:
+    """The rows of one document, in document order; ``linked`` is the text of its linked style sheets.
+
+    The root's facts hold that text, and how many color rules could not be read.
+    """
     from .css import text_styles
 
     doc = Document(html)
@@ -375,7 +378,7 @@ def element_rows(html: str) -> Iterator[dict]:
         icons[n.number] = min([first, *(icons[i] for i in inner)])
     legend = {n.number: any(k.tag == "legend" for k in n.elements()) for n in doc.nodes if n.tag == "fieldset"}
     names = [doc.name(n) for n in doc.nodes]
-    styles = text_styles(doc)
+    styles, unreadable = text_styles(doc, linked)
     for n in doc.nodes:
         explicit = n.attrs.get("role")
         role = implicit_role(n)
@@ -386,6 +389,8 @@ def element_rows(html: str) -> Iterator[dict]:
             facts = facts | image_facts(n)
         elif n.tag == "audio":
             facts = facts | {"transcript": str("transcript" in text_of(n.parent).lower()).lower()}
+        elif n.tag == "html":
+            facts = facts | {"linked": linked, "unreadable": str(unreadable)}
         elif n.tag == "body":
             facts = facts | {"chars": str(len(text_of(n)))}
         source = "" if n.start is None else collapsed(html[n.start : n.end])
@@ -398,7 +403,7 @@ def element_rows(html: str) -> Iterator[dict]:
             "line": n.line, "col": n.col, "start_off": n.start, "end_off": n.end, "elem_end_off": n.close,
             "own_text": collapsed("".join(k for k in n.kids if isinstance(k, str)))[:500],
             "text": None if n.tag in BULKY else text_of(n),
-            "text_all": text_of(n, True) if n.tag in ("label", "title", "legend", "style") else None,
+            "text_all": text_of(n, True) if n.tag in ("a", "label", "title", "legend", "style") else None,
             "hidden": n.hidden, "hidden_deep": n.deep, "focusable": focusable(n),
             "role_implicit": role,
             "role": explicit.strip().split()[0].lower() if explicit and explicit.strip() else role,
@@ -420,25 +425,28 @@ def element_rows(html: str) -> Iterator[dict]:
         }
 
 
-def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", css_col: str | None = None) -> DataFrame:
     """One row an element of every page, in document order within the page.
 
     Pages are parsed where they lie, in Arrow batches, without a shuffle.
-    Defined cases: null and blank documents have no rows.
+    ``css_col`` names the text of a page's linked style sheets (see
+    ``sheets.with_linked_css``). Defined cases: null and blank documents have
+    no rows; null style sheets are empty.
     """
     kind = pages.select(id_col).schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for page, value in zip(b.column(0), b.column(1), strict=True):
+            for page, value, css in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 html = value.as_py()
                 if html is None or not html.strip():
                     continue
-                rows = pa.RecordBatch.from_pylist(list(element_rows(html)), ELEMENT)
+                rows = pa.RecordBatch.from_pylist(list(element_rows(html, css.as_py() or "")), ELEMENT)
                 ids = pa.array([page.as_py()] * rows.num_rows, b.schema.field(0).type)
                 yield pa.RecordBatch.from_arrays([ids, *rows.columns], ["page_id", *ELEMENT.names])
 
-    source = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string"))
+    css = F.col(css_col).cast("string") if css_col else F.lit(None).cast("string")
+    source = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string"), css.alias("css"))
     return source.mapInArrow(run, f"page_id {kind.simpleString()}, {ELEMENT_DDL}")
 
 

@@ -11,15 +11,18 @@ BROADCAST_KEYS = 1_000_000
 
 
 def normal_lines(text: Column) -> Column:
-    """The \\n-split lines, lower-cased and with blanks collapsed; blanks at their ends are for ``btrim``."""
+    """The \\n-split lines, lower-cased and with blanks collapsed; ``trim`` takes those at their ends."""
     low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    # most texts hold single blanks only, and a search is cheaper than a replacement of each blank by itself
-    flat = F.when(low.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(low, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(low)
+    # most texts hold single blanks only, and searches are cheaper than a replacement of each blank by itself
+    odd = low.contains("  ")
+    for blank in "\t\x0b\f\r":
+        odd = odd | low.contains(blank)
+    flat = F.when(odd, F.regexp_replace(low, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(low)
     return F.split(flat, "\n")
 
 
-def segment_keys(line: Column, tau: int) -> tuple[list[Column], list[Column]]:
-    """Hashes that index a line, and those that it probes besides.
+def segment_keys(wide: Column, n: Column, tau: int) -> Column:
+    """Hashes that index a line of ``n`` characters, ``tau`` + 1 of them, and behind them those that it probes besides.
 
     A line of length l is cut into tau + 1 segments, the first ones shorter
     by at most one. If two lines are within ``tau`` edits, a segment of the
@@ -28,20 +31,28 @@ def segment_keys(line: Column, tau: int) -> tuple[list[Column], list[Column]]:
     difference d, from p + max(-i, d - (tau - i)) to p + min(i, d + tau - i).
     Keys hold the segment's text, its number and the indexed length. Probes
     of a line's own length that equal its index keys are not repeated.
+
+    ``wide`` holds four bytes a character, so that a segment is found by its
+    place without a search; it and ``n`` are columns, not expressions, which
+    each key would evaluate again.
     """
     index, probes = [], []
     for d in range(tau + 1):
-        length = F.length(line) - d
-        short = F.floor(length / (tau + 1)).cast("int")
-        longer = (length % (tau + 1)).cast("int")  # the last so many segments have one more
+        length = n - d
+        short = F.call_function("div", length, F.lit(tau + 1)).cast("int")
+        longer = length - short * (tau + 1)  # the last so many segments have one more
         for i in range(tau + 1):
             first_long = (tau + 1) - longer
-            start = short * i + F.greatest(F.lit(i) - first_long, F.lit(0)) + 1
+            start = short * i + F.greatest(F.lit(i) - first_long, F.lit(0))
             size = short + (F.lit(i) >= first_long).cast("int")
             for shift in range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1):
-                key = F.xxhash64(F.substring(line, start + shift, size), F.lit(i), length)
+                key = F.xxhash64(F.substring(wide, (start + shift) * 4 + 1, size * 4), F.lit(i), length)
                 (index if d == 0 and shift == 0 else probes).append(key)
-    return index, probes
+    return F.array(*index, *probes)
+
+
+def wide(line: Column) -> Column:
+    return F.encode(line, "UTF-32")
 
 
 def code_points(line: Column, tau: int) -> Column:
@@ -110,21 +121,21 @@ def sketch(line: Column) -> Column:
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds __k and __l: 96 bits of hashes that stand for an id and its text."""
+    """Adds __k and __l: 128 bits of hashes that stand for an id and its text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     number = F.col(id_col).cast("long")
-    return docs.withColumns({"__k": F.xxhash64(number, text), "__l": F.hash(text, number)})
+    return docs.withColumns({"__k": F.xxhash64(number, text), "__l": F.xxhash64(text, number)})
 
 
 def text_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(k, l, id, place, line): each line of ``min_chars`` characters or more."""
+    """(k, l, id, place, line, n): each line of ``min_chars`` characters or more, with their number."""
     rows = with_key(docs, id_col, text_col).select(
         F.col("__k").alias("k"), F.col("__l").alias("l"), F.col(id_col).cast("long").alias("id"),
         # an inner explode would infer a filter that repeats its expression
         F.posexplode_outer(normal_lines(F.col(text_col))).alias("place", "line"),
     )
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" ")))
-    return rows.where(F.length("line") >= min_chars)
+    rows = rows.withColumn("line", F.trim("line")).withColumn("n", F.length("line"))
+    return rows.where(F.col("n") >= min_chars)
 
 
 def sent(table: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
@@ -132,7 +143,7 @@ def sent(table: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
-def near_lines(lines: DataFrame, docs: DataFrame, tau: int, n_index: int, min_chars: int) -> DataFrame:
+def near_lines(lines: DataFrame, docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """(h, g): lines that are within ``tau`` edits of an earlier line.
 
     ``lines`` holds the keys of all lines of ``docs`` (id, text), of which only
@@ -143,13 +154,13 @@ def near_lines(lines: DataFrame, docs: DataFrame, tau: int, n_index: int, min_ch
         keyed.select("h", F.posexplode("keys").alias("pos", "key"))
         .groupBy("key")
         .agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("pos").alias("pos"))
-        .where((F.col("low") < F.col("high")) & (F.col("pos") < n_index))
+        .where((F.col("low") < F.col("high")) & (F.col("pos") <= tau))
         .select("key")
     )
     shared = sent(materialise(shared, "shared-keys"))
     slots = keyed.select("h", "g", "id", "place", F.posexplode("keys").alias("pos", "key")).join(shared, "key", "left_semi")
     slots = slots.groupBy("h", "g", "key").agg(F.min(F.struct("id", "place")).alias("at"), F.min("pos").alias("pos"))
-    slots = slots.select("h", "g", "key", F.col("at.id").alias("first"), "at.place", (F.col("pos") < n_index).alias("indexed"))
+    slots = slots.select("h", "g", "key", F.col("at.id").alias("first"), "at.place", (F.col("pos") <= tau).alias("indexed"))
     slots = materialise(slots, "slots")
 
     wanted = materialise(slots.select("h", "g", "first").distinct(), "wanted-lines")
@@ -185,11 +196,11 @@ def removed_places(
     hashes and segment keys; all else works on that table.
     """
     lines = text_lines(docs, min_chars, id_col, text_col)
-    index, probes = segment_keys(F.col("line"), tau)
     hashes = [F.xxhash64("line").alias("h"), F.hash("line").alias("g")]
-    rows = materialise(lines.select("k", "l", "id", "place", *hashes, F.array(*index, *probes).alias("keys")), "lines")
+    lines = lines.withColumn("wide", wide(F.col("line")))
+    rows = materialise(lines.select("k", "l", "id", "place", *hashes, segment_keys(F.col("wide"), F.col("n"), tau).alias("keys")), "lines")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    near = materialise(near_lines(rows, texts, tau, len(index), min_chars), "near-lines")
+    near = materialise(near_lines(rows, texts, tau, min_chars), "near-lines")
     equal = rows.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     flagged = equal.select("h", "g", "first").join(near.withColumn("near", F.lit(True)), ["h", "g"], "full_outer")
     flagged = sent(materialise(flagged, "flagged-lines"))
@@ -236,7 +247,8 @@ def dedup_lines(
     )
     rows = rows.withColumn("__kept", F.when(F.size(gaps) > 0, F.flatten(parts)))
     text = F.coalesce(F.array_join("__kept", "\n"), F.col(text_col))
-    n_lines = F.length(text_col) - F.length(F.translate(F.col(text_col).cast("string"), "\n", "")) + 1
+    whole = F.col(text_col).cast("string")
+    n_lines = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     return rows.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(n_lines, F.lit(0)).cast("long").alias(f"{prefix}n_lines"),

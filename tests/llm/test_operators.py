@@ -272,6 +272,15 @@ def test_distances(spark):
             assert r.ok == (edits(r.a, r.b) <= tau)
 
 
+def test_keys_count_characters(spark):
+    """A line with characters of several bytes still meets its plain neighbour."""
+    rows = [(1, "the quick brown fox jumps over the lazy dog again"), (2, "the quick brown fox jumps over the lazy dog agaîn"), (3, "the quick brown fôx jumps ovér the lazy dog again!")]
+    keys = {r.i: r.k for r in spark.createDataFrame(rows, "i int, t string").select("i", lines.segment_keys(lines.wide(F.col("t")), F.length("t"), 2).alias("k")).collect()}
+    assert all(len(k) == 12 for k in keys.values()) and {*keys[1][:3]} & {*keys[2]} and {*keys[1][:3]} & {*keys[3]}
+    got = {r.doc_id: list(r.removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: []}
+
+
 def removed_lines(rows, tau=2, least=30):
     norm = lambda t: [x.strip(" ") for x in re.sub(r"[ \t\x0b\f\r]+", " ", (t or "").lower()).split("\n")]
     first = {}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.fixed import COMMON_PASSWORDS
+
 
 def rounded(x: Column, digits: int = 0) -> Column:
     """Half up towards plus infinity, as doubles (integers for no digits)."""
@@ -97,14 +99,64 @@ def icon_name(classes: Column, names: list[tuple[str, str]]) -> Column:
     return found
 
 
+def short_date(at: Column) -> Column:
+    return F.date_format(at, "MMM d, yyyy")
+
+
+def long_date(at: Column) -> Column:
+    return F.date_format(at, "MMMM d, yyyy")
+
+
 def relative_time(at: Column, now: Column) -> Column:
-    """Rough words for the distance between two times, past or to come."""
-    seconds = F.unix_timestamp(now) - F.unix_timestamp(at)
-    size = F.abs(seconds)
-    count = (
-        F.when(size < 60, F.lit("moments"))
-        .when(size < 3600, F.concat(F.floor(size / 60).cast("string"), F.lit(" min")))
-        .when(size < 86400, F.concat(F.floor(size / 3600).cast("string"), F.lit(" h")))
-        .otherwise(F.concat(F.floor(size / 86400).cast("string"), F.lit(" d")))
+    """Rough words for the distance between two times, past or to come; a date beyond 30 days."""
+    millis = F.unix_millis(now.cast("timestamp")) - F.unix_millis(at.cast("timestamp"))
+    minutes = rounded(F.abs(millis) / 60_000)
+    hours = rounded(minutes / 60)
+    days = rounded(hours / 24)
+    later = millis < 0
+
+    def phrase(n: Column, unit: str) -> Column:
+        value = F.concat(n.cast("string"), F.lit(unit))
+        return F.when(later, F.concat(F.lit("in "), value)).otherwise(F.concat(value, F.lit(" ago")))
+
+    return (
+        F.when(at.isNull(), "never")
+        .when(minutes < 1, F.when(later, "in under a minute").otherwise("just now"))
+        .when(minutes < 60, phrase(minutes, "m"))
+        .when(hours < 24, phrase(hours, "h"))
+        .when(days < 30, phrase(days, "d"))
+        .otherwise(short_date(at))
     )
-    return F.when(at.isNull(), "never").when(seconds >= 0, F.concat(count, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), count))
+
+
+def days_left(ends: Column, now: Column) -> Column:
+    """Whole days until a trial ends, rounded up, 0 once it is over; null without a trial."""
+    days = F.ceil((F.unix_millis(ends.cast("timestamp")) - F.unix_millis(now.cast("timestamp"))) / 86_400_000)
+    return F.when(ends.isNotNull(), F.greatest(days, F.lit(0)).cast("int"))
+
+
+def plural(n: Column, word: str) -> Column:
+    """The number and its word, with an s unless it is one."""
+    return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+
+
+def patch_filename(url: Column) -> Column:
+    """The path without its first slash, index.html where that is empty."""
+    name = F.regexp_replace(url_path(url), "^/", "")
+    return F.when(name == "", "index.html").otherwise(name)
+
+
+def diff_class(line: Column) -> Column:
+    """What a line of a unified diff is: meta, add, del or ctx."""
+    meta = line.startswith("+++") | line.startswith("---") | line.startswith("@@")
+    return F.when(meta, "meta").when(line.startswith("+"), "add").when(line.startswith("-"), "del").otherwise("ctx")
+
+
+def valid_email(address: Column) -> Column:
+    return F.coalesce(address.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"), F.lit(False))
+
+
+def password_fault(password: Column) -> Column:
+    """Why a password is refused: short, long or common; null if it is not."""
+    n = F.length(F.coalesce(password, F.lit("")))
+    return F.when(n < 10, "short").when(n > 200, "long").when(F.lower(password).isin(*COMMON_PASSWORDS), "common")

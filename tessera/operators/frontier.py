@@ -51,12 +51,15 @@ def same_origin(a: Column, b: Column) -> Column:
     return origin_of(a) == origin_of(b)
 
 
-def extract_links(pages: DataFrame) -> DataFrame:
-    """(page_id, link): same-origin page links of every page, distinct."""
-    rows = pages.select("page_id", "url", F.explode_outer(raw_links(F.col("html"))).alias("raw")).where("raw is not null")
-    rows = rows.select("page_id", "url", resolved(F.col("url"), F.col("raw")).alias("link"))
+def extract_links(pages: DataFrame, in_order: bool = False) -> DataFrame:
+    """(page_id, link): same-origin page links of every page, distinct; ``in_order`` adds the place of the first mention."""
+    rows = pages.select("page_id", "url", F.posexplode_outer(raw_links(F.col("html"))).alias("place", "raw")).where("raw is not null")
+    rows = rows.select("page_id", "url", "place", resolved(F.col("url"), F.col("raw")).alias("link"))
     is_page = same_origin(F.col("link"), F.col("url")) & ~url_path(F.col("link")).rlike(NO_PAGE)
-    return rows.where(is_page).select("page_id", "link").distinct()
+    rows = rows.where(is_page)
+    if in_order:
+        return rows.groupBy("page_id", "link").agg(F.min("place").alias("place"))
+    return rows.select("page_id", "link").distinct()
 
 
 def priority(url: Column, times_seen: Column) -> Column:

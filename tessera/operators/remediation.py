@@ -7,9 +7,14 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import patch_filename
+
 MECHANICAL = ("set-attribute", "remove-attribute", "remove-element")
 MOST_LINES = 4_000
-PLAN = "page_id long, patched string, diff string, applied array<string>, skipped array<string>, automatic int, manual int"
+PLAN = (
+    "page_id long, filename string, patched string, diff string, applied array<string>, skipped array<string>,"
+    " guidance array<struct<rule_id:string,css_path:string,strategy:string,text:string>>, automatic int, manual int"
+)
 
 
 def _pattern(name: str) -> re.Pattern:
@@ -43,6 +48,9 @@ def edit_of(html: str, finding: dict) -> tuple[int, int, str] | None:
         return start, end, set_attribute(tag, fix["attribute"], value or "")
     if kind == "remove-attribute":
         return start, end, remove_attribute(tag, fix["attribute"])
+    if kind == "insert-first-child" and value:
+        indent = re.match(r"\n(\s*)", html[end : end + 200])
+        return end, end, f"\n{indent[1] if indent else '  '}{value}"
     if close is None:
         return None
     if kind == "remove-element":
@@ -54,7 +62,7 @@ def edit_of(html: str, finding: dict) -> tuple[int, int, str] | None:
     return None
 
 
-def apply_edits(html: str, edits: list[tuple[int, int, str, str]]) -> tuple[str, list[str], list[str]]:
+def apply_edits(html: str, edits: list[tuple]) -> tuple[str, list, list]:
     """Patched text, applied and skipped names; later places first, overlaps skipped."""
     applied, skipped, edge = [], [], len(html) + 1
     for start, end, new, name in sorted(edits, key=lambda e: -e[0]):
@@ -120,34 +128,44 @@ def unified_diff(before: str, after: str, name: str = "index.html", context: int
 def remediation_plan(pages: DataFrame, findings: DataFrame) -> DataFrame:
     """One row a page: patched source, diff, what was applied, skipped and left to people.
 
-    Findings are first grouped by page, which bounds a task's rows by one page.
+    Fixes that are certain and of ``MECHANICAL`` kinds are applied; of these,
+    ``skipped`` lists those that no edit could be built for and those that
+    overlap another one. ``guidance`` says what people have to do: all
+    findings that were not applied. Findings are first grouped by page, which
+    bounds a task's rows by one page.
     """
     import pyarrow as pa
 
-    fields = ["rule_id", "tag", "css_path", "start_off", "end_off", "elem_end_off", "fix"]
+    fields = ["rule_id", "tag", "css_path", "start_off", "end_off", "elem_end_off", "fix", "message"]
     each = findings.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("findings"))
-    rows = pages.select(F.col("page_id").cast("long"), "html").join(each, "page_id", "left")
+    name = patch_filename(F.col("url")) if "url" in pages.columns else F.lit("index.html")
+    rows = pages.select(F.col("page_id").cast("long"), "html", name.alias("name")).join(each, "page_id", "left")
+    step = pa.struct([(k, pa.string()) for k in ("rule_id", "css_path", "strategy", "text")])
+    texts = pa.list_(pa.string())
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), texts, texts, pa.list_(step), pa.int32(), pa.int32()]
+    names = "page_id filename patched diff applied skipped guidance automatic manual".split()
+
+    def plan(row: dict) -> tuple:
+        html, found = row["html"] or "", row["findings"] or []
+        edits, unbuilt = [], []
+        for k, f in enumerate(found):
+            fix = f["fix"]
+            if fix and fix["tier"] == "definite" and fix["strategy"] in MECHANICAL:
+                edit = edit_of(html, f)
+                edits.append((*edit, k)) if edit else unbuilt.append(k)
+        patched, applied, overlapping = apply_edits(html, edits)
+        spelled = lambda ks: [f"{found[k]['rule_id']}|{found[k]['css_path']}" for k in ks]
+        left = [f for k, f in enumerate(found) if k not in {*applied}]
+        guidance = [
+            {"rule_id": f["rule_id"], "css_path": f["css_path"], "strategy": (f["fix"] or {}).get("strategy") or "manual", "text": f["message"]} for f in left
+        ]
+        diff = unified_diff(html, patched, row["name"]) if applied else ""
+        return row["page_id"], row["name"], patched, diff, spelled(applied), spelled(unbuilt + overlapping), guidance, len(applied), len(left)
 
     def run(batches):
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                html, found = row["html"] or "", row["findings"] or []
-                edits, manual = [], 0
-                for f in found:
-                    fix = f["fix"]
-                    edit = None
-                    if fix and fix["tier"] == "definite" and fix["strategy"] in MECHANICAL:
-                        edit = edit_of(html, f)
-                    if edit:
-                        edits.append((*edit, f"{f['rule_id']}|{f['css_path']}"))
-                    else:
-                        manual += 1
-                patched, applied, skipped = apply_edits(html, edits)
-                out.append((row["page_id"], patched, unified_diff(html, patched), applied, skipped, len(applied), manual))
-            names = [c.split()[0] for c in PLAN.split(", ")]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32()]
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            out = [plan(row) for row in b.to_pylist()]
+            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return rows.mapInArrow(run, PLAN)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,9 +146,134 @@ def version_after(documents: DataFrame, site: str, kind: str) -> DataFrame:
 
 def scrub(props: Column) -> Column:
     """A property map without the values of telling keys."""
-    return F.transform_values(props, lambda k, v: F.when(k.rlike("(?i)password|secret|token|authorization|cookie|api[_-]?key"), F.lit("[redacted]")).otherwise(v))
+    return F.transform_values(props, lambda k, v: F.when(k.rlike(fixed.SENSITIVE), F.lit("[redacted]")).otherwise(v))
+
+
+def scrub_json(text: Column, depth: int = 4) -> Column:
+    """JSON text without the values of telling keys, down to ``depth`` levels below the top; other text as it is."""
+
+    def clean(value, level: int):
+        if level > depth:
+            return value
+        if isinstance(value, list):
+            return [clean(v, level + 1) for v in value]
+        if isinstance(value, dict):
+            return {k: "[redacted]" if telling.match(k) else clean(v, level + 1) for k, v in value.items()}
+        return value
+
+    def each(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(None if t is None else json.dumps(clean(json.loads(t), 0), ensure_ascii=False, separators=(",", ":")))
+            except ValueError:
+                out.append(t)
+        return pd.Series(out, dtype=object)
+
+    telling = re.compile(fixed.SENSITIVE)
+    return F.pandas_udf(each, "string")(text)
 
 
 def tolerant_json(text: Column, schema: str) -> Column:
     """A struct of JSON text; fields are null where it is malformed."""
     return F.from_json(F.coalesce(text, F.lit("{}")), schema, {"mode": "PERMISSIVE"})
+
+
+def newest_other(scans: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(scan_id, other, other_score): for each scan of ``wanted`` the newest complete scan of its site that is another one.
+
+    ``scans(id, site_id, status, score, created_at)``. The other one may be
+    younger. Only the two newest complete scans of a site are joined.
+    """
+    order = Window.partitionBy("site_id").orderBy(F.desc("created_at"), F.desc("id"))
+    two = scans.where("status = 'complete'").withColumn("__n", F.row_number().over(order)).where("__n <= 2")
+    two = two.select("site_id", F.col("id").alias("other"), F.col("score").alias("other_score"), "__n")
+    rows = wanted.select(F.col("id").alias("scan_id"), "site_id").join(two, "site_id", "left")
+    rows = rows.withColumn("__n", F.when(F.col("other") != F.col("scan_id"), F.col("__n")))
+    return rows.groupBy("scan_id", "site_id").agg(F.min_by("other", "__n").alias("other"), F.min_by("other_score", "__n").alias("other_score"))
+
+
+def movement(score: Column, before: Column) -> Column:
+    """How a score moved: null without an earlier one."""
+    step = score - before
+    return F.when(step > 0, F.concat(F.lit("up "), step.cast("string"))).when(step < 0, F.concat(F.lit("down "), (-step).cast("string"))).when(step == 0, "unchanged")
+
+
+def change_summary(scans: DataFrame, ledger: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(scan_id, score, previous_score, new_issues, resolved_issues, movement, notify) of finished scans.
+
+    New are open issues first seen since the scan began; resolved those that
+    this scan closed. There is something to tell if either is over 0 or the
+    score moved.
+    """
+    one = wanted.select("id", "site_id", "score", F.coalesce("started_at", "created_at").alias("__began"))
+    other = newest_other(scans, wanted).select(F.col("scan_id").alias("id"), F.col("other_score").alias("previous_score"))
+    open_ = ledger.where("status = 'open'").select("site_id", "first_seen_at")
+    new = one.join(open_, "site_id").where(F.col("first_seen_at") >= F.col("__began")).groupBy("id").agg(F.count("*").alias("new_issues"))
+    fixed_ = ledger.where("status = 'resolved'").groupBy("site_id", F.col("resolved_scan_id").alias("id")).agg(F.count("*").alias("resolved_issues"))
+    rows = one.join(other, "id", "left").join(new, "id", "left").join(fixed_, ["site_id", "id"], "left")
+    n, r = F.coalesce("new_issues", F.lit(0)), F.coalesce("resolved_issues", F.lit(0))
+    moved = F.coalesce(F.col("previous_score") != F.col("score"), F.lit(False))
+    return rows.select(
+        F.col("id").alias("scan_id"), "score", "previous_score", n.alias("new_issues"), r.alias("resolved_issues"),
+        movement(F.col("score"), F.col("previous_score")).alias("movement"), ((n > 0) | (r > 0) | moved).alias("notify"),
+    )
+
+
+def site_rollup(sites: DataFrame, scans: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Live sites, newest first, with the score and time of their last complete scan and their open issues."""
+    done = latest(scans.where("status = 'complete'"), "site_id", F.desc("created_at"), F.desc("id"))
+    done = done.select(F.col("site_id").alias("id"), "score", F.col("finished_at").alias("last_scan_at"))
+    open_ = ledger.where("status = 'open'").groupBy(F.col("site_id").alias("id")).agg(F.count("*").alias("open_issues"))
+    rows = sites.where("archived_at is null").join(done, "id", "left").join(open_, "id", "left")
+    rows = rows.withColumn("open_issues", F.coalesce("open_issues", F.lit(0)))
+    return rows.select("id", "org_id", "name", "score", "last_scan_at", "open_issues", "created_at").orderBy(F.desc("created_at"), "id")
+
+
+def of_tier(groups: DataFrame, tier: str | None) -> DataFrame:
+    """Groups whose own tier, that of their first finding, is ``tier``; all for an unknown one."""
+    return groups.where(F.col("tier") == tier) if tier in TIERS else groups
+
+
+def tier_counts(groups: DataFrame, *by: str) -> DataFrame:
+    """Findings in all groups, and in those of each tier."""
+    return groups.groupBy(*by).agg(
+        F.coalesce(F.sum("items"), F.lit(0)).alias("all"),
+        *(F.coalesce(F.sum(F.when(F.col("tier") == x, F.col("items"))), F.lit(0)).alias(x) for x in TIERS),
+    )
+
+
+def teaser(findings: DataFrame, by: str, shown: int = 3, named: int = 6) -> DataFrame:
+    """(by, shown, hidden_groups, hidden_items, hidden_names): a public result's first rules, and how much is behind them.
+
+    Rules stand by impact and number of findings. A result has at most as many
+    groups as there are rules, so the list of one is short.
+    """
+    first = F.struct("page_id", "node_id")
+    groups = findings.groupBy(by, "rule_id").agg(F.count("*").alias("items"), F.min_by("impact", first).alias("impact"))
+    order = Window.partitionBy(by).orderBy(rank(F.col("impact"), IMPACTS), F.desc("items"), "rule_id")
+    groups = groups.withColumn("n", F.row_number().over(order))
+    gather = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("n", "rule_id")))), lambda x: x["rule_id"])
+    hidden = F.col("n") > shown
+    return groups.groupBy(by).agg(
+        gather(~hidden).alias("shown"), F.count_if(hidden).alias("hidden_groups"), F.coalesce(F.sum(F.when(hidden, F.col("items"))), F.lit(0)).alias("hidden_items"),
+        gather(hidden & (F.col("n") <= shown + named)).alias("hidden_names"),
+    )
+
+
+def plan_totals(plans: DataFrame, *by: str) -> DataFrame:
+    """Sums of automatic and manual fixes over remediation plans."""
+    return plans.groupBy(*by).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("automatic", "manual")))
+
+
+def plans_of_scan(plans: DataFrame) -> DataFrame:
+    """Plans with anything to do, those with the most automatic fixes first."""
+    return plans.where("automatic + manual > 0").orderBy(F.desc("automatic"), "url")
+
+
+def capture_rate(events: DataFrame, scans: str = "public_scan_completed", captured: str = "public_scan_email_captured") -> DataFrame:
+    """Share of public scans that left an address, in whole percent; a dash without scans."""
+    n, k = F.count_if(F.col("name") == scans), F.count_if(F.col("name") == captured)
+    rows = events.agg(n.alias("scans"), k.alias("captured"))
+    rate = F.concat(rounded(F.col("captured") / F.col("scans") * 100).cast("string"), F.lit("%"))
+    return rows.withColumn("rate", F.when(F.col("scans") > 0, rate).otherwise("—"))

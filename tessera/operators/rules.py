@@ -181,7 +181,8 @@ RULES = [
     Rule("duplicate-id", "4.1.1", "A", "moderate", DEFINITE, "Id is used again"),
     Rule("landmark-main", "1.3.1,2.4.1", "A", "moderate", REVIEW, "Page has no main region"),
     Rule("landmark-unique", "1.3.1", "A", "minor", REVIEW, "Regions of one kind need names", fix=set_attribute("aria-label", NO_VALUE)),
-    Rule("skip-link", "2.4.1", "A", "serious", REVIEW, "No way to skip the navigation", fix=("insert-first-child", "", NO_VALUE, REVIEW)),
+    Rule("skip-link", "2.4.1", "A", "serious", REVIEW, "No way to skip the navigation", 
+         fix=("insert-first-child", "", "'<a class=\"skip-link\" href=\"#main-content\">Skip to main content</a>'", REVIEW)),
     Rule("color-contrast", "1.4.3", "AA", "serious", DEFINITE, "Text stands out too little", fix=("css-color", "color", NO_VALUE, REVIEW), section508=["502.3"]),
     Rule("focus-not-obscured", "2.4.7", "AA", "serious", REVIEW, "Focus outline is removed"),
     Rule("target-size-minimum", "2.5.8", "AA", "moderate", DEFINITE, "Target is smaller than 24 pixels"),
@@ -193,15 +194,38 @@ RULES = [
     Rule("link-same-name-different-target", "2.4.4", "A", "moderate", REVIEW, "One link text, several targets"),
     Rule("main-multiple", "1.3.1", "A", "moderate", DEFINITE, "More than one main region"),
     Rule("h1-multiple", "1.3.1", "A", "minor", ADVISORY, "More than one main heading", fix=("rename-tag", "", NO_VALUE, REVIEW)),
-    Rule("viewport-missing", "1.4.10", "AA", "moderate", REVIEW, "No viewport settings", fix=("insert-first-child", "", NO_VALUE, REVIEW)),
+    Rule("viewport-missing", "1.4.10", "AA", "moderate", REVIEW, "No viewport settings",
+         fix=("insert-first-child", "", "'<meta name=\"viewport\" content=\"width=device-width, initial-scale=1\">'", REVIEW)),
     Rule("text-justified", "1.4.8", "AAA", "minor", ADVISORY, "Justified text"),
     # needs a hint that no analysis gives, so it finds nothing
     Rule("noscript-missing", "4.1.2", "A", "minor", ADVISORY, "No content without scripts"),
 ]
 BY_ID = {r.id: r for r in RULES}
+ADDED: dict = {}  # rules with functions of their own
 REFERENCES = "aria-labelledby aria-describedby aria-controls aria-owns aria-details aria-errormessage".split()
 
 
+def register(rule: Rule, run=None) -> None:
+    """Adds a rule to those that ``find_all`` applies.
+
+    A rule with ``where`` or ``each`` joins the single pass over elements;
+    ``run(elements)`` of another gives its findings, in the form of ``findings_of``.
+    """
+    if rule.id in BY_ID:
+        raise ValueError(f"rule {rule.id} is there already")
+    if run is None and not (rule.where or rule.each):
+        raise ValueError(f"rule {rule.id} has neither a condition nor a function")
+    RULES.append(rule)
+    BY_ID[rule.id] = rule
+    if run is not None:
+        ADDED[rule.id] = run
+
+
+def unregister(rule_id: str) -> None:
+    RULES.remove(BY_ID.pop(rule_id))
+    ADDED.pop(rule_id, None)
+
+
 def catalog(spark) -> DataFrame:
     """The rules as a small table."""
     rows = [(n, r.id, r.wcag.split(","), r.level, r.impact, r.message, r.section508) for n, r in enumerate(RULES)]
@@ -236,7 +260,7 @@ def row_findings(elements: DataFrame) -> DataFrame:
 PLACE = ["page_id", "node_id", "tag", "css_path", "snippet", "line", "col", "start_off", "end_off", "elem_end_off"]
 
 
-def _as(rows: DataFrame, rule: str, key: Column | None = None, tier: str | None = None, fix: Column | None = None) -> DataFrame:
+def findings_of(rows: DataFrame, rule: str, key: Column | None = None, tier: str | None = None, fix: Column | None = None) -> DataFrame:
     """Rows of elements as findings of one rule."""
     r = BY_ID[rule]
     key = F.lit(None).cast("string") if key is None else key.cast("string")
@@ -319,7 +343,7 @@ def _focus_findings(pages: DataFrame) -> DataFrame:
     )
     rows = pages.where("body is not null").select("page_id", "body", F.explode_outer(F.slice(F.array_distinct(selectors), 1, 3)).alias("selector"))
     rows = rows.where("selector is not null").select("page_id", *[F.col(f"body.p.{x}").alias(x) for x in PLACE if x != "page_id"], "selector")
-    return _as(rows, "focus-not-obscured", F.col("selector"))
+    return findings_of(rows, "focus-not-obscured", F.col("selector"))
 
 
 def measured_looks(elements: DataFrame, measurements: DataFrame) -> DataFrame:
@@ -358,18 +382,18 @@ def window_findings(elements: DataFrame) -> DataFrame:
     skipped = heads.where(c("rank") > c("before") + 1)
     better = F.concat(F.lit("h"), (c("before") + 1).cast("string"))
     fix = F.struct(F.lit("rename-tag").alias("strategy"), F.lit(None).cast("string").alias("attribute"), better.alias("value"), F.lit("review").alias("tier"))
-    out = _as(skipped, "heading-order", fix=fix)
+    out = findings_of(skipped, "heading-order", fix=fix)
 
     def again(rows: DataFrame, *by: str) -> DataFrame:
         return rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", *by).orderBy("node_id"))).where("nth > 1")
 
     ids = elements.withColumn("k", attrs["id"]).where("k <> ''")
-    out = out.unionByName(_as(again(ids, "k"), "duplicate-id", F.concat_ws("#", "k", "nth")))
+    out = out.unionByName(findings_of(again(ids, "k"), "duplicate-id", F.concat_ws("#", "k", "nth")))
     keys = elements.withColumn("k", F.lower(F.trim(attrs["accesskey"]))).where("k <> ''")
-    out = out.unionByName(_as(again(keys, "k"), "accesskey-duplicate", c("k")))
+    out = out.unionByName(findings_of(again(keys, "k"), "accesskey-duplicate", c("k")))
     seen = elements.where(~c("hidden_deep"))
-    out = out.unionByName(_as(again(seen.where("tag = 'main'")), "main-multiple"))
-    out = out.unionByName(_as(again(seen.where("tag = 'h1'")), "h1-multiple"))
+    out = out.unionByName(findings_of(again(seen.where("tag = 'main'")), "main-multiple"))
+    out = out.unionByName(findings_of(again(seen.where("tag = 'h1'")), "h1-multiple"))
     # text that stands out too little: the first of each pair of colors and size
     text = seen.where(c("facts")["fg"].isNotNull()).withColumns(
         {k: c("facts")[k] for k in ("fg", "bg")} | {"px": c("facts")["px"].cast("double"), "bold": c("facts")["bold"] == "true"}
@@ -378,7 +402,7 @@ def window_findings(elements: DataFrame) -> DataFrame:
     low = text.where(contrast_ratio(c("fg"), c("bg")) < need).withColumn("k", F.concat_ws("|", "fg", "bg", rounded(c("px"))))
     low = low.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "k").orderBy("node_id"))).where("nth = 1")
     fix = F.struct(F.lit("css-color").alias("strategy"), F.lit("color").alias("attribute"), suggested_color(c("fg"), c("bg"), need).alias("value"), F.lit("review").alias("tier"))
-    return out.unionByName(_as(low, "color-contrast", c("k"), fix=fix))
+    return out.unionByName(findings_of(low, "color-contrast", c("k"), fix=fix))
 
 
 def join_findings(elements: DataFrame) -> DataFrame:
@@ -386,19 +410,19 @@ def join_findings(elements: DataFrame) -> DataFrame:
     c, attrs = F.col, F.col("attrs")
     ids = elements.select("page_id", attrs["id"].alias("target")).where("target <> ''").distinct()
     labels = elements.where("tag = 'label' and not hidden_deep").withColumn("target", attrs["for"]).where("target <> ''")
-    out = _as(labels.join(ids, ["page_id", "target"], "left_anti"), "label-orphan", c("target"))
+    out = findings_of(labels.join(ids, ["page_id", "target"], "left_anti"), "label-orphan", c("target"))
 
     names = elements.select("page_id", attrs["name"].alias("target")).where("target <> ''").distinct()
     skips = elements.where((c("tag") == "a") & attrs["href"].startswith("#") & (F.length(attrs["href"]) > 1) & ~c("hidden_deep") & c("text").rlike("(?i)skip|jump"))
     skips = skips.withColumn("target", F.substring(attrs["href"], F.lit(2), F.length(attrs["href"])))
     lost = skips.join(ids.union(names), ["page_id", "target"], "left_anti")
-    out = out.unionByName(_as(lost, "skip-link-target-missing", c("target")))
+    out = out.unionByName(findings_of(lost, "skip-link-target-missing", c("target")))
 
     named = F.filter(F.transform(F.array(*map(F.lit, REFERENCES)), lambda n: F.struct(n.alias("n"), attrs[n].alias("v"))), lambda x: x["v"].isNotNull())
     refs = elements.withColumn("ref", F.explode_outer(named)).where("ref is not null").select("*", c("ref.n").alias("attribute"), F.explode_outer(F.split("ref.v", r"\s+")).alias("target"))
     gone = refs.where("target <> ''").join(ids, ["page_id", "target"], "left_anti")
     gone = gone.groupBy(*PLACE, "attribute").agg(F.array_join(F.sort_array(F.collect_set("target")), " ").alias("missing"))
-    return out.unionByName(_as(gone, "aria-describedby-orphan", F.concat_ws(":", "attribute", "missing")))
+    return out.unionByName(findings_of(gone, "aria-describedby-orphan", F.concat_ws(":", "attribute", "missing")))
 
 
 def group_findings(elements: DataFrame) -> DataFrame:
@@ -409,19 +433,19 @@ def group_findings(elements: DataFrame) -> DataFrame:
     bare = F.trim(F.coalesce(attrs["aria-label"], attrs["aria-labelledby"], F.lit(""))) == ""
     regions = regions.withColumn("bare", bare).where("role <> 'region' or not bare")
     regions = regions.withColumn("n", F.count("*").over(page_role)).withColumn("n_bare", F.count_if("bare").over(page_role))
-    out = _as(regions.where("n >= 2 and n_bare >= 2 and bare"), "landmark-unique")
+    out = findings_of(regions.where("n >= 2 and n_bare >= 2 and bare"), "landmark-unique")
 
     choices = elements.where((c("tag") == "input") & F.lower(attrs["type"]).isin("radio", "checkbox") & (F.coalesce(attrs["name"], F.lit("")) != "") & ~c("hidden_deep"))
     choices = choices.withColumn("k", F.concat_ws(":", F.lower(attrs["type"]), attrs["name"]))
     group = Window.partitionBy("page_id", "k")
     choices = choices.withColumn("n", F.count("*").over(group)).withColumn("nth", F.row_number().over(group.orderBy("node_id")))
     held = F.exists("ancestors", lambda a: ((a["tag"] == "fieldset") & a["legend"]) | (a["role"].isin("group", "radiogroup") & a["named"]))
-    out = out.unionByName(_as(choices.where((c("n") >= 2) & (c("nth") == 1) & ~F.coalesce(held, F.lit(False))), "fieldset-legend-missing", c("k")))
+    out = out.unionByName(findings_of(choices.where((c("n") >= 2) & (c("nth") == 1) & ~F.coalesce(held, F.lit(False))), "fieldset-legend-missing", c("k")))
 
     links = elements.where((c("tag") == "a") & attrs["href"].isNotNull() & ~c("hidden_deep")).withColumn("k", F.lower(F.trim("acc_name"))).where(F.length("k") >= 3)
     links = links.withColumn("href", F.split_part(attrs["href"], F.lit("#"), F.lit(1)))
     many = links.groupBy("page_id", "k").agg(F.count_distinct("href").alias("n"), F.min("node_id").alias("node_id")).where("n >= 2")
-    return out.unionByName(_as(links.join(many.drop("n"), ["page_id", "k", "node_id"], "left_semi"), "link-same-name-different-target", c("k")))
+    return out.unionByName(findings_of(links.join(many.drop("n"), ["page_id", "k", "node_id"], "left_semi"), "link-same-name-different-target", c("k")))
 
 
 def measured_findings(elements: DataFrame, measurements: DataFrame | None, layout: DataFrame | None) -> list[DataFrame]:
@@ -437,10 +461,10 @@ def measured_findings(elements: DataFrame, measurements: DataFrame | None, layou
         )
         small = small.withColumn("k", F.concat_ws("x", rounded(F.col("width")), rounded(F.col("height"))))
         first = Window.partitionBy("page_id", "k", "tag").orderBy("node_id")
-        found.append(_as(small.withColumn("nth", F.row_number().over(first)).where("nth = 1"), "target-size-minimum", F.col("k")))
+        found.append(findings_of(small.withColumn("nth", F.row_number().over(first)).where("nth = 1"), "target-size-minimum", F.col("k")))
     if layout is not None:
         wide = elements.where("tag = 'body'").join(layout.where("scroll_width > client_width + 4"), "page_id", "left_semi")
-        found.append(_as(wide, "horizontal-scroll"))
+        found.append(findings_of(wide, "horizontal-scroll"))
     return found
 
 
@@ -453,6 +477,7 @@ def find_all(elements: DataFrame, pages: DataFrame, measurements: DataFrame | No
     painted_elements = elements if measurements is None else measured_looks(elements, measurements)
     parts = [row_findings(elements), page_findings(elements), window_findings(painted_elements), join_findings(elements), group_findings(elements)]
     parts += measured_findings(elements, measurements, layout)
+    parts += [run(elements) for run in ADDED.values()]
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)

@@ -93,24 +93,35 @@ def criteria(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "criterion string, level string, automated string, rules array<string>")
 
 
-def conformance(findings: DataFrame) -> DataFrame:
-    """One row a criterion: failures, open questions and the verdict."""
+def conformance(findings: DataFrame, groups: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """One row a criterion, or one a criterion and group: failures, open questions and the verdict.
+
+    ``groups`` lists the values of ``by`` to judge; those without findings are judged too.
+    """
     table = criteria(findings.sparkSession)
-    counts = findings.groupBy("rule_id").agg(
+    keys = [by] if by else []
+    counts = findings.groupBy(*keys, "rule_id").agg(
         F.count_if(F.col("tier") == "definite").alias("d"), F.count_if(F.col("tier") == "review").alias("r")
     )
-    rows = table.withColumn("rule_id", F.explode_outer("rules")).join(counts, "rule_id", "left")
-    rows = rows.groupBy("criterion", "level", "automated").agg(
+    rules = table.select("criterion", "level", "automated", F.explode_outer("rules").alias("rule_id"))
+    if by:
+        names = F.array(*(F.lit(x[0]) for x in fixed.CRITERIA))
+        rules = groups.select(by, F.explode(names).alias("criterion")).join(F.broadcast(rules), "criterion")
+    rows = rules.join(counts, [*keys, "rule_id"], "left").groupBy(*keys, "criterion", "level", "automated").agg(
         F.coalesce(F.sum("d"), F.lit(0)).alias("failures"), F.coalesce(F.sum("r"), F.lit(0)).alias("reviews")
     )
-    verdict = (
-        F.when(F.col("automated") == "none", "Not Evaluated")
-        .when(F.col("failures") > 0, "Does Not Support")
-        .when(F.col("reviews") > 0, "Partially Supports")
-        .when(F.col("automated") == "full", "Supports")
+    return rows.withColumn("verdict", verdict(F.col("automated"), F.col("failures"), F.col("reviews")))
+
+
+def verdict(automated: Column, failures: Column, reviews: Column) -> Column:
+    """What rules can say of a criterion; advisory findings never count."""
+    return (
+        F.when(automated == "none", "Not Evaluated")
+        .when(failures > 0, "Does Not Support")
+        .when(reviews > 0, "Partially Supports")
+        .when(automated == "full", "Supports")
         .otherwise("Needs Manual Review")
     )
-    return rows.withColumn("verdict", verdict)
 
 
 def coverage_stats(spark: SparkSession) -> DataFrame:

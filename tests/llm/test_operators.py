@@ -51,12 +51,136 @@ def test_urls_follow_the_rules(spark):
     assert urls.url_filters(pages.where("false")).count() == 0
 
 
-def test_urls_learn_bad_templates(spark):
-    rows = [f"http://x.com/de/{i}" for i in range(40)] + [f"http://x.com/item/{i}" for i in range(40)] + [f"http://y.net/a/{i}" for i in range(40)]
-    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
-    got = urls.url_filters(pages).groupBy("host", "template", "verdict").count().collect()
-    found = {(r.host, r.template): r.verdict for r in got}
-    assert found[("x.com", "/de/*")] == "block" and found[("y.net", "/a/*")] == "allow"
+def parsed_url(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = re.split("[?#]", url.split("://", 1)[1], maxsplit=1)[0]
+    host, slash, path = rest.partition("/")
+    return host.translate(AZ), slash + path
+
+
+def ruled(host, path):
+    fits = [r for r in urls.RULES if (host == r[1].split("/")[0] or host.endswith("." + r[1].split("/")[0])) and path.startswith("/" + r[1].split("/", 1)[1])]
+    return max(fits, key=lambda r: len(r[1]), default=None)
+
+
+def merged_names(branches, z=1.645):
+    """Names of (child, lab, bad) siblings that are told apart by their labels."""
+    by_step = defaultdict(list)
+    for child, lab, bad in branches:
+        by_step[int(np.floor(np.arcsin(np.sqrt((bad + 1) / (lab + 2))) * 20 + 0.5))].append((child, lab, bad))
+    groups = []
+    for step in sorted(by_step):
+        names, lab, bad = [c for c, _, _ in by_step[step]], sum(x for _, x, _ in by_step[step]), sum(x for _, _, x in by_step[step])
+        if groups:
+            _, l0, b0 = groups[-1]
+            n1, n2 = l0 + 2, lab + 2
+            pool = (b0 + bad + 2) / (n1 + n2)
+            if abs((b0 + 1) / n1 - (bad + 1) / n2) <= z * (pool * (1 - pool) * (1 / n1 + 1 / n2)) ** 0.5:
+                groups[-1] = (groups[-1][0] + names, l0 + lab, b0 + bad)
+                continue
+        groups.append((names, lab, bad))
+    out = {}
+    for names, _, _ in groups:
+        n = len(names)
+        name = names[0] if n == 1 else "{" + min(names) + ("|" if n == 2 else f"|..{n - 2}..|") + max(names) + "}"
+        out |= dict.fromkeys(names, name)
+    return out
+
+
+def judged_urls(rows, depth=4, support=5, weight=5.0, reject=0.6):
+    """{id: (host, path, rule, verdict, template, shape, purity)} by plain loops."""
+    state = []
+    for i, url in rows:
+        host, path = parsed_url(url)
+        rule = ruled(host, path)
+        state.append({"id": i, "host": host, "path": path, "rule": rule, "seg": re.sub("^/", "", path).split("/"), "t": "", "s": ""})
+    for level in range(depth):
+        counts = defaultdict(lambda: [0, 0, 0])
+        for r in state:
+            if level < len(r["seg"]):
+                c = counts[(r["host"], r["t"], r["seg"][level])]
+                c[0] += 1
+                c[1] += r["rule"] is not None
+                c[2] += bool(r["rule"] and r["rule"][0] == "block")
+        hosts = defaultdict(set)
+        for h, _, c in counts:
+            if not re.search("[0-9]", c):
+                hosts[c].add(h)
+        literal = {k: v for k, v in counts.items() if v[0] >= support or len(hosts[k[2]]) >= support}
+        names, siblings = {k: k[2] for k in literal}, defaultdict(list)
+        for (h, t, c), (_, lab, bad) in literal.items():
+            if lab >= support:
+                siblings[(h, t)].append((c, lab, bad))
+        for (h, t), branches in siblings.items():
+            for c, name in merged_names(branches).items():
+                names[(h, t, c)] = name
+        for r in state:
+            if level < len(r["seg"]):
+                k = (r["host"], r["t"], r["seg"][level])
+                r["t"] += "/" + names.get(k, "*")
+                r["s"] += "/" + (k[2] if k in names else "*")
+    own, pool, shapes = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), Counter()
+    for r in state:
+        if len(r["seg"]) > depth:
+            r["t"], r["s"] = r["t"] + "/**", r["s"] + "/**"
+        good, bad = r["rule"] is not None, bool(r["rule"] and r["rule"][0] == "block")
+        parts = r["s"].split("/")
+        for c in (own[(r["host"], r["t"])], *(pool["/".join(parts[: k + 1])] for k in range(len(parts)))):
+            c[0] += good
+            c[1] += bad
+        shapes[r["s"]] += good
+    out = {}
+    for r in state:
+        parts, share = r["s"].split("/"), 0.5
+        for k in range(len(parts)):
+            n, b = pool["/".join(parts[: k + 1])]
+            w = 2.0 if k == 0 else weight
+            share = (b + share * w) / (n + w)
+        n, b = own[(r["host"], r["t"])]
+        purity = (b + weight * share) / (n + weight)
+        verdict = r["rule"][0] if r["rule"] else "block" if round(purity, 6) >= reject and shapes[r["s"]] >= support else "allow"
+        out[r["id"]] = (r["host"], r["path"], r["rule"] and r["rule"][1], verdict, r["t"], r["s"], round(purity, 6))
+    return out
+
+
+def test_urls_against_brute_force(spark):
+    rng, rows = random.Random(12), []
+    hosts = ["a.org", "example.org", "b.com", "c.com", "d.com", "e.net", "f.net", "g.net"]
+    for i in range(700):
+        path = "/" + rng.choice(["de", "fr", "es", "en", "shop", "x" + str(rng.randrange(40))]) + "/" + rng.choice(["", str(rng.randrange(300)), "a/b", "p/q/r/s/t", "index"])
+        rows.append((i, f"http://{rng.choice(hosts)}{path}" + rng.choice(["", "?x/y", "#z"])))
+    rows += [(900 + k, u) for k, u in enumerate([None, "", "no scheme", "http://a.org", "://", "http://e.net//x"])] + rows[:3]
+    got = {r.page_id: tuple(r)[1:] for r in urls.url_filters(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()}
+    want = judged_urls(rows)
+    for i, w in want.items():
+        assert got[i][:6] == w[:6] and abs(got[i][6] - w[6]) < 2e-6, (got[i], w)
+    assert {got[i][3] for i in got if got[i][2] is None} == {"allow", "block"}
+
+
+def test_urls_learn_from_other_hosts(spark):
+    """A section that rules block elsewhere is bad on a host without rules; sections without any labels are not."""
+    rows = [f"http://h{k}.example.org/es/{i}" for k in range(6) for i in range(6)] + [f"http://k{k}.example.net/es/{i}" for k in range(3) for i in range(2)]
+    rows += [f"http://s.com/de/{i}" for i in range(40)] + [f"http://s.com/{part}/{i}" for part in ("item", "blog") for i in range(40)]
+    got = urls.url_filters(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"))
+    found = {(r.host, r.template, r.verdict): r["count"] for r in got.groupBy("host", "template", "verdict").count().collect()}
+    assert all(found[(f"k{k}.example.net", "/es/*", "block")] == 2 for k in range(3))
+    assert found[("s.com", "/de/*", "block")] == 40 and found[("s.com", "/item/*", "allow")] == 40 and found[("s.com", "/blog/*", "allow")] == 40
+
+
+def test_urls_keep_small_sections_of_a_hot_host(spark):
+    """Forty sections of twenty urls each stay apart, though each has a fortieth of the host."""
+    rows = [f"http://hot.com/{'de' if k == 0 else 'fr' if k == 1 else f'part{k}'}/{i}" for k in range(40) for i in range(20)]
+    got = urls.url_filters(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).groupBy("template", "verdict").count().collect()
+    assert len(got) == 40 and {(r.template, r.verdict) for r in got if r.verdict == "block"} == {("/de/*", "block")}
+
+
+def test_urls_on_rough_rows(spark, rough, none):
+    docs = rough.withColumnsRenamed({"text": "url"}).withColumns({c: F.lit("x") for c in ("host", "template", "shape", "child", "rule")})
+    got = urls.url_filters(docs, id_col="doc_id").collect()
+    want = Counter((i, parsed_url(t)[0]) for i, t in ROWS)
+    assert Counter((r.doc_id, r.host) for r in got) == want and all(r.verdict == "allow" for r in got)
+    assert urls.url_filters(none.withColumnRenamed("text", "url"), id_col="doc_id").count() == 0
 
 
 # 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -30,18 +31,49 @@ def _classes(low: int, high: int) -> tuple[str, str]:
     return "".join(of["L"]), "".join(of["N"])
 
 
+# the settings under which no token crosses white space and a chunk is cut into words, digits and signs
+BY_CHUNKS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "behavior": "Removed", "invert": True,
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def goes_by_chunks(path: str) -> bool:
+    """Whether a tokenizer's own settings are those that the chunk tables stand for."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    extras = [settings.get(k) for k in ("post_processor", "truncation", "padding")]
+    model = settings["model"]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and model.get("end_of_word_suffix") == "</w>"
+    return plain and not any(extras) and all(settings.get(k) == v for k, v in BY_CHUNKS.items())
+
+
 class WordEncoder:
-    """Ids of a BPE-with-word-ends vocabulary, looked up by white-space chunk.
+    """Ids of a tokenizer, looked up by white-space chunk where its settings allow it.
 
-    No token crosses white space, so a chunk's ids are those it has anywhere;
+    For the settings ``BY_CHUNKS`` a chunk's ids are those it has anywhere;
     they are kept in a bounded table. Texts with characters outside plain
-    Latin ranges, or with markers of special tokens, go to the library whole.
+    Latin ranges, or with markers of special tokens, and all texts of other
+    tokenizers go to the library whole.
     """
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunks = goes_by_chunks(path)
         self.most = most
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -83,7 +115,7 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids, without special tokens of a template."""
         if not text:
             return b""
-        if self.other(text):
+        if not self.by_chunks or self.other(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         part, chunk, make = self.parts.get, self.chunks.get, self._chunk
         # no chunk is without ids, so `or` finds the misses
@@ -207,7 +239,8 @@ def pack_documents(
     number above bit 40. Memory holds the open windows (``most_open`` at most,
     each under ``size`` ids), the vocabulary and a bounded table of words.
 
-    ``tokenizer`` is a file name known to ``public_tokenizers`` or a path.
+    ``tokenizer`` is a file name known to ``public_tokenizers`` or a path, of
+    a JSON file of the tokenizers library with any settings.
 
     Defined cases: a null or empty text is the single id ``end_id``; a long
     text is cut into as many windows as it needs; repeated rows and null ids

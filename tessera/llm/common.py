@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.scratch import checkpoint_folder, drop_scratch, materialise
+
+__all__ = ["checkpoint_folder", "connected_components", "drop_scratch", "materialise", "read_table", "unsigned_crc32", "word_list"]
+
 # Bytes of a lower-cased word: digits, a-z and everything from 0x80 on; the rest separates.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -24,41 +25,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is named."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-    context.setCheckpointDir(own)
-    return checkpoint_folder(spark)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared checkpoint folder and read it back.
-
-    This cuts the lineage with replicated or shared storage instead of
-    executor-local blocks, so a lost executor costs a re-read and no more.
-    """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{checkpoint_folder(spark)}/tessera-{app}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what ``materialise`` has written for this application."""
-    app = spark.sparkContext.applicationId
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/tessera-{app}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unsigned_crc32(text: Column) -> Column:
     """CRC-32 of the UTF-8 bytes; a null text counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
@@ -68,9 +34,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(node, component): each node of ``edges(src, dst)`` with the smallest node it reaches.
 
     Alternates large-star and small-star rounds. Minima are combined before
-    the shuffle, so a hub with any number of neighbours never gathers in one
-    task; the edge list itself stays distributed and is cut to storage once
-    per round. The driver sees two numbers per round. Self-loops and repeated
+    their shuffle; the join of a hub's neighbours with its minimum is a plain
+    shuffle join of single rows, which adaptive execution splits where one hub
+    has many, and no neighbourhood is ever gathered. The edge list stays
+    distributed and is cut to storage once per round. The driver sees two numbers per round. Self-loops and repeated
     edges are harmless; an empty edge list gives an empty result.
     """
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import word_list
+from .common import materialise, word_list
 
 BITS = 22
 FOUND = ["n_words", "n_hit", "items", "contaminated", "spans", "clean_text"]
@@ -153,12 +154,44 @@ def benchmark_blocks(
         yield block
 
 
+SPANS = "array<array<long>>"
+BROADCAST_ROWS = 500_000
+
+
+def spans_of(hit: np.ndarray) -> list[list[int]]:
+    """[first, last + 1] of each run of marks."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
+    return [edges[i : i + 2] for i in range(0, len(edges), 2)]
+
+
+def block_hits(docs: DataFrame, block: list[tuple[str, list[bytes]]], width: int) -> DataFrame:
+    """(k, l, spans, items) of the rows of (k, l, text) in which one block of items has an occurrence."""
+    sent = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = sent.value
+        for b in batches:
+            rows = []
+            for k, l, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                hit, found = automaton.scan(word_list(text))
+                if found:
+                    rows.append({"k": k, "l": l, "spans": spans_of(hit), "items": sorted(found)})
+            yield pa.RecordBatch.from_pylist(rows, HITS)
+
+    found = materialise(docs.mapInArrow(run, f"k long, l long, spans {SPANS}, items array<string>").dropDuplicates(["k", "l"]), "block-hits")
+    sent.destroy()
+    return found
+
+
+HITS = pa.schema([("k", pa.int64()), ("l", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
     width: int = 13,
     share: float = 0.05,
-    block_words: int = 2_000_000,
+    block_words: int = 250_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     remove_spans: bool = False,
@@ -167,9 +200,11 @@ def decontaminate(
     """One row a document: words, hit words, items found, verdict and hit spans.
 
     A window is ``width`` consecutive words of an item, or the whole of a
-    shorter item. Documents stream past the automaton once for each block of
-    at most ``block_words`` benchmark words, so the broadcast automaton has a
-    fixed bound (about 200 bytes a word); marks of several blocks are united.
+    shorter item. Items go into blocks of about ``block_words`` words (a
+    longer item is a block of its own), and documents stream past one block's
+    automaton at a time: a worker and the driver hold one, of about 800 bytes
+    a word, so 200 MB. One block takes one pass; with more, each pass writes
+    down the hits of the documents that have any, and a last one unites them.
     The automaton walks only stretches of adjacent word pairs that occur in
     the benchmark; elsewhere no window can lie.
 
@@ -186,28 +221,45 @@ def decontaminate(
     columns other than id and text are ignored.
     """
     spark = docs.sparkSession
-    sent = [
-        spark.sparkContext.broadcast(SuffixAutomaton(block, width))
-        for block in benchmark_blocks(benchmark, block_words)
-    ]
-    percent = round(share * 100)
-
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if carry else []
+    text = F.col(text_col).cast("binary")
+    key = [F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text).alias("l")]
+    rows = docs.select(
+        F.col(id_col).alias("id"), text.alias("text"), *key, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra))
+    )
+    blocks = benchmark_blocks(benchmark, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    none = [F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<array<string>>").alias("items")]
+    sent = None
+    if second is None:
+        sent = spark.sparkContext.broadcast(SuffixAutomaton(first, width))
+        rows = rows.select("*", *none)
+    else:
+        texts = rows.select("k", "l", "text")
+        hits = block_hits(texts, first, width)
+        for block in chain([second], blocks):
+            hits = hits.unionByName(block_hits(texts, block, width))
+        # texts that are equal have equal hits
+        hits = hits.groupBy("k", "l").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_list("items").alias("items"))
+        hits = materialise(hits, "hits")
+        rows = rows.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, ["k", "l"], "left")
+    percent = round(share * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for value in b.column(1):
+            for value, given, items in zip(b.column(1), b.column(2), b.column(3), strict=True):
                 text = value.as_py()
                 words = word_list(text)
-                hit, found = np.zeros(len(words), bool), set()
-                for automaton in sent:
-                    more, items = automaton.value.scan(words)
-                    hit |= more
-                    found |= items
+                if sent is not None:
+                    hit, found = sent.value.scan(words)
+                else:
+                    hit = np.zeros(len(words), bool)
+                    for i, j in given.as_py() or ():
+                        hit[i:j] = True
+                    found = {x for xs in items.as_py() or () for x in xs}
                 n_hit = int(hit.sum())
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
-                spans = [edges[i : i + 2] for i in range(0, len(edges), 2)]
+                spans = spans_of(hit)
                 clean = None
                 if remove_spans and text is not None:
                     clean = without_words(text, spans) if spans else text
@@ -223,14 +275,11 @@ def decontaminate(
             ]
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *arrays, *b.columns[2:]], ["id", *FOUND, *(f"c{i}" for i in range(len(extra)))]
+                [b.column(0), *arrays, *b.columns[4:]], ["id", *FOUND, *(f"c{i}" for i in range(len(extra)))]
             )
 
-    source = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
-        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)),
-    )
-    schema = StructType([source.schema["id"], *_parse_datatype_string(FOUND_SCHEMA), *source.schema[2:]])
+    source = rows.select("id", "text", "spans", "items", *(f"c{i}" for i in range(len(extra))))
+    schema = StructType([source.schema["id"], *_parse_datatype_string(FOUND_SCHEMA), *source.schema[4:]])
     result = source.mapInArrow(run, schema)
     names = [f"__{n}" for n in FOUND] if carry else FOUND
     result = result.toDF(id_col, *names, *extra)

@@ -233,6 +233,15 @@ def test_automaton_against_brute_force():
             assert (hit.tolist(), found) == marked(words, items, width)
 
 
+def test_blocks_of_items_give_what_one_gives(spark):
+    """Benchmarks of many blocks, on the tables and with remote matches in one document."""
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    one = decontamination.decontaminate(docs, bench, remove_spans=True)
+    many = decontamination.decontaminate(docs, bench, block_words=300, remove_spans=True)
+    assert len(list(decontamination.benchmark_blocks(bench, 300))) > 5 and one.where("contaminated").count() > 0
+    assert Counter(map(str, one.collect())) == Counter(map(str, many.collect()))
+
+
 def test_decontamination(spark, rough, none):
     bench = spark.createDataFrame([(1, PASSAGE[:200]), (2, "one"), (3, None), (None, "alpha1"), (4, "")], "item_id long, text string")
     rows = decontamination.decontaminate(rough, bench, block_words=5, remove_spans=True, carry=True).collect()
@@ -451,11 +460,12 @@ def test_line_dedup(spark, rough, none):
 
 
 # 7
-def test_encoder_equals_the_library(spark):
+@pytest.mark.parametrize("name", [queries.TOKENIZER, "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(spark, name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path(queries.TOKENIZER)
+    path = public_tokenizers.path(name)
     library, ours = Tokenizer.from_file(path), packing.WordEncoder(path, most=50)
     odd = ["a\x1cb", "a\x85b", "a\xa0b", "a​b", "<|endoftext|> x", "I'S it's don''t're", "a_b__c 12³ ¼ ª", "Straße İ Σας", "é", "\x00", "x’s", "ǅ ŉ ſ", "word" * 40, "", "…—“q”", "﻿", "中文字", "'ll", "'S"]
     for t in [*odd, *(t for _, t in texts(spark))]:
@@ -484,6 +494,45 @@ def test_packing_is_a_round_trip(spark, rough, none):
     assert packing.pack_documents(none, queries.TOKENIZER).count() == 0
 
 
+def test_settings_of_other_tokenizers_are_kept(tmp_path):
+    """The same vocabulary without lower-casing is not looked up by chunks."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path(queries.TOKENIZER)) as f:
+        settings = json.load(f)
+    settings["normalizer"]["normalizers"].pop()
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(settings))
+    encoder, library = packing.WordEncoder(str(path)), Tokenizer.from_file(str(path))
+    assert not encoder.by_chunks
+    assert np.frombuffer(encoder.encode("Hello World"), "<u4").tolist() == library.encode("Hello World", add_special_tokens=False).ids
+
+
+def test_level_choice_against_brute_force():
+    """Each placement has the least sum of squares, the fullest window among ties."""
+    rng = random.Random(3)
+    for _ in range(300):
+        packer = packing.SquareSumPacker(20)
+        for h in range(1, 20):
+            packer.levels[h] = rng.choice([0, 0, 1, 2, 3])
+        n = rng.randint(1, 19)
+
+        def cost(level):
+            counts = packer.levels.astype(int).tolist()
+            if level:
+                counts[level] -= 1
+            if level + n < 20:
+                counts[level + n] += 1
+            return sum(c * c for c in counts[1:20])
+
+        options = [0] + [h for h in range(1, 21 - n) if packer.levels[h]]
+        best = min(options, key=lambda h: (cost(h), -h))
+        assert packer._level(n) == best
+
+
 def test_packer_leaves_one_open_window():
     rng = random.Random(1)
     packer, out = packing.SquareSumPacker(64, gap=6, most_open=8), []

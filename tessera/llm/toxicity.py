@@ -2,40 +2,64 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_list
+from .common import materialise, word_list
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+STARTS = (4, 5, 6, 7)
+
+
+def features_of(word: bytes) -> list[bytes]:
+    """A word, and its beginnings of ``STARTS`` bytes, marked by a star, where it is longer."""
+    return [word, *(word[:k] + b"*" for k in STARTS if len(word) > k)]
+
+
+class WordFeatures(dict):
+    """Numbers of the features of each word, kept in a bounded table."""
+
+    def __init__(self, vocabulary: dict[bytes, int], most: int = 500_000):
+        super().__init__()
+        self.vocabulary, self.most = vocabulary, most
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        found = tuple(i for i in map(self.vocabulary.get, features_of(word)) if i is not None)
+        self[word] = found
+        return found
+
+    def counts(self, words: list[bytes]) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for word, n in Counter(words).items():
+            for i in self[word]:
+                out[i] = out.get(i, 0) + n
+        return out
+
+
 @dataclass
 class OrdinalModel:
     """P(grade > k) = sigmoid(w.x - cut[k]); the weights are shared by all cuts."""
 
-    words: dict[bytes, int]
+    vocabulary: dict[bytes, int]
     weights: np.ndarray
     cuts: np.ndarray
 
-    def features(self, words: list[bytes]) -> dict[int, float]:
-        """Sparse features: 1 + ln(count) of each word of the vocabulary."""
-        counts: dict[int, int] = {}
-        for i in map(self.words.get, words):
-            if i is not None:
-                counts[i] = counts.get(i, 0) + 1
-        return {i: 1 + float(np.log(n)) for i, n in counts.items()}
-
-    def above(self, words: list[bytes]) -> np.ndarray:
-        """Probability of exceeding each cut, not increasing."""
-        x = sum(self.weights[i] * v for i, v in self.features(words).items())
+    def above(self, counts: dict[int, int]) -> np.ndarray:
+        """Probability of exceeding each cut, not increasing, of a text with so many of each feature."""
+        x = sum(self.weights[i] * (1 + log(n)) for i, n in counts.items())
         return sigmoid(x - self.cuts)
 
 
@@ -71,78 +95,104 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 0.002, st
     return raw[:d], np.concatenate(([raw[d]], raw[d] + np.cumsum(np.exp(raw[d + 1 :]))))
 
 
-def train(sample: list[tuple[list[bytes], int]], grades: int, vocabulary: int = 2048, least: int = 4) -> OrdinalModel:
-    """Fit on a bounded labelled sample of (words, grade).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str, text_col: str) -> DataFrame:
+    """(i, y, t): at most ``most`` labelled documents, those of the lowest id hashes, written down.
 
-    The vocabulary holds the words of at least ``least`` sampled documents
-    whose log-odds of standing in a graded document, smoothed by a half, are
-    at least three standard errors over 0, and that stand in graded documents
-    at least as often as in others: the ``vocabulary`` strongest. Words of
-    clean documents are left out, as they would only tell languages apart.
+    A document is marked if any of its labels is. Of rows that share an id the
+    text of the lowest hash counts; null texts are left out.
     """
-    in_graded: dict[bytes, int] = {}
-    in_clean: dict[bytes, int] = {}
-    for words, grade in sample:
-        counts = in_graded if grade else in_clean
-        for w in set(words):
-            counts[w] = counts.get(w, 0) + 1
-    n1 = sum(1 for _, g in sample if g)
-    n0 = len(sample) - n1
-    strength = []
-    for w in in_graded.keys() | in_clean.keys():
-        a, b = in_graded.get(w, 0), in_clean.get(w, 0)
-        if a + b < least:
-            continue
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        error = (1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5)) ** 0.5
-        if odds >= 3 * error and a >= b:
-            strength.append((-odds / error, w))
-    words = {w: i for i, (_, w) in enumerate(sorted(strength)[:vocabulary])}
-    model = OrdinalModel(words, np.zeros(len(words)), np.full(grades - 1, 40.0))
-    if n1 and n0:
-        x = np.zeros((len(sample), len(words)))
-        for row, (ws, _) in enumerate(sample):
-            for i, v in model.features(ws).items():
-                x[row, i] = v
-        model.weights, model.cuts = fit_ordinal(x, np.array([g for _, g in sample]), grades)
-    return model
-
-
-def graded(sample: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], int]]:
-    """Three grades from a yes/no label: marked documents whose share of words that only
-    marked documents use is at or over the median of the marked ones are grade 2, the rest 1."""
-    clean = {w for ws, y in sample if not y for w in ws}
-    count: dict[bytes, int] = {}
-    for ws, y in sample:
-        if y:
-            for w in set(ws) - clean:
-                count[w] = count.get(w, 0) + 1
-    marks = {w for w, n in count.items() if n >= max(3, 0.02 * sum(1 for _, y in sample if y))}
-    rate = [sum(w in marks for w in ws) / max(1, len(ws)) for ws, _ in sample]
-    some = sorted(r for r, (_, y) in zip(rate, sample, strict=True) if y and r)
-    middle = some[len(some) // 2] if some else np.inf
-    return [(ws, 0 if not y else 2 if r >= middle else 1) for r, (ws, y) in zip(rate, sample, strict=True)]
-
-
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str, text_col: str
-) -> list[tuple[list[bytes], int]]:
-    """At most ``most`` labelled documents, those of the lowest id hashes."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("i"))
-        .agg(F.max(F.col(label_col).cast("int")).alias("y"))
+        .agg(F.max((F.col(label_col).cast("int") > 0).cast("int")).alias("y"))
         .orderBy(F.xxhash64("i"), "i")
         .limit(most)
     )
-    # 12 bytes for each of at most `most` rows
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
+    # 12 bytes for each of at most `most` rows
     rows = rows.join(F.broadcast(chosen), "i").where("t is not null")
-    shared: dict[bytes, bytes] = {}  # equal words are one object
-    sample = {}
-    for r in rows.collect():
-        sample[r.i] = ([shared.setdefault(w, w) for w in word_list(bytes(r.t))], int(r.y))
-    return [sample[i] for i in sorted(sample)]
+    return materialise(rows.groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")), "labelled-sample")
+
+
+def feature_rows(sample: DataFrame) -> DataFrame:
+    """(y, f): each feature of each sampled document, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = list({f for w in set(word_list(t.as_py())) for f in features_of(w)})
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(found, pa.binary())], ["y", "f"])
+
+    return sample.select("y", "t").mapInArrow(run, "y int, f binary")
+
+
+def telling_features(sample: DataFrame, vocabulary: int, least: int) -> tuple[list[bytes], set[bytes]]:
+    """The vocabulary, strongest first, and words of marked documents only.
+
+    The vocabulary holds the features of at least ``least`` sampled documents
+    whose log-odds of standing in a marked document, smoothed by a half, are
+    at least three standard errors over 0, and that stand in marked documents
+    at least as often as in others: the ``vocabulary`` strongest. Features of
+    clean documents are left out, as they would only tell languages apart.
+    Both lists have ``vocabulary`` entries at most; the counts stay in Spark.
+    """
+    sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    c = F.col
+    df = feature_rows(sample).groupBy("f").agg(F.count_if(c("y") == 1).alias("a"), F.count_if(c("y") == 0).alias("b"))
+    df = materialise(df.where((c("a") >= c("b")) & (c("a") + c("b") >= min(least, 3))), "feature-counts")
+    a, b = c("a") + 0.5, c("b") + 0.5
+    odds = F.log(a / (n1 - c("a") + 0.5)) - F.log(b / (n0 - c("b") + 0.5))
+    error = F.sqrt(1 / a + 1 / (n1 - c("a") + 0.5) + 1 / b + 1 / (n0 - c("b") + 0.5))
+    strength = F.round(odds / error, 9)
+    strong = df.where((c("a") + c("b") >= least) & (strength >= 3)).orderBy(F.desc(strength), "f").limit(vocabulary)
+    often = df.where((c("b") == 0) & (c("a") >= max(3, 0.02 * n1)) & ~c("f").cast("string").endswith("*")).orderBy(F.desc("a"), "f").limit(vocabulary)
+    return [bytes(r.f) for r in strong.select("f").collect()], {bytes(r.f) for r in often.select("f").collect()}
+
+
+def sparse_rows(sample: DataFrame, vocabulary: dict[bytes, int], marks: set[bytes]) -> list[tuple[int, float, dict[int, int]]]:
+    """(y, share of marking words, counts by feature number) of each sampled document, in order of its id."""
+    sent = sample.sparkSession.sparkContext.broadcast((vocabulary, marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, marks = sent.value
+        features = WordFeatures(vocabulary)
+        for b in batches:
+            rows = []
+            for i, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                words = word_list(t.as_py())
+                counts = features.counts(words)
+                rows.append((i, y, sum(w in marks for w in words) / max(1, len(words)), [*counts], [*counts.values()]))
+            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["i", "y", "rate", "at", "n"])
+
+    # at most `sample` rows of at most as many numbers as the vocabulary has
+    found = sample.select("i", "y", "t").mapInArrow(run, "i long, y int, rate double, at array<int>, n array<int>").collect()
+    return [(r.y, r.rate, dict(zip(r.at, r.n, strict=True))) for r in sorted(found, key=lambda r: r.i)]
+
+
+def train(sample: DataFrame, grades: int = 3, vocabulary: int = 2048, least: int = 4) -> OrdinalModel:
+    """Fit on a bounded labelled sample (i, y, t).
+
+    Labels say yes or no, so grades are made of them: marked documents whose
+    share of words that only marked documents use is at or over the median of
+    the marked ones are grade 2, the others grade 1.
+    """
+    strong, marks = telling_features(sample, vocabulary, least)
+    numbers = {f: i for i, f in enumerate(strong)}
+    rows = sparse_rows(sample, numbers, marks)
+    some = sorted(rate for y, rate, _ in rows if y and rate)
+    middle = some[len(some) // 2] if some else np.inf
+    y = np.array([0 if not y else 2 if rate >= middle else 1 for y, rate, _ in rows], int)
+    model = OrdinalModel(numbers, np.zeros(len(numbers)), np.full(grades - 1, 40.0))
+    if len(y) and y.any() and not y.all():
+        x = np.zeros((len(rows), len(numbers)))
+        for k, (_, _, counts) in enumerate(rows):
+            for i, n in counts.items():
+                x[k, i] = 1 + log(n)
+        model.weights, model.cuts = fit_ordinal(x, y, grades)
+    return model
 
 
 def score_severity(
@@ -162,12 +212,12 @@ def score_severity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        none = model.above([])
+        features, none = WordFeatures(model.vocabulary), model.above({})
         for b in batches:
             severity, grade, toxic = [], [], []
             for value in b.column(1):
-                words = word_list(value.as_py())
-                above = none if model.words.keys().isdisjoint(words) else model.above(words)
+                counts = features.counts(word_list(value.as_py()))
+                above = model.above(counts) if counts else none
                 each = -np.diff(np.concatenate(([1.0], above, [0.0])))
                 severity.append(round(float(above.sum()), 6))
                 grade.append(int(np.argmax(each)))
@@ -193,6 +243,10 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Train on a bounded labelled sample (``sample`` documents at most), then score every row."""
-    model = train(graded(labelled_sample(docs, labels, label_col, sample, id_col, text_col)), grades=3)
+    """Train on a bounded labelled sample (``sample`` documents at most), then score every row.
+
+    Cases as in ``labelled_sample`` and ``score_severity``; without marked or
+    without clean labels no row is toxic.
+    """
+    model = train(labelled_sample(docs, labels, label_col, sample, id_col, text_col))
     return score_severity(docs, model, id_col, text_col)

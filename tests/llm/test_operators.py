@@ -666,12 +666,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert counts[(1, True)] >= 0.6 * (counts[(1, True)] + counts.get((1, False), 0))
 
 
-def test_toxicity_on_rough_rows(rough, none, labels):
-    assert toxicity.toxicity(rough, labels).count() == len(ROWS)
-    assert toxicity.toxicity(rough, labels.where("false")).where("toxic").count() == 0
+def test_toxicity_on_rough_rows(spark, rough, none, labels):
+    got = toxicity.toxicity(rough, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ROWS)
+    by_text = defaultdict(set)
+    for (i, t), r in zip(sorted(ROWS, key=str), sorted(got, key=lambda r: str((r.doc_id, None))), strict=True):
+        by_text[i].add((r.severity, r.grade, r.toxic))
+    assert all(len(v) == 1 for i, v in by_text.items() if i is not None)
+    for marks in (labels.where("false"), labels.where("toxic = 1"), labels.where("toxic = 0")):
+        assert toxicity.toxicity(rough, marks).where("toxic").count() == 0
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (1, "c d"), (2, "e"), (3, None), (None, "f")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (3, 1), (None, 1)], "doc_id long, toxic int")
+    found = [sorted((r.i, r.y, bytes(r.t)) for r in toxicity.labelled_sample(docs.repartition(n), marks, "toxic", 10, "doc_id", "text").collect()) for n in (1, 4)]
+    assert found[0] == found[1] and [(i, y) for i, y, _ in found[0]] == [(1, 1), (2, 0)]
+    assert toxicity.labelled_sample(docs, marks, "toxic", 1, "doc_id", "text").count() <= 1
+
+
+def test_telling_features_against_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        y = i % 3 == 0
+        words = [rng.choice(["common", "plain", "every"]) for _ in range(8)] + ([f"nasty{rng.randrange(9)}", "vile"][: rng.randint(0, 2)] if y else [f"kind{rng.randrange(9)}"])
+        rows.append((i, int(y), " ".join(words).encode()))
+    strong, marks = toxicity.telling_features(spark.createDataFrame(rows, "i long, y int, t binary"), 50, 4)
+    a, b = Counter(), Counter()
+    for _, y, t in rows:
+        (a if y else b).update({f for w in t.split() for f in toxicity.features_of(w)})
+    n1, n0, want = sum(y for _, y, _ in rows), sum(not y for _, y, _ in rows), []
+    for f in a:
+        p, q = a[f], b[f]
+        odds = np.log((p + 0.5) / (n1 - p + 0.5)) - np.log((q + 0.5) / (n0 - q + 0.5))
+        error = (1 / (p + 0.5) + 1 / (n1 - p + 0.5) + 1 / (q + 0.5) + 1 / (n0 - q + 0.5)) ** 0.5
+        if p + q >= 4 and p >= q and round(odds / error, 9) >= 3:
+            want.append((-round(odds / error, 9), f))
+    assert strong == [f for _, f in sorted(want)] and {b"nast*", b"nasty*"} <= {*strong} and b"nasty" not in strong
+    assert marks == {f for f in a if b[f] == 0 and a[f] >= 3 and not f.endswith(b"*")}
+
+
 # 10
 def test_licenses(spark, rough, none):
     rows = [(1, "x Under the MIT License, y under the mit license"), (2, "This work is licensed under the GNU General Public License, version 3."),

@@ -63,7 +63,7 @@ class OrdinalModel:
         return sigmoid(x - self.cuts)
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 0.002, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 0.02, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts of a proportional-odds model, by accelerated gradient descent.
 
     ``x`` is a dense block of sampled rows by selected features; grades that
@@ -126,12 +126,12 @@ def feature_rows(sample: DataFrame) -> DataFrame:
     return sample.select("y", "t").mapInArrow(run, "y int, f binary")
 
 
-def telling_features(sample: DataFrame, vocabulary: int, least: int) -> tuple[list[bytes], set[bytes]]:
+def telling_features(sample: DataFrame, vocabulary: int, least: int, errors: float = 2.5) -> tuple[list[bytes], set[bytes]]:
     """The vocabulary, strongest first, and words of marked documents only.
 
     The vocabulary holds the features of at least ``least`` sampled documents
     whose log-odds of standing in a marked document, smoothed by a half, are
-    at least three standard errors over 0, and that stand in marked documents
+    at least ``errors`` standard errors over 0, and that stand in marked documents
     at least as often as in others: the ``vocabulary`` strongest. Features of
     clean documents are left out, as they would only tell languages apart.
     Both lists have ``vocabulary`` entries at most; the counts stay in Spark.
@@ -145,7 +145,7 @@ def telling_features(sample: DataFrame, vocabulary: int, least: int) -> tuple[li
     odds = F.log(a / (n1 - c("a") + 0.5)) - F.log(b / (n0 - c("b") + 0.5))
     error = F.sqrt(1 / a + 1 / (n1 - c("a") + 0.5) + 1 / b + 1 / (n0 - c("b") + 0.5))
     strength = F.round(odds / error, 9)
-    strong = df.where((c("a") + c("b") >= least) & (strength >= 3)).orderBy(F.desc(strength), "f").limit(vocabulary)
+    strong = df.where((c("a") + c("b") >= least) & (strength >= errors)).orderBy(F.desc(strength), "f").limit(vocabulary)
     often = df.where((c("b") == 0) & (c("a") >= max(3, 0.02 * n1)) & ~c("f").cast("string").endswith("*")).orderBy(F.desc("a"), "f").limit(vocabulary)
     return [bytes(r.f) for r in strong.select("f").collect()], {bytes(r.f) for r in often.select("f").collect()}
 
@@ -172,7 +172,7 @@ def sparse_rows(sample: DataFrame, vocabulary: dict[bytes, int], marks: set[byte
     return [(r.y, r.rate, dict(zip(r.at, r.n, strict=True))) for r in sorted(found, key=lambda r: r.i)]
 
 
-def train(sample: DataFrame, grades: int = 3, vocabulary: int = 2048, least: int = 4) -> OrdinalModel:
+def train(sample: DataFrame, grades: int = 3, vocabulary: int = 2048, least: int = 3) -> OrdinalModel:
     """Fit on a bounded labelled sample (i, y, t).
 
     Labels say yes or no, so grades are made of them: marked documents whose
@@ -200,7 +200,7 @@ def score_severity(
     model: OrdinalModel,
     id_col: str = "doc_id",
     text_col: str = "text",
-    threshold: float = 0.5,
+    threshold: float = 0.3,
 ) -> DataFrame:
     """(id, severity, grade, toxic) for each row: expected grade, likeliest grade, verdict.
 

@@ -692,7 +692,7 @@ def test_telling_features_against_brute_force(spark):
         y = i % 3 == 0
         words = [rng.choice(["common", "plain", "every"]) for _ in range(8)] + ([f"nasty{rng.randrange(9)}", "vile"][: rng.randint(0, 2)] if y else [f"kind{rng.randrange(9)}"])
         rows.append((i, int(y), " ".join(words).encode()))
-    strong, marks = toxicity.telling_features(spark.createDataFrame(rows, "i long, y int, t binary"), 50, 4)
+    strong, marks = toxicity.telling_features(spark.createDataFrame(rows, "i long, y int, t binary"), 50, 4, 3)
     a, b = Counter(), Counter()
     for _, y, t in rows:
         (a if y else b).update({f for w in t.split() for f in toxicity.features_of(w)})

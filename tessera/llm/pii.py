@@ -17,42 +17,69 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",  # runs of fewer than 13 digits fail as a whole
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# words with seven digits or an @ that could name somebody
-TOKEN = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){7})\S++"
-SPAN = "struct<start:int,end:int,value:string,left:string>"
-REACH = 64
+# what could name somebody: numbers of seven digits or more, in groups with the separators of the seeds or in one,
+# account numbers in groups of four, and words with seven digits or an @
+TOKEN = (
+    r"(?<![^\s(:;,])(?:"
+    r"[(+]{0,2}[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![^\s).,;:!?])"
+    r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+    r"|(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){7})\S++)"
+)
+SPAN = "struct<start:int,end:int,value:string>"
+PIECES = 256
 
 
-def found_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, value, left), in code points.
+def with_spans(rows: DataFrame, name: str, pattern: str, reach: int) -> DataFrame:
+    """``rows`` with ``name``: leftmost non-overlapping matches in ``text`` as (start, end, value, left), in code points.
 
-    ``left`` is what stands before a match, ``REACH`` characters at most.
+    ``left`` is what stands before a match, ``reach`` characters at most, and
+    not further back than the fourth match before.
 
     Matches are fenced by two control characters and the text is split at the
     first one; running lengths of the pieces give the places. Those two
     characters in the text itself stand as a third one meanwhile: no pattern
-    here matches any of the three. The list of places is copied at each
-    match, so a text with many thousand matches is slow, though right.
+    here matches any of the three. Pieces are added up in runs of ``PIECES``,
+    so a text with very many matches costs little more than its matches.
     """
-    safe = F.translate(text, "\x01\x02", "\x03\x03")
-    parts = F.split(F.regexp_replace(safe, f"({pattern})", "\x01$1\x02"), "\x01")
-    first = F.get(parts, 0)
-    start = F.struct(
-        F.length(first).alias("at"), F.right(first, F.lit(REACH)).alias("left"), F.array().cast(f"array<{SPAN}>").alias("out")
-    )
+    safe = F.translate("text", "\x01\x02", "\x03\x03")
+    fenced = F.split(F.regexp_replace(safe, f"({pattern})", "\x01$1\x02"), "\x01")
+    # a column, as a lambda would evaluate the expression again for each match
+    rows = rows.withColumn("__parts", F.when(F.col("text").rlike(pattern), fenced))
+    parts = F.col("__parts")
+    n = F.size(parts) - 1
+    none = F.array().cast(f"array<{SPAN}>")
 
     def take(acc: Column, part: Column) -> Column:
         value = F.substring_index(part, "\x02", 1)
-        end = acc["at"] + F.length(value)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), value.alias("value"), acc["left"].alias("left")).cast(SPAN)
-        left = F.right(F.concat(acc["left"], F.replace(part, F.lit("\x02"), F.lit(""))), F.lit(REACH))
-        return F.struct(
-            (acc["at"] + F.length(part) - 1).alias("at"), left.alias("left"), F.concat(acc["out"], F.array(span)).alias("out")
-        )
+        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value")).cast(SPAN)
+        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def run(k: Column) -> Column:
+        return F.aggregate(F.slice(parts, k * PIECES + 2, F.lit(PIECES)), F.struct(F.lit(0).alias("at"), none.alias("out")), take)
+
+    runs = F.transform(F.sequence(F.lit(0), F.call_function("div", n - 1, F.lit(PIECES)).cast("int")), run)
+    placed = F.aggregate(
+        runs,
+        F.struct(F.length(F.get(parts, 0)).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out")),
+        lambda acc, r: F.struct(
+            (acc["at"] + r["at"]).alias("at"),
+            F.concat(
+                acc["out"],
+                F.array(F.transform(r["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")).cast(SPAN))),
+            ).alias("out"),
+        ),
+    )
 
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    spans = F.aggregate(rest, start, take)["out"]
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def before(i: Column) -> Column:
+        pieces = F.slice(parts, F.greatest(i - 3, F.lit(0)) + 1, F.least(i + 1, F.lit(4)))
+        return F.right(F.replace(F.array_join(F.transform(pieces, lambda p: F.right(p, F.lit(reach))), ""), F.lit("\x02"), F.lit("")), F.lit(reach))
+
+    spans = F.transform(
+        F.flatten(placed["out"]),
+        lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before(i).alias("left")),
+    )
+    kind = "array<struct<start:int,end:int,value:string,left:string>>"
+    return rows.withColumn(name, F.when(parts.isNotNull(), spans).otherwise(F.array().cast(kind))).drop("__parts")
 
 
 def luhn(digits: Column) -> Column:
@@ -84,22 +111,24 @@ def cues(left: Column) -> Column:
     )
 
 
-def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, id, one array of spans a kind, others): ``others`` are the remaining tokens
-    with seven digits or an @ that could name somebody; all with their cues."""
+def base_spans(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
+    """(uid, id, one array of spans a kind, others): ``others`` are the other matches of
+    ``TOKEN``, which could name somebody; all with their cues."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), text.alias("text"))
     for kind in KINDS:
-        rows = rows.withColumn(f"raw_{kind}", found_spans(F.col("text"), PATTERNS[kind]))
+        rows = with_spans(rows, f"raw_{kind}", PATTERNS[kind], reach)
 
     def checked(kind: str) -> Column:
         return F.filter(f"raw_{kind}", lambda s: holds(kind, s["value"]))
 
     for kind in KINDS:
         rows = rows.withColumn(kind, checked(kind))
-    rows = rows.withColumn("tokens", found_spans(F.col("text"), TOKEN)).withColumn("all", F.concat(*KINDS))
+    rows = with_spans(rows, "tokens", TOKEN, reach).withColumn("all", F.concat(*KINDS))
+    # most tokens that are base matches begin with them, which a search among numbers tells at once
+    rows = rows.withColumn("begins", F.transform("all", lambda s: s["start"]))
     free = F.filter(
-        "tokens",
+        F.filter("tokens", lambda t: ~F.array_contains("begins", t["start"])),
         lambda t: ~F.exists("all", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
     )
     rows = rows.withColumn("others", free)
@@ -113,47 +142,48 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("uid", "id", *[cued(k).alias(k) for k in (*KINDS, "others")])
 
 
-def discovered(rows: DataFrame, confidence: float, support: int, rounds: int) -> DataFrame:
-    """(uid, found): spans of ``others`` that confident cues mark, as (kind, start, end).
-
-    Cues and the values after them form a bipartite graph. A seed value has
-    score 1 for its kind. A cue's score is the mean score of its distinct
-    values; to a cue, an unseen value is worth the best score of the cues of
-    another last word that at least ``support`` seeds follow, so a cue, or the
-    same one with a word before it, never backs itself. After ``rounds`` rounds the cues of at least
-    ``confidence`` mark the unseen values that follow them. Distinct values
-    are counted, so copies of a document add nothing, and every count is
-    combined before its shuffle.
+def scored_cues(edges: DataFrame, support: int, rounds: int) -> DataFrame:
+    """(cue, kind, score) of the patterns of a pattern-instance graph of (kind, value, cue); kind is null for unseen values.
+
+    A seed is worth 1 to its cues. An unseen value is worth, to a cue, the
+    best score that a cue of another last word has: so a cue, or the same one
+    with a word before it, never backs itself. A cue's score is the mean worth
+    of the distinct values that follow it; it has one once their worth sums up
+    to ``support`` or more. In the first round only seeds are worth anything;
+    in later ones values that are found induce cues that no seed follows.
+    Distinct values are counted, so copies of a document add nothing, and all
+    sums are combined before their shuffle.
     """
-    seeds = [
-        rows.select(F.lit(k).alias("kind"), F.explode(F.col(k)).alias("s")) for k in KINDS
-    ]
-    seen = seeds[0]
-    for more in seeds[1:]:
-        seen = seen.unionByName(more)
-    seen = seen.select("kind", F.col("s.value").alias("value"), F.explode("s.cues").alias("cue"))
-    free = rows.select(F.lit(None).cast("string").alias("kind"), F.explode("others").alias("s"))
-    free = free.select("kind", F.col("s.value").alias("value"), F.explode("s.cues").alias("cue"))
-    edges = materialise(seen.unionByName(free).where("cue <> ''").distinct(), "edges")
-    width = edges.groupBy("cue").agg(F.count_distinct("value").alias("width"))
-    backed = edges.where("kind is not null").groupBy("cue", "kind").agg(F.count_distinct("value").alias("backing"))
-    # only cues that enough seeds of a kind follow can ever score
-    graph = backed.where(F.col("backing") >= support).join(width, "cue")
-    open_ = edges.where("kind is null").select("value", "cue").join(graph.select("cue", "kind"), "cue")
-    graph, open_ = materialise(graph, "cues"), materialise(open_, "open-edges")
     word = F.regexp_extract("cue", r"(\p{L}+)$", 1)
-    scores = graph.withColumn("score", F.col("backing") / F.col("width"))
+    width = materialise(edges.groupBy("cue").agg(F.count_distinct("value").alias("width")), "widths")
+    backed = edges.where("kind is not null").groupBy("cue", "kind").agg(F.count_distinct("value").cast("double").alias("backing"))
+    backed = materialise(backed, "backing")
+    open_ = materialise(edges.where("kind is null").select("value", "cue"), "open-edges")
+
+    def scores_of(worth: DataFrame) -> DataFrame:
+        rows = worth.groupBy("cue", "kind").agg(F.sum("backing").alias("backing")).where(F.col("backing") >= support)
+        return materialise(rows.join(width, "cue").select("cue", "kind", (F.col("backing") / F.col("width")).alias("score")), "scores")
+
+    scores = scores_of(backed)
     for _ in range(rounds):
-        values = open_.join(scores.select("cue", "kind", "score"), ["cue", "kind"])
-        values = values.groupBy("value", "kind", word.alias("word")).agg(F.max("score").alias("score"))
+        values = open_.join(scores, "cue").groupBy("value", "kind", word.alias("word")).agg(F.max("score").alias("score"))
         best = values.groupBy("value", "kind").agg(F.max(F.struct("score", "word")).alias("best"))
         rest = values.join(best, ["value", "kind"]).where(F.col("word") != F.col("best.word"))
         best = best.join(rest.groupBy("value", "kind").agg(F.max("score").alias("next")), ["value", "kind"], "left")
         worth = F.when(word == F.col("best.word"), F.coalesce("next", F.lit(0.0))).otherwise(F.col("best.score"))
-        added = open_.join(best, ["value", "kind"]).groupBy("cue", "kind").agg(F.sum(worth).alias("added"))
-        scores = graph.join(added, ["cue", "kind"], "left")
-        scores = scores.withColumn("score", (F.col("backing") + F.coalesce("added", F.lit(0.0))) / F.col("width"))
-        scores = materialise(scores.drop("added"), "scores")
+        added = open_.join(best, "value").select("cue", "kind", worth.alias("backing"))
+        scores = scores_of(backed.unionByName(added))
+    return scores
+
+
+def discovered(rows: DataFrame, confidence: float, support: int, rounds: int) -> DataFrame:
+    """(uid, found): spans of ``others`` that cues of ``confidence`` or more mark, as (kind, start, end)."""
+    seen = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("spans")) for k in KINDS))).alias("x"))
+    seen = seen.select("x.kind", F.explode("x.spans").alias("s"))
+    free = rows.select(F.lit(None).cast("string").alias("kind"), F.explode("others").alias("s"))
+    edges = seen.unionByName(free).select("kind", F.col("s.value").alias("value"), F.explode("s.cues").alias("cue"))
+    edges = materialise(edges.where("cue <> ''").distinct(), "edges")
+    scores = scored_cues(edges, support, rounds)
     good = scores.where(F.col("score") >= confidence).groupBy("cue").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     marks = rows.select("uid", F.explode("others").alias("s")).select(
         "uid", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.explode("s.cues").alias("cue")
@@ -167,19 +197,23 @@ def find_pii(
     confidence: float = 0.9,
     support: int = 5,
     rounds: int = 3,
+    reach: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(id, base, spans) for each row: arrays of (kind number, start, end) in order.
 
     ``base`` are the pattern matches that hold; ``spans`` also has what the
-    bootstrapped cues found. Texts are read once; what follows works on spans.
+    bootstrapped cues found: other matches of ``TOKEN`` behind a cue, the last
+    word or two words before a place, whose score is ``confidence`` or more
+    (``scored_cues``). Cues are read from ``reach`` characters. Texts are read
+    once; what follows works on spans.
 
     Defined cases: null and empty texts have no spans; repeated rows and null
     ids are handled one by one; long texts are searched whole; an empty table
     gives no rows; other columns are ignored.
     """
-    rows = materialise(base_spans(docs, id_col, text_col), "spans")
+    rows = materialise(base_spans(docs, id_col, text_col, reach), "spans")
     more = discovered(rows, confidence, support, rounds)
 
     def numbered(kind: str) -> Column:

@@ -44,7 +44,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(n).alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
     return found.select(
-        "doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans")
+        "doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -381,6 +381,63 @@ def test_pii_cues_find_more(spark):
     assert got[50] == "phone:20:32" and got[51] == "" and got[3].startswith("phone:20:")
 
 
+def test_pii_finds_numbers_in_groups(spark):
+    values = ["030 1234 5678", "826 555 4081", "(826) 555-4081", "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1112", "826.555.4081"]
+    rows = [(i, f"please call hotline +1 (555) 555-{1000 + i} today") for i in range(60)]
+    rows += [(100 + k, f"please call hotline {v} today") for k, v in enumerate(values)] + [(200, "the years 1999 2000 2001 went by"), (201, "call hotline 12 34")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.find_pii(docs).select("doc_id", pii.spelled("spans").alias("s")).collect()}
+    assert [got[100 + k] for k in range(len(values))] == [f"phone:20:{20 + len(v)}" for v in values] and got[200] == got[201] == ""
+
+
+def graph_scores(edges, support, rounds):
+    last = lambda c: c.split()[-1]
+    width, seeds, open_ = defaultdict(set), defaultdict(set), set()
+    for kind, value, cue in edges:
+        width[cue].add(value)
+        if kind:
+            seeds[(cue, kind)].add(value)
+        else:
+            open_.add((value, cue))
+    backing = {k: float(len(v)) for k, v in seeds.items()}
+    scores = {k: n / len(width[k[0]]) for k, n in backing.items() if n >= support}
+    for _ in range(rounds):
+        total = Counter(backing)
+        for value, cue in open_:
+            for kind in {k for _, k in scores}:
+                near = [s for (c, k), s in scores.items() if k == kind and (value, c) in open_ and last(c) != last(cue)]
+                total[(cue, kind)] += max(near, default=0.0)
+        scores = {k: n / len(width[k[0]]) for k, n in total.items() if n >= support}
+    return scores
+
+
+def test_pii_graph_against_brute_force(spark):
+    rng, edges = random.Random(2), set()
+    for _ in range(160):
+        value, cue = rng.randrange(40), rng.choice(["call", "please call", "ring", "tel", "my tel", "no", "at"])
+        edges.add((None if value >= 14 else rng.choice(["phone", "phone", "card"]), str(value), cue))
+    df = spark.createDataFrame(list(edges), "kind string, value string, cue string")
+    for rounds in (0, 1, 3):
+        got = {(r.cue, r.kind): r.score for r in pii.scored_cues(df, 3, rounds).collect()}
+        want = graph_scores(edges, 3, rounds)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+
+
+def test_pii_instances_induce_new_cues(spark):
+    """No seed follows "tel", but the numbers that "hotline" finds do; so "tel" finds another one."""
+    rows = [(i, f"hotline +1 (555) 555-{1000 + i} x") for i in range(200)] + [(300 + k, f"hotline 826 555 {4000 + k} x tel 826 555 {4000 + k} y") for k in range(12)]
+    rows += [(400, "tel 826 555 9999 y"), (401, "room 826 555 9999 y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count = lambda rounds: {r.doc_id: r.n for r in pii.find_pii(docs, confidence=0.8, rounds=rounds).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert count(0)[400] == 0 and count(3)[400] == 1 and count(3)[401] == 0
+
+
+def test_pii_in_a_text_with_many_matches(spark):
+    text = " ".join(f"mail u{i}@ex.co or 10.0.{i % 256}.1" for i in range(3000)) + " é 1.2.3.4"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.find_pii(docs).select(pii.spelled("base").alias("s")).first().s == base_of(text)
+
+
 def test_pii_cue_with_half_seeds_marks_nothing(spark):
     rows = [(i, f"the order number +1 (555) 555-{1000 + i} today") for i in range(5)]
     rows += [(10 + i, f"the order number 2024000{100 + i} today") for i in range(6)]

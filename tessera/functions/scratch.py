@@ -31,15 +31,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared checkpoint folder and read it back.
 
     This cuts the lineage with replicated or shared storage instead of
-    executor-local blocks, so a lost executor costs a re-read and no more.
+    executor-local blocks, so a lost executor costs a re-read and no more. It
+    stays until ``drop_scratch`` or the end of the application.
     """
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups, as a task holds one of each column in memory while it writes
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
+    files, own = _files(spark)
+    files.deleteOnExit(own)  # what drop_scratch has not deleted by then
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession):
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete what ``materialise`` has written for this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what ``materialise`` has written for this application so far."""
+    files, own = _files(spark)
+    files.delete(own, True)

@@ -75,6 +75,27 @@ def funnel(events: DataFrame, since: Column, stages: tuple[str, str, str, str])
     )
 
 
+def with_names(rows: DataFrame, **names: tuple[DataFrame, str]) -> DataFrame:
+    """Rows with the name of what they belong to: output column to (table(id, name), key column); every row stays."""
+    for column, (table, key) in names.items():
+        table = table.select(F.col("id").alias(f"__{column}"), F.col("name").alias(column))
+        rows = rows.join(table, F.col(key) == F.col(f"__{column}"), "left").drop(f"__{column}")
+    return rows
+
+
+def org_rollup(orgs: DataFrame, sites: DataFrame, users: DataFrame, scans: DataFrame) -> DataFrame:
+    """Each organisation with its numbers of sites, users and scans and its last scan; each table is counted before it is joined."""
+    parts = [
+        sites.groupBy("org_id").agg(F.count("*").alias("sites")), users.groupBy("org_id").agg(F.count("*").alias("users")),
+        scans.groupBy("org_id").agg(F.count("*").alias("scans"), F.max("created_at").alias("last_activity")),
+    ]
+    rows = orgs.withColumn("org_id", F.col("id"))
+    for part in parts:
+        rows = rows.join(part, "org_id", "left")
+    counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("sites", "users", "scans")]
+    return rows.select(*orgs.columns, *counts, "last_activity")
+
+
 def plans(spark) -> DataFrame:
     return spark.createDataFrame(
         [(i, *p) for i, p in enumerate(fixed.PLANS)],

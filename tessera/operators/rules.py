@@ -373,19 +373,33 @@ def measured_looks(elements: DataFrame, measurements: DataFrame) -> DataFrame:
     return rows.withColumn("facts", facts).select(*elements.columns)
 
 
+def jumps(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows whose ``rank`` is more than one over that of the row before, which ``before`` holds."""
+    rows = rows.withColumn("before", F.lag("rank").over(Window.partitionBy(*by).orderBy(*order)))
+    return rows.where(F.col("rank") > F.col("before") + 1)
+
+
+def repeats(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """All but the first row of each group; ``nth`` counts from 2."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("nth > 1")
+
+
+def several_targets(links: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, node_id) of names that stand for two targets or more, at the first link."""
+    return links.groupBy(*by).agg(F.count_distinct("href").alias("n"), F.min("node_id").alias("node_id")).where("n >= 2")
+
+
 def window_findings(elements: DataFrame) -> DataFrame:
     """Rules on the order of elements within a page: windows by page, in document order."""
     c, attrs = F.col, F.col("attrs")
-    page = Window.partitionBy("page_id").orderBy("node_id")
     heads = elements.where(c("tag").rlike("^h[1-6]$") & ~c("hidden_deep")).withColumn("rank", F.substring("tag", 2, 1).cast("int"))
-    heads = heads.withColumn("before", F.lag("rank").over(page))
-    skipped = heads.where(c("rank") > c("before") + 1)
+    skipped = jumps(heads, ["page_id"], ["node_id"])
     better = F.concat(F.lit("h"), (c("before") + 1).cast("string"))
     fix = F.struct(F.lit("rename-tag").alias("strategy"), F.lit(None).cast("string").alias("attribute"), better.alias("value"), F.lit("review").alias("tier"))
     out = findings_of(skipped, "heading-order", fix=fix)
 
     def again(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", *by).orderBy("node_id"))).where("nth > 1")
+        return repeats(rows, ["page_id", *by], ["node_id"])
 
     ids = elements.withColumn("k", attrs["id"]).where("k <> ''")
     out = out.unionByName(findings_of(again(ids, "k"), "duplicate-id", F.concat_ws("#", "k", "nth")))
@@ -444,7 +458,7 @@ def group_findings(elements: DataFrame) -> DataFrame:
 
     links = elements.where((c("tag") == "a") & attrs["href"].isNotNull() & ~c("hidden_deep")).withColumn("k", F.lower(F.trim("acc_name"))).where(F.length("k") >= 3)
     links = links.withColumn("href", F.split_part(attrs["href"], F.lit("#"), F.lit(1)))
-    many = links.groupBy("page_id", "k").agg(F.count_distinct("href").alias("n"), F.min("node_id").alias("node_id")).where("n >= 2")
+    many = several_targets(links, ["page_id", "k"])
     return out.unionByName(findings_of(links.join(many.drop("n"), ["page_id", "k", "node_id"], "left_semi"), "link-same-name-different-target", c("k")))
 
 

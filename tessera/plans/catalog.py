@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color, text
+from tessera.functions.scratch import materialise
 from tessera.operators import frontier, ledger, remediation, reports, rules, scoring
 from tessera.sources.html import html_elements
+from tessera.sources.tables import read_table
 from tessera.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +30,7 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(lambda name, spread=False: read_table(spark, sf_dir, name, spread))
 
         run.__name__ = f.__name__
         QUERIES[f.__name__] = run
@@ -46,11 +48,9 @@ def money(x: Column) -> Column:
 
 # the flagship: pages to elements to findings to scores
 def _analysed(t) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Elements are kept, on disk if need be: five rule passes read them."""
-    from pyspark import StorageLevel
-
-    pages = t("pages")
-    elements = html_elements(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    """Elements are written down once: five rule passes read them, a few columns each."""
+    pages = t("pages", spread=True)
+    elements = materialise(html_elements(pages), "elements")
     return pages, elements, rules.find_all(elements, pages)
 
 
@@ -68,17 +68,17 @@ def page_findings(t):
 
 @query()
 def page_elements(t):
-    return html_elements(t("pages")).select("page_id", "node_id", "parent_id", "depth", "tag", "css_path", "role", "acc_name", "hidden_deep", "focusable")
+    return html_elements(t("pages", spread=True)).select("page_id", "node_id", "parent_id", "depth", "tag", "css_path", "role", "acc_name", "hidden_deep", "focusable")
 
 
 @query()
 def element_tags(t):
-    return html_elements(t("pages")).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+    return html_elements(t("pages", spread=True)).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
 @query()
 def page_coverage(t):
-    return scoring.coverage(html_elements(t("pages")))
+    return scoring.coverage(html_elements(t("pages", spread=True)))
 
 
 @query()
@@ -222,8 +222,10 @@ select o_orderstatus as status, n_name as org, count(*) as n from orders left jo
 left join nation on c_nationkey = n_nationkey group by all
 """)
 def requests_by_org(t):
-    rows = t("orders").join(t("customer"), c("o_custkey") == c("c_custkey"), "left").join(t("nation"), c("c_nationkey") == c("n_nationkey"), "left")
-    return rows.groupBy(c("o_orderstatus").alias("status"), c("n_name").alias("org")).agg(F.count("*").alias("n"))
+    sites = t("customer").select(c("c_custkey").alias("id"), c("c_nationkey").alias("name"))
+    rows = reports.with_names(t("orders").select("o_orderstatus", "o_custkey"), org_id=(sites, "o_custkey"))
+    rows = reports.with_names(rows, org=(t("nation").select(c("n_nationkey").alias("id"), c("n_name").alias("name")), "org_id"))
+    return rows.groupBy(c("o_orderstatus").alias("status"), "org").agg(F.count("*").alias("n"))
 
 
 @query("select c_custkey as site from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
@@ -250,9 +252,9 @@ with last as (select *, row_number() over (partition by o_custkey order by o_ord
 select a.o_custkey as site, a.o_orderkey as scan, b.o_orderkey as other from last a left join last b on a.o_custkey = b.o_custkey and b.n = 2 where a.n = 1
 """)
 def newest_other_scan(t):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    rows = t("orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("other"), F.row_number().over(w).alias("n")).where("n = 1")
-    return rows.select(c("o_custkey").alias("site"), c("o_orderkey").alias("scan"), "other")
+    scans = t("orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("site_id"), F.lit("complete").alias("status"), F.lit(0).alias("score"), c("o_orderdate").alias("created_at"))
+    last = reports.latest(scans, "site_id", F.desc("created_at"), F.desc("id"))
+    return reports.newest_other(scans, last).select(c("site_id").alias("site"), c("scan_id").alias("scan"), "other")
 
 
 @query("select count(*) as n from orders where o_orderdate >= (select max(o_orderdate) - interval 30 day from orders)")
@@ -363,12 +365,11 @@ select n_nationkey as org, n_name as name, (select count(*) from customer where
   (select max(o_orderdate) from orders join customer on o_custkey = c_custkey where c_nationkey = n_nationkey) as last_activity from nation
 """)
 def org_rollup(t):
-    sites = t("customer").groupBy("c_nationkey").agg(F.count("*").alias("s"))
-    users = t("supplier").groupBy("s_nationkey").agg(F.count("*").alias("u"))
-    scans = t("orders").join(t("customer"), c("o_custkey") == c("c_custkey")).groupBy(c("c_nationkey").alias("k")).agg(F.count("*").alias("o"), F.max("o_orderdate").alias("last_activity"))
-    rows = t("nation").join(sites, c("n_nationkey") == c("c_nationkey"), "left").join(users, c("n_nationkey") == c("s_nationkey"), "left").join(scans, c("n_nationkey") == c("k"), "left")
-    zero = F.lit(0)
-    return rows.select(c("n_nationkey").alias("org"), c("n_name").alias("name"), F.coalesce("s", zero).alias("sites"), F.coalesce("u", zero).alias("users"), F.coalesce("o", zero).alias("scans"), "last_activity")
+    orgs = t("nation").select(c("n_nationkey").alias("id"), c("n_name").alias("name"))
+    sites = t("customer").select(c("c_custkey").alias("id"), c("c_nationkey").alias("org_id"))
+    users = t("supplier").select(c("s_nationkey").alias("org_id"))
+    scans = t("orders").select(c("o_custkey").alias("site_id"), c("o_orderdate").alias("created_at")).join(sites.withColumnRenamed("id", "site_id"), "site_id")
+    return reports.org_rollup(orgs, sites, users, scans).select(c("id").alias("org"), "name", "sites", "users", "scans", "last_activity")
 
 
 IMPACT = "case l_linenumber when 1 then 'critical' when 2 then 'serious' when 3 then 'moderate' else 'minor' end"
@@ -427,7 +428,8 @@ select p_partkey as criterion, coalesce(f, 0) as failures, coalesce(r, 0) as rev
 """)
 def criterion_verdicts(t):
     d = t("lineitem").groupBy("l_partkey").agg(F.count_if(c("l_returnflag") == "R").alias("f"), F.count_if(c("l_returnflag") == "A").alias("r"))
-    verdict = F.when(c("p_size") % 3 == 0, "Not Evaluated").when(c("f") > 0, "Does Not Support").when(c("r") > 0, "Partially Supports").when(c("p_size") % 3 == 1, "Supports").otherwise("Needs Manual Review")
+    automated = F.element_at(F.array(F.lit("none"), F.lit("full"), F.lit("partial")), c("p_size") % 3 + 1)
+    verdict = scoring.verdict(automated, c("f"), c("r"))
     rows = t("part").join(d, c("p_partkey") == c("l_partkey"), "left")
     return rows.select(c("p_partkey").alias("criterion"), F.coalesce("f", F.lit(0)).alias("failures"), F.coalesce("r", F.lit(0)).alias("reviews"), verdict.alias("verdict"))
 
@@ -483,7 +485,7 @@ select o_orderkey, cast(floor(o_totalprice) as bigint) % 101 as s, lag(cast(floo
 def score_movement(t):
     s = F.floor("o_totalprice") % 101
     rows = t("orders").select("o_orderkey", s.alias("s"), F.lag(s).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("p"))
-    move = F.when(c("p").isNull(), "first").when(c("s") > c("p"), F.concat(F.lit("up "), (c("s") - c("p")).cast("string"))).when(c("s") < c("p"), F.concat(F.lit("down "), (c("p") - c("s")).cast("string"))).otherwise("unchanged")
+    move = F.coalesce(reports.movement(c("s"), c("p")), F.lit("first"))
     return rows.select(c("o_orderkey").alias("scan"), move.alias("movement"))
 
 
@@ -493,9 +495,8 @@ qualify level > lag(cast(l_quantity as int) % 6 + 1) over (partition by l_orderk
 """)
 def heading_jumps(t):
     level = c("l_quantity").cast("int") % 6 + 1
-    w = Window.partitionBy("page").orderBy("node", "l_partkey", "l_suppkey")
-    rows = t("lineitem").select(c("l_orderkey").alias("page"), c("l_linenumber").alias("node"), level.alias("level"), "l_partkey", "l_suppkey")
-    return rows.withColumn("before", F.lag("level").over(w)).where("level > before + 1").select("page", "node", "level")
+    rows = t("lineitem").select(c("l_orderkey").alias("page"), c("l_linenumber").alias("node"), level.alias("rank"), "l_partkey", "l_suppkey")
+    return rules.jumps(rows, ["page"], ["node", "l_partkey", "l_suppkey"]).select("page", "node", c("rank").alias("level"))
 
 
 @query("""
@@ -503,8 +504,7 @@ select l_suppkey as page, l_orderkey as node, l_linenumber as line from lineitem
 qualify row_number() over (partition by l_suppkey, l_partkey order by l_orderkey, l_linenumber) > 1
 """)
 def repeated_keys(t):
-    w = Window.partitionBy("l_suppkey", "l_partkey").orderBy("l_orderkey", "l_linenumber")
-    rows = t("lineitem").withColumn("n", F.row_number().over(w)).where("n > 1")
+    rows = rules.repeats(t("lineitem"), ["l_suppkey", "l_partkey"], ["l_orderkey", "l_linenumber"])
     return rows.select(c("l_suppkey").alias("page"), c("l_orderkey").alias("node"), c("l_linenumber").alias("line"))
 
 
@@ -512,8 +512,8 @@ def repeated_keys(t):
 select l_suppkey as page, l_partkey as name, count(distinct l_shipdate) as targets, min(l_orderkey) as first_node from lineitem group by all having count(distinct l_shipdate) >= 2
 """)
 def names_with_several_targets(t):
-    rows = t("lineitem").groupBy(c("l_suppkey").alias("page"), c("l_partkey").alias("name")).agg(F.count_distinct("l_shipdate").alias("targets"), F.min("l_orderkey").alias("first_node"))
-    return rows.where("targets >= 2")
+    rows = t("lineitem").select(c("l_suppkey").alias("page"), c("l_partkey").alias("name"), c("l_shipdate").alias("href"), c("l_orderkey").alias("node_id"))
+    return rules.several_targets(rows, ["page", "name"]).select("page", "name", c("n").alias("targets"), c("node_id").alias("first_node"))
 
 
 # order and limits
@@ -668,3 +668,6 @@ def streamed_daily_counts(t):
     run = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination(600)
     return spark.table(name)
+
+
+from tessera.plans import tables  # noqa: E402, F401 - registers its queries too

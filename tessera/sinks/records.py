@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
+from tessera.operators.reports import with_names
 
 # fixed values: how much of a page and of a public result is kept
 KEPT_SOURCE, KEPT_FINDINGS = 800_000, 200
@@ -164,10 +165,7 @@ def recent(rows: DataFrame, limit: int = 100, **names: tuple[DataFrame, str]) ->
     ``names``: output column to (table(id, name), key column). The limit is
     taken before the joins, which keep every row.
     """
-    found = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-    for column, (table, key) in names.items():
-        found = found.join(table.select(F.col("id").alias(f"__{column}"), F.col("name").alias(column)), F.col(key) == F.col(f"__{column}"), "left").drop(f"__{column}")
-    return found
+    return with_names(rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit), **names)
 
 
 def numbered_documents(documents: DataFrame, new: DataFrame, now: Column) -> DataFrame:

@@ -40,7 +40,7 @@ def collapsed(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "line", "col", "start", "end", "close", "hidden", "deep", "number")
+    __slots__ = ("tag", "attrs", "parent", "kids", "line", "col", "start", "end", "close", "hidden", "deep", "number", "place")
 
     def __init__(self, tag, attrs=(), parent=None, line=None, col=None, start=None, end=None):
         self.tag, self.parent, self.kids = tag, parent, []
@@ -48,6 +48,7 @@ class Node:
         for name, value in attrs:
             self.attrs.setdefault(name.lower(), value or "")
         self.line, self.col, self.start, self.end, self.close = line, col, start, end, end
+        self.place = 0
         style = COLLAPSE.sub("", self.attrs.get("style", "").lower())
         self.hidden = (
             "hidden" in self.attrs
@@ -225,6 +226,12 @@ class Document:
         self.labels: dict[str, Node] = {}
         for i, n in enumerate(self.nodes):
             n.number = i
+            kids = n.elements()
+            same, nth = Counter(k.tag for k in kids), Counter()
+            for k in kids:
+                nth[k.tag] += 1
+                # the place among siblings of the same tag, where there are several
+                k.place = nth[k.tag] if same[k.tag] > 1 else 0
             if n.attrs.get("id"):
                 self.by_id.setdefault(n.attrs["id"], n)
             if n.tag == "label" and n.attrs.get("for"):
@@ -304,8 +311,7 @@ def css_path(node: Node) -> str:
         if re.fullmatch(r"[A-Za-z][\w-]*", n.attrs.get("id", ""), re.ASCII):
             parts.append(f"#{n.attrs['id']}")
             break
-        same = [k for k in n.parent.elements() if k.tag == n.tag]
-        parts.append(n.tag + (f":nth-of-type({same.index(n) + 1})" if len(same) > 1 else ""))
+        parts.append(n.tag + (f":nth-of-type({n.place})" if n.place else ""))
         n = n.parent
     return " > ".join(reversed(parts)) or node.tag
 

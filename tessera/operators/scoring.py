@@ -74,8 +74,8 @@ def coverage(elements: DataFrame) -> DataFrame:
     return page.select("page_id", mode.alias("mode"), (mode == "static").alias("complete"))
 
 
-def criteria(spark: SparkSession) -> DataFrame:
-    """(criterion, level, automated, rules) with the crosswalk of criteria to rules."""
+def criterion_rules() -> list[tuple[str, str, str, list[str]]]:
+    """(criterion, level, how far automated, rules): the crosswalk of criteria to rules."""
     from tessera.operators.rules import RULES
 
     apart = {"link-empty-href", "noscript-missing"}  # tagged, but in no criterion of 4.1.2
@@ -89,8 +89,12 @@ def criteria(spark: SparkSession) -> DataFrame:
                 found.append(w)
         return found
 
-    rows = [(i, level, auto, expand(i, words)) for i, level, auto, words in fixed.CRITERIA]
-    return spark.createDataFrame(rows, "criterion string, level string, automated string, rules array<string>")
+    return [(i, level, auto, expand(i, words)) for i, level, auto, words in fixed.CRITERIA]
+
+
+def criteria(spark: SparkSession) -> DataFrame:
+    """(criterion, level, automated, rules) as a table."""
+    return spark.createDataFrame(criterion_rules(), "criterion string, level string, automated string, rules array<string>")
 
 
 def conformance(findings: DataFrame, groups: DataFrame | None = None, by: str | None = None) -> DataFrame:

@@ -468,7 +468,7 @@ def site_crawls(t):
     return crawl.crawl(starts, responses, None, listed, most_pages=8).select("site_id", "url", "position", "error")
 
 
-@query()
+@query("select page_id, 0 as unreadable, true as complete, null::varchar as note from pages where not regexp_matches(html, '(?s)<style>[^<]*[:\\[][^<{]*\\{')")
 def css_notes(t):
     return sheets.css_coverage(html_elements(t("pages", spread=True)))
 

@@ -143,8 +143,10 @@ def score_threshold(scores: list[tuple[int, int, int]], good_share: float = 0.99
     """The cut, in thousandths, of (score, good, rows) of labelled rows.
 
     It parts good rows from the others best (largest difference of the shares
-    kept, the lowest such score). Without other rows it keeps ``good_share``
-    of the good ones.
+    kept, the lowest such score) and lies half way down to the next labelled
+    score, so that rows without a label which are a little worse than the
+    worst good one stay. Without other rows it keeps ``good_share`` of the good
+    ones.
     """
     all_good, all_other = (sum(n for _, g, n in scores if g == kind) for kind in (1, 0))
     if not all_good:
@@ -161,7 +163,8 @@ def score_threshold(scores: list[tuple[int, int, int]], good_share: float = 0.99
         if gain is not None and (best is None or gain > best):
             best, cut = gain, score
         other, good = other - by_score[score][0], good - by_score[score][1]
-    return cut
+    below = max((s for s in by_score if s < cut), default=None)
+    return cut if below is None or not all_other else (cut + below + 1) // 2
 
 
 def quality_rules(

@@ -338,7 +338,9 @@ def test_quality_table_grows():
 
 
 def test_quality_threshold_follows_the_scores():
-    assert quality.score_threshold([(-900, 0, 5), (-300, 0, 5), (-200, 1, 5), (10, 1, 50)]) == -200
+    # half way between the worst good row and the best other one
+    assert quality.score_threshold([(-900, 0, 5), (-300, 0, 5), (-200, 1, 5), (10, 1, 50)]) == -250
+    assert quality.score_threshold([(-300, 0, 9), (-200, 1, 1), (-100, 0, 1), (10, 1, 50)]) == -45
     assert quality.score_threshold([(s, 1, 1) for s in range(100)]) == 1
     assert quality.score_threshold([]) == 0
 
@@ -471,25 +473,34 @@ def test_keys_count_characters(spark):
     assert got == {1: [], 2: [0], 3: []}
 
 
-def removed_lines(rows, tau=2, least=30):
+def removed_lines(rows, tau=2, least=30, as_list=False):
     norm = lambda t: [x.strip(" ") for x in re.sub(r"[ \t\x0b\f\r]+", " ", (t or "").lower()).split("\n")]
     first = {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         for k, x in enumerate(norm(t)):
             if len(x) >= least:
                 first.setdefault(x, (i, k))
-    out = Counter()
+    out = []
+    by_length = defaultdict(list)
+    for y in first:
+        by_length[len(y)].append(y)
     for i, t in rows:
         seen, gone = set(), []
         for k, x in enumerate(norm(t)):
             if len(x) < least:
                 continue
-            earlier = i is not None and (first[x][0] < i or any(first[y] < first[x] and abs(len(y) - len(x)) <= tau and edits(x, y) <= tau for y in first))
+            earlier = i is not None and (first[x][0] < i or any(first[y] < first[x] and alike(x, y, tau) for d in range(-tau, tau + 1) for y in by_length[len(x) + d]))
             if x in seen or earlier:
                 gone.append(k)
             seen.add(x)
-        out[(i, tuple(gone))] += 1
-    return out
+        out.append((i, tuple(gone)))
+    return out if as_list else Counter(out)
+
+
+def alike(x, y, tau):
+    """Whether two strings are within ``tau`` edits; most pairs are told apart by their character counts."""
+    a, b = Counter(x), Counter(y)
+    return sum(((a - b) + (b - a)).values()) <= 2 * tau and edits(x, y) <= tau
 
 
 def test_line_dedup(spark, rough, none):

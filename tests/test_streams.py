@@ -33,9 +33,10 @@ def feed(spark, tmp_path):
         def run(self, df, mode="update"):
             name = f"out{next(names)}"
             seen = []
-            query = df.writeStream.outputMode(mode).foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", self.state).queryName(name).start()
-            # a query with timeouts of processing time never ends by itself
-            query.processAllAvailable()
+            query = df.writeStream.outputMode(mode).foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", self.state).queryName(name)
+            query = query.trigger(availableNow=True).start()
+            # a query with timeouts of processing time does not end by itself
+            query.awaitTermination(15)
             query.stop()
             return seen
 

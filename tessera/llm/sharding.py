@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, unsigned_crc32
 
+ROWS_A_RANGE, MOST_RANGES, MOST_SAMPLES = 1_000_000, 65_536, 2_000_000
+
+
 def composite_key() -> Column:
     """Both hashes as hexadecimal digits, which order like a pair of unsigned numbers."""
     return F.concat(F.lpad(F.hex("text_key"), 16, "0"), F.lpad(F.hex("id_key"), 16, "0"))
@@ -104,7 +107,10 @@ def shard(
     a shard. Slots number a shard's rows from 0.
 
     Only ids, sizes and hashes are shuffled, once. A hot text is spread over
-    ranges by the id's hash.
+    ranges by the id's hash. There are eight ranges a shard or one for each
+    ``ROWS_A_RANGE`` rows, ``MOST_RANGES`` at most; with more than 65 billion
+    rows the ranges grow instead of their number. The driver holds the splitters
+    and ``MOST_SAMPLES`` sampled keys, of 32 characters each.
 
     Defined cases: a null text has no bytes and the CRC of an empty one; null
     ids sort by one hash; repeated rows get slots of their own; an empty table
@@ -119,7 +125,7 @@ def shard(
         F.xxhash64(F.col(id_col).cast("long")).alias("id_key"),
     )
     rows = materialise(rows, "shard-rows")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     unit = max(1, total // (shards * fine))
     large, small = rows.where(F.col("size") > unit), rows.where(F.col("size") <= unit)
 
@@ -146,7 +152,9 @@ def shard(
 
     small_total = total - sum(loads)
     small = small.withColumn("key", composite_key())
-    splitters, each = find_splitters(small, max(1, small_total), 8 * shards)
+    # ranges follow the rows, so that a task orders about as many at any size
+    ranges = min(max(8 * shards, n_rows // ROWS_A_RANGE), MOST_RANGES)
+    splitters, each = find_splitters(small, max(1, small_total), ranges, max(4, min(32, MOST_SAMPLES // ranges)))
     ranged = small.withColumn("range", _range_of(splitters))
     before_bytes = [0, *accumulate(n for n, _ in each)]
     before_rows = [0, *accumulate(n for _, n in each)]

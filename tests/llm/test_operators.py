@@ -202,6 +202,36 @@ def test_shards_are_even_with_a_hot_text(spark):
     assert len(sums) == 24 and max(sums) - min(sums) <= 0.03 * sum(sums) / 24
 
 
+def test_shards_with_many_ranges(spark, monkeypatch):
+    """More ranges for more rows: the same law, gapless slots, each row once."""
+    monkeypatch.setattr(sharding, "ROWS_A_RANGE", 5)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), (F.col("id") % 40).cast("int")).alias("text"))
+    rows = sharding.shard(docs).collect()
+    slots, sums = defaultdict(list), Counter()
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        sums[r.shard] += r.size
+    assert sorted(r.doc_id for r in rows) == list(range(3000)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len(sums) == 24 and max(sums.values()) - min(sums.values()) <= 0.03 * sum(sums.values()) / 24
+
+
+def test_splitters_against_brute_force(spark):
+    """Sizes and rows of each range, and the range of each key, equal a sorted list's."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 700).cast("string")).alias("text"))
+    rows = docs.select(F.xxhash64("text").alias("text_key"), F.xxhash64("doc_id").alias("id_key"), (F.length("text") + 8).cast("long").alias("size"))
+    rows = rows.withColumn("key", sharding.composite_key()).cache()
+    splitters, each = sharding.find_splitters(rows, rows.agg(F.sum("size")).first()[0], 40)
+    want = [[0, 0] for _ in range(len(splitters) + 1)]
+    for r in rows.withColumn("range", sharding._range_of(splitters)).collect():
+        k = sharding.shard_of_range(splitters, r.key)
+        assert r.range == k
+        want[k][0] += r.size
+        want[k][1] += 1
+    assert [tuple(w) for w in want] == each and splitters == sorted(set(splitters))
+    due = sum(w[0] for w in want) / 40
+    assert max(w[0] for w in want) <= 1.6 * due
+
+
 def test_levels():
     assert sharding.level_for([5, 0, 1], 6) == [0, 3, 2] or sum(sharding.level_for([5, 0, 1], 6)) in (5, 6, 7)
     assert sharding.level_for([0, 0], 10) == [5, 5]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_BYTES = 16 << 20
+SPREAD_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scratch import checkpoint_folder, drop_scratch, materialise
+from tessera.sources import tables
 
 __all__ = ["checkpoint_folder", "connected_components", "drop_scratch", "materialise", "read_table", "unsigned_crc32", "word_list"]
 
@@ -22,7 +23,8 @@ def word_list(text: bytes | None) -> list[bytes]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; small ones whose rows take much work are dealt out to all cores."""
+    return tables.read_table(spark, sf_dir, name, spread=name in ("documents", "pages"))
 
 
 def unsigned_crc32(text: Column) -> Column:

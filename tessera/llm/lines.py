@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BROADCAST_KEYS = 1_000_000
+HOT_KEY = 64
 
 
 def normal_lines(text: Column) -> Column:
@@ -21,20 +22,15 @@ def normal_lines(text: Column) -> Column:
     return F.split(flat, "\n")
 
 
-def segment_keys(wide: Column, n: Column, tau: int) -> Column:
-    """Hashes that index a line of ``n`` characters, ``tau`` + 1 of them, and behind them those that it probes besides.
+def segment_places(n: Column, tau: int) -> tuple[list[tuple], list[tuple]]:
+    """(start, size, number, indexed length) of the segments that index a line of ``n`` characters, and of those that it probes besides.
 
     A line of length l is cut into tau + 1 segments, the first ones shorter
     by at most one. If two lines are within ``tau`` edits, a segment of the
     shorter one stands in the longer one, at a start within the
     multi-match-aware bounds: for segment i (from 0) at p and a length
     difference d, from p + max(-i, d - (tau - i)) to p + min(i, d + tau - i).
-    Keys hold the segment's text, its number and the indexed length. Probes
-    of a line's own length that equal its index keys are not repeated.
-
-    ``wide`` holds four bytes a character, so that a segment is found by its
-    place without a search; it and ``n`` are columns, not expressions, which
-    each key would evaluate again.
+    Probes of a line's own length that equal its index are not repeated.
     """
     index, probes = [], []
     for d in range(tau + 1):
@@ -46,9 +42,20 @@ def segment_keys(wide: Column, n: Column, tau: int) -> Column:
             start = short * i + F.greatest(F.lit(i) - first_long, F.lit(0))
             size = short + (F.lit(i) >= first_long).cast("int")
             for shift in range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1):
-                key = F.xxhash64(F.substring(wide, (start + shift) * 4 + 1, size * 4), F.lit(i), length)
-                (index if d == 0 and shift == 0 else probes).append(key)
-    return F.array(*index, *probes)
+                (index if d == 0 and shift == 0 else probes).append((start + shift, size, i, length))
+    return index, probes
+
+
+def segment_keys(wide: Column, n: Column, tau: int) -> Column:
+    """Hashes that index a line of ``n`` characters, ``tau`` + 1 of them, and behind them those that it probes besides.
+
+    Keys hold a segment's text, its number and the indexed length. ``wide``
+    holds four bytes a character, so that a segment is found by its place
+    without a search; it and ``n`` are columns, not expressions, which each
+    key would evaluate again.
+    """
+    index, probes = segment_places(n, tau)
+    return F.array(*(F.xxhash64(F.substring(wide, start * 4 + 1, size * 4), F.lit(i), length) for start, size, i, length in index + probes))
 
 
 def wide(line: Column) -> Column:
@@ -170,19 +177,59 @@ def near_lines(lines: DataFrame, docs: DataFrame, tau: int, min_chars: int) -> D
     found = found.join(sent(wanted).withColumnRenamed("first", "id"), ["id", "h", "g"], "left_semi")
     found = found.dropDuplicates(["h", "g"])
     found = found.select("h", "g", code_points(F.col("line"), tau).alias("points"), sketch(F.col("line")).alias("sketch"))
-    full = materialise(slots.join(found, ["h", "g"]), "slot-texts")
-    a, b = full.alias("a"), full.alias("b")
+    found = materialise(found, "slot-texts")
+    hot = materialise(slots.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key"), "hot-keys")
+    cold = slots if hot.isEmpty() else slots.join(sent(hot), "key", "left_anti")
+    later = near_pairs(cold.join(found, ["h", "g"]), ["key"], tau)
+    if not hot.isEmpty():
+        later = later.union(near_pairs(split_slots(keyed, sent(hot), found, tau), ["key", "second"], tau))
+    return later.distinct()
+
+
+def near_pairs(slots: DataFrame, by: list[str], tau: int) -> DataFrame:
+    """(h, g) of the slots' lines that are within ``tau`` edits of an earlier line with an equal key."""
+    slots = materialise(slots, "slots-with-texts")
+    a, b = slots.alias("a"), slots.alias("b")
+    equal = (F.col("a.indexed") | F.col("b.indexed")) & (F.struct("b.first", "b.place", "b.h") < F.struct("a.first", "a.place", "a.h"))
+    for k in by:
+        equal = equal & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    if len(by) > 1:
+        equal = equal & (F.col("a.second_indexed") | F.col("b.second_indexed"))
     difference = sum((F.abs(F.col("a.sketch")[i] - F.col("b.sketch")[i]) for i in range(len(KINDS))), F.lit(0))
     near = (
-        (F.col("a.key") == F.col("b.key"))
-        & (F.struct("b.first", "b.place", "b.h") < F.struct("a.first", "a.place", "a.h"))
-        & (F.col("a.indexed") | F.col("b.indexed"))
+        equal
         & (F.abs(F.size("a.points") - F.size("b.points")) <= tau)
         & (difference <= 2 * tau)
         & distance_within(F.col("a.points"), F.col("b.points"), tau)
     )
     # a semi join ends its search at the first earlier line, so groups of near copies stay linear
-    return a.join(b, near, "left_semi").select("h", "g").distinct()
+    return a.join(b, near, "left_semi").select("h", "g")
+
+
+def split_slots(keyed: DataFrame, hot: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """Slots of keys that very many lines share, with second keys on what is left of each line.
+
+    If two lines are within ``tau`` edits and share a segment that no edit
+    touches, their remainders without it are within ``tau`` edits too, so they
+    share a segment of the remainders; lines that have one text in common and
+    nothing else do not meet.
+    """
+    rows = keyed.select("h", "g", "id", "place", F.posexplode("keys").alias("pos", "key")).join(hot, "key", "left_semi")
+    rows = rows.groupBy("h", "g", "key", "pos").agg(F.min(F.struct("id", "place")).alias("at"))
+    rows = rows.join(texts, ["h", "g"]).withColumn("n", F.size("points") - (tau + 1))
+    index, probes = segment_places(F.col("n"), tau)
+    at = F.array(*(F.struct(start.alias("start"), size.alias("size")) for start, size, _, _ in index + probes))
+    rows = rows.withColumn("cut", F.get(at, F.col("pos")))
+    start, size = F.col("cut.start"), F.col("cut.size")
+    rest = F.concat(F.slice("points", 1, start), F.slice("points", start + size + 1, F.greatest(F.col("n") - start - size, F.lit(0))))
+    rows = rows.withColumn("rest", rest).withColumn("m", F.size("rest"))
+    index, probes = segment_places(F.col("m"), tau)
+    second = F.array(*(F.xxhash64(F.slice("rest", start + 1, size), F.lit(i), length) for start, size, i, length in index + probes))
+    rows = rows.select(
+        "h", "g", "key", F.col("at.id").alias("first"), F.col("at.place").alias("place"), (F.col("pos") <= tau).alias("indexed"), "points", "sketch",
+        F.posexplode(second).alias("at2", "second"),
+    )
+    return rows.withColumn("second_indexed", F.col("at2") <= tau).drop("at2")
 
 
 def removed_places(

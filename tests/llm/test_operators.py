@@ -557,6 +557,29 @@ def test_line_dedup(spark, rough, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 3])
+def test_lines_that_share_one_segment(spark, monkeypatch, hot):
+    """Many lines with one text in common, at its start, middle or end, some of them near others; short rests and repeats in a line too."""
+    monkeypatch.setattr(lines, "HOT_KEY", hot)
+    rng, own = random.Random(13), []
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common = word(16)
+    for k in range(150):
+        a, b = word(16), word(16)
+        own.append([common + a + b, a + common + b, a + b + common][k % 3])
+    own += ["abc" * 14, "abc" * 13 + "abd", "ab" * 20, "ab" * 20 + "a"]
+    for x in rng.sample(own, 60):
+        y = list(x)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(y))
+            y[i : i + rng.randint(0, 1)] = rng.choice(["", "z", "zz"])
+        own.append("".join(y))
+    rng.shuffle(own)
+    rows = [(i, "\n".join(own[i::40])) for i in range(40)]
+    got = Counter((r.doc_id, tuple(r.removed)) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == removed_lines(rows) and sum(len(k[1]) for k in got) > 20
+
+
 # 7
 @pytest.mark.parametrize("name", [queries.TOKENIZER, "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(spark, name):

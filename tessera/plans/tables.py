@@ -14,7 +14,7 @@ from tessera.operators import accounts, crawl, evidence, frontier, reports, scor
 from tessera.plans.catalog import IMPACT, TIER, _analysed, _as_findings, query
 from tessera.sinks import records, store
 from tessera.sources import sheets, sitemap
-from tessera.sources.html import html_elements
+from tessera.sources.html import html_elements, of_tags
 
 c = F.col
 EPOCH = "timestamp '1998-01-01'"
@@ -473,6 +473,14 @@ def css_notes(t):
     return sheets.css_coverage(html_elements(t("pages", spread=True)))
 
 
+@query("""
+with p as (select page_id, len(regexp_extract_all(html, '<a ')) as n from pages), x as (select page_id, n, unnest(range(1, n + 3)) as i from p)
+select page_id, cast(i as int) as place, case when i = 1 then 'h1' when i <= n + 1 then 'a' else 'title' end as tag from x
+""")
+def tag_selection(t):
+    return of_tags(html_elements(t("pages", spread=True)), "h1", "a", "title").select("page_id", "place", "tag")
+
+
 @query()
 def evidence_documents(t):
     pages, _, found = _analysed(t)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import ICON_NAMES, INPUT_ROLES, TAG_ROLES
@@ -456,5 +456,12 @@ def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return source.mapInArrow(run, f"page_id {kind.simpleString()}, {ELEMENT_DDL}")
 
 
+def of_tags(elements: DataFrame, *tags: str) -> DataFrame:
+    """Elements of the given tags with their ``place`` in the page: by tag in the order given, then by document order."""
+    nth = F.array_position(F.array(*map(F.lit, tags)), F.col("tag"))
+    order = Window.partitionBy("page_id").orderBy(nth, "node_id")
+    return elements.where(F.col("tag").isin(*tags)).withColumn("place", F.row_number().over(order))
+
+
 def tag_counts(html: str) -> Counter:
     return Counter(n.tag for n in Document(html).nodes)

@@ -71,7 +71,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    Null and empty texts are one id; repeated rows and null ids are packed like
+    others; an empty table gives no rows. Other columns do not go on.
+    """
     return packing.pack_documents(docs, TOKENIZER)
 
 

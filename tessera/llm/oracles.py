@@ -59,4 +59,56 @@ select d.doc_id, len(ws) as n_words, coalesce(n_base, 0) as n_base, first_word,
 from d left join base on base.doc_id = d.doc_id left join every on every.doc_id = d.doc_id
 """
 
-ORACLES = {"op3_decontamination": DECONTAMINATION, "op8_minhash": MINHASH, "op10_licenses": LICENSES}
+SEARCH = rf"""
+with d as (select row_number() over () as r, doc_id, {WORDS} as ws from documents),
+z as (select r, doc_id, len(ws) as n from d where len(ws) > 0),
+g as (select count(*) as docs, cast(sum(n) as bigint) as terms from z),
+p as (select r, w, count(*) as tf from (select r, unnest(ws) as w from d) group by all),
+f as (select w, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as weight from p, g group by w, docs),
+i as (select row_number() over () as k, item_id, {WORDS} as ws from benchmark),
+q as (select k, w, count(*) as times from (select k, unnest(ws) as w from i) group by all),
+s as (select k, r, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) as bigint) as score
+  from q join f using (w) join p using (w) join z using (r), g group by all),
+o as (select k, doc_id, score, row_number() over (partition by k order by score desc, doc_id) as rank from s join z using (r) where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from o join i using (k) where rank <= 20
+"""
+
+SPELLING = f"""
+with recursive bits(i, c, step) as (
+  select range, range, 0 from range(256)
+  union all select i, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, step + 1 from bits where step < 8),
+crc as (select list(c order by i) as t from bits where step = 8),
+runs as (select doc_id, w, count(*) as n from (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[A-Za-z\u00C0-\u00FF]+')) as w from documents) group by all),
+h as (select w, n, length(w) as size, xor(4294967295, list_reduce(
+  list_prepend(4294967295, list_transform(range(1, octet_length(key) + 1), lambda i: cast('0x' || substr(hex(key), 2 * i - 1, 2) as bigint))),
+  lambda c, b: xor(c >> 8, t[cast((xor(c, b) & 255) + 1 as bigint)]))) as h
+  from (select w, n, encode(coalesce(cast(doc_id as varchar), '') || ':' || w) as key from runs), crc),
+v as (select word, cast(sum(n) as bigint) as n from (
+  select n, case when h % 199 = 0 then substr(w, 1, h % size) || substr(w, h % size + 2) else w end as word from h) where length(word) >= 6 group by 1 having sum(n) >= 5),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from v),
+cut as (select word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as hole, substr(word, 1, i - 1) || substr(word, i + 1) as rest from places),
+near as (
+  select a.word, b.word as other, b.n as m from cut a join cut b on a.hole = b.hole and a.word <> b.word
+  union select c.word, v.word, v.n from cut c join v on c.rest = v.word
+  union select v.word, c.word, c.n from cut c join v on c.rest = v.word),
+best as (select word, count(*) as n_near, max(m) as m, first(other order by m desc, encode(other)) as other from near group by 1),
+x as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= 5 * v.n then other end as form, case when m >= 5 * v.n then m end as form_n from v left join best using (word)),
+walk(word, place) as (select word, word from x union all select walk.word, x.form from walk join x on x.word = walk.place where x.form is not null),
+ends as (select walk.word, walk.place as root from walk join x on x.word = walk.place where x.form is null)
+select x.word, form, root, n, n_near, form_n from x join ends using (word)
+"""
+
+# reads the markup that the tables hold: one article a page, of headings and paragraphs
+EXTRACTION = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as body from pages),
+b as (select page_id, url, list_transform(regexp_split_to_array(body, '</?(p|h1)>'), lambda t: trim(regexp_replace(
+  replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) as blocks from a),
+t as (select page_id, url, array_to_string(list_filter(blocks, lambda t: t <> ''), chr(10)) as text from b)
+select page_id, url, text, length(text) as n_chars from t
+"""
+
+ORACLES = {
+    "op3_decontamination": DECONTAMINATION, "op8_minhash": MINHASH, "op10_licenses": LICENSES, "op11_search": SEARCH, "op12_spelling": SPELLING,
+    "op13_extraction": EXTRACTION,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lines, minhash, oracles, packing, pii, quality, sharding, toxicity, urls
+from . import decontamination, extraction, licenses, lines, minhash, oracles, packing, pii, quality, search, sharding, spelling, toxicity, urls
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,10 +73,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_urls, op2_sharding, op3_decontamination, op4_quality, op5_pii, op6_lines, op7_packing, op8_minhash, op9_toxicity, op10_licenses,
+        op11_search, op12_spelling, op13_extraction,
     )
 }
 ORACLES = oracles.ORACLES

@@ -27,6 +27,13 @@ def _own(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/tessera-{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, which goes with ``drop_scratch`` or the end of the application."""
+    files, own = _files(spark)
+    files.deleteOnExit(own)  # what drop_scratch has not deleted by then
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared checkpoint folder and read it back.
 
@@ -35,11 +42,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     stays until ``drop_scratch`` or the end of the application.
     """
     spark = df.sparkSession
-    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     # small row groups, as a task holds one of each column in memory while it writes
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
-    files, own = _files(spark)
-    files.deleteOnExit(own)  # what drop_scratch has not deleted by then
     return spark.read.schema(df.schema).parquet(path)
 
 

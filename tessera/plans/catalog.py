@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color, text
-from tessera.functions.scratch import materialise
+from tessera.functions.scratch import materialise, scratch_path
 from tessera.operators import frontier, ledger, remediation, reports, rules, scoring
 from tessera.sources.html import html_elements
 from tessera.sources.tables import read_table
-from tessera.streaming import progress
+from tessera.streaming import jobs, progress, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -702,18 +702,98 @@ def score_bands(t):
     return t("supplier").select(c("s_suppkey").alias("site"), text.score_band(c("s_acctbal")).alias("band"))
 
 
-# a stream run to its end
+# streams run to their ends
+def _stream_of(df: DataFrame, name: str, parts: int, part: Column) -> DataFrame:
+    """A stream over the rows of a table, which come in ``parts`` batches by the number in ``part``."""
+    spark = df.sparkSession
+    folder = scratch_path(spark, name)
+    rows = materialise(df.withColumn("__part", part), name)
+    files = spark.sparkContext.defaultParallelism
+    for k in range(parts):  # a later write is a later file
+        rows.where(c("__part") == k).drop("__part").coalesce(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 @query("select event_type, date_trunc('day', ts) as day, count(*) as n from events group by all")
 def streamed_daily_counts(t):
-    spark = t("region").sparkSession
-    source = t("events")
-    folder, _, _ = source.inputFiles()[0].rpartition("/")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    name = "streamed_daily_counts"
-    counts = progress.windowed_counts(stream).select("event_type", c("window.start").cast("timestamp_ntz").alias("day"), "n")
-    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination(600)
-    return spark.table(name)
+    events = t("events").select(c("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    spark, out = events.sparkSession, scratch_path(events.sparkSession, "daily-counts")
+    counts = progress.windowed_counts(_stream_of(events, "daily-events", 2, F.pmod(F.xxhash64("ts", "event_type"), F.lit(2)))).select("event_type", c("window.start").cast("timestamp_ntz").alias("day"), "n")
+    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state")
+    run.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").select("event_type", "day", "n")
+
+
+FUNNEL = {"shown": "view", "captured": "click", "signups": "signup", "paid": "purchase"}
+
+
+@query("""
+with e as (select event_type, date_trunc('day', ts) as day, max(ts) over () as last from events),
+w as (select day + to_days(cast(i as int)) as until, event_type, last from (select day, event_type, last, unnest(range(1, 31)) as i from e)),
+n as (select until, count(*) filter (event_type = 'view') as shown, count(*) filter (event_type = 'click') as captured,
+  count(*) filter (event_type = 'signup') as signups, count(*) filter (event_type = 'purchase') as paid from w group by until, last having until <= last - interval 1 day)
+select *, case when shown > 0 then floor(captured / shown * 1000 + 0.5) / 10 else 0.0 end as shown_to_captured,
+  case when captured > 0 then floor(signups / captured * 1000 + 0.5) / 10 else 0.0 end as captured_to_signups,
+  case when signups > 0 then floor(paid / signups * 1000 + 0.5) / 10 else 0.0 end as signups_to_paid from n
+""")
+def trailing_funnels(t):
+    events = t("events").select(c("ts").cast("timestamp").alias("ts"), c("event_type").alias("name"))
+    rows = jobs.run_to_end(progress.trailing_funnel(_stream_of(events, "funnel-events", 2, F.pmod(F.xxhash64("ts", "name"), F.lit(2))), FUNNEL), "funnels")
+    return rows.withColumn("until", c("until").cast("timestamp_ntz"))
+
+
+@query("""
+with e as (select *, row_number() over (partition by user_id order by ts, event_id) as seq, count(*) over (partition by user_id) as n from events)
+select event_id, cast(user_id as varchar) as scan_id, seq from e where seq > n - 400
+""")
+def live_buffers(t):
+    """What the buffers hold after a stream of events, which come in order of their time."""
+    source = t("events").select(c("user_id").alias("scan_id"), c("ts").cast("timestamp").alias("ts"), "event_id", c("event_type").alias("type"))
+    spark, out = source.sparkSession, scratch_path(source.sparkSession, "live-buffers")
+    rest = [x.split() for x in state.EVENT.split(", ") if x.split()[0] not in source.columns]
+    events = source.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in rest))
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select((F.unix_micros("a") / 2 + F.unix_micros("b") / 2).cast("long")).first()
+    state.use_state_store(spark)
+    rows = state.live_buffer(_stream_of(events, "live-events", 2, (F.unix_micros("ts") > F.lit(ends[0] or 0)).cast("int")), expiry_ms=None)
+    run = rows.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state")
+    run.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(rows.schema).parquet(f"{out}/rows").groupBy("scan_id").agg(F.max_by("kept", "seq").alias("kept"))
+    return last.select("scan_id", F.explode("kept").alias("k")).select("k.event_id", "scan_id", "k.seq")
+
+
+# scans of suppliers' sites: a year of shipping is a scan, a line number a page, a part a signature
+@query("""
+with f as (select l_suppkey as site, year(l_shipdate) as scan, l_linenumber as page, l_partkey % 40 as sig from lineitem),
+pages as (select distinct site, scan, page from f),
+sigs as (select site, sig, min(scan) as first, max(scan) as last from f group by all),
+hist as (select distinct site, sig, scan, max(page) over (partition by site, sig order by scan) as top from f),
+scans as (select distinct site, scan from f),
+seen as (select site, sig, scan from hist),
+gaps as (select k.site, k.sig, s.scan, (select max(h.top) from hist h where h.site = k.site and h.sig = k.sig and h.scan <= s.scan) as top,
+  exists (select 1 from seen x where x.site = k.site and x.sig = k.sig and x.scan = s.scan) as here from sigs k join scans s on s.site = k.site and s.scan >= k.first),
+closed as (select g.site, g.sig, min(g.scan) as scan from gaps g join sigs k on k.site = g.site and k.sig = g.sig join pages p on p.site = g.site and p.scan = g.scan and p.page = g.top
+  where not g.here and g.scan > k.last group by all)
+select cast(k.site as varchar) as site_id, cast(k.sig as varchar) as signature, case when closed.scan is null then 'open' else 'resolved' end as status,
+  k.first as first_seen, k.last as last_seen, cast(closed.scan as varchar) as resolved_scan_id from sigs k left join closed on closed.site = k.site and closed.sig = k.sig
+""")
+def streamed_ledger(t):
+    """The ledger after a stream of scans whose pages are spread over the batches."""
+    found = t("lineitem").select(c("l_suppkey").cast("string").alias("site_id"), F.year("l_shipdate").alias("year"), "l_linenumber", (c("l_partkey") % 40).cast("string").alias("s"))
+    at = F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    none = F.lit(None)
+    rest = [none.cast("string").alias("error"), none.cast("string").alias("status")]
+    pages = found.groupBy("site_id", "year", "l_linenumber").agg(F.collect_set("s").alias("signatures"))
+    pages = pages.select("site_id", "year", F.lit("page").alias("kind"), F.concat(F.lit("https://s.example/"), "l_linenumber").alias("url"), "signatures", none.cast("long").alias("pages"), *rest)
+    ends = found.groupBy("site_id", "year").agg(F.countDistinct("l_linenumber").alias("pages"))
+    ends = ends.select("site_id", "year", F.lit("end").alias("kind"), none.cast("string").alias("url"), none.cast("array<string>").alias("signatures"), "pages", *rest)
+    events = pages.unionByName(ends).withColumns({"scan_id": c("year").cast("string"), "at": at})
+    state.use_state_store(events.sparkSession)
+    # ends come first, and the pages of a scan with any of three batches
+    part = F.when(c("kind") == "end", 0).otherwise(F.pmod(F.xxhash64("site_id", "url"), F.lit(3)))
+    changes = jobs.run_to_end(state.ledger_changes(_stream_of(events, "scan-events", 3, part), buckets=2), "ledger-changes")
+    kept = state.latest_issues(changes)
+    return kept.select("site_id", "signature", "status", F.year("first_seen_at").cast("long").alias("first_seen"), F.year("last_seen_at").cast("long").alias("last_seen"), "resolved_scan_id")
 
 
 from tessera.plans import tables  # noqa: E402, F401 - registers its queries too

@@ -7,47 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import ledger as ledgers
+from tessera.functions.scratch import scratch_path
 from tessera.operators.reports import cadence_allowed, due_sites, effective_plan, next_run, plans
+from tessera.sinks.records import event_frames
 from tessera.sinks.store import Store
+from tessera.streaming.state import latest_issues, ledger_changes, use_state_store
 
-LEDGER = (
-    "site_id string, signature string, status string, first_seen_at timestamp, last_seen_at timestamp,"
-    " resolved_at timestamp, resolved_scan_id string"
+CHANGES = (
+    "site_id string, signature string, status string, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp,"
+    " resolved_scan_id string, version long"
 )
-HISTORY = "site_id string, signature string, page_url string"
 
 
-def ledger_writer(store: Store) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the ledger of a stream of scanned pages.
+def keep_ledger(events: DataFrame, store: Store, buckets: int = 16):
+    """A query that keeps the ledger of a stream of scanned pages, ends of scans and decisions.
 
-    Rows are (scan_id, site_id, url, error, at, signatures): a page of a scan
-    and the signatures found on it; the pages of one scan come in one batch.
-    Scans of a batch are applied in order of their time, each as one full
-    outer join and one swap of the ledger. A batch that runs again gives the
-    same ledger, as its scans are marked with the batch that applied them.
+    Each batch appends the changes of issues to the log ``ledger_changes``, once
+    even if it runs again; nothing is rewritten. ``kept_ledger`` reads the log.
     """
+    use_state_store(events.sparkSession)
+    folder = f"{store.folder}/ledger_changes"
+    return ledger_changes(events, buckets).writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", f"{store.folder}/ledger_state")
 
-    def apply(batch: DataFrame, number: int) -> None:
-        done = store.log("ledger_batches", "batch long, scan_id string")
-        todo = batch.join(done.select("scan_id").distinct(), "scan_id", "left_anti").persist()
-        try:
-            for scan in todo.groupBy("scan_id").agg(F.max("at").alias("at")).orderBy("at", "scan_id").collect():
-                pages = todo.where(F.col("scan_id") == scan.scan_id)
-                sites = pages.select("site_id").distinct()
-                found = pages.select("site_id", F.col("url").alias("page_url"), F.explode("signatures").alias("signature"))
-                history = store.log("ledger_history", HISTORY).unionByName(found.select("site_id", "signature", "page_url"))
-                old = store.snapshot("ledger", LEDGER)
-                # other sites' issues are not touched by this scan
-                own, other = old.join(sites, "site_id", "left_semi"), old.join(sites, "site_id", "left_anti")
-                new = ledgers.reconcile(own, found, history.join(sites, "site_id", "left_semi"), pages, scan.scan_id, F.lit(scan.at))
-                store.replace("ledger", other.unionByName(new.select(*other.columns)))
-                store.append("ledger_history", found.select("site_id", "signature", "page_url").distinct())
-                store.append("ledger_batches", batch.sparkSession.createDataFrame([(number, scan.scan_id)], "batch long, scan_id string"))
-        finally:
-            todo.unpersist()
-
-    return apply
+
+def kept_ledger(store: Store) -> DataFrame:
+    return latest_issues(store.log("ledger_changes", CHANGES))
+
+
+def run_to_end(rows: DataFrame, name: str) -> DataFrame:
+    """The rows that a stream of final rows appends until its sources are read, written to the shared folder."""
+    spark = rows.sparkSession
+    folder = scratch_path(spark, name)
+    query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
 def scheduler_pass(sites: DataFrame, orgs: DataFrame, scans: DataFrame, now: Column, batch: int = 20) -> DataFrame:
@@ -96,3 +89,38 @@ def scheduler(ticks: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame,
 def follow(spark: SparkSession, folder: str, schema: str, scan_id: str) -> DataFrame:
     """The events of one scan as a stream over its log, from the first one on: a late reader sees what was, then what comes."""
     return spark.readStream.schema(schema).parquet(folder).where(F.col("scan_id") == scan_id)
+
+
+def handed_over(history: DataFrame, live: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Streams of events(scan_id, seq, at, ...): what a log holds and what comes live, each event once.
+
+    An event that the log and the live stream both bring, as those do that
+    happen while the log is read, is told by its scan and ``seq``. What is
+    remembered of an event goes when the watermark has passed it by ``late``.
+    """
+    return history.unionByName(live).withWatermark("at", late).dropDuplicatesWithinWatermark(["scan_id", "seq"])
+
+
+class FrameSink:
+    """A ``foreachBatch`` function that sends one scan's events as frames, in the order of their numbers.
+
+    A number follows the one before without a gap, so a frame that came early
+    waits for those before it, and one that was sent is not sent again: not
+    when a batch is repeated either. ``first`` is the number of the first event to be
+    had. After an end event nothing is sent.
+    """
+
+    def __init__(self, send: Callable[[str], None], first: int = 1):
+        self.send, self.next = send, first
+        self.waiting: dict[int, tuple[str, bool]] = {}
+        self.ended = False
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        ends = batch.groupBy("scan_id", F.col("seq").cast("long").alias("seq")).agg(F.max(F.col("type") == "end").alias("end"))
+        for r in event_frames(batch).join(ends, ["scan_id", "seq"]).orderBy("seq").toLocalIterator():
+            if r.seq >= self.next:
+                self.waiting[r.seq] = (r.frame, r.end)
+            while self.next in self.waiting and not self.ended:
+                frame, self.ended = self.waiting.pop(self.next)
+                self.send(frame)
+                self.next += 1

@@ -72,25 +72,21 @@ def numbered(events: DataFrame) -> DataFrame:
     return rows.withColumn("last", F.max("seq").over(by)).where(F.col("seq") > F.col("last") - KEPT).drop("last")
 
 
-def rate_limit(hits: DataFrame, limit: int, window_seconds: float) -> DataFrame:
-    """Verdicts on hits(key, ts): at most ``limit`` in a window that the first hit opens."""
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (None, 0)
-        out = []
-        for ts in pd.concat(list(frames)).ts.sort_values():
-            now = ts.timestamp()
-            if start is None or now >= start + window_seconds:
-                start, count = now, 0
-            count += 1
-            ok = count <= limit
-            out.append((key[0], ts, ok, count, 0.0 if ok else start + window_seconds - now))
-        state.update((start, count))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in VERDICT.split(", ")])
-
-    return hits.groupBy("key").applyInPandasWithState(judge, VERDICT, "start double, count int", "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts of event kinds in fixed windows of event time, with a watermark."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+def trailing_funnel(events: DataFrame, stages: dict[str, str], days: int = 30, late: str = "1 day") -> DataFrame:
+    """(until, a count for each stage, and what part of the one before came to it): windows of ``days`` days that move by a day.
+
+    ``stages`` names the kind of event(ts, name) that counts for each column, in
+    order. Each event falls into ``days`` windows; those that the watermark has
+    passed are final. A share is in percent with one decimal, 0 after an empty stage.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counts = rows.groupBy(F.window("ts", f"{days} days", "1 day")).agg(*(F.count_if(F.col("name") == kind).alias(c) for c, kind in stages.items()))
+    steps = list(stages)
+    share = lambda a, b: F.when(F.col(a) > 0, F.floor(F.col(b) / F.col(a) * 1000 + 0.5) / 10).otherwise(0.0)
+    shares = [share(a, b).alias(f"{a}_to_{b}") for a, b in zip(steps, steps[1:], strict=False)]
+    return counts.select(F.col("window.end").alias("until"), *steps, *shares)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,19 +59,6 @@ def test_live_snapshots_follow_the_batch_form(spark, feed):
     assert batch == first | second
 
 
-def test_rate_limits_open_a_window_at_the_first_hit(feed):
-    kind = "key string, ts timestamp"
-    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
-    feed.put(kind, ("k", at(0)), ("k", at(1)), ("k", at(2)), ("other", at(2)))
-    feed.put(kind, ("k", at(9)), ("k", at(10)), ("k", at(11)))
-    got = feed.run(progress.rate_limit(feed.stream(kind), 2, 10.0), "append")
-    found = {(r.key, r.ts.second): (r.allowed, r["count"], round(r.retry_after)) for r in got}
-    assert found == {
-        ("k", 0): (True, 1, 0), ("k", 1): (True, 2, 0), ("k", 2): (False, 3, 8), ("other", 2): (True, 1, 0),
-        ("k", 9): (False, 4, 1), ("k", 10): (True, 1, 0), ("k", 11): (True, 2, 0),
-    }
-
-
 def test_late_events_fall_behind_the_watermark(feed):
     kind = "event_type string, ts timestamp, value double"
     feed.put(kind, ("a", day(1, 5), 1.0), ("a", day(1, 6), 2.0), ("b", day(3), 1.0))
@@ -89,30 +77,66 @@ def test_a_late_reader_sees_the_whole_log(spark, feed):
     assert [r.seq for r in feed.run(jobs.follow(spark, feed.folder, EVENTS, "a"), "append")] == [3]
 
 
-def test_the_ledger_follows_scans(spark, feed, tmp_path):
-    kind = "scan_id string, site_id string, url string, error string, at timestamp, signatures array<string>"
+def test_the_ledger_is_kept_in_a_store(spark, feed, tmp_path):
+    kind = "site_id string, scan_id string, kind string, at timestamp, url string, error string, signatures array<string>, status string, pages long"
     store = Store(spark, str(tmp_path / "store"))
     home, shop = "https://a.example/", "https://a.example/shop"
-    feed.put(kind, ("s1", "a", home, None, day(1), ["x", "y"]), ("s1", "a", shop, None, day(1), ["z"]), ("t1", "b", "https://b.example/", None, day(1), ["x"]))
-    apply = jobs.ledger_writer(store)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    feed.put(kind, ("a", "s1", "page", day(1), home, None, ["x", "y"], None, None), ("a", "s1", "page", day(1), shop, None, ["z"], None, None), ("a", "s1", "end", day(1), None, None, None, None, 2))
+
+    def run():
+        jobs.keep_ledger(feed.stream(kind), store, 2).trigger(availableNow=True).start().awaitTermination(120)
+        return {(r.site_id, r.signature): (r.status, r.first_seen_at, r.last_seen_at, r.resolved_at, r.resolved_scan_id) for r in jobs.kept_ledger(store).collect()}
+
+    try:
+        assert {k: v[0] for k, v in run().items()} == {("a", "x"): "open", ("a", "y"): "open", ("a", "z"): "open"}
+        # the pages of the second scan come in two batches: x is gone, z's page failed, w is new
+        feed.put(kind, ("a", "s2", "page", day(2), home, None, ["y", "w"], None, None), ("a", "s2", "end", day(2), None, None, None, None, 2))
+        assert len(run()) == 3
+        feed.put(kind, ("a", "s2", "page", day(2), shop, "timeout", None, None, None))
+        got = run()
+        assert got[("a", "x")] == ("resolved", day(1), day(1), day(2), "s2") and got[("a", "z")][0] == "open" and got[("a", "w")][:2] == ("open", day(2))
+        assert got == run()
+    finally:
+        spark.conf.set(provider, before)
+
+
+def test_a_replay_hands_over_to_the_live_events(spark, tmp_path):
+    kind = "scan_id string, seq long, type string, at timestamp"
+    event = lambda n, type="fetch": ("a", n, type, day(1) + dt.timedelta(seconds=n))
+    log, live = str(tmp_path / "log"), str(tmp_path / "live")
+    put = lambda folder, *rows: spark.createDataFrame(list(rows), kind).coalesce(1).write.mode("append").parquet(folder)
+    put(log, *(event(n) for n in (1, 2, 3)))
+    put(live, event(5), event(4))
+    put(log, event(4))  # the log goes on while it is read
+    sent = []
+    sink = jobs.FrameSink(sent.append)
 
     def run():
-        feed.stream(kind).writeStream.foreachBatch(apply).option("checkpointLocation", feed.state).trigger(availableNow=True).start().awaitTermination(120)
-        return {(r.site_id, r.signature): (r.status, r.first_seen_at, r.last_seen_at, r.resolved_at, r.resolved_scan_id) for r in store.snapshot("ledger", jobs.LEDGER).collect()}
-
-    assert {k: v[0] for k, v in run().items()} == {("a", "x"): "open", ("a", "y"): "open", ("a", "z"): "open", ("b", "x"): "open"}
-    # x is gone from a page that was read; z's page failed, so it stays open; w is new
-    feed.put(kind, ("s2", "a", home, None, day(2), ["y", "w"]), ("s2", "a", shop, "timeout", day(2), None))
-    got = run()
-    assert got[("a", "x")] == ("resolved", day(1), day(1), day(2), "s2") and got[("a", "z")][0] == "open" and got[("a", "w")][:2] == ("open", day(2))
-    assert got[("a", "y")][2] == day(2) and got[("b", "x")] == ("open", day(1), day(1), None, None)
-    # back again, and the same batch once more changes nothing
-    feed.put(kind, ("s3", "a", home, None, day(3), ["x", "y", "w"]))
-    got = run()
-    assert got[("a", "x")] == ("open", day(1), day(3), None, None)
-    version = store.versions("ledger")[-1]
-    apply(spark.createDataFrame([("s3", "a", home, None, day(3), ["x"])], kind), 99)
-    assert store.versions("ledger")[-1] == version
+        read = lambda folder: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows = jobs.handed_over(read(log), read(live))
+        rows.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+
+    run()
+    numbers = lambda: [json.loads(f.removeprefix("data: "))["at"] for f in sent]
+    assert len(sent) == 5 and numbers() == sorted(numbers()) and len(set(sent)) == 5
+    put(live, event(7, "end"), event(5), event(8))
+    put(log, event(5), event(6), event(7, "end"))
+    run()
+    assert len(sent) == 7 and numbers() == sorted(numbers()) and json.loads(sent[-1].removeprefix("data: "))["type"] == "end"
+    sink(spark.createDataFrame([event(6)], kind), 0)  # a batch that is repeated
+    assert len(sent) == 7
+
+
+def test_trailing_windows_close_behind_the_watermark(spark, feed):
+    kind = "ts timestamp, name string"
+    feed.put(kind, (day(1, 5), "scan"), (day(1, 6), "scan"), (day(2), "signup"), (day(2, 1), "paid"))
+    feed.put(kind, (day(9), "scan"))
+    feed.put(kind, (day(9, 1), "scan"))  # what a batch tells holds from the next but one on
+    feed.put(kind, (day(1, 7), "scan"), (day(10), "other"))  # too late for all its windows
+    got = feed.run(progress.trailing_funnel(feed.stream(kind), {"scans": "scan", "signups": "signup", "paid": "paid"}, days=3), "append")
+    assert {r.until.day: tuple(r)[1:] for r in got} == {2: (2, 0, 0, 0.0, 0.0), 3: (2, 1, 1, 50.0, 100.0), 4: (2, 1, 1, 50.0, 100.0), 5: (0, 1, 1, 0.0, 100.0)}
 
 
 def test_scheduler_passes(spark):

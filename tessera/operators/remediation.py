@@ -12,7 +12,7 @@ from tessera.functions.text import patch_filename
 MECHANICAL = ("set-attribute", "remove-attribute", "remove-element")
 MOST_LINES = 4_000
 PLAN = (
-    "page_id long, filename string, patched string, diff string, applied array<string>, skipped array<string>,"
+    "filename string, patched string, diff string, applied array<string>, skipped array<string>,"
     " guidance array<struct<rule_id:string,css_path:string,strategy:string,text:string>>, automatic int, manual int"
 )
 
@@ -90,16 +90,24 @@ def unified_diff(before: str, after: str, name: str = "index.html", context: int
     while low < min(len(a), len(b)) - top and a[-1 - low] == b[-1 - low]:
         low += 1
     x, y = a[top : len(a) - low], b[top : len(b) - low]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    # lengths of the row below and of this one; of the others a byte a cell tells whether a line is best left out
+    below, drops = [0] * (len(y) + 1), [bytearray(len(y)) for _ in x]
     for i in range(len(x) - 1, -1, -1):
+        row = [0] * (len(y) + 1)
         for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+            if x[i] == y[j]:
+                row[j] = below[j + 1] + 1
+            elif below[j] >= row[j + 1]:
+                row[j], drops[i][j] = below[j], 1
+            else:
+                row[j] = row[j + 1]
+        below = row
     ops, i, j = [(" ", line) for line in a[:top]], 0, 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i] == y[j]:
             ops.append((" ", x[i]))
             i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
+        elif j == len(y) or (i < len(x) and drops[i][j]):
             ops.append(("-", x[i]))
             i += 1
         else:
@@ -139,11 +147,11 @@ def remediation_plan(pages: DataFrame, findings: DataFrame) -> DataFrame:
     fields = ["rule_id", "tag", "css_path", "start_off", "end_off", "elem_end_off", "fix", "message"]
     each = findings.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("findings"))
     name = patch_filename(F.col("url")) if "url" in pages.columns else F.lit("index.html")
-    rows = pages.select(F.col("page_id").cast("long"), "html", name.alias("name")).join(each, "page_id", "left")
+    rows = pages.select("page_id", "html", name.alias("name")).join(each, "page_id", "left")
     step = pa.struct([(k, pa.string()) for k in ("rule_id", "css_path", "strategy", "text")])
     texts = pa.list_(pa.string())
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), texts, texts, pa.list_(step), pa.int32(), pa.int32()]
-    names = "page_id filename patched diff applied skipped guidance automatic manual".split()
+    kinds = [pa.string(), pa.string(), pa.string(), texts, texts, pa.list_(step), pa.int32(), pa.int32()]
+    names = "filename patched diff applied skipped guidance automatic manual".split()
 
     def plan(row: dict) -> tuple:
         html, found = row["html"] or "", row["findings"] or []
@@ -160,19 +168,21 @@ def remediation_plan(pages: DataFrame, findings: DataFrame) -> DataFrame:
             {"rule_id": f["rule_id"], "css_path": f["css_path"], "strategy": (f["fix"] or {}).get("strategy") or "manual", "text": f["message"]} for f in left
         ]
         diff = unified_diff(html, patched, row["name"]) if applied else ""
-        return row["page_id"], row["name"], patched, diff, spelled(applied), spelled(unbuilt + overlapping), guidance, len(applied), len(left)
+        return row["name"], patched, diff, spelled(applied), spelled(unbuilt + overlapping), guidance, len(applied), len(left)
 
     def run(batches):
         for b in batches:
             out = [plan(row) for row in b.to_pylist()]
             columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["page_id", *names])
 
-    return rows.mapInArrow(run, PLAN)
+    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, {PLAN}")
 
 
 def css_snippet(findings: DataFrame) -> DataFrame:
-    """(page_id, css): color rules that the contrast findings suggest, each once."""
-    rows = findings.where("fix.strategy = 'css-color' and fix.value is not null").select("page_id", "css_path", F.col("fix.value").alias("value")).distinct()
-    line = F.concat("css_path", F.lit(" { color: "), "value", F.lit("; }"))
-    return rows.groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("css"))
+    """(page_id, css): color rules that the contrast findings suggest, in document order, each place and color once."""
+    rows = findings.where("fix.strategy = 'css-color' and fix.value is not null")
+    first = rows.groupBy("page_id", "css_path", F.col("fix.value").alias("value")).agg(F.min(F.struct("node_id", "fix.old", "fix.backdrop")).alias("f"))
+    rule = F.concat("css_path", F.lit(" {\n  color: "), "value", F.lit("; /* was "), "f.old", F.lit(" on "), "f.backdrop", F.lit(" */\n}"))
+    lines = first.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("f.node_id", rule.alias("rule")))).alias("r"))
+    return lines.select("page_id", F.array_join(F.transform("r", lambda x: x["rule"]), "\n").alias("css"))

@@ -11,7 +11,8 @@ from tessera.functions import fixed
 from tessera.functions.color import contrast_ratio, painted, required_ratio, suggested_color
 from tessera.functions.text import icon_name, rounded, signature
 
-FIX = "struct<strategy:string,attribute:string,value:string,tier:string>"
+# ``old`` and ``backdrop`` are the colors that a new one replaces and stands on
+FIX = "struct<strategy:string,attribute:string,value:string,tier:string,old:string,backdrop:string>"
 FOUND = "struct<rule_id:string,tier:string,key:string,message:string,fix:{}>".format(FIX)
 
 
@@ -33,6 +34,7 @@ class Rule:
     key: str = "cast(null as string)"
     fix: tuple[str, str, str, str] = ("manual", "", "cast(null as string)", "'review'")
     each: str | None = None  # SQL array: one finding for each of its strings
+    times: str | None = None  # SQL number of findings, where an element may count more than once
     section508: list[str] = field(default_factory=list)
 
 
@@ -44,7 +46,8 @@ def _array(words: list[str]) -> str:
     return "array" + _in(words)
 
 
-LIKE_BUTTON = "(tag = 'button' or (tag = 'input' and lower(coalesce(attrs['type'], '')) in ('button', 'submit', 'reset', 'image')) or lower(attrs['role']) = 'button')"
+BUTTON_INPUT = "(tag = 'input' and lower(coalesce(attrs['type'], '')) in ('button', 'submit', 'reset', 'image'))"
+LIKE_BUTTON = f"(tag = 'button' or {BUTTON_INPUT} or lower(attrs['role']) = 'button')"
 LINK = "tag = 'a' and attrs['href'] is not null"
 SEEN = "not hidden_deep"
 UNNAMED = "acc_name = ''"
@@ -60,37 +63,39 @@ def set_attribute(name: str, value: str, tier: str = REVIEW) -> tuple[str, str,
 
 NO_VALUE = "cast(null as string)"
 FRAME_TITLE = "case " + " ".join(f"when coalesce(attrs['src'], '') rlike '(?i){p.replace(chr(92), chr(92) * 2)}' then '{t}'" for p, t in fixed.FRAME_TITLES) + " end"
-REQUIRED = "case role " + " ".join(f"when '{r}' then '{a}'" for r, a in fixed.REQUIRED_ARIA.items()) + " end"
+REQUIRED = "case lower(trim(attrs['role'])) " + " ".join(f"when '{r}' then '{a}'" for r, a in fixed.REQUIRED_ARIA.items()) + " end"
 SKIP = "rlike '(?i)skip|jump'"
 
 RULES = [
     Rule("img-alt", "1.1.1", "A", "critical", DEFINITE, "Image has no alternative text",
          f"tag = 'img' and {SEEN} and not {DECORATIVE} and attrs['alt'] is null and not {LABELLED}",
-         fix=set_attribute("alt", NO_VALUE), section508=["502.3.1"]),
+         fix=set_attribute("alt", "''"), section508=["502.3.1"]),
     Rule("img-alt-placeholder", "1.1.1", "A", "serious",
-         f"case when trim(attrs['alt']) rlike '{fixed.PLACEHOLDER_ALT.replace(chr(92), chr(92) * 2)}' or trim(attrs['alt']) rlike '(?i)[.](png|jpe?g|gif|svg|webp|avif|bmp)$' then 'definite' else 'review' end",
+         f"case when trim(attrs['alt']) rlike '{fixed.PLACEHOLDER_ALT.replace(chr(92), chr(92) * 2)}' or trim(attrs['alt']) rlike '(?i)[.](png|jpe?g|gif|svg|webp|avif)$' then 'definite' else 'review' end",
          "Alternative text does not describe the image",
          f"tag = 'img' and {SEEN} and trim(coalesce(attrs['alt'], '')) <> '' and (trim(attrs['alt']) rlike '{fixed.PLACEHOLDER_ALT.replace(chr(92), chr(92) * 2)}'"
-         " or trim(attrs['alt']) rlike '(?i)[.](png|jpe?g|gif|svg|webp|avif|bmp)$' or trim(attrs['alt']) rlike '(?i)^(image|picture|photo|graphic) of')",
-         fix=set_attribute("alt", NO_VALUE)),
+         " or trim(attrs['alt']) rlike '(?i)[.](png|jpe?g|gif|svg|webp|avif)$' or trim(attrs['alt']) rlike '(?i)^(image|picture|photo|graphic) of ')",
+         fix=set_attribute("alt", "''")),
     Rule("svg-name", "1.1.1", "A", "serious", REVIEW, "Graphic has no name",
          f"tag = 'svg' and {SEEN} and not {DECORATIVE} and {UNNAMED} and (lower(attrs['role']) = 'img' or focusable or exists(ancestors, a -> a.tag in ('a', 'button')))"
          " and not exists(ancestors, a -> a.tag in ('a', 'button') and a.named)",
-         fix=set_attribute("aria-label", NO_VALUE)),
+         fix=set_attribute("aria-label", "''")),
     Rule("button-name", "4.1.2", "A", "critical", DEFINITE, "Button has no name",
-         f"{LIKE_BUTTON} and {SEEN} and {UNNAMED}", fix=set_attribute("aria-label", "icon"), section508=["502.3.1"]),
+         f"{LIKE_BUTTON} and {SEEN} and {UNNAMED}", fix=set_attribute("aria-label", "coalesce(icon, '')"), section508=["502.3.1"],
+         # a button by its type and by its role is two findings
+         times=f"cast({BUTTON_INPUT} as int) + cast(tag = 'button' or coalesce(lower(attrs['role']) = 'button', false) as int)"),
     Rule("link-name", "2.4.4,4.1.2", "A", "critical", DEFINITE, "Link has no name",
-         f"{LINK} and {SEEN} and {UNNAMED}", fix=set_attribute("aria-label", "icon"), section508=["502.3.1"]),
+         f"{LINK} and {SEEN} and {UNNAMED}", fix=set_attribute("aria-label", "''"), section508=["502.3.1"]),
     Rule("link-generic-text", "2.4.4", "A", "moderate", REVIEW, "Link text does not say where it leads",
-         f"{LINK} and {SEEN} and not {LABELLED} and trim(regexp_replace(regexp_replace(lower(acc_name), '[^a-z ]', ''), ' +', ' ')) in {_in(fixed.GENERIC_LINKS)}",
-         fix=set_attribute("aria-label", NO_VALUE)),
+         f"{LINK} and {SEEN} and not {LABELLED} and trim(regexp_replace(lower(acc_name), '[^a-z\\\\s]', '')) in {_in(fixed.GENERIC_LINKS)}",
+         fix=set_attribute("aria-label", "''")),
     Rule("input-label", "1.3.1,3.3.2,4.1.2", "A", "critical", DEFINITE, "Form field has no label",
          f"{FIELD} and {SEEN} and {UNNAMED}",
-         fix=set_attribute("aria-label", "nullif(trim(attrs['placeholder']), '')", "case when trim(coalesce(attrs['placeholder'], '')) <> '' then 'definite' else 'review' end"),
+         fix=set_attribute("aria-label", "trim(coalesce(attrs['placeholder'], ''))", "case when trim(coalesce(attrs['placeholder'], '')) <> '' then 'definite' else 'review' end"),
          section508=["502.3.1"]),
     Rule("frame-title", "4.1.2", "A", "serious", DEFINITE, "Frame has no title",
          f"tag in ('iframe', 'frame') and {SEEN} and trim(coalesce(attrs['title'], '')) = '' and not {LABELLED}",
-         fix=set_attribute("title", FRAME_TITLE, f"case when {FRAME_TITLE} is not null then 'definite' else 'review' end")),
+         fix=set_attribute("title", f"coalesce({FRAME_TITLE}, '')", f"case when {FRAME_TITLE} is not null then 'definite' else 'review' end")),
     Rule("nested-interactive", "4.1.2", "A", "serious", DEFINITE, "Control inside another control",
          f"(tag in ('button', 'select', 'textarea', 'input') or {LINK}) and {SEEN} and coalesce(lower(attrs['type']), '') <> 'hidden'"
          " and exists(ancestors, a -> a.tag in ('button', 'select', 'textarea') or (a.tag = 'a' and a.href))"),
@@ -106,14 +111,14 @@ RULES = [
     Rule("aria-valid-role", "4.1.2", "A", "serious", DEFINITE, "Unknown role",
          f"size(array_except(filter(split(lower(trim(attrs['role'])), '\\\\s+'), r -> r <> ''), {_array(fixed.VALID_ROLES)})) > 0"),
     Rule("aria-valid-attr", "4.1.2", "A", "moderate", DEFINITE, "Unknown aria attribute",
-         f"size(array_except(filter(map_keys(attrs), k -> startswith(k, 'aria-')), transform({_array(fixed.VALID_ARIA)}, n -> concat('aria-', n)))) > 0"),
+         f"size(array_except(filter(map_keys(attrs), k -> startswith(k, 'aria-')), {_array(fixed.VALID_ARIA)})) > 0"),
     Rule("aria-required-attr", "4.1.2", "A", "serious", DEFINITE, "Role needs an attribute that is missing",
-         f"attrs['role'] is not null and {REQUIRED} is not null and not array_contains(map_keys(attrs), {REQUIRED})"
-         " and not (role = 'heading' and tag rlike '^h[1-6]$') and not (tag = 'input' and lower(attrs['type']) in ('checkbox', 'radio')) and not (tag in ('option', 'select'))"),
+         f"attrs['role'] is not null and {REQUIRED} is not null and not array_contains(map_keys(attrs), {REQUIRED})"),
     Rule("meta-viewport-zoom", "1.4.4", "AA", "serious", DEFINITE, "Viewport settings block zooming",
          "tag = 'meta' and lower(attrs['name']) = 'viewport' and (attrs['content'] rlike '(?i)user-scalable\\\\s*=\\\\s*(no|0)'"
-         " or try_cast(regexp_extract(attrs['content'], '(?i)maximum-scale\\\\s*=\\\\s*([0-9.]+)', 1) as double) < 2)",
-         fix=set_attribute("content", "'width=device-width, initial-scale=1'", DEFINITE)),
+         " or try_cast(regexp_extract(attrs['content'], '(?i)maximum-scale\\\\s*=\\\\s*([0-9]*[.]?[0-9]+)', 1) as double) < 2)",
+         fix=set_attribute("content", "coalesce(nullif(array_join(filter(transform(split(attrs['content'], ','), p -> trim(p)), p -> not p rlike '(?i)^(user-scalable|maximum-scale)'), ', '), ''),"
+                           " 'width=device-width, initial-scale=1')", DEFINITE)),
     Rule("meta-refresh", "2.2.1,2.2.4", "A", "serious", DEFINITE, "Page reloads or moves on by itself",
          "tag = 'meta' and lower(attrs['http-equiv']) = 'refresh' and try_cast(regexp_extract(attrs['content'], '^\\\\s*([0-9.]+)', 1) as double) <= 72000",
          fix=("remove-element", "", NO_VALUE, REVIEW)),
@@ -129,7 +134,7 @@ RULES = [
          f"attrs['role'] is not null and role in {_in(fixed.INTERACTIVE_ROLES)} and {SEEN} and tag not in {_in(fixed.NATIVE_INTERACTIVE)}"
          " and not focusable and coalesce(attrs['aria-disabled'], '') <> 'true'", fix=set_attribute("tabindex", "'0'")),
     Rule("aria-boolean-invalid", "4.1.2", "A", "serious", DEFINITE, "Yes/no attribute with another value", "true", key="one",
-         each=f"filter(transform({_array(fixed.BOOLEAN_ARIA)}, n -> concat('aria-', n)), n -> attrs[n] is not null and not (lower(trim(attrs[n])) in ('true', 'false')"
+         each=f"filter({_array(fixed.BOOLEAN_ARIA)}, n -> attrs[n] is not null and not (lower(trim(attrs[n])) in ('true', 'false')"
          " or (n in ('aria-checked', 'aria-pressed') and lower(trim(attrs[n])) in ('mixed', 'undefined'))))"),
     Rule("aria-live-invalid", "4.1.3", "AA", "moderate", DEFINITE, "Unknown live region setting",
          "attrs['aria-live'] is not null and lower(trim(attrs['aria-live'])) not in ('off', 'polite', 'assertive')", fix=set_attribute("aria-live", "'polite'")),
@@ -149,15 +154,15 @@ RULES = [
     Rule("link-empty-href", "2.1.1,4.1.2", "A", "moderate", ADVISORY, "Link leads nowhere",
          f"tag = 'a' and {SEEN} and (trim(attrs['href']) = '#' or lower(trim(attrs['href'])) like 'javascript:%')"),
     Rule("link-url-as-text", "2.4.4", "A", "minor", ADVISORY, "Link text is a bare address",
-         f"{LINK} and {SEEN} and length(text) >= 20 and text rlike '(?i)^(https?://|www[.])[^ ]+$'"),
+         f"{LINK} and {SEEN} and length(text) >= 20 and text rlike '(?i)^https?://\\\\S+$'"),
     Rule("new-window-no-warning", "3.2.2", "A", "minor", ADVISORY, "Link opens a window unannounced",
-         f"{LINK} and {SEEN} and attrs['target'] = '_blank' and not (concat(acc_name, ' ', coalesce(attrs['title'], '')) rlike '(?i)new (window|tab)|opens in|external')"),
+         f"tag = 'a' and {SEEN} and lower(attrs['target']) = '_blank' and not acc_name rlike '(?i)new (window|tab)|opens in' and not coalesce(attrs['title'], '') rlike '(?i)new (window|tab)'"),
     Rule("landmark-nesting", "1.3.1", "A", "minor", ADVISORY, "Page header or footer inside a section",
          f"tag in ('header', 'footer') and {SEEN} and exists(ancestors, a -> a.tag in ('main', 'article', 'section', 'aside', 'nav'))"),
     Rule("definition-list-structure", "1.3.1", "A", "minor", DEFINITE, "Definition list holds something else",
          f"tag = 'dl' and {SEEN} and (stray_text or exists(kids, k -> k.tag not in ('dt', 'dd', 'div', 'script', 'template')))"),
     Rule("th-scope-missing", "1.3.1", "A", "moderate", REVIEW, "Header cells do not say what they head",
-         f"tag = 'table' and {SEEN} and facts['two_way'] = 'true' and facts['bare_th'] is not null"),
+         "facts['lacks_scope'] is not null", times="cast(facts['lacks_scope'] as int)"),
     Rule("id-invalid", "4.1.1", "A", "minor", DEFINITE, "Id contains blanks", "attrs['id'] rlike '\\\\s'"),
     Rule("audio-no-transcript", "1.2.1", "A", "serious", REVIEW, "Audio without a transcript nearby",
          f"tag = 'audio' and {SEEN} and not coalesce(facts['transcript'], '') = 'true'"),
@@ -168,21 +173,21 @@ RULES = [
     Rule("title-attribute-as-label", "4.1.2", "A", "minor", ADVISORY, "Only a tooltip names the control",
          f"tag in ('input', 'select', 'textarea', 'button', 'a') and {SEEN} and acc_source = 'title'"),
     Rule("iframe-negative-tabindex", "2.1.1", "A", "moderate", ADVISORY, "Frame is taken out of the focus order",
-         "tag = 'iframe' and attrs['tabindex'] = '-1'", fix=("remove-attribute", "tabindex", NO_VALUE, REVIEW)),
+         f"tag = 'iframe' and {SEEN} and attrs['tabindex'] = '-1'", fix=("remove-attribute", "tabindex", NO_VALUE, REVIEW)),
     Rule("duplicate-alt-adjacent", "1.1.1", "A", "minor", ADVISORY, "Image repeats the text of its link",
-         f"tag = 'a' and {SEEN} and facts['same_alt'] is not null", fix=set_attribute("alt", "''")),
+         "facts['echoes'] is not null", times="cast(facts['echoes'] as int)", fix=set_attribute("alt", "''")),
     # rules over several rows
     Rule("label-orphan", "1.3.1", "A", "serious", DEFINITE, "Label points to no field"),
     Rule("html-has-lang", "3.1.1", "A", "serious", DEFINITE, "Page language is not given", fix=set_attribute("lang", "'en'", DEFINITE), section508=["501"]),
-    Rule("html-lang-valid", "3.1.1", "A", "moderate", DEFINITE, "Page language is not a language tag"),
+    Rule("html-lang-valid", "3.1.1", "A", "moderate", DEFINITE, "Page language is not a language tag", fix=set_attribute("lang", "'en'")),
     Rule("document-title", "2.4.2", "A", "serious", DEFINITE, "Page has no title"),
     Rule("page-has-h1", "1.3.1,2.4.6", "A", "moderate", REVIEW, "Page has no main heading"),
     Rule("heading-order", "1.3.1", "A", "moderate", REVIEW, "Heading level is skipped", fix=("rename-tag", "", NO_VALUE, REVIEW)),
     Rule("duplicate-id", "4.1.1", "A", "moderate", DEFINITE, "Id is used again"),
     Rule("landmark-main", "1.3.1,2.4.1", "A", "moderate", REVIEW, "Page has no main region"),
-    Rule("landmark-unique", "1.3.1", "A", "minor", REVIEW, "Regions of one kind need names", fix=set_attribute("aria-label", NO_VALUE)),
+    Rule("landmark-unique", "1.3.1", "A", "minor", REVIEW, "Regions of one kind need names", fix=set_attribute("aria-label", "''")),
     Rule("skip-link", "2.4.1", "A", "serious", REVIEW, "No way to skip the navigation", 
-         fix=("insert-first-child", "", "'<a class=\"skip-link\" href=\"#main-content\">Skip to main content</a>'", REVIEW)),
+         fix=("insert-first-child", "", NO_VALUE, REVIEW)),
     Rule("color-contrast", "1.4.3", "AA", "serious", DEFINITE, "Text stands out too little", fix=("css-color", "color", NO_VALUE, REVIEW), section508=["502.3"]),
     Rule("focus-not-obscured", "2.4.7", "AA", "serious", REVIEW, "Focus outline is removed"),
     Rule("target-size-minimum", "2.5.8", "AA", "moderate", DEFINITE, "Target is smaller than 24 pixels"),
@@ -193,7 +198,7 @@ RULES = [
     Rule("fieldset-legend-missing", "1.3.1,3.3.2", "A", "serious", REVIEW, "Group of choices has no name"),
     Rule("link-same-name-different-target", "2.4.4", "A", "moderate", REVIEW, "One link text, several targets"),
     Rule("main-multiple", "1.3.1", "A", "moderate", DEFINITE, "More than one main region"),
-    Rule("h1-multiple", "1.3.1", "A", "minor", ADVISORY, "More than one main heading", fix=("rename-tag", "", NO_VALUE, REVIEW)),
+    Rule("h1-multiple", "1.3.1", "A", "minor", ADVISORY, "More than one main heading", fix=("rename-tag", "", "'h2'", REVIEW)),
     Rule("viewport-missing", "1.4.10", "AA", "moderate", REVIEW, "No viewport settings",
          fix=("insert-first-child", "", "'<meta name=\"viewport\" content=\"width=device-width, initial-scale=1\">'", REVIEW)),
     Rule("text-justified", "1.4.8", "AAA", "minor", ADVISORY, "Justified text"),
@@ -236,7 +241,7 @@ def catalog(spark) -> DataFrame:
 
 def _fix_sql(rule: Rule) -> str:
     strategy, name, value, tier = rule.fix
-    return f"named_struct('strategy', '{strategy}', 'attribute', nullif('{name}', ''), 'value', cast({value} as string), 'tier', {tier})"
+    return f"named_struct('strategy', '{strategy}', 'attribute', nullif('{name}', ''), 'value', cast({value} as string), 'tier', {tier}, 'old', {NO_VALUE}, 'backdrop', {NO_VALUE})"
 
 
 def _one(rule: Rule, key: str) -> str:
@@ -248,7 +253,9 @@ def row_findings(elements: DataFrame) -> DataFrame:
     """All rules that look at one element, in a single pass: no shuffle, one explode."""
     singles, lists = [], []
     for r in RULES:
-        if r.each:
+        if r.times:
+            lists.append(f"if(coalesce({r.where}, false), array_repeat({_one(r, r.key)}, {r.times}), cast(array() as array<{FOUND}>))")
+        elif r.each:
             lists.append(f"transform({r.each}, one -> {_one(r, 'one')})")
         elif r.where:
             singles.append(f"case when {r.where} then {_one(r, r.key)} end")
@@ -284,11 +291,14 @@ def page_findings(elements: DataFrame) -> DataFrame:
     pages = elements.groupBy("page_id").agg(
         first(c("tag") == "html").alias("html"),
         first(c("tag") == "head").alias("head"),
+        first(c("tag") == "title").alias("title_at"),
         first(c("tag") == "body").alias("body"),
         F.min_by(F.when(c("tag") == "html", F.coalesce(attrs["lang"], F.lit(""))), F.when(c("tag") == "html", c("node_id"))).alias("lang"),
         F.min_by(F.when(c("tag") == "title", c("text_all")), F.when(c("tag") == "title", c("node_id"))).alias("title"),
-        any_of(((c("tag") == "h1") & seen) | ((F.lower(attrs["role"]) == "heading") & (attrs["aria-level"] == "1"))).alias("has_h1"),
+        any_of(((c("tag") == "h1") & seen) | ((attrs["role"] == "heading") & (attrs["aria-level"] == "1"))).alias("has_h1"),
         any_of((c("tag") == "main") | (F.lower(attrs["role"]) == "main")).alias("has_main"),
+        # the first main region's id, empty where it has none
+        F.min_by(F.coalesce(attrs["id"], F.lit("")), F.when((c("tag") == "main") | (attrs["role"] == "main"), c("node_id"))).alias("main_id"),
         any_of((c("tag") == "meta") & (F.lower(attrs["name"]) == "viewport")).alias("has_viewport"),
         any_of(c("role") == "navigation").alias("has_nav"),
         F.count_if(link).alias("links"),
@@ -306,20 +316,24 @@ def page_findings(elements: DataFrame) -> DataFrame:
     cases = {
         "html-has-lang": (c("html").isNotNull() & (lang == ""), "html"),
         "html-lang-valid": ((lang != "") & ~lang.rlike(r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$"), "html"),
-        "document-title": (c("head").isNotNull() & (F.coalesce("title", F.lit("")) == ""), "head"),
+        "document-title": (F.coalesce("title", F.lit("")) == "", "titled"),
         "page-has-h1": (~c("has_h1"), "body"),
         "landmark-main": (~c("has_main"), "body"),
         "viewport-missing": (c("head").isNotNull() & ~c("has_viewport"), "head"),
         "skip-link": ((c("has_nav") | (c("links") >= 10)) & ~skips, "body"),
         "text-justified": (c("css").rlike(r"(?i)text-align\s*:\s*justify"), "body"),
     }
+    link_to_main = F.concat(F.lit('<a class="skip-link" href="#'), F.coalesce(F.nullif("main_id", F.lit("")), F.lit("main-content")), F.lit('">Skip to main content</a>'))
+    fixes = {r: F.expr(_fix_sql(BY_ID[r])) for r in cases}
+    fixes["skip-link"] = fixes["skip-link"].withField("value", link_to_main)
+    pages = pages.withColumn("titled", F.coalesce("title_at", "head"))
     found = F.array(
         *(
             F.when(
                 cond,
                 F.struct(
                     c(where)["p"].alias("p"), F.lit(rule).alias("rule_id"), F.expr(BY_ID[rule].tier).alias("tier"), F.lit(None).cast("string").alias("key"),
-                    F.lit(BY_ID[rule].message).alias("message"), F.expr(_fix_sql(BY_ID[rule])).alias("fix"),
+                    F.lit(BY_ID[rule].message).alias("message"), fixes[rule].alias("fix"),
                 ),
             )
             for rule, (cond, where) in cases.items()
@@ -395,18 +409,21 @@ def window_findings(elements: DataFrame) -> DataFrame:
     heads = elements.where(c("tag").rlike("^h[1-6]$") & ~c("hidden_deep")).withColumn("rank", F.substring("tag", 2, 1).cast("int"))
     skipped = jumps(heads, ["page_id"], ["node_id"])
     better = F.concat(F.lit("h"), (c("before") + 1).cast("string"))
-    fix = F.struct(F.lit("rename-tag").alias("strategy"), F.lit(None).cast("string").alias("attribute"), better.alias("value"), F.lit("review").alias("tier"))
+    none = F.lit(None).cast("string")
+    fix = F.struct(
+        F.lit("rename-tag").alias("strategy"), none.alias("attribute"), better.alias("value"), F.lit("review").alias("tier"), none.alias("old"), none.alias("backdrop")
+    )
     out = findings_of(skipped, "heading-order", fix=fix)
 
     def again(rows: DataFrame, *by: str) -> DataFrame:
         return repeats(rows, ["page_id", *by], ["node_id"])
 
     ids = elements.withColumn("k", attrs["id"]).where("k <> ''")
-    out = out.unionByName(findings_of(again(ids, "k"), "duplicate-id", F.concat_ws("#", "k", "nth")))
-    keys = elements.withColumn("k", F.lower(F.trim(attrs["accesskey"]))).where("k <> ''")
+    out = out.unionByName(findings_of(again(ids, "k"), "duplicate-id"))
+    keys = elements.withColumn("k", F.lower(F.trim(attrs["accesskey"]))).where(attrs["accesskey"] != "")
     out = out.unionByName(findings_of(again(keys, "k"), "accesskey-duplicate", c("k")))
     seen = elements.where(~c("hidden_deep"))
-    out = out.unionByName(findings_of(again(seen.where("tag = 'main'")), "main-multiple"))
+    out = out.unionByName(findings_of(again(seen.where((c("tag") == "main") | (F.lower(attrs["role"]) == "main"))), "main-multiple"))
     out = out.unionByName(findings_of(again(seen.where("tag = 'h1'")), "h1-multiple"))
     # text that stands out too little: the first of each pair of colors and size
     text = seen.where(c("facts")["fg"].isNotNull()).withColumns(
@@ -415,8 +432,12 @@ def window_findings(elements: DataFrame) -> DataFrame:
     need = required_ratio(c("px"), c("bold"))
     low = text.where(contrast_ratio(c("fg"), c("bg")) < need).withColumn("k", F.concat_ws("|", "fg", "bg", rounded(c("px"))))
     low = low.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "k").orderBy("node_id"))).where("nth = 1")
-    fix = F.struct(F.lit("css-color").alias("strategy"), F.lit("color").alias("attribute"), suggested_color(c("fg"), c("bg"), need).alias("value"), F.lit("review").alias("tier"))
-    return out.unionByName(findings_of(low, "color-contrast", c("k"), fix=fix))
+    better = suggested_color(c("fg"), c("bg"), need)
+    fix = F.struct(
+        F.when(better.isNull(), "manual").otherwise("css-color").alias("strategy"), F.when(better.isNotNull(), "color").alias("attribute"), better.alias("value"), F.lit("review").alias("tier"),
+        c("fg").alias("old"), c("bg").alias("backdrop"),
+    )
+    return out.unionByName(findings_of(low, "color-contrast", fix=fix))
 
 
 def join_findings(elements: DataFrame) -> DataFrame:
@@ -424,19 +445,19 @@ def join_findings(elements: DataFrame) -> DataFrame:
     c, attrs = F.col, F.col("attrs")
     ids = elements.select("page_id", attrs["id"].alias("target")).where("target <> ''").distinct()
     labels = elements.where("tag = 'label' and not hidden_deep").withColumn("target", attrs["for"]).where("target <> ''")
-    out = findings_of(labels.join(ids, ["page_id", "target"], "left_anti"), "label-orphan", c("target"))
+    out = findings_of(labels.join(ids, ["page_id", "target"], "left_anti"), "label-orphan")
 
     names = elements.select("page_id", attrs["name"].alias("target")).where("target <> ''").distinct()
     skips = elements.where((c("tag") == "a") & attrs["href"].startswith("#") & (F.length(attrs["href"]) > 1) & ~c("hidden_deep") & c("text").rlike("(?i)skip|jump"))
     skips = skips.withColumn("target", F.substring(attrs["href"], F.lit(2), F.length(attrs["href"])))
     lost = skips.join(ids.union(names), ["page_id", "target"], "left_anti")
-    out = out.unionByName(findings_of(lost, "skip-link-target-missing", c("target")))
+    out = out.unionByName(findings_of(lost, "skip-link-target-missing"))
 
     named = F.filter(F.transform(F.array(*map(F.lit, REFERENCES)), lambda n: F.struct(n.alias("n"), attrs[n].alias("v"))), lambda x: x["v"].isNotNull())
     refs = elements.withColumn("ref", F.explode_outer(named)).where("ref is not null").select("*", c("ref.n").alias("attribute"), F.explode_outer(F.split("ref.v", r"\s+")).alias("target"))
     gone = refs.where("target <> ''").join(ids, ["page_id", "target"], "left_anti")
-    gone = gone.groupBy(*PLACE, "attribute").agg(F.array_join(F.sort_array(F.collect_set("target")), " ").alias("missing"))
-    return out.unionByName(findings_of(gone, "aria-describedby-orphan", F.concat_ws(":", "attribute", "missing")))
+    gone = gone.select(*PLACE, "attribute").distinct()
+    return out.unionByName(findings_of(gone, "aria-describedby-orphan", c("attribute")))
 
 
 def group_findings(elements: DataFrame) -> DataFrame:
@@ -444,7 +465,7 @@ def group_findings(elements: DataFrame) -> DataFrame:
     c, attrs = F.col, F.col("attrs")
     page_role = Window.partitionBy("page_id", "role")
     regions = elements.where(c("role").isin("navigation", "complementary", "region") & ~c("hidden_deep"))
-    bare = F.trim(F.coalesce(attrs["aria-label"], attrs["aria-labelledby"], F.lit(""))) == ""
+    bare = (F.coalesce(attrs["aria-label"], F.lit("")) == "") & (F.coalesce(attrs["aria-labelledby"], F.lit("")) == "")
     regions = regions.withColumn("bare", bare).where("role <> 'region' or not bare")
     regions = regions.withColumn("n", F.count("*").over(page_role)).withColumn("n_bare", F.count_if("bare").over(page_role))
     out = findings_of(regions.where("n >= 2 and n_bare >= 2 and bare"), "landmark-unique")
@@ -453,8 +474,13 @@ def group_findings(elements: DataFrame) -> DataFrame:
     choices = choices.withColumn("k", F.concat_ws(":", F.lower(attrs["type"]), attrs["name"]))
     group = Window.partitionBy("page_id", "k")
     choices = choices.withColumn("n", F.count("*").over(group)).withColumn("nth", F.row_number().over(group.orderBy("node_id")))
-    held = F.exists("ancestors", lambda a: ((a["tag"] == "fieldset") & a["legend"]) | (a["role"].isin("group", "radiogroup") & a["named"]))
-    out = out.unionByName(findings_of(choices.where((c("n") >= 2) & (c("nth") == 1) & ~F.coalesce(held, F.lit(False))), "fieldset-legend-missing", c("k")))
+    # the nearest set of fields, whose legend must say something, and the nearest group by role, which must have a name
+    fields = F.get(F.filter("ancestors", lambda a: a["tag"] == "fieldset"), F.lit(0))
+    grouped = F.get(F.filter("ancestors", lambda a: F.lower(a["role"]).isin("group", "radiogroup")), F.lit(0))
+    held = F.coalesce(fields["legend"], F.lit(False)) | F.coalesce(grouped["named"], F.lit(False))
+    lost = choices.where((c("n") >= 2) & (c("nth") == 1) & ~held)
+    lost = lost.select("page_id", F.coalesce(fields["node_id"], c("node_id")).alias("node_id"), "k")
+    out = out.unionByName(findings_of(elements.join(lost, ["page_id", "node_id"]), "fieldset-legend-missing", c("k")))
 
     links = elements.where((c("tag") == "a") & attrs["href"].isNotNull() & ~c("hidden_deep")).withColumn("k", F.lower(F.trim("acc_name"))).where(F.length("k") >= 3)
     links = links.withColumn("href", F.split_part(attrs["href"], F.lit("#"), F.lit(1)))
@@ -471,11 +497,11 @@ def measured_findings(elements: DataFrame, measurements: DataFrame | None, layou
     found = []
     if measurements is not None:
         small = elements.join(measurements, ["page_id", "css_path"]).where(
-            "interactive and visible and (width < 24 or height < 24) and not (tag = 'a' and coalesce(display, '') like 'inline%')"
+            "not hidden_deep and interactive and visible and (width < 24 or height < 24) and not (tag = 'a' and coalesce(display, '') = 'inline')"
         )
         small = small.withColumn("k", F.concat_ws("x", rounded(F.col("width")), rounded(F.col("height"))))
         first = Window.partitionBy("page_id", "k", "tag").orderBy("node_id")
-        found.append(findings_of(small.withColumn("nth", F.row_number().over(first)).where("nth = 1"), "target-size-minimum", F.col("k")))
+        found.append(findings_of(small.withColumn("nth", F.row_number().over(first)).where("nth = 1"), "target-size-minimum"))
     if layout is not None:
         wide = elements.where("tag = 'body'").join(layout.where("scroll_width > client_width + 4"), "page_id", "left_semi")
         found.append(findings_of(wide, "horizontal-scroll"))

@@ -796,4 +796,4 @@ def streamed_ledger(t):
     return kept.select("site_id", "signature", "status", F.year("first_seen_at").cast("long").alias("first_seen"), F.year("last_seen_at").cast("long").alias("last_seen"), "resolved_scan_id")
 
 
-from tessera.plans import tables  # noqa: E402, F401 - registers its queries too
+from tessera.plans import broken, tables  # noqa: E402, F401 - register their queries too

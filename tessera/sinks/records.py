@@ -71,7 +71,7 @@ def stored_findings(rows: DataFrame, titles: DataFrame) -> DataFrame:
 
     ``titles(rule_id, title)``; a rule that is not known is its own title.
     """
-    kind = "fix struct<strategy:string,attribute:string,value:string,tier:string>, offsets struct<start:int,end:int,elementEnd:int>"
+    kind = "fix struct<strategy:string,attribute:string,value:string,tier:string,old:string,backdrop:string>, offsets struct<start:int,end:int,elementEnd:int>"
     extra = F.from_json(F.coalesce("fix_json", F.lit("{}")), kind)
     found = rows.withColumn("__x", extra).join(F.broadcast(titles.select("rule_id", F.col("title").alias("__title"))), "rule_id", "left")
     empty = F.array().cast("array<string>")

@@ -23,15 +23,17 @@ CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
     **dict.fromkeys(
         "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(),
         ({"p"}, {"button", "td", "th", "li", "body"}),
     ),
 }
+# parts of a table stand in one another; where one is missing it is implied
+SECTIONS, CELLS = frozenset("tbody thead tfoot".split()), frozenset(("td", "th"))
+TABLE_PARTS = SECTIONS | CELLS | {"caption", "colgroup", "col", "tr"}
+# what may stand between the parts of a table; all else goes before the table
+TABLE_GUESTS = frozenset("form script style template".split())
 COLLAPSE = re.compile(r"\s+")
 
 
@@ -140,18 +142,65 @@ class TreeBuilder(HTMLParser):
                 node.line, node.col, node.start, node.end = line, col, start, end
             return
         self._section(tag)
+        if tag in TABLE_PARTS and not self._table_part(tag):
+            return
         ends, stops = CLOSED_BY.get(tag, ((), ()))
         for i in range(len(self.open) - 1, 1, -1):
             if self.open[i].tag in ends:
                 del self.open[i:]
-                if tag not in ("tr", "td", "th"):
-                    break
+                break
             elif self.open[i].tag in stops:
                 break
         node = Node(tag, attrs, self.open[-1], line, col, start, end)
+        if tag not in TABLE_PARTS and tag not in TABLE_GUESTS and not (tag == "input" and node.hidden):
+            self._foster(node)
         if tag not in VOID and not closed:
             self.open.append(node)
 
+    def _within(self, tags: frozenset[str] | set[str]) -> int:
+        """The place of the last open element of ``tags`` inside the innermost table, or 0."""
+        for i in range(len(self.open) - 1, 1, -1):
+            if self.open[i].tag in tags:
+                return i
+            if self.open[i].tag == "table":
+                break
+        return 0
+
+    def _table_part(self, tag: str) -> bool:
+        """Makes the open elements end where a part of a table belongs; False outside tables, where parts are ignored."""
+        table = next((i for i in range(len(self.open) - 1, 1, -1) if self.open[i].tag == "table"), 0)
+        if not table:
+            return False
+        if tag == "tr" or tag in CELLS:
+            section = self._within(SECTIONS)
+            row = self._within({"tr"}) if tag != "tr" else 0
+            del self.open[(row or section or table) + 1 :]
+            if not section and not row:
+                self.open.append(Node("tbody", parent=self.open[-1]))
+            if tag != "tr" and not row:
+                self.open.append(Node("tr", parent=self.open[-1]))
+        elif tag == "col":
+            group = self._within({"colgroup"})
+            del self.open[(group or table) + 1 :]
+            if not group:
+                self.open.append(Node("colgroup", parent=self.open[-1]))
+        else:
+            del self.open[table + 1 :]
+        return True
+
+    def _foster(self, item: Node | str) -> bool:
+        """Moves what was put between the parts of a table before the table."""
+        if self.open[-1].tag not in SECTIONS | {"table", "tr"}:
+            return False
+        table = next(n for n in reversed(self.open) if n.tag == "table")
+        if isinstance(item, Node):
+            item.parent.kids.pop()
+            item.parent = table.parent
+            item.deep = item.hidden or table.parent.deep
+        kids = table.parent.kids
+        kids.insert(next(i for i, k in enumerate(kids) if k is table), item)
+        return True
+
     def handle_startendtag(self, tag, attrs):
         # a slash closes foreign elements only
         self.handle_starttag(tag, attrs, any(n.tag in ("svg", "math") for n in self.open) or tag == "svg")
@@ -164,6 +213,8 @@ class TreeBuilder(HTMLParser):
                 self.open = [self.html]
             return
         for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == "table" and tag in TABLE_PARTS:
+                return  # an outer table's part does not end inside this one
             if self.open[i].tag == tag and self.open[i] is not self.body:
                 self.open[i].close = self._at()[2] + len(tag) + 3
                 del self.open[i:]
@@ -174,7 +225,8 @@ class TreeBuilder(HTMLParser):
             if not data.strip():
                 return
             self._section("#text")
-        self.open[-1].kids.append(data)
+        if not data.strip() or not self._foster(data):
+            self.open[-1].kids.append(data)
 
 
 def text_of(node: Node, hidden: bool = False) -> str:
@@ -316,24 +368,36 @@ def css_path(node: Node) -> str:
     return " > ".join(reversed(parts)) or node.tag
 
 
-def table_facts(node: Node) -> dict[str, str]:
+def table_facts(node: Node) -> tuple[dict[str, str], Node | None]:
+    """Rows of a table and those with header cells; and the first header cell without a scope, where headers run both ways."""
     rows = [n for n in node.walk() if n.tag == "tr"]
     heads = [any(k.tag == "th" for k in r.elements()) for r in rows]
-    bare = next((n for n in node.walk() if n.tag == "th" and not n.attrs.get("scope") and not n.attrs.get("headers")), None)
-    facts = {"rows": str(len(rows)), "head_rows": str(sum(heads)), "two_way": str(bool(heads) and heads[0] and any(heads[1:])).lower()}
-    if bare is not None:
-        facts["bare_th"] = str(bare.number)
-    return facts
+    bare = None
+    if any(heads[:1]) and any(heads[1:]):
+        bare = next((n for n in node.walk() if n.tag == "th" and "scope" not in n.attrs and "headers" not in n.attrs), None)
+    return {"rows": str(len(rows)), "head_rows": str(sum(heads))}, bare
 
 
-def image_facts(node: Node) -> dict[str, str]:
-    """For a link: the first image inside whose alt repeats the link's own text."""
-    own = collapsed("".join(k for k in node.kids if isinstance(k, str))).lower()
+def echoes(node: Node) -> Iterator[Node]:
+    """The images inside a link whose alt repeats the link's own text."""
+    own = collapsed(" ".join(k for k in node.kids if isinstance(k, str))).lower()
     if own:
         for n in node.walk():
             if n.tag == "img" and n.attrs.get("alt", "").strip().lower() == own:
-                return {"same_alt": str(n.number)}
-    return {}
+                yield n
+
+
+def marks(doc: Document) -> tuple[dict[int, dict[str, str]], Counter, Counter]:
+    """Facts of tables; how many visible tables miss a scope on a header cell, and how many visible links an image repeats."""
+    tables, scopes, images = {}, Counter(), Counter()
+    for n in doc.nodes:
+        if n.tag == "table":
+            tables[n.number], bare = table_facts(n)
+            if bare is not None and not n.deep:
+                scopes[bare.number] += 1
+        elif n.tag == "a" and not n.deep:
+            images.update(k.number for k in echoes(n))
+    return tables, scopes, images
 
 
 ELEMENT = pa.schema(
@@ -345,7 +409,7 @@ ELEMENT = pa.schema(
         ("hidden", pa.bool_()), ("hidden_deep", pa.bool_()), ("focusable", pa.bool_()),
         ("role_implicit", pa.string()), ("role", pa.string()), ("acc_name", pa.string()), ("acc_source", pa.string()),
         ("css_path", pa.string()), ("snippet", pa.string()),
-        ("ancestors", pa.list_(pa.struct([("tag", pa.string()), ("role", pa.string()), ("href", pa.bool_()), ("named", pa.bool_()), ("legend", pa.bool_())]))),
+        ("ancestors", pa.list_(pa.struct([("node_id", pa.int32()), ("tag", pa.string()), ("role", pa.string()), ("href", pa.bool_()), ("named", pa.bool_()), ("legend", pa.bool_())]))),
         ("kids", pa.list_(pa.struct([("tag", pa.string()), ("kind", pa.string())]))),
         ("stray_text", pa.bool_()), ("holds_focusable", pa.bool_()), ("classes", pa.string()),
         ("facts", pa.map_(pa.string(), pa.string())),
@@ -356,7 +420,7 @@ ELEMENT_DDL = (
     " start_off int, end_off int, elem_end_off int, own_text string, text string, text_all string,"
     " hidden boolean, hidden_deep boolean, focusable boolean, role_implicit string, role string,"
     " acc_name string, acc_source string, css_path string, snippet string,"
-    " ancestors array<struct<tag:string,role:string,href:boolean,named:boolean,legend:boolean>>,"
+    " ancestors array<struct<node_id:int,tag:string,role:string,href:boolean,named:boolean,legend:boolean>>,"
     " kids array<struct<tag:string,kind:string>>, stray_text boolean, holds_focusable boolean,"
     " classes string, facts map<string,string>"
 )
@@ -382,7 +446,8 @@ def element_rows(html: str, linked: str = "") -> Iterator[dict]:
         # of the class names of a whole subtree only the first icon that they name matters
         first = next((k for k, (pattern, _) in enumerate(ICONS) if pattern.search(own)), len(ICONS))
         icons[n.number] = min([first, *(icons[i] for i in inner)])
-    legend = {n.number: any(k.tag == "legend" for k in n.elements()) for n in doc.nodes if n.tag == "fieldset"}
+    legend = {n.number: bool(next((text_of(k) for k in n.elements() if k.tag == "legend"), "")) for n in doc.nodes if n.tag == "fieldset"}
+    tables, scopes, images = marks(doc)
     names = [doc.name(n) for n in doc.nodes]
     styles, unreadable = text_styles(doc, linked)
     for n in doc.nodes:
@@ -390,9 +455,11 @@ def element_rows(html: str, linked: str = "") -> Iterator[dict]:
         role = implicit_role(n)
         facts = styles.get(n.number, {})
         if n.tag == "table":
-            facts = facts | table_facts(n)
-        elif n.tag == "a":
-            facts = facts | image_facts(n)
+            facts = facts | tables[n.number]
+        elif scopes[n.number]:
+            facts = facts | {"lacks_scope": str(scopes[n.number])}
+        elif images[n.number]:
+            facts = facts | {"echoes": str(images[n.number])}
         elif n.tag == "audio":
             facts = facts | {"transcript": str("transcript" in text_of(n.parent).lower()).lower()}
         elif n.tag == "html":
@@ -407,7 +474,7 @@ def element_rows(html: str, linked: str = "") -> Iterator[dict]:
             "tag": n.tag,
             "attrs": list(n.attrs.items()),
             "line": n.line, "col": n.col, "start_off": n.start, "end_off": n.end, "elem_end_off": n.close,
-            "own_text": collapsed("".join(k for k in n.kids if isinstance(k, str)))[:500],
+            "own_text": collapsed("".join(k for k in n.kids if isinstance(k, str))),
             "text": None if n.tag in BULKY else text_of(n),
             "text_all": text_of(n, True) if n.tag in ("a", "label", "title", "legend", "style") else None,
             "hidden": n.hidden, "hidden_deep": n.deep, "focusable": focusable(n),
@@ -418,7 +485,7 @@ def element_rows(html: str, linked: str = "") -> Iterator[dict]:
             "snippet": (source[:159] + "…" if len(source) > 160 else source) or f"<{n.tag}>",
             "ancestors": [
                 {
-                    "tag": a.tag, "role": a.attrs.get("role"), "href": "href" in a.attrs,
+                    "node_id": a.number, "tag": a.tag, "role": a.attrs.get("role"), "href": "href" in a.attrs,
                     "named": bool(names[a.number][0]), "legend": legend.get(a.number, False),
                 }
                 for a in n.ancestors()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import contextlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scratch import materialise
@@ -14,7 +17,14 @@ from tessera.sources.sheets import PAGE_BYTES, is_page
 BATCH, REMEMBERED = 4, 20
 
 
-def crawl(starts: DataFrame, responses: DataFrame, robots: DataFrame | None = None, listed: DataFrame | None = None, most_pages: int = 25) -> DataFrame:
+def crawl(
+    starts: DataFrame,
+    responses: DataFrame,
+    robots: DataFrame | None = None,
+    listed: DataFrame | None = None,
+    most_pages: int = 25,
+    on_round: Callable[[dict], None] | None = None,
+) -> DataFrame:
     """(site_id, url, position, status, html, error): the pages that a polite crawl of each site takes, in order.
 
     ``starts(site_id, url)``; ``responses(url, status, content_type, body)``
@@ -25,6 +35,10 @@ def crawl(starts: DataFrame, responses: DataFrame, robots: DataFrame | None = No
     join the queue. Rounds end when no queue can go on, after ``most_pages``
     at most for a crawl without refusals. The state is a table in shared
     storage, cut once a round; the driver sees one count.
+
+    ``on_round`` gets the metrics of each round (round, pages, sites, errors,
+    links), which Spark observes while it writes the round's pages and
+    links. What it raises does not stop the crawl.
     """
     spark = starts.sparkSession
     # a later place is a later find; after a round the rank is the place, so ties keep their order
@@ -37,6 +51,7 @@ def crawl(starts: DataFrame, responses: DataFrame, robots: DataFrame | None = No
         {"position": F.lit(0), "status": F.lit(0), "html": F.lit(""), "error": F.lit("")}
     )
     site = Window.partitionBy("site_id")
+    rounds = 0
     while True:
         shapes = pages.groupBy("site_id", path_shape(F.col("url")).alias("shape")).agg(F.count("*").alias("times"))
         counts = pages.groupBy("site_id").agg(F.count("*").alias("taken"))
@@ -59,6 +74,10 @@ def crawl(starts: DataFrame, responses: DataFrame, robots: DataFrame | None = No
             "site_id", "url", (F.col("taken") + order).cast("int").alias("position"), F.col("status").cast("int").alias("status"),
             F.when(error.isNull(), F.col("body")).alias("html"), error.alias("error"),
         )
+        watched = Observation()
+        taken = taken.observe(
+            watched, F.count("*").alias("pages"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.approx_count_distinct("site_id").alias("sites")
+        )
         taken = materialise(taken, "crawl-pages")
         pages = pages.unionByName(taken)
         # links of this round that the site has not seen, in order of page and first mention
@@ -73,4 +92,10 @@ def crawl(starts: DataFrame, responses: DataFrame, robots: DataFrame | None = No
         done = batch.select("site_id", "url", F.lit("done").alias("done"))
         old = known.join(moved, ["site_id", "url"], "left").join(done, ["site_id", "url"], "left")
         old = old.select("site_id", "url", F.coalesce("rank", "place").alias("place"), F.coalesce("done", "state").alias("state"))
-        known = materialise(old.unionByName(fresh), "crawl")
+        found = Observation()
+        both = old.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+        known = materialise(both.observe(found, F.count_if("fresh").alias("links")).drop("fresh"), "crawl")
+        rounds += 1
+        if on_round is not None:
+            with contextlib.suppress(Exception):  # a listener must not stop a crawl
+                on_round({"round": rounds, **watched.get, **found.get})

@@ -107,7 +107,18 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
 
 
 def robots_allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """``paths(origin, path)`` with ``allowed``: the longest rule decides, the first of equal ones."""
-    hits = paths.join(rules, "origin").where(F.col("path").startswith(F.col("prefix")))
-    best = hits.groupBy("origin", "path").agg(F.max_by("allow", F.struct(F.length("prefix"), -F.col("ord"))).alias("allow"))
+    """``paths(origin, path)`` with ``allowed``: the longest rule decides, the first of equal ones.
+
+    A path meets rules as an equal key: it is cut to each length that a rule of
+    its origin has, and a cut that is a rule's prefix hits it. An origin has as
+    many lengths as its longest rule has characters, however many rules it has.
+    """
+    sized = rules.withColumn("size", F.length("prefix"))
+    lengths = sized.groupBy("origin").agg(F.sort_array(F.collect_set("size")).alias("sizes"))
+    wanted = paths.select("origin", "path").distinct().join(lengths, "origin")
+    cuts = F.transform(F.filter("sizes", lambda n: n <= F.length("path")), lambda n: F.left("path", n))
+    # of rules with one prefix the first counts
+    first = sized.groupBy("origin", "prefix").agg(F.min_by("allow", "ord").alias("allow"))
+    hits = wanted.select("origin", "path", F.explode(cuts).alias("prefix")).join(first, ["origin", "prefix"])
+    best = hits.groupBy("origin", "path").agg(F.max_by("allow", F.length("prefix")).alias("allow"))
     return paths.join(best, ["origin", "path"], "left").select(*paths.columns, F.coalesce("allow", F.lit(True)).alias("allowed"))

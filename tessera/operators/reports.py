@@ -229,8 +229,12 @@ def change_summary(scans: DataFrame, ledger: DataFrame, wanted: DataFrame) -> Da
     """
     one = wanted.select("id", "site_id", "score", F.coalesce("started_at", "created_at").alias("__began"))
     other = newest_other(scans, wanted).select(F.col("scan_id").alias("id"), F.col("other_score").alias("previous_score"))
-    open_ = ledger.where("status = 'open'").select("site_id", "first_seen_at")
-    new = one.join(open_, "site_id").where(F.col("first_seen_at") >= F.col("__began")).groupBy("id").agg(F.count("*").alias("new_issues"))
+    # scans and the first sights of open issues in one line of time by site: a running count instead of a join of all with all
+    sights = ledger.where("status = 'open' and first_seen_at is not null").groupBy("site_id", F.col("first_seen_at").alias("at")).agg(F.count("*").alias("n"))
+    line = sights.select("site_id", "at", "n", F.lit(None).cast(one.schema["id"].dataType).alias("id"))
+    line = line.unionByName(one.select("site_id", F.col("__began").alias("at"), F.lit(0).cast("long").alias("n"), "id"))
+    since = Window.partitionBy("site_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    new = line.withColumn("new_issues", F.sum("n").over(since)).where("id is not null and at is not null").select("id", "new_issues")
     fixed_ = ledger.where("status = 'resolved'").groupBy("site_id", F.col("resolved_scan_id").alias("id")).agg(F.count("*").alias("resolved_issues"))
     rows = one.join(other, "id", "left").join(new, "id", "left").join(fixed_, ["site_id", "id"], "left")
     n, r = F.coalesce("new_issues", F.lit(0)), F.coalesce("resolved_issues", F.lit(0))

@@ -206,16 +206,17 @@ def path_shapes(t):
 
 
 @query(rf"""
-with p as (select page_id, url, {PATH} as p from pages),
-s as (select page_id, url, p, {SHAPE} as shape, len(list_filter(string_split(p, '/'), lambda s: s <> '')) as depth from p),
-n as (select *, row_number() over (partition by shape order by page_id, url) - 1 as seen from s),
-q as (select page_id, shape, cast(depth * 10 + case when seen > 0 then 200 + seen * 40 else 0 end + case when regexp_matches(url, '\?[^#]') then 30 else 0 end
+with p as (select page_id, url, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) as site, {PATH} as p from pages),
+s as (select page_id, url, site, p, {SHAPE} as shape, len(list_filter(string_split(p, '/'), lambda s: s <> '')) as depth from p),
+n as (select *, row_number() over (partition by site, shape order by page_id, url) - 1 as seen from s),
+q as (select page_id, site, shape, cast(depth * 10 + case when seen > 0 then 200 + seen * 40 else 0 end + case when regexp_matches(url, '\?[^#]') then 30 else 0 end
   - case when regexp_matches(p, '(?i)(checkout|cart|payment|account|login|signup|register|contact|search|booking|apply)') then 60 else 0 end
   - case when depth = 0 then 100 else 0 end as int) as priority, url from n)
-select page_id, shape, priority, cast(row_number() over (order by priority, page_id, url) as int) as position from q qualify position <= 25
+select page_id, shape, priority, cast(row_number() over (partition by site order by priority, page_id, url) as int) as position from q qualify position <= 25
 """)
 def crawl_frontier(t):
-    urls = t("pages").select(F.lit(1).alias("site_id"), "url", c("page_id").alias("seq"))
+    """The first 25 addresses of each site."""
+    urls = t("pages").select(frontier.origin_of(c("url")).alias("site_id"), "url", c("page_id").alias("seq"))
     return frontier.crawl_order(urls, 25).select(c("seq").alias("page_id"), "shape", "priority", "position")
 
 
@@ -231,14 +232,17 @@ ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/11\nDisallow: /de\n# note\n
 
 @query(rf"""
 with p as (select page_id, {PATH} as p from pages),
-r(ord, allow, prefix) as (values (1, false, '/en/1'), (2, true, '/en/11'), (3, false, '/de')),
+r(ord, allow, prefix) as (values (1, false, '/en/1'), (2, true, '/en/11'), (3, false, '/de') union all select page_id + 10, page_id % 2 = 0, '/en/' || page_id from pages),
 h as (select page_id, allow, row_number() over (partition by page_id order by length(prefix) desc, ord) as n from p join r on starts_with(p, prefix))
 select p.page_id, coalesce(h.allow, true) as allowed from p left join (select * from h where n = 1) h on p.page_id = h.page_id
 """)
 def robots_allowed(t):
     files = t("pages").sparkSession.createDataFrame([("o", ROBOTS)], "origin string, body string")
     paths = t("pages").select("page_id", F.lit("o").alias("origin"), text.url_path(c("url")).alias("path"))
-    ok = frontier.robots_allowed(paths.select("origin", "path").distinct(), frontier.robots_rules(files, "ourbot"))
+    # and a rule for each page, all of one origin
+    rules = frontier.robots_rules(files, "ourbot")
+    more = t("pages").select(F.lit("o").alias("origin"), (c("page_id") + 10).alias("ord"), (c("page_id") % 2 == 0).alias("allow"), F.concat(F.lit("/en/"), "page_id").alias("prefix"))
+    ok = frontier.robots_allowed(paths.select("origin", "path").distinct(), rules.unionByName(more))
     return paths.join(ok, ["origin", "path"]).select("page_id", "allowed")
 
 

@@ -131,12 +131,12 @@ def outstanding_findings(t):
 VERDICT_SQL = """
 select p_partkey as criterion, case when p_size % 2 = 0 then 'A' else 'AA' end as level, case when p_size % 3 = 0 then 'Not Evaluated' when f > 0 then 'Does Not Support'
   when r > 0 then 'Partially Supports' when p_size % 3 = 1 then 'Supports' else 'Needs Manual Review' end as verdict, coalesce(f, 0) as failures, coalesce(r, 0) as reviews
-from part left join (select l_partkey, count(*) filter (l_returnflag = 'R') as f, count(*) filter (l_returnflag = 'A') as r from lineitem where l_linenumber = 1 group by 1) on p_partkey = l_partkey
+from part left join (select l_partkey, count(*) filter (l_returnflag = 'R') as f, count(*) filter (l_returnflag = 'A') as r from lineitem group by 1) on p_partkey = l_partkey
 """
 
 
 def judged(t) -> DataFrame:
-    d = t("lineitem").where("l_linenumber = 1").groupBy("l_partkey").agg(F.count_if(c("l_returnflag") == "R").alias("f"), F.count_if(c("l_returnflag") == "A").alias("r"))
+    d = t("lineitem").groupBy("l_partkey").agg(F.count_if(c("l_returnflag") == "R").alias("f"), F.count_if(c("l_returnflag") == "A").alias("r"))
     rows = t("part").join(d, c("p_partkey") == c("l_partkey"), "left")
     automated = F.element_at(F.array(F.lit("none"), F.lit("full"), F.lit("partial")), c("p_size") % 3 + 1)
     failures, reviews = F.coalesce("f", F.lit(0)), F.coalesce("r", F.lit(0))
@@ -244,14 +244,14 @@ def seats_used(t):
 
 
 @query(f"""
-with m as ({MEMBER_SQL}), s as (select event_id as id, user_id, cast(event_id % 25 as int) as wanted from events where value >= 0 and user_id < 100),
+with m as ({MEMBER_SQL}), s as (select event_id as id, user_id, cast(event_id % 25 as int) as wanted from events where value >= 0),
 h as (select s.id, s.user_id, m.org_id, row_number() over (partition by s.id order by m.org_id <> s.wanted, m.org_id) as n from s join m using (user_id))
 select id, user_id, org_id from h where n = 1
 """)
 def active_sessions(t):
     users, orgs, member = people(t)
     live = F.when(c("value") >= 0, moment("timestamp '2030-01-01'")).otherwise(moment())
-    rows = t("events").where("user_id < 100").select(c("event_id").alias("id"), "user_id", (c("event_id") % 25).cast("int").alias("org_id"), live.alias("expires_at"))
+    rows = t("events").select(c("event_id").alias("id"), "user_id", (c("event_id") % 25).cast("int").alias("org_id"), live.alias("expires_at"))
     return accounts.active_sessions(rows, users, member, orgs, moment("timestamp '2024-01-01'")).select("id", "user_id", "org_id")
 
 

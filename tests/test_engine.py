@@ -203,6 +203,20 @@ def test_robots(spark):
     assert got == {"/": True, "/admin/users": False, "/cart": False, "/cart/public": True, "/x": True}
 
 
+def test_many_robots_rules_of_one_origin(spark):
+    rules = [("o", k, k % 3 == 0, f"/{k % 50}/{k}") for k in range(10_000)] + [("o", 10_001, False, "/7"), ("o", 10_002, True, "/7"), ("o", 10_003, False, "")]
+    paths = [f"/{k % 60}/{k}{'/x' * (k % 3)}" for k in range(0, 12_000, 37)] + ["/", "/7", "/70"]
+    df = spark.createDataFrame(rules, "origin string, ord int, allow boolean, prefix string")
+    got = {r.path: r.allowed for r in frontier.robots_allowed(spark.createDataFrame([("o", p) for p in paths] + [("none", "/")], "origin string, path string"), df).where("origin = 'o'").collect()}
+
+    def allowed(path):
+        hits = [(len(p), -k, a) for _, k, a, p in rules if path.startswith(p)]
+        return max(hits)[2] if hits else True
+
+    assert got == {p: allowed(p) for p in paths}
+
+
+
 def test_links(spark):
     html = """<a href="/a">x</a><a href='b'>y</a><a href=/c>z</a><a href="https://else.example/">e</a><a href="/i.png">i</a><a href="mailto:a@b.c">m</a><a href="#f">f</a>"""
     df = spark.createDataFrame([(1, "https://a.example/d/", html)], "page_id long, url string, html string")

@@ -71,7 +71,15 @@ def test_crawl(spark):
     assert paths[2][2] == "/cart" and {p[2] for p in paths[3:5]} <= {"/p/1", "/p/2", "/p/3"} and len([p for p in paths if p[0] == 1]) == 6
     assert not {"/secret", "/feed"} & {p[2] for p in paths}
     assert [(p[2], p[3]) for p in paths if p[0] == 2] == [("/", None), ("/gone", "unreachable")]
-    whole = crawl.crawl(starts, responses, robots, most_pages=50).where("site_id = 1")
+    told = []
+
+    def listen(metrics):
+        told.append(metrics)
+        raise ValueError("a listener that fails")
+
+    whole = crawl.crawl(starts, responses, robots, most_pages=50, on_round=listen).where("site_id = 1")
+    assert [m["round"] for m in told] == list(range(1, len(told) + 1))
+    assert sum(m["pages"] for m in told) == 8 + 2 and sum(m["errors"] for m in told) == 1 and (told[0]["pages"], told[0]["sites"], told[0]["links"]) == (2, 2, 7)
     assert whole.count() == 8 == whole.select("url").distinct().count()
     assert [r.position for r in whole.orderBy("position").collect()] == list(range(1, 9))
 

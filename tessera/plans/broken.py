@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scratch import materialise
-from tessera.operators import remediation, rules
+from tessera.operators import cascade, remediation, rules
 from tessera.plans.catalog import PAGE_PATH, query
 from tessera.sources import sheets
 from tessera.sources.html import html_elements
@@ -369,3 +369,26 @@ def patched_pages(t):
     plans = remediation.remediation_plan(pages, found)
     hunks = F.regexp_replace("diff", r"^--- [^\n]*\n\+\+\+ [^\n]*\n", "")
     return plans.select("page_id", "patched", hunks.alias("hunks"), F.array_join("applied", ",").alias("applied"), F.array_join("skipped", ",").alias("skipped"), "automatic", "manual")
+
+
+# a sheet and own styles: the first text's color follows the page's number
+STYLED = (
+    "<style>.a{color:{gray}} div > p{font-size:1.5em} #k p.b{color:green !important} section{background:#000} section .c, i{background-color:rgba(255,255,255,0.5);color:#333}</style>"
+    '<div><p class="a">{title} words</p></div><section><p style="color:#fff;font-size:20px">two words</p><b>bold text</b><p><em class="c d">on gray</em></p></section>'
+    '<div id="k"><p class="b" style="color:red">three <b>inner</b></p><h2 style="color:BLUE">head</h2></div>'
+)
+
+
+@query("""
+with p as (select page_id, printf('#%02x%02x%02x', page_id % 256, page_id % 256, page_id % 256) as gray from pages),
+e(css_path, fg, bg, px, bold) as (values ('body > div:nth-of-type(1) > p', null, '#ffffff', 24.0::double, false), ('body > section > p:nth-of-type(1)', '#ffffff', '#000000', 20.0::double, false),
+  ('body > section > p:nth-of-type(2) > em', '#333333', '#808080', 16.0::double, false), ('#k > p', '#008000', '#ffffff', 24.0::double, false), ('#k > p > b', '#008000', '#ffffff', 24.0::double, true),
+  ('#k > h2', '#0000ff', '#ffffff', 24.0::double, true))
+select page_id, css_path, coalesce(fg, gray) as fg, bg, px, bold from p, e
+""")
+def text_looks(t):
+    pages = filled(t, [STYLED])
+    two = F.lower(F.lpad(F.hex(c("page_id") % 256), 2, "0"))
+    pages = pages.withColumn("html", F.replace("html", F.lit("{gray}"), F.concat(F.lit("#"), two, two, two)))
+    elements = materialise(html_elements(pages), "styled-elements")
+    return cascade.text_looks(elements).join(elements.select("page_id", "node_id", "css_path"), ["page_id", "node_id"]).drop("node_id")

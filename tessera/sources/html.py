@@ -402,7 +402,7 @@ def marks(doc: Document) -> tuple[dict[int, dict[str, str]], Counter, Counter]:
 
 ELEMENT = pa.schema(
     [
-        ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
+        ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())), ("line", pa.int32()), ("col", pa.int32()),
         ("start_off", pa.int32()), ("end_off", pa.int32()), ("elem_end_off", pa.int32()),
         ("own_text", pa.string()), ("text", pa.string()), ("text_all", pa.string()),
@@ -416,7 +416,7 @@ ELEMENT = pa.schema(
     ]
 )
 ELEMENT_DDL = (
-    "node_id int, parent_id int, depth int, tag string, attrs map<string,string>, line int, col int,"
+    "node_id int, parent_id int, last_id int, depth int, tag string, attrs map<string,string>, line int, col int,"
     " start_off int, end_off int, elem_end_off int, own_text string, text string, text_all string,"
     " hidden boolean, hidden_deep boolean, focusable boolean, role_implicit string, role string,"
     " acc_name string, acc_source string, css_path string, snippet string,"
@@ -439,8 +439,10 @@ def element_rows(html: str, linked: str = "") -> Iterator[dict]:
     doc = Document(html)
     focus = [False] * len(doc.nodes)
     icons = [len(ICONS)] * len(doc.nodes)
+    last = [0] * len(doc.nodes)  # the last element inside each: those from an element to its last are its subtree
     for n in reversed(doc.nodes):
         inner = [k.number for k in n.elements()]
+        last[n.number] = last[inner[-1]] if inner else n.number
         focus[n.number] = focusable(n) or any(focus[i] for i in inner)
         own = " ".join(n.attrs[k] for k in ("class", "id", "data-icon") if n.attrs.get(k))
         # of the class names of a whole subtree only the first icon that they name matters
@@ -470,6 +472,7 @@ def element_rows(html: str, linked: str = "") -> Iterator[dict]:
         yield {
             "node_id": n.number,
             "parent_id": n.parent.number if n.parent.tag != "#document" else None,
+            "last_id": last[n.number],
             "depth": sum(1 for _ in n.ancestors()),
             "tag": n.tag,
             "attrs": list(n.attrs.items()),

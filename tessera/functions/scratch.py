@@ -30,6 +30,7 @@ def _own(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, which goes with ``drop_scratch`` or the end of the application."""
     files, own = _files(spark)
+    files.mkdirs(own)
     files.deleteOnExit(own)  # what drop_scratch has not deleted by then
     return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 

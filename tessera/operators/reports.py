@@ -48,6 +48,24 @@ def group_by_rule(findings: DataFrame) -> DataFrame:
     return rows.orderBy(rank(F.col("impact"), IMPACTS), F.desc("items"), "rule_id")
 
 
+def grouped_findings(findings: DataFrame, shown: int | None = None) -> DataFrame:
+    """Each finding with its rule's ``place`` among the rules, the ``items`` of the rule, and its own ``nth`` among them.
+
+    Rules go by the impact of their first finding and then by size, findings by
+    page and element. A rule's findings stay rows, so a large rule is no single
+    value; ``shown`` keeps the first so many of each rule, which Spark cuts
+    before it shuffles.
+    """
+    rules = group_by_rule(findings).withColumnRenamed("impact", "rule_impact").withColumnRenamed("tier", "rule_tier")
+    # one row a rule of the catalog, and those that were added to it
+    order = Window.orderBy(rank(F.col("rule_impact"), IMPACTS), F.desc("items"), "rule_id")
+    rules = rules.select("rule_id", "rule_impact", "rule_tier", "items", F.row_number().over(order).alias("place"))
+    nth = F.row_number().over(Window.partitionBy("rule_id").orderBy("page_id", "node_id"))
+    rows = findings.withColumn("nth", nth)
+    rows = rows.where(F.col("nth") <= shown) if shown is not None else rows
+    return rows.join(rules, "rule_id")
+
+
 def top_issues(findings: DataFrame, limit: int = 12) -> DataFrame:
     rows = findings.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("site_id").alias("sites"))
     return rows.orderBy(F.desc("n"), "rule_id").limit(limit)

@@ -443,6 +443,19 @@ def _totals_sql(by: str) -> str:
     return SCORED + f"select {by}, count(*) as total, {counts}, cast(floor(100 / (1 + sum(p) / 200.0::double) + 0.5) as int) as score from w group by 1"
 
 
+@query(f"""
+with f as (select cast(l_partkey % 13 as varchar) as rule_id, l_orderkey as page_id, l_linenumber as node_id, {IMPACT} as impact from lineitem),
+g as (select rule_id, count(*) as items, arg_min(impact, page_id * 100 + node_id) as impact from f group by 1),
+p as (select rule_id, items, row_number() over (order by case impact when 'critical' then 0 when 'serious' then 1 when 'moderate' then 2 else 3 end, items desc, rule_id) as place from g),
+n as (select *, row_number() over (partition by rule_id order by page_id, node_id) as nth from f)
+select rule_id, cast(place as int) as place, items, cast(nth as int) as nth, page_id, node_id from n join p using (rule_id) where nth <= 3
+""")
+def report_items(t):
+    """The first three findings of each rule, in the order of a report."""
+    rows = _as_findings(t).withColumn("rule_id", (c("signature") % 13).cast("string"))
+    return reports.grouped_findings(rows, 3).select("rule_id", "place", "items", "nth", "page_id", "node_id")
+
+
 @query(_totals_sql("scan"))
 def scan_totals(t):
     return scoring.totals(_as_findings(t), "scan")

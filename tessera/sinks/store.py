@@ -60,6 +60,48 @@ class Store:
         found = self.versions(name)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/v{found[-1]}") if found else self.spark.createDataFrame([], schema)
 
+    def commit(self, tables: dict[str, DataFrame]) -> int:
+        """New snapshots of several tables that show at once or not at all.
+
+        All are written first; one small file that names their versions then takes
+        its place, and ``at`` reads the tables as the newest such file tells.
+        """
+        names = sorted(tables)
+        number = max(self._commits(), default=0) + 1
+        lines = [f"{name}={self.replace(name, tables[name], keep=1 << 30)}" for name in names]
+        before = dict(x.split("=") for x in self._commit(number - 1)) if number > 1 else {}
+        told = {**before, **dict(x.split("=") for x in lines)}
+        draft = f"{self.folder}/commits/draft-{uuid.uuid4().hex}"
+        files, source = self._files(draft)
+        out = files.create(source)
+        try:
+            out.writeUTF("\n".join(f"{k}={v}" for k, v in sorted(told.items())))
+        finally:
+            out.close()
+        if not files.rename(source, self._files(f"{self.folder}/commits/c{number}")[1]):
+            raise OSError(f"commit {number} was made meanwhile")
+        return number
+
+    def _commits(self) -> list[int]:
+        files, at = self._files(f"{self.folder}/commits")
+        names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+        return sorted(int(n[1:]) for n in names if n.startswith("c"))
+
+    def _commit(self, number: int) -> list[str]:
+        files, at = self._files(f"{self.folder}/commits/c{number}")
+        stream = files.open(at)
+        try:
+            return stream.readUTF().split("\n")
+        finally:
+            stream.close()
+
+    def at(self, name: str, schema: str, number: int | None = None) -> DataFrame:
+        """A table as of a commit, the newest one where none is named."""
+        known = self._commits()
+        number = number if number is not None else (known[-1] if known else 0)
+        versions = dict(x.split("=") for x in self._commit(number)) if number else {}
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/v{versions[name]}") if name in versions else self.spark.createDataFrame([], schema)
+
     def update(self, name: str, schema: str, change: Callable[[DataFrame], DataFrame]) -> int:
         """A snapshot after ``change``, as one transaction."""
         return self.replace(name, change(self.snapshot(name, schema)))

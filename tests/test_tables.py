@@ -326,3 +326,32 @@ def test_logs_hide_secrets(spark):
     assert got == ['{"Token":"[redacted]","tokens":1,"list":[{"api_key":"[redacted]"}],"n":{"password":"[redacted]"}}', deep, "no json", None]
     m = spark.range(1).select(reports.scrub(F.create_map(F.lit("cookie"), F.lit("x"), F.lit("cookies"), F.lit("y"))).alias("m")).first().m
     assert m == {"cookie": "[redacted]", "cookies": "y"}
+
+
+def test_several_tables_change_at_once(spark, tmp_path):
+    from tessera.sinks.store import Store
+
+    store, kind = Store(spark, str(tmp_path / "s")), "id int"
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], kind)
+    read = lambda name, *n: sorted(r.id for r in store.at(name, kind, *n).collect())
+    assert read("a") == []
+    assert store.commit({"a": rows(1), "b": rows(10)}) == 1
+    # a writer that dies between its tables shows nothing
+    store.replace("a", rows(5), keep=9)
+    assert read("a") == [1] and read("b") == [10]
+    assert store.commit({"b": rows(20, 21)}) == 2
+    assert read("a") == [1] and read("b") == [20, 21] and read("b", 1) == [10]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    pages, out = str(tmp_path / "pages"), str(tmp_path / "out")
+    spark.createDataFrame([(k, f"https://a.example/{k}", '<img src="x">' * 4) for k in range(3)], "page_id long, url string, html string").write.parquet(pages)
+    assert main([pages, "--fix", "--out", out], spark) == 1
+    text = capsys.readouterr().out
+    assert text.startswith("3 pages, score ") and "Image has no alternative text (12x, 1.1.1)" in text and "and 9 more" in text
+    assert spark.read.parquet(f"{out}/findings").where("rule_id = 'img-alt'").count() == 12 and spark.read.parquet(f"{out}/plans").count() == 3
+    assert main([pages, "--json"], spark) == 1
+    assert sum('"rule_id":"img-alt"' in x for x in capsys.readouterr().out.splitlines()) == 12
+    assert main([str(tmp_path / "absent")], spark) == 2

@@ -27,13 +27,15 @@ TOKEN = (
 )
 SPAN = "struct<start:int,end:int,value:string>"
 PIECES = 256
+NEIGHBOURS = 4  # matches that a context reaches over
+RIGHT = ">"  # marks cues that stand behind a place
 
 
 def with_spans(rows: DataFrame, name: str, pattern: str, reach: int) -> DataFrame:
-    """``rows`` with ``name``: leftmost non-overlapping matches in ``text`` as (start, end, value, left), in code points.
+    """``rows`` with ``name``: leftmost non-overlapping matches in ``text`` as (start, end, value, left, right), in code points.
 
-    ``left`` is what stands before a match, ``reach`` characters at most, and
-    not further back than the fourth match before.
+    ``left`` and ``right`` are what stands before and behind a match, ``reach``
+    characters at most, and not further than the ``NEIGHBOURS``-th match from it.
 
     Matches are fenced by two control characters and the text is split at the
     first one; running lengths of the pieces give the places. Those two
@@ -71,14 +73,19 @@ def with_spans(rows: DataFrame, name: str, pattern: str, reach: int) -> DataFram
     )
 
     def before(i: Column) -> Column:
-        pieces = F.slice(parts, F.greatest(i - 3, F.lit(0)) + 1, F.least(i + 1, F.lit(4)))
+        pieces = F.slice(parts, F.greatest(i - NEIGHBOURS + 1, F.lit(0)) + 1, F.least(i + 1, F.lit(NEIGHBOURS)))
         return F.right(F.replace(F.array_join(F.transform(pieces, lambda p: F.right(p, F.lit(reach))), ""), F.lit("\x02"), F.lit("")), F.lit(reach))
 
+    def behind(i: Column) -> Column:
+        rest = F.substring_index(F.get(parts, i + 1), "\x02", -1)
+        pieces = F.transform(F.slice(parts, i + 3, F.lit(NEIGHBOURS - 1)), lambda p: F.left(F.replace(p, F.lit("\x02"), F.lit("")), F.lit(reach)))
+        return F.left(F.concat(F.left(rest, F.lit(reach)), F.array_join(pieces, "")), F.lit(reach))
+
     spans = F.transform(
         F.flatten(placed["out"]),
-        lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before(i).alias("left")),
+        lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before(i).alias("left"), behind(i).alias("right")),
     )
-    kind = "array<struct<start:int,end:int,value:string,left:string>>"
+    kind = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
     return rows.withColumn(name, F.when(parts.isNotNull(), spans).otherwise(F.array().cast(kind))).drop("__parts")
 
 
@@ -103,12 +110,20 @@ def holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def cues(left: Column) -> Column:
-    """The last word, and the last two words, of what stands before a place."""
-    left = F.lower(left)
-    return F.array(
-        F.regexp_extract(left, r"(\p{L}+)[^\p{L}]*$", 1), F.regexp_extract(left, r"(\p{L}+[^\p{L}]+\p{L}+)[^\p{L}]*$", 1)
-    )
+def cues(left: Column, right: Column) -> Column:
+    """The last word and the last two words before a place, and the first and the first two behind it, which ``RIGHT`` marks."""
+    left, right = F.lower(left), F.lower(right)
+    found = F.array(
+        F.regexp_extract(left, r"(\p{L}+)[^\p{L}]*$", 1), F.regexp_extract(left, r"(\p{L}+[^\p{L}]+\p{L}+)[^\p{L}]*$", 1),
+        F.concat(F.lit(RIGHT), F.regexp_extract(right, r"^[^\p{L}]*(\p{L}+)", 1)), F.concat(F.lit(RIGHT), F.regexp_extract(right, r"^[^\p{L}]*(\p{L}+[^\p{L}]+\p{L}+)", 1)),
+    )
+    return F.filter(found, lambda c: ~c.isin("", RIGHT))
+
+
+def nearest_word(cue: Column) -> Column:
+    """The word of a cue that stands next to the place, with its mark."""
+    first = F.concat(F.lit(RIGHT), F.regexp_extract(cue, r"^>(\p{L}+)", 1))
+    return F.when(cue.startswith(RIGHT), first).otherwise(F.regexp_extract(cue, r"(\p{L}+)$", 1))
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
@@ -136,7 +151,7 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataF
     def cued(name: str) -> Column:
         return F.transform(
             name,
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), cues(s["left"]).alias("cues")),
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), cues(s["left"], s["right"]).alias("cues")),
         )
 
     return rows.select("uid", "id", *[cued(k).alias(k) for k in (*KINDS, "others")])
@@ -146,15 +161,16 @@ def scored_cues(edges: DataFrame, support: int, rounds: int) -> DataFrame:
     """(cue, kind, score) of the patterns of a pattern-instance graph of (kind, value, cue); kind is null for unseen values.
 
     A seed is worth 1 to its cues. An unseen value is worth, to a cue, the
-    best score that a cue of another last word has: so a cue, or the same one
-    with a word before it, never backs itself. A cue's score is the mean worth
+    best score that a cue of another next word on the same side has: so a cue, the
+    same one with a word more, and what stands around the same place, never
+    back each other; another place has to. A cue's score is the mean worth
     of the distinct values that follow it; it has one once their worth sums up
     to ``support`` or more. In the first round only seeds are worth anything;
     in later ones values that are found induce cues that no seed follows.
     Distinct values are counted, so copies of a document add nothing, and all
     sums are combined before their shuffle.
     """
-    word = F.regexp_extract("cue", r"(\p{L}+)$", 1)
+    word, side = nearest_word(F.col("cue")), F.col("cue").startswith(RIGHT)
     width = materialise(edges.groupBy("cue").agg(F.count_distinct("value").alias("width")), "widths")
     backed = edges.where("kind is not null").groupBy("cue", "kind").agg(F.count_distinct("value").cast("double").alias("backing"))
     backed = materialise(backed, "backing")
@@ -166,12 +182,12 @@ def scored_cues(edges: DataFrame, support: int, rounds: int) -> DataFrame:
 
     scores = scores_of(backed)
     for _ in range(rounds):
-        values = open_.join(scores, "cue").groupBy("value", "kind", word.alias("word")).agg(F.max("score").alias("score"))
-        best = values.groupBy("value", "kind").agg(F.max(F.struct("score", "word")).alias("best"))
-        rest = values.join(best, ["value", "kind"]).where(F.col("word") != F.col("best.word"))
-        best = best.join(rest.groupBy("value", "kind").agg(F.max("score").alias("next")), ["value", "kind"], "left")
+        values = open_.join(scores, "cue").groupBy("value", "kind", side.alias("side"), word.alias("word")).agg(F.max("score").alias("score"))
+        best = values.groupBy("value", "kind", "side").agg(F.max(F.struct("score", "word")).alias("best"))
+        rest = values.join(best, ["value", "kind", "side"]).where(F.col("word") != F.col("best.word"))
+        best = best.join(rest.groupBy("value", "kind", "side").agg(F.max("score").alias("next")), ["value", "kind", "side"], "left")
         worth = F.when(word == F.col("best.word"), F.coalesce("next", F.lit(0.0))).otherwise(F.col("best.score"))
-        added = open_.join(best, "value").select("cue", "kind", worth.alias("backing"))
+        added = open_.withColumn("side", side).join(best, ["value", "side"]).select("cue", "kind", worth.alias("backing"))
         scores = scores_of(backed.unionByName(added))
     return scores
 
@@ -204,9 +220,9 @@ def find_pii(
     """(id, base, spans) for each row: arrays of (kind number, start, end) in order.
 
     ``base`` are the pattern matches that hold; ``spans`` also has what the
-    bootstrapped cues found: other matches of ``TOKEN`` behind a cue, the last
-    word or two words before a place, whose score is ``confidence`` or more
-    (``scored_cues``). Cues are read from ``reach`` characters. Texts are read
+    bootstrapped cues found: other matches of ``TOKEN`` beside a cue, the last
+    word or two words before a place or the first ones behind it, whose score is
+    ``confidence`` or more (``scored_cues``). Cues are read from ``reach`` characters. Texts are read
     once; what follows works on spans.
 
     Defined cases: null and empty texts have no spans; repeated rows and null

@@ -363,6 +363,21 @@ def test_quality_scores_against_brute_force(spark, monkeypatch, sent):
     assert Counter((r.doc_id, r.llr_millis) for r in quality.quality_rules(docs, marks).collect()) == want
 
 
+def test_quality_verdicts_against_brute_force(spark):
+    """The cut is found among all labelled rows, and every row stands on its side of it."""
+    docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = {}
+    for r in marks.where("quality is not null").collect():
+        good[r.doc_id] = max(good.get(r.doc_id, 0), int(r.quality == 1))
+    rows = quality.quality_rules(docs, marks).collect()
+    scores = sorted((r.llr_millis, good[r.doc_id]) for r in rows if not r.base_failed and r.doc_id in good)
+    shares = [(sum(g for s, g in scores if s >= cut) / sum(g for _, g in scores) - sum(1 - g for s, g in scores if s >= cut) / sum(1 - g for _, g in scores), -cut) for cut in {s for s, _ in scores}]
+    best = -max(shares)[1]
+    below = [s for s, _ in scores if s < best]
+    cut = (best + max(below) + 1) // 2 if below else best
+    assert Counter((r.doc_id, r.kept) for r in rows) == Counter((r.doc_id, not r.base_failed and r.llr_millis >= cut) for r in rows)
+
+
 def test_quality_table_grows():
     assert [quality.table_bits(n) for n in (0, 25_000_000, 50_000_000_000)] == [10, 17, 21]
 
@@ -423,7 +438,7 @@ def test_pii_finds_numbers_in_groups(spark):
 
 
 def graph_scores(edges, support, rounds):
-    last = lambda c: c.split()[-1]
+    last = lambda c: c.split()[0] if c.startswith(">") else c.split()[-1]
     width, seeds, open_ = defaultdict(set), defaultdict(set), set()
     for kind, value, cue in edges:
         width[cue].add(value)
@@ -437,7 +452,7 @@ def graph_scores(edges, support, rounds):
         total = Counter(backing)
         for value, cue in open_:
             for kind in {k for _, k in scores}:
-                near = [s for (c, k), s in scores.items() if k == kind and (value, c) in open_ and last(c) != last(cue)]
+                near = [s for (c, k), s in scores.items() if k == kind and (value, c) in open_ and last(c) != last(cue) and (c[0] == ">") == (cue[0] == ">")]
                 total[(cue, kind)] += max(near, default=0.0)
         scores = {k: n / len(width[k[0]]) for k, n in total.items() if n >= support}
     return scores
@@ -458,12 +473,61 @@ def test_pii_graph_against_brute_force(spark):
 def test_pii_instances_induce_new_cues(spark):
     """No seed follows "tel", but the numbers that "hotline" finds do; so "tel" finds another one."""
     rows = [(i, f"hotline +1 (555) 555-{1000 + i} x") for i in range(200)] + [(300 + k, f"hotline 826 555 {4000 + k} x tel 826 555 {4000 + k} y") for k in range(12)]
-    rows += [(400, "tel 826 555 9999 y"), (401, "room 826 555 9999 y")]
+    rows += [(400, "tel 826 555 9999 y"), (401, "room 826 555 9999 z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     count = lambda rounds: {r.doc_id: r.n for r in pii.find_pii(docs, confidence=0.8, rounds=rounds).select("doc_id", F.size("spans").alias("n")).collect()}
     assert count(0)[400] == 0 and count(3)[400] == 1 and count(3)[401] == 0
 
 
+def test_pii_cues_behind_a_place(spark):
+    rows = [(i, f"w{i} +1 (555) 555-{1000 + i} is my number") for i in range(20)] + [(50, "x 826 555 4081 is my number"), (51, "x 826 555 4081 days later")]
+    got = {r.doc_id: r.s for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.spelled("spans").alias("s")).collect()}
+    assert got[50] == "phone:2:14" and got[51] == ""
+
+
+def planted(spark, seed=9):
+    """Documents of the tables, into which seeds and unseen identifiers are put behind and before telling words."""
+    rng, rows, want = random.Random(seed), [], {}
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    for i, text in docs:
+        words = text.split(" ")
+        at, what = rng.randrange(len(words) + 1), rng.randrange(20)
+        start = len(" ".join(words[:at])) + (at > 0)
+        if what < 16:
+            words.insert(at, rng.choice(["hotline +49 {} 9", "+49 {} 9 fernruf"]).format(digits(9)))
+        elif what < 17:
+            value = rng.choice([f"0{digits(2)} {digits(3)} {digits(4)}", digits(8)])
+            before = rng.random() < 0.5
+            words.insert(at, f"hotline {value}" if before else f"{value} fernruf")
+            want[i] = (start + 8 * before, start + 8 * before + len(value))
+        elif what == 17:
+            words.insert(at, f"invoice {digits(8)}")
+        rows.append((i, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), want
+
+
+def test_pii_finds_planted_identifiers(spark):
+    docs, want = planted(spark)
+    got = {r.doc_id: {tuple(s)[1:] for s in r.spans} - {tuple(s)[1:] for s in r.base} for r in pii.find_pii(docs).collect()}
+    found = sum(w in got[i] for i, w in want.items())
+    added = sum(map(len, got.values()))
+    assert len(want) > 30 and found >= 0.9 * len(want) and found >= 0.9 * added
+
+
+def test_pii_added_spans_against_brute_force(spark):
+    docs, _ = planted(spark, 4)
+    rows = pii.base_spans(docs, "doc_id", "text", 64).collect()
+    edges = {(k if k != "others" else None, s.value, cue) for r in rows for k in (*pii.KINDS, "others") for s in r[k] for cue in s.cues}
+    good = {}
+    for (cue, kind), score in graph_scores(edges, 5, 3).items():
+        if score >= 0.9:
+            good[cue] = max(good.get(cue, (0, "")), (score, kind))
+    want = {(r.id, pii.KINDS.index(min(good[c][1] for c in s.cues if c in good)), s.start, s.end) for r in rows for s in r.others if any(c in good for c in s.cues)}
+    got = {(r.doc_id, *s) for r in pii.find_pii(docs).collect() for s in {tuple(x) for x in r.spans} - {tuple(x) for x in r.base}}
+    assert got == want and len(want) > 30
+
+
 def test_pii_in_a_text_with_many_matches(spark):
     text = " ".join(f"mail u{i}@ex.co or 10.0.{i % 256}.1" for i in range(3000)) + " é 1.2.3.4"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -787,6 +851,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert counts[(1, True)] >= 0.6 * (counts[(1, True)] + counts.get((1, False), 0))
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    """Severity, grade and verdict of every row, from the model's weights by plain sums over words."""
+    docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(toxicity.labelled_sample(docs, marks, "toxic", 10_000, "doc_id", "text"))
+    want = []
+    for i, text in texts(spark):
+        counts = Counter(f for w in ALNUM.findall((text or "").translate(AZ)) for f in toxicity.features_of(w.encode()) if f in model.vocabulary)
+        x = sum(model.weights[model.vocabulary[f]] * (1 + np.log(n)) for f, n in counts.items())
+        above = [1 / (1 + np.exp(-(x - cut))) if abs(x - cut) < 40 else float(x > cut) for cut in model.cuts]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        want.append((i, int(np.argmax(each)), bool(above[0] >= 0.3), float(sum(above))))
+    got = sorted((r.doc_id, r.grade, r.toxic, r.severity) for r in queries.op9_toxicity(spark, SF).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and model.vocabulary
+    assert max(abs(a[3] - b[3]) for a, b in zip(got, sorted(want), strict=True)) < 1e-5
+
+
 def test_toxicity_on_rough_rows(spark, rough, none, labels):
     got = toxicity.toxicity(rough, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ROWS)

@@ -22,7 +22,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject.
 
-    Null texts have no words and go. Labels are those of the input tables.
+    Labels are those of the input tables. Null, empty and blank texts have no
+    words and go; repeated rows are judged one by one and alike; rows without an
+    id are judged without a label; of scores equal to the cut all stay; texts
+    are read whole; an empty table stays empty.
     """
     labels = read_table(spark, sf_dir, "labels")
     judged = quality.quality_rules(docs, labels, carry=True)
@@ -32,7 +35,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines out of the texts; a text that this leaves without a word goes.
 
-    ``n_chars`` follows the new text. Empty texts that were empty before stay.
+    ``n_chars`` follows the new text. Empty texts that were empty before stay,
+    and null texts stay null. Of repeated rows, and of lines that tie, the line
+    of the smallest id and first place stays; texts are read whole; an empty table
+    stays empty; other columns go on unchanged.
     """
     cleaned = lines.dedup_lines(docs, prefix="__")
     emptied = (F.col("__n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
@@ -59,7 +65,10 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents and cuts benchmark passages out of the others.
 
-    ``n_chars`` follows the new text; null texts stay null.
+    ``n_chars`` follows the new text; null texts stay null and empty ones empty.
+    Repeated rows are judged one by one and alike; rows without an id are judged
+    like others; texts are read whole; an empty table stays empty, and an empty
+    benchmark leaves every row as it is.
     """
     found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), remove_spans=True, carry=True)
     kept = found.where(~F.col("__contaminated"))

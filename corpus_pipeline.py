@@ -36,9 +36,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines out of the texts; a text that this leaves without a word goes.
 
     ``n_chars`` follows the new text. Empty texts that were empty before stay,
-    and null texts stay null. Of repeated rows, and of lines that tie, the line
-    of the smallest id and first place stays; texts are read whole; an empty table
-    stays empty; other columns go on unchanged.
+    and null texts stay null. Of equal lines the one of the smallest id and first
+    place stays; rows that share an id count as one document and stay alike;
+    rows without an id lose only their own repeats; lines of under 30 characters
+    stay. Texts are read whole; an empty table stays empty; other columns go on.
     """
     cleaned = lines.dedup_lines(docs, prefix="__")
     emptied = (F.col("__n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")

@@ -134,15 +134,14 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"__k": F.xxhash64(number, text), "__l": F.xxhash64(text, number)})
 
 
-def text_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(k, l, id, place, line, n): each line of ``min_chars`` characters or more, with their number."""
+def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, l, id, place, line, n): each line, with the number of its characters."""
     rows = with_key(docs, id_col, text_col).select(
         F.col("__k").alias("k"), F.col("__l").alias("l"), F.col(id_col).cast("long").alias("id"),
         # an inner explode would infer a filter that repeats its expression
         F.posexplode_outer(normal_lines(F.col(text_col))).alias("place", "line"),
     )
-    rows = rows.withColumn("line", F.trim("line")).withColumn("n", F.length("line"))
-    return rows.where(F.col("n") >= min_chars)
+    return rows.withColumn("line", F.trim("line")).withColumn("n", F.length("line"))
 
 
 def sent(table: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
@@ -154,9 +153,10 @@ def near_lines(lines: DataFrame, docs: DataFrame, tau: int, min_chars: int) -> D
     """(h, g): lines that are within ``tau`` edits of an earlier line.
 
     ``lines`` holds the keys of all lines of ``docs`` (id, text), of which only
-    those are read again in which a line with a shared key stands first.
+    those are read again in which a line with a shared key stands first. Lines
+    under ``min_chars`` characters, not ``long``, meet none.
     """
-    keyed = lines.where("id is not null")
+    keyed = lines.where("id is not null and long")
     shared = (
         keyed.select("h", F.posexplode("keys").alias("pos", "key"))
         .groupBy("key")
@@ -172,7 +172,7 @@ def near_lines(lines: DataFrame, docs: DataFrame, tau: int, min_chars: int) -> D
 
     wanted = materialise(slots.select("h", "g", "first").distinct(), "wanted-lines")
     home = sent(materialise(wanted.select(F.col("first").alias("id")).distinct(), "wanted-documents"))
-    found = text_lines(docs.join(home, "id", "left_semi"), min_chars, "id", "text").select("id", "line")
+    found = text_lines(docs.join(home, "id", "left_semi"), "id", "text").where(F.col("n") >= min_chars).select("id", "line")
     found = found.withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
     found = found.join(sent(wanted).withColumnRenamed("first", "id"), ["id", "h", "g"], "left_semi")
     found = found.dropDuplicates(["h", "g"])
@@ -238,21 +238,25 @@ def removed_places(
     """(k, l, removed): numbers, from 0, of the lines to remove from each row that loses any.
 
     A line goes if an earlier line of its document or any line of an earlier
-    document is equal, or if an earlier line (by first document, then by place
-    in it) is within ``tau`` edits. Texts are normalised once, into a table of
-    hashes and segment keys; all else works on that table.
+    document is equal, or, from ``min_chars`` characters on, if an earlier line
+    (by first document, then by place in it) is within ``tau`` edits; two edits
+    make another word of a shorter one. Of these, lines without a letter or a
+    digit stay. Texts are normalised once, into a table of hashes and segment
+    keys; all else works on that table.
     """
-    lines = text_lines(docs, min_chars, id_col, text_col)
+    long = F.col("n") >= min_chars
+    lines = text_lines(docs, id_col, text_col).where(long | F.col("line").rlike(r"[\p{L}\p{N}]"))
     hashes = [F.xxhash64("line").alias("h"), F.hash("line").alias("g")]
     lines = lines.withColumn("wide", wide(F.col("line")))
-    rows = materialise(lines.select("k", "l", "id", "place", *hashes, segment_keys(F.col("wide"), F.col("n"), tau).alias("keys")), "lines")
+    keys = segment_keys(F.col("wide"), F.col("n"), tau).alias("keys")
+    rows = materialise(lines.select("k", "l", "id", "place", *hashes, long.alias("long"), keys), "lines")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     near = materialise(near_lines(rows, texts, tau, min_chars), "near-lines")
     equal = rows.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     flagged = equal.select("h", "g", "first").join(near.withColumn("near", F.lit(True)), ["h", "g"], "full_outer")
     flagged = sent(materialise(flagged, "flagged-lines"))
     sure = F.col("id").isNotNull() & (F.coalesce("near", F.lit(False)) | F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
-    gone = rows.drop("keys").join(flagged, ["h", "g"]).select("k", "l", F.struct("h", "g", "place", sure.alias("sure")).alias("x"))
+    gone = rows.drop("keys", "long").join(flagged, ["h", "g"]).select("k", "l", F.struct("h", "g", "place", sure.alias("sure")).alias("x"))
     gone = gone.groupBy("k", "l").agg(F.sort_array(F.collect_set("x")).alias("xs"))
     xs = F.col("xs")
     again = lambda x, i: (i > 0) & (F.get(xs, i - 1)["h"] == x["h"]) & (F.get(xs, i - 1)["g"] == x["g"])
@@ -274,7 +278,8 @@ def dedup_lines(
     four times as many lines, and by a shuffle join beyond.
 
     Defined cases: null and empty texts stay as they are; lines under
-    ``min_chars`` characters stay; rows with a null id lose only their own
+    ``min_chars`` characters go only if an earlier one is equal, and stay if they
+    hold no letter or digit, as blank lines and brackets do; rows with a null id lose only their own
     repeats; rows that share an id count as one document; an empty table gives
     no rows; other columns are carried along whatever their names.
     """

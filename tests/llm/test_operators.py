@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
@@ -568,22 +569,25 @@ def test_keys_count_characters(spark):
 
 
 def removed_lines(rows, tau=2, least=30, as_list=False):
+    told = lambda x: len(x) >= least or any(unicodedata.category(c)[0] in "LN" for c in x)
     norm = lambda t: [x.strip(" ") for x in re.sub(r"[ \t\x0b\f\r]+", " ", (t or "").lower()).split("\n")]
     first = {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         for k, x in enumerate(norm(t)):
-            if len(x) >= least:
+            if told(x):
                 first.setdefault(x, (i, k))
     out = []
     by_length = defaultdict(list)
     for y in first:
-        by_length[len(y)].append(y)
+        if len(y) >= least:
+            by_length[len(y)].append(y)
     for i, t in rows:
         seen, gone = set(), []
         for k, x in enumerate(norm(t)):
-            if len(x) < least:
+            if not told(x):
                 continue
-            earlier = i is not None and (first[x][0] < i or any(first[y] < first[x] and alike(x, y, tau) for d in range(-tau, tau + 1) for y in by_length[len(x) + d]))
+            near = range(-tau, tau + 1) if len(x) >= least else ()
+            earlier = i is not None and (first[x][0] < i or any(first[y] < first[x] and alike(x, y, tau) for d in near for y in by_length[len(x) + d]))
             if x in seen or earlier:
                 gone.append(k)
             seen.add(x)
@@ -621,6 +625,15 @@ def test_line_dedup(spark, rough, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_short_lines(spark):
+    """Equal short lines go, alike ones and those without a letter or digit stay."""
+    rows = [(1, "All rights reserved.\n\n}\n---\nPage 1"), (2, "all  rights reserved. \n\n}\n---\nPage 2"), (3, "Page 2\nÉ\né\nIt goes on."), (None, "Page 1\nPage 1\n}"), (4, "All rights reserved!")]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.removed) for r in out} == {1: [], 2: [0], 3: [0, 2], None: [1], 4: []}
+    assert Counter((r.doc_id, tuple(r.removed)) for r in out) == removed_lines(rows)
+    assert {r.doc_id: r.text for r in out}[3] == "É\nIt goes on."
+
+
 @pytest.mark.parametrize("hot", [64, 3])
 def test_lines_that_share_one_segment(spark, monkeypatch, hot):
     """Many lines with one text in common, at its start, middle or end, some of them near others; short rests and repeats in a line too."""

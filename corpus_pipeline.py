@@ -39,7 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and null texts stay null. Of equal lines the one of the smallest id and first
     place stays; rows that share an id count as one document and stay alike;
     rows without an id lose only their own repeats; lines of under 30 characters
-    stay. Texts are read whole; an empty table stays empty; other columns go on.
+    go if they are equal to an earlier one and hold a letter or a digit. Texts are read whole; an empty table stays empty; other columns go on.
     """
     cleaned = lines.dedup_lines(docs, prefix="__")
     emptied = (F.col("__n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")

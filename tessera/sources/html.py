@@ -526,6 +526,45 @@ def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return source.mapInArrow(run, f"page_id {kind.simpleString()}, {ELEMENT_DDL}")
 
 
+def run_rows(html: str) -> Iterator[tuple[int, int, int, str]]:
+    doc = Document(html)
+    last = [0] * len(doc.nodes)
+    for n in reversed(doc.nodes):
+        inner = n.elements()
+        last[n.number] = last[inner[-1].number] if inner else n.number
+    for n in doc.nodes:
+        after = n.number
+        for nth, k in enumerate(n.kids):
+            if isinstance(k, str):
+                yield n.number, after, nth, k
+            else:
+                after = last[k.number]
+
+
+def text_runs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, node_id, after, nth, text): each run of text, as it stands, with the element that holds it.
+
+    ``after`` is the last element that begins before the run. By (after, -node_id,
+    nth) the runs of a page are in document order, as of those behind the same
+    element the ones inside come first. Defined cases are those of ``html_elements``.
+    """
+    kind = pages.select(id_col).schema[0].dataType
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page, value in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                if value is None or not value.strip():
+                    continue
+                columns = list(zip(*run_rows(value), strict=True)) or [()] * 4
+                ids = pa.array([page.as_py()] * len(columns[0]), b.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns, kinds)], ["page_id", "node_id", "after", "nth", "text"])
+
+    source = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string"))
+    return source.mapInArrow(run, f"page_id {kind.simpleString()}, node_id int, after int, nth int, text string")
+
+
+
 def of_tags(elements: DataFrame, *tags: str) -> DataFrame:
     """Elements of the given tags with their ``place`` in the page: by tag in the order given, then by document order."""
     nth = F.array_position(F.array(*map(F.lit, tags)), F.col("tag"))

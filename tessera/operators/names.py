@@ -119,8 +119,8 @@ def accessible_names(elements: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``elements`` and ``runs`` (``html.text_runs``) are of the same pages and are
     read several times, so written tables serve best; texts that several steps use are
-    written down. It gives what the pass
-    over one page gives. Elements without a name have an empty one and a null source.
+    written down. It gives what the pass over one page gives. Elements without a
+    name have an empty one and a null source.
     """
     refs = _referenced(elements)
     kids = _children(elements)

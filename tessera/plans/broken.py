@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scratch import materialise
-from tessera.operators import cascade, remediation, rules
+from tessera.operators import cascade, names, remediation, rules
 from tessera.plans.catalog import PAGE_PATH, query
 from tessera.sources import sheets
-from tessera.sources.html import html_elements
+from tessera.sources.html import html_elements, text_runs
 
 c = F.col
 VIEWPORT = '<meta name="viewport" content="width=device-width">'
@@ -392,3 +392,28 @@ def text_looks(t):
     pages = pages.withColumn("html", F.replace("html", F.lit("{gray}"), F.concat(F.lit("#"), two, two, two)))
     elements = materialise(html_elements(pages), "styled-elements")
     return cascade.text_looks(elements).join(elements.select("page_id", "node_id", "css_path"), ["page_id", "node_id"]).drop("node_id")
+
+
+# one element for each source of a name, most of them around the page's title
+NAMED = (
+    '<div id="d"><span id="s">Bill to</span> <label for="e">Email of {title}</label><input id="e"><input id="r" aria-labelledby="t none s"><label>Age <select></select> of {title}</label></div>'
+    '<button id="b"> {title} <i>now</i><b hidden>not</b></button><a href="/"><b><img src="x.png" alt="Home"></b> of <em aria-label="ours">theirs</em></a><button><span><svg aria-label="Close"></svg></span></button>'
+    '<svg><title>Map of {title}</title></svg><button><i class="icon-x"></i></button><fieldset><legend>Choice: {title}</legend></fieldset><h2 id="t">{title}</h2><input type="submit"><h3 title="tip"></h3>'
+)
+
+
+@query("""
+with p as (select page_id, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&amp;', '&') as title from pages),
+e(css_path, name, acc_source) as (values ('#e', 'Email of {title}', 'label-for'), ('#r', '{title} Bill to', 'aria-labelledby'), ('#d > label:nth-of-type(2) > select', 'Age of {title}', 'label-wrap'),
+  ('#b', '{title} now', 'contents'), ('body > a', 'Home of ours', 'contents'), ('body > a > b > img', 'Home', 'alt'), ('body > a > em', 'ours', 'aria-label'),
+  ('body > button:nth-of-type(2)', 'Close', 'contents'), ('body > button:nth-of-type(2) > span > svg', 'Close', 'aria-label'), ('body > svg', 'Map of {title}', 'svg-title'),
+  ('body > button:nth-of-type(3)', '', null), ('body > fieldset', 'Choice: {title}', 'legend'), ('body > fieldset > legend', 'Choice: {title}', 'contents'), ('#t', '{title}', 'contents'), ('body > input', 'Submit', 'implicit'), ('body > h3', 'tip', 'title'))
+select page_id, css_path, trim(replace(name, '{title}', title)) as acc_name, acc_source from p, e
+""")
+def accessible_names(t):
+    """Names of what has one, and of buttons."""
+    pages = materialise(filled(t, [NAMED]), "named-pages")
+    elements, runs = materialise(html_elements(pages), "named-elements"), materialise(text_runs(pages), "named-runs")
+    places = elements.select("page_id", "node_id", "tag", "css_path")
+    found = names.accessible_names(elements, runs).join(places, ["page_id", "node_id"])
+    return found.where("acc_source is not null or tag = 'button'").select("page_id", "css_path", "acc_name", "acc_source")

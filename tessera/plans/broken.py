@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scratch import materialise
-from tessera.operators import cascade, names, remediation, rules
+from tessera.operators import cascade, names, remediation, rules, scoring
 from tessera.plans.catalog import PAGE_PATH, query
 from tessera.sources import sheets
 from tessera.sources.html import html_elements, text_runs
@@ -417,3 +417,24 @@ def accessible_names(t):
     places = elements.select("page_id", "node_id", "tag", "css_path")
     found = names.accessible_names(elements, runs).join(places, ["page_id", "node_id"])
     return found.where("acc_source is not null or tag = 'button'").select("page_id", "css_path", "acc_name", "acc_source")
+
+
+# pages that a script fills, in part or as a whole, and pages that only look like them
+SHELLS = [
+    '<body><div id="root">{title}</div><script src="/x.js"></script></body>',
+    f'<body><div id="app">{{title}} {"some words " * 20}</div></body>',
+    f'<body><div id="__next">{{title}} {"some words " * 80}</div></body>',
+    "<body><p>{title}</p><script>draw()</script></body>",
+    '<body><p>{title}</p><script src="/x.js"></script></body>',
+    f'<body><div id="__nuxt">{{title}}{"<i></i>" * 60}</div></body>',
+]
+
+
+@query("""
+with t as (select page_id, page_id % 6 as k, length(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&amp;', '&')) as n from pages),
+p as (select page_id, k, case when k = 1 then n + 1 + 219 when k = 2 then n + 1 + 879 else n end as chars from t),
+m as (select page_id, case when k in (0, 1, 4) and chars < 200 then 'client-rendered' when k in (0, 1, 2, 5) and chars < 800 then 'partial' else 'static' end as mode from p)
+select page_id, mode, mode = 'static' as complete from m
+""")
+def shell_coverage(t):
+    return scoring.coverage(html_elements(filled(t, SHELLS)))

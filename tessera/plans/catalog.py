@@ -101,7 +101,13 @@ def element_tags(t):
     return html_elements(t("pages", spread=True)).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@query()
+@query(r"""
+with p as (select page_id, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style|title)[^>]*>.*?</(script|style|title)>', '', 'g') as body from pages),
+s as (select page_id, length(trim(regexp_replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))) as chars, len(regexp_extract_all(body, '<[a-zA-Z]')) as elements,
+  regexp_matches(body, '\sid="(root|app|__next|__nuxt|gatsby-focus-wrapper)"') as shell, regexp_matches(html, '<script[^>]*\ssrc=') as scripts from p),
+m as (select page_id, case when chars < 200 and elements < 60 and (shell or scripts) then 'client-rendered' when shell and chars < 800 then 'partial' else 'static' end as mode from s)
+select page_id, mode, mode = 'static' as complete from m
+""")
 def page_coverage(t):
     return scoring.coverage(html_elements(t("pages", spread=True)))
 

@@ -44,6 +44,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     the shorter word and a half agree: a word comes as one of length m, and as
     one that is longer by one than m. Bands that many words share are so split
     by the halves. A pair that meets in several keys is verified in the first.
+
+    A word is six rows of keys, which Spark's estimate of an explode leaves out,
+    so it may take them for small and broadcast them: the joins here are told to sort.
     """
     length = F.length("word")
     marked = words.select("word", "n", length.alias("size"), parity_mask(F.col("word")).alias("mask"))
@@ -66,7 +69,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         on &= F.col(f"a.{k}") == F.col(f"b.{k}")
 
     def met(right: DataFrame, order: Column) -> DataFrame:
-        pairs = keyed(marked, F.col("size")).alias("a").join(right.alias("b"), on & order)
+        pairs = keyed(marked, F.col("size")).alias("a").join(right.hint("merge").alias("b"), on & order)
         return pairs.select(F.col("a.word").alias("a"), F.col("a.n").alias("na"), F.col("b.word").alias("b"), F.col("b.n").alias("nb"))
 
     same = met(keyed(marked, F.col("size")), F.col("a.word") < F.col("b.word"))
@@ -83,7 +86,7 @@ def roots_of(forms: DataFrame) -> DataFrame:
     paths = forms.select("word", F.col("form").alias("root"))
     while True:
         ahead = paths.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        paths = materialise(paths.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        paths = materialise(paths.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if not paths.where("moved").limit(1).count():
             return paths.select("word", "root")
         paths = paths.select("word", "root")
@@ -115,11 +118,11 @@ def spelling_groups(
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("nb").alias("near_n"))
     both = both.union(pairs.select("b", "a", "na"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("best"))
-    found = words.join(best, "word", "left")
+    found = words.join(best.hint("merge"), "word", "left")
     large = -F.col("best.m") >= ratio * F.col("n")
     found = materialise(
         found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(large, F.col("best.near")).alias("form"), F.when(large, -F.col("best.m")).alias("form_n")),
         "spellings",
     )
     roots = roots_of(found.where("form is not null").select("word", "form"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -131,6 +131,16 @@ def test_spelling_of_one_band_that_many_words_share(spark):
     assert spelled(spelling.spelling_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == grouped(rows)
 
 
+def test_spelling_joins_never_broadcast_the_words(spark):
+    """Small tables, which Spark would broadcast at its own threshold."""
+    words = spark.createDataFrame([("spelling", 9), ("speling", 5), ("spellings", 5)], "word string, n long").repartition(2)
+    assert "Broadcast" not in spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(i, "spelling spellings") for i in range(9)], "doc_id long, text string")
+    groups = spelling.spelling_groups(docs, damage=1 << 40)
+    assert "Broadcast" not in groups._jdf.queryExecution().executedPlan().toString()
+    assert {(r.word, r.n_near) for r in groups.collect()} == {("spelling", 1), ("spellings", 1)}
+
+
 def test_spelling_on_rough_and_empty_tables(rough, none):
     rows = [(r.doc_id, r.text) for r in rough.select("doc_id", "text").collect()]
     assert spelled(spelling.spelling_groups(rough, least_count=1)) == grouped(rows, count=1)

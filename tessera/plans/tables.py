@@ -92,7 +92,7 @@ select cast(sum(items) as bigint) as all, cast(coalesce(sum(items) filter (tier
   cast(coalesce(sum(items) filter (tier = 'review'), 0) as bigint) as review, cast(coalesce(sum(items) filter (tier = 'advisory'), 0) as bigint) as advisory from g
 """)
 def tier_counts(t):
-    return reports.tier_counts(reports.group_by_rule(_as_findings(t)))
+    return reports.tier_counts(reports.group_by_rule(_as_findings(t), "seq"))
 
 
 @query(f"""
@@ -101,7 +101,7 @@ g as (select rule_id, arg_min(tier, page_id * 100 + node_id) as tier, count(*) a
 select cast(rule_id as varchar) as rule_id, items from g where tier = 'review'
 """)
 def groups_to_review(t):
-    return reports.of_tier(reports.group_by_rule(_as_findings(t)), "review").select("rule_id", "items")
+    return reports.of_tier(reports.group_by_rule(_as_findings(t), "seq"), "review").select("rule_id", "items")
 
 
 @query(f"""

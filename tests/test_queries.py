@@ -38,6 +38,24 @@ def test_equals_sql(spark, db, name):
     assert got == want
 
 
+def test_of_findings_of_one_place_the_first_row_tells_the_tier(spark, tmp_path):
+    """Parts whose first place comes twice, with other flags; one thread of DuckDB takes the first row, though the SQL leaves it open; Spark would take the smallest file's."""
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    flags = "case {} when 0 then 'R' when 1 then 'A' else 'N' end"
+    for i in range(3):
+        flag = flags.format(f"(l_partkey + {i}) % 3")
+        con.execute(f"copy (select lineitem.* replace ({flag} as l_returnflag) from '{SF}/lineitem.parquet', range({3 - i})) to '{folder}/part-{i}.parquet'")
+    con.execute(f"create view lineitem as select * from '{folder}/*.parquet'")
+    for name in ("groups_to_review", "tier_counts"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        cursor = con.execute(catalog.ORACLES[name])
+        names = [d[0] for d in cursor.description]
+        assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(cursor.fetchall())
+
+
 def test_entry_stands_without_the_llm_folder(tmp_path):
     import shutil
     import subprocess

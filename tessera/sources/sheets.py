@@ -40,7 +40,9 @@ def with_linked_css(pages: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``responses(url, status, body)``. Sheets that failed, were not fetched or
     are too large count as empty. Each sheet is joined by its address, so
-    shared ones are read once; a page's text is shuffled only by its own id.
+    shared ones are read once; a page's text is shuffled only by its own id, into
+    a fixed number of partitions: parsing costs far more than the few bytes by
+    which adaptive execution would put pages together.
     """
     sheets = responses.groupBy("url").agg(F.min_by("body", "status").alias("body"), F.min("status").alias("status"))
     ok = (F.col("status") < 400) & (F.octet_length("body") <= SHEET_BYTES)
@@ -48,7 +50,9 @@ def with_linked_css(pages: DataFrame, responses: DataFrame) -> DataFrame:
     found = found.select("page_id", F.struct("place", F.when(ok, F.col("body")).otherwise("").alias("body")).alias("x"))
     # eight sheets a page at most
     css = found.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["body"]), "\n").alias("css"))
-    return pages.join(css, "page_id", "left").withColumn("css", F.coalesce("css", F.lit("")))
+    spark = pages.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pages.repartition(parts, "page_id").join(css, "page_id", "left").withColumn("css", F.coalesce("css", F.lit("")))
 
 
 def rendered(pages: DataFrame, browser: DataFrame | None) -> DataFrame:

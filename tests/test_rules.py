@@ -191,3 +191,19 @@ def test_measured_rules(spark):
     assert found.where("rule_id = 'horizontal-scroll'").count() == 1
     fits = layout.withColumn("scroll_width", F.lit(1284))
     assert rules.find_all(elements, frame, measured, fits).where("rule_id = 'horizontal-scroll'").count() == 0
+
+
+def test_a_suggested_color_is_worked_out_once(spark):
+    """Not once for each channel, step and use, which took a tenth of a second a row."""
+    rows = spark.createDataFrame([("#bbbbbb", "#ffffff"), ("#777777", "#000000"), ("#00ff00", "#ffffff"), ("#000000", "#000000")], "fg string, bg string")
+    better = rows.select("fg", color.suggested_color(F.col("fg"), F.col("bg"), F.lit(4.5)).alias("better"))
+    assert better._jdf.queryExecution().analyzed().toString().count("conv(") <= 12
+    assert [r.better for r in better.collect()][0] == "#767676"
+
+
+def test_pages_with_linked_sheets_are_parsed_by_many_tasks(spark):
+    pages = spark.createDataFrame([(i, f"https://a.example/{i}", "<link rel=stylesheet href=/x.css>") for i in range(40)], "page_id long, url string, html string")
+    responses = spark.createDataFrame([("https://a.example/x.css", 200, "p{}")], "url string, status int, body string")
+    rows = sheets.with_linked_css(pages, responses)
+    assert rows.rdd.getNumPartitions() >= 4
+    assert {(r.css, r.page_id) for r in rows.collect()} == {("p{}", i) for i in range(40)}

@@ -63,7 +63,7 @@ def unique_slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
     """(id, slug) for names(id, name): the plain slug if it is free, else the first free one of -2, -3 and so on.
 
     Names of one slug are numbered by one window, and the n-th takes the n-th
-    number that ``taken(slug)`` leaves free.
+    number that ``taken(slug)`` leaves free, told by a running count of taken ones.
     """
     base = F.when(slug(F.col("name")) == "", "team").otherwise(slug(F.col("name")))
     rows = names.withColumn("base", base)
@@ -72,8 +72,11 @@ def unique_slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
         F.regexp_replace("slug", r"-[0-9]+$", "").alias("base"), F.regexp_extract("slug", r"-([0-9]+)$", 1).cast("int").alias("n")
     )
     used = taken.select(F.col("slug").alias("base"), F.lit(1).alias("n")).unionByName(numbered.where("n > 1"))
-    used = used.groupBy("base").agg(F.collect_set("n").alias("used"))
-    rows = rows.join(used, "base", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    free = F.array_except(F.sequence(F.lit(1), F.size("used") + F.col("nth")), F.col("used"))
-    n = F.element_at(free, F.col("nth"))
+    # a number is skipped by those whose turn comes after the free ones below it
+    before = F.row_number().over(Window.partitionBy("base").orderBy("n")) - 1
+    used = used.distinct().select("base", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), (F.col("n") - before).alias("nth"), F.lit(1).alias("skip"))
+    rows = rows.select("base", "id", "nth", F.lit(0).alias("skip")).unionByName(used)
+    so_far = Window.partitionBy("base").orderBy("nth", F.desc("skip")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("n", F.col("nth") + F.sum("skip").over(so_far)).where("skip = 0")
+    n = F.col("n")
     return rows.select("id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string"))).alias("slug"))

@@ -355,3 +355,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([pages, "--json"], spark) == 1
     assert sum('"rule_id":"img-alt"' in x for x in capsys.readouterr().out.splitlines()) == 12
     assert main([str(tmp_path / "absent")], spark) == 2
+
+
+def test_slugs_of_many_equal_names_hold_no_lists(spark):
+    """The n-th free number comes from a running count; a list of the numbers up to n for each name is quadratic."""
+    taken = ["acme", "acme-3", "acme-3", "acme-4", "acme-9", "acme-0", "acme-07", "other-2"]
+    names = spark.range(1, 41).select("id", F.lit("Acme").alias("name"))
+    slugs = accounts.unique_slugs(names, table(spark, "slug string", *((x,) for x in taken)))
+    plan = slugs._jdf.queryExecution().analyzed().toString()
+    assert "sequence(" not in plan and "collect_set" not in plan
+    free = [n for n in range(2, 99) if f"acme-{n}" not in taken]
+    assert [r.slug for r in slugs.orderBy("id").collect()] == [f"acme-{n}" for n in free[:40]]

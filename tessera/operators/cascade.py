@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessera.functions.color import parse_color
+from tessera.functions.scratch import materialise
 from tessera.sources import css
 
 STEP = "struct<child:boolean,tag:string,ids:array<string>,classes:array<string>>"
@@ -36,8 +37,12 @@ def sheet_rules(elements: DataFrame) -> DataFrame:
     """(page_id, ord, weight, steps, decls): the rules of each page's style sheets, linked ones first.
 
     Selectors that are not evaluated are left out; steps go from right to left.
+    Sheets are few bytes but costly to parse, so they lie in a fixed number of
+    partitions, which adaptive execution does not put together.
     """
-    sheets = elements.where("tag in ('html', 'style')").groupBy("page_id").agg(
+    spark = elements.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sheets = elements.where("tag in ('html', 'style')").repartition(parts, "page_id").groupBy("page_id").agg(
         F.concat_ws(
             "\n",
             F.max(F.when(c("tag") == "html", F.nullif(c("facts")["linked"], F.lit("")))),
@@ -164,7 +169,8 @@ def text_looks(elements: DataFrame) -> DataFrame:
     before, backgrounds are laid over each other. A background that cannot
     be read makes the colors of all text inside unknown.
     """
-    held = declared(elements, sheet_rules(elements)).where(c("name").isin(*PROPERTIES))
+    # written down, as four joins read them and each would parse the sheets anew
+    held = declared(elements, materialise(sheet_rules(elements), "sheet-rules")).where(c("name").isin(*PROPERTIES))
     style = held.groupBy("page_id", "node_id").agg(*(F.max(F.when(c("name") == p, c("value"))).alias(p) for p in PROPERTIES))
     bold_tags = [*css.HEADING_PX, "strong", "b"]
     places = elements.select("page_id", "node_id", "last_id", "tag")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera.functions.scratch import scratch_path
 from tessera.operators import cascade
 from tessera.sources import css
 from tessera.sources.html import Document, html_elements
@@ -76,3 +77,14 @@ def test_nearest_ancestors(spark, pages):
 
     assert got == {k: found(*k) for k, (_, tag) in up.items() if tag == "b"} and len(got) > 5
     assert elements.where("last_id < node_id").count() == 0
+
+
+def test_sheets_are_parsed_once_by_several_tasks(spark):
+    pages = spark.createDataFrame([(i, f"<style>.a{{color:#0000{i:02x}}}</style><p class=a>text") for i in range(40)], "page_id long, html string")
+    elements = html_elements(pages)
+    rules = cascade.sheet_rules(elements)
+    assert rules.rdd.getNumPartitions() >= 4  # adaptive execution would put so few bytes into one
+    elements.write.mode("overwrite").parquet(path := scratch_path(spark, "elements"))
+    looks = cascade.text_looks(spark.read.parquet(path))
+    assert "MapInArrow" not in looks._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.fg for r in looks.collect()} == {f"#0000{i:02x}" for i in range(40)}

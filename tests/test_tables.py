@@ -9,7 +9,7 @@ from tessera.functions import text
 from tessera.operators import accounts, crawl, evidence, frontier, remediation, reports, rules
 from tessera.sinks import records
 from tessera.sinks.store import Store, changed, without
-from tessera.sources import sitemap
+from tessera.sources import sitemap, tables
 from tessera.sources.html import html_elements
 
 
@@ -366,3 +366,16 @@ def test_slugs_of_many_equal_names_hold_no_lists(spark):
     assert "sequence(" not in plan and "collect_set" not in plan
     free = [n for n in range(2, 99) if f"acme-{n}" not in taken]
     assert [r.slug for r in slugs.orderBy("id").collect()] == [f"acme-{n}" for n in free[:40]]
+
+
+def test_a_large_table_is_dealt_out_by_its_bytes(spark, tmp_path, monkeypatch):
+    """One file of one row group, which would be one task's work."""
+    rows = spark.range(2000).select(F.col("id").alias("page_id"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "pages.parquet").iterdir() if not f.name.endswith(".crc"))
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 1000)
+    dealt = tables.read_table(spark, str(tmp_path), "pages", True, 10_000)
+    assert dealt.rdd.getNumPartitions() == -(-size // 10_000) > 4
+    assert max(dealt.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) < 300
+    assert sorted(dealt.collect()) == sorted(rows.collect())
+    assert tables.read_table(spark, str(tmp_path), "pages", True).rdd.getNumPartitions() < 4  # for other callers it lies as it lay

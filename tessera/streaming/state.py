@@ -38,7 +38,8 @@ def names(schema: str) -> list[str]:
 ISSUE = "status string, first_seen long, last_seen long, resolved long, resolved_scan_id string, url string, path string, version long"
 CHANGE = "site_id string, signature string, status string, first_seen long, last_seen long, resolved long, resolved_scan_id string, version long"
 ROUTED = ["scan_id", "kind", "url", "path", "ok", "at", "signatures", "status", "pages"]
-WAITING = "scan_id string, at long, url string, path string, ok boolean, signatures array<string>, pages long, ended boolean"
+# the rows of a batch are one entry, as each entry of a state costs far more than its bytes
+WAITING = "rows array<struct<scan_id:string,at:long,url:string,path:string,ok:boolean,signatures:array<string>,pages:long,ended:boolean>>"
 
 
 class LedgerKeeper(StatefulProcessor):
@@ -68,26 +69,28 @@ class LedgerKeeper(StatefulProcessor):
                     new.append((scan_id, int(at), url, path, bool(ok), own, expected, kind == "end"))
         changes: dict[str, tuple] = {}
         for _, signature, status in sorted(decisions):
-            if self.issues.containsKey((signature,)):
-                issue = tuple(self.issues.getValue((signature,)))
+            if signature in changes or self.issues.containsKey((signature,)):
+                issue = changes.get(signature) or tuple(self.issues.getValue((signature,)))
                 self._put(changes, signature, (status, *issue[1:]))
         if new:
             self._apply_ended(new, changes)
+        # each call of the state store is a message, so an issue is written once, whatever scans changed it
+        for signature, issue in changes.items():
+            self.issues.updateValue((signature,), issue)
         out = [(key[0], s, *i[:5], i[7]) for s, i in changes.items()]
         yield from frames(out, names(CHANGE))
 
     def _put(self, changes: dict[str, tuple], signature: str, issue: tuple) -> None:
-        issue = (*issue[:7], issue[7] + 1)
-        self.issues.updateValue((signature,), issue)
-        changes[signature] = issue
+        changes[signature] = (*issue[:7], issue[7] + 1)
 
     def _apply_ended(self, new: list[tuple], changes: dict[str, tuple]) -> None:
         if not any(r[7] for r in new) and not self.waiting.exists():
-            self.waiting.appendList(new)  # nothing can end yet
+            self.waiting.appendValue((new,))  # nothing can end yet
             return
         by_scan: dict[tuple, list[tuple]] = {}
-        for r in [*map(tuple, self.waiting.get()), *new]:
+        for r in [*(tuple(r) for (rows,) in self.waiting.get() for r in rows), *new]:
             by_scan.setdefault((r[1], r[0]), []).append(r)
+        known, done = None, None
         for at, scan_id in sorted(by_scan):
             rows = by_scan[(at, scan_id)]
             ends = [r for r in rows if r[7]]
@@ -99,17 +102,21 @@ class LedgerKeeper(StatefulProcessor):
                 break
             del by_scan[(at, scan_id)]
             if ends[0][6] is not None:  # a failed scan changes nothing
-                self._apply(scan_id, at, rows, {p for p, ok in pages.values() if ok}, changes)
-            self.last.update((at, scan_id))
-        self.waiting.put([r for rows in by_scan.values() for r in rows]) if by_scan else self.waiting.clear()
-
-    def _apply(self, scan_id: str, at: int, rows: list[tuple], crawled: set[str], changes: dict[str, tuple]) -> None:
-        """As ``operators.ledger.reconcile``, over this part of the site."""
+                if known is None:
+                    known = {k[0]: tuple(v) for k, v in self.issues.iterator()}
+                known |= changes
+                self._apply(scan_id, at, rows, {p for p, ok in pages.values() if ok}, known, changes)
+            done = (at, scan_id)
+        if done:
+            self.last.update(done)
+        self.waiting.put([([r for rows in by_scan.values() for r in rows],)]) if by_scan else self.waiting.clear()
+
+    def _apply(self, scan_id: str, at: int, rows: list[tuple], crawled: set[str], known: dict[str, tuple], changes: dict[str, tuple]) -> None:
+        """As ``operators.ledger.reconcile``, over this part of the site; ``known`` are its issues before the scan."""
         found: dict[str, tuple[str, str]] = {}
         for _, _, url, path, _, signatures, _, _ in rows:
             for s in signatures or ():
                 found[s] = max(found.get(s, (url, path)), (url, path))
-        known = {k[0]: tuple(v) for k, v in self.issues.iterator()}
         for s, (url, path) in found.items():
             if s not in known:
                 self._put(changes, s, ("open", at, at, None, None, url, path, 0))

@@ -6,6 +6,7 @@ import random
 import time
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,41 @@ def test_rate_limits_open_a_window_at_the_first_hit_and_go(feed):
     # a hit at the very end of a window is in it
     assert found == Counter([("k", 0, True, 1, 0.0), ("k", 1, True, 2, 0.0), ("k", 2, False, 3, 0.0), ("other", 2, True, 1, 0.0), ("k", 2, False, 4, 0.0), ("k", 3, True, 1, 0.0), ("k", 4, True, 2, 0.0)])
     assert seen_rows[-1] == 0 and max(filter(None, seen_rows), default=0) > 0
+
+
+class Kept:
+    """A state that counts what is written to it."""
+
+    def __init__(self):
+        self.values, self.writes = {}, 0
+
+    def _write(self, key, value):
+        self.values[key] = value
+        self.writes += 1
+
+    exists = lambda self: bool(self.values)
+    get = lambda self: self.values[()] if () in self.values else []
+    iterator = lambda self: iter(list(self.values.items()))
+    containsKey = lambda self, key: key in self.values
+    getValue = lambda self, key: self.values[key]
+    updateValue = lambda self, key, value: self._write(key, value)
+    update = lambda self, value: self._write((), value)
+    put = lambda self, values: self._write((), values)
+    clear = lambda self: self.values.clear()
+
+
+def test_a_batch_writes_each_issue_and_its_waiting_rows_once():
+    keeper = state.LedgerKeeper()
+    keeper.issues, keeper.waiting, keeper.last = Kept(), Kept(), Kept()
+    rows = []
+    for scan in range(1, 5):
+        own = ["a", "b"] if scan % 2 else ["b"]
+        rows += [(str(scan), "page", f"u{k}", f"/u{k}", True, scan, own, None, None) for k in range(3)]
+        rows.append((str(scan), "end", None, None, True, scan, None, None, 3 if scan < 4 else 5))  # two pages of the last are to come
+    frame = pd.DataFrame(rows, columns=state.ROUTED)
+    (out,) = keeper.handleInputRows(("s", 0), iter([frame]), None)
+    assert keeper.issues.writes == 2 and len(keeper.waiting.get()) == 1 and len(keeper.waiting.get()[0][0]) == 4
+    assert {(r.signature, r.status, r.last_seen, r.version) for r in out.itertuples()} == {("a", "open", 3, 3), ("b", "open", 3, 3)}
+    more = pd.DataFrame([("4", "page", f"u{k}", f"/u{k}", True, 4, ["b"], None, None) for k in (3, 4)], columns=state.ROUTED)
+    (out,) = keeper.handleInputRows(("s", 0), iter([more]), None)
+    assert {(r.signature, r.status, r.resolved_scan_id, r.version) for r in out.itertuples()} == {("a", "resolved", "4", 4), ("b", "open", None, 4)}

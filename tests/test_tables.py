@@ -379,3 +379,12 @@ def test_a_large_table_is_dealt_out_by_its_bytes(spark, tmp_path, monkeypatch):
     assert max(dealt.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) < 300
     assert sorted(dealt.collect()) == sorted(rows.collect())
     assert tables.read_table(spark, str(tmp_path), "pages", True).rdd.getNumPartitions() < 4  # for other callers it lies as it lay
+
+
+def test_links_of_several_targets_are_shuffled_before_they_are_put_together(spark):
+    rows = [(1, "a", "/x", 5), (1, "a", "/y", 7), (1, "a", "/x", 3), (1, "b", "/x", 1), (1, "b", "/x", 2), (2, "a", None, 1), (2, "a", "/x", 4), (3, "c", None, 1), (3, "c", "/x", 2), (3, "c", "/y", 3)]
+    links = spark.createDataFrame(rows, "page_id long, k string, href string, node_id int")
+    found = rules.several_targets(links, ["page_id", "k"])
+    assert rows_of(found) == [(1, "a", 2, 3), (3, "c", 2, 1)]
+    lines = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert "HashAggregate" not in "".join(lines[max(i for i, x in enumerate(lines) if "Exchange" in x) :])

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from tessera.functions.scratch import materialise
 from tessera.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -69,6 +70,40 @@ def test_titles_that_end_within_a_reference(spark, tmp_path):
         assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr) == sorted(cursor.fetchall(), key=repr)
 
 
+# what FOUND_SQL leaves out: links whose name says nothing, which menus of the words "this" or "here" hold
+GENERIC_SQL = """
+  union all select page_id, 'link-generic-text', 'moderate', 'body > nav > ul > li:nth-of-type(' || k || ') > a', strpos(html, link), null
+    from named join pages using (page_id) where trim(regexp_replace(name, '[^a-z\\s]', '', 'g')) in ('this', 'here')),"""
+
+
+def test_found_sql_leaves_out_nothing_but_generic_links(spark, tmp_path, monkeypatch):
+    """On menus with such words the queries find what the reference finds, so they differ from their SQL by this rule only."""
+    menus = ["for this stnded", "The here. Onha the", "This of this, ou", "thisó und der Der", "thisen there heren", "ist das ein"]
+    page = '<html lang="en"><head><title>T</title></head><body><nav><ul>{}</ul></nav><article><h1>T</h1><p>x</p></article></body></html>'
+    links = ["".join(f'<li><a href="/{w}">{w}</a></li>' for w in menu.split()) for menu in menus]
+    rows = [(i, f"https://a{i % 2}.example/en/{i}", page.format(menu)) for i, menu in enumerate(links)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    pages, elements, found = catalog._analysed(lambda name, spread=False: spark.read.parquet(f"{tmp_path}/{name}.parquet"))
+    analysed = pages, elements, materialise(found, "found")
+    monkeypatch.setattr(catalog, "_analysed", lambda t: analysed)  # once for the six queries
+    end = "from twice join pages using (page_id)),"
+    for name in ("page_findings", "page_scores", "site_totals", "rule_report", "remediation_plans", "conformance"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        sql = catalog.ORACLES[name]
+        assert sql.count(end) == 1
+        cursor = con.execute(sql.replace(end, end[:-2] + GENERIC_SQL))
+        names = [d[0] for d in cursor.description]
+        got = sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr)
+        assert got == sorted((tuple(map(plain, r)) for r in cursor.fetchall()), key=repr)
+        if name == "page_findings":
+            known = {tuple(map(plain, r)) for r in con.execute(sql).fetchall()}
+            places = sorted((r[0], r[4]) for r in got if r not in known)
+            at = "body > nav > ul > li:nth-of-type({}) > a".format
+            assert places == [(0, at(2)), (1, at(2)), (2, at(1)), (2, at(3)), (3, at(1))]
+
+
 def test_entry_stands_without_the_llm_folder(tmp_path):
     import shutil
     import subprocess

@@ -2,7 +2,9 @@
 
 An element's subtree are the elements from ``node_id`` to ``last_id``, so an
 ancestor is a row whose interval holds the element's number. Everything
-is joined by page, and within a page by a key or an interval.
+is joined by page, and within a page by a key or an interval. Joins sort: pages
+share their sheets, so written rules and elements are small files, whose size tells
+little of what a broadcast of them would hold on the driver.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ c = F.col
 def nearest(nodes: DataFrame, others: DataFrame, name: str = "ancestor_id") -> DataFrame:
     """``nodes(page_id, node_id)`` with the nearest of ``others(page_id, node_id, last_id)`` around each, where there is one."""
     o = others.select("page_id", c("node_id").alias("__from"), c("last_id").alias("__to"))
-    found = nodes.select("page_id", "node_id").join(o, "page_id").where((c("__from") < c("node_id")) & (c("__to") >= c("node_id")))
-    return nodes.join(found.groupBy("page_id", "node_id").agg(F.max("__from").alias(name)), ["page_id", "node_id"], "left")
+    found = nodes.select("page_id", "node_id").join(o.hint("merge"), "page_id").where((c("__from") < c("node_id")) & (c("__to") >= c("node_id")))
+    return nodes.join(found.groupBy("page_id", "node_id").agg(F.max("__from").alias(name)).hint("merge"), ["page_id", "node_id"], "left")
 
 
 def sheet_rules(elements: DataFrame) -> DataFrame:
@@ -100,11 +102,11 @@ def matched(elements: DataFrame, rules: DataFrame) -> DataFrame:
     shapes = _shapes(elements)
     longest = rules.agg(F.max(F.size("steps"))).first()[0] or 0
     first = rules.select("page_id", "ord", "steps", F.get("steps", 0).alias("step")).withColumn("key", _key(c("step")))
-    state = first.join(shapes, ["page_id", "key"]).where(_fits(c("step"))).select("page_id", "node_id", "ord", "steps", c("node_id").alias("at"), c("parent_id").alias("up"))
+    state = first.join(shapes.hint("merge"), ["page_id", "key"]).where(_fits(c("step"))).select("page_id", "node_id", "ord", "steps", c("node_id").alias("at"), c("parent_id").alias("up"))
     for k in range(1, longest):
         done, more = state.where(F.size("steps") <= k), state.where(F.size("steps") > k)
         more = more.withColumnRenamed("node_id", "of").withColumn("step", F.get("steps", k)).withColumn("key", _key(c("step")))
-        around = more.join(shapes, ["page_id", "key"]).where(
+        around = more.join(shapes.hint("merge"), ["page_id", "key"]).where(
             F.when(c("step.child"), c("node_id") == c("up")).otherwise((c("node_id") < c("at")) & (c("last_id") >= c("at"))) & _fits(c("step"))
         )
         near = around.groupBy("page_id", "of", "ord").agg(F.max(F.struct("node_id", "parent_id")).alias("n"), F.first("steps").alias("steps"))
@@ -119,7 +121,7 @@ def declared(elements: DataFrame, rules: DataFrame) -> DataFrame:
     later ones; an element's own come after those of sheets.
     """
     ranked = F.struct("important", F.get("weight", 0), F.get("weight", 1), F.get("weight", 2), "ord")
-    sheets = matched(elements, rules).join(rules.select("page_id", "ord", "weight", F.explode("decls").alias("d")), ["page_id", "ord"])
+    sheets = matched(elements, rules).join(rules.select("page_id", "ord", "weight", F.explode("decls").alias("d")).hint("merge"), ["page_id", "ord"])
     sheets = sheets.select("page_id", "node_id", "ord", "weight", "d.name", "d.value", "d.important")
     chunks = elements.where(c("attrs")["style"].isNotNull()).select("page_id", "node_id", F.posexplode(F.split(c("attrs")["style"], ";")).alias("ord", "chunk"))
     raw = F.trim(F.regexp_extract("chunk", r"(?s)^[^:]*:(.*)$", 1))
@@ -174,7 +176,7 @@ def text_looks(elements: DataFrame) -> DataFrame:
     style = held.groupBy("page_id", "node_id").agg(*(F.max(F.when(c("name") == p, c("value"))).alias(p) for p in PROPERTIES))
     bold_tags = [*css.HEADING_PX, "strong", "b"]
     places = elements.select("page_id", "node_id", "last_id", "tag")
-    styled = places.join(style, ["page_id", "node_id"], "left").where(c("tag").isin(bold_tags) | F.coalesce(*(c(f"`{p}`") for p in PROPERTIES)).isNotNull())
+    styled = places.join(style.hint("merge"), ["page_id", "node_id"], "left").where(c("tag").isin(bold_tags) | F.coalesce(*(c(f"`{p}`") for p in PROPERTIES)).isNotNull())
     weight = F.lower(F.trim(c("`font-weight`")))
     heavy = F.regexp_extract(weight, NUMBER, 1).try_cast("double") >= 700
     styled = styled.withColumn("layer", _layer(c("`background-color`"), F.coalesce("background", F.lit(""))))
@@ -186,7 +188,7 @@ def text_looks(elements: DataFrame) -> DataFrame:
         (F.coalesce("layer", F.lit("")) != "").alias("painted"), _color("layer").alias("back"),
     )
     texts = elements.where("not hidden_deep and length(own_text) >= 2").select("page_id", "node_id")
-    chain = texts.join(styled, "page_id").where((c("at") <= c("node_id")) & (c("last_id") >= c("node_id")))
+    chain = texts.join(styled.hint("merge"), "page_id").where((c("at") <= c("node_id")) & (c("last_id") >= c("node_id")))
     parts = ["at", "said", "color", "keeps", "size", "bold", "painted", "back"]
     chain = chain.groupBy("page_id", "node_id").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("chain"))
 

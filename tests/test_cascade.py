@@ -88,3 +88,13 @@ def test_sheets_are_parsed_once_by_several_tasks(spark):
     looks = cascade.text_looks(spark.read.parquet(path))
     assert "MapInArrow" not in looks._jdf.queryExecution().optimizedPlan().toString()
     assert {r.fg for r in looks.collect()} == {f"#0000{i:02x}" for i in range(40)}
+
+
+def test_joins_sort_whatever_the_size_of_files(spark, pages):
+    """Spark would broadcast such small inputs; files of pages that share their sheets are small too, but not what they hold."""
+    _, elements = pages
+    lists = elements.where("tag in ('ul', 'div')")
+    for rows in (cascade.text_looks(elements), cascade.nearest(elements.where("tag = 'b'").select("page_id", "node_id"), lists)):
+        assert rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

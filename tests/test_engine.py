@@ -1,6 +1,8 @@
 """Parser, rules, scores, ledger and remediation on pages of our own."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +186,28 @@ def test_attributes():
     assert remediation.apply_edits("<p></p>", [(0, 3, "A", "1"), (0, 3, "B", "2")])[1:] == (["1"], ["2"])
 
 
+def test_a_diff_is_whole_whatever_the_length():
+    """Applied to the text before it gives the one after, with no more lines left out and put in than were changed."""
+    rng = random.Random(5)
+    for n, changed in ((40, 6), (6_000, 2), (9_000, 300)):
+        before = [rng.choice(["</li>", f"line {k}"]) for k in range(n)]
+        after = list(before)
+        for k in rng.sample(range(n), changed):
+            after[k] += "!"
+        lines = remediation.unified_diff("\n".join(before), "\n".join(after)).splitlines()[2:]
+        assert sum(x.startswith("-") for x in lines) == sum(x.startswith("+") for x in lines) == changed
+        got, at = [], 0
+        for line in lines:
+            if hunk := re.match(r"@@ -(\d+),", line):
+                got += before[at : int(hunk[1]) - 1]
+                at = int(hunk[1]) - 1
+                continue
+            assert line[0] == "+" or before[at] == line[1:]
+            got += [line[1:]] if line[0] != "-" else []
+            at += line[0] != "+"
+        assert got + before[at:] == after
+
+
 HOSTS = {
     "localhost": True, "127.0.0.1": True, "10.1.2.3": True, "172.16.0.1": True, "172.32.0.1": False, "192.168.1.1": True, "169.254.169.254": True,
     "0.0.0.0": True, "100.64.0.1": True, "::1": True, "fd00::1": True, "fe80::1": True, "printer.local": True, "::ffff:127.0.0.1": True,

@@ -57,6 +57,20 @@ def test_of_findings_of_one_place_the_first_row_tells_the_tier(spark, tmp_path):
         assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(cursor.fetchall())
 
 
+def test_rows_of_one_key_are_cut_by_their_place_in_the_table(spark, tmp_path):
+    """At the limit all rows tie; one thread of DuckDB keeps the first ones, though the SQL leaves it open; Spark reads the largest file first."""
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    for i, (n, status) in enumerate([(50, "O"), (60, "F"), (600, "O")]):
+        row = f"1::bigint as l_orderkey, 1 as l_linenumber, '{status}' as l_linestatus, 'R' as l_returnflag, repeat(sha256(k::varchar), 9) as l_comment"
+        con.execute(f"copy (select {row} from range({n}) r(k)) to '{folder}/part-{i}.parquet'")
+    con.execute(f"create view lineitem as select * from '{folder}/*.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES["limit_then_filter"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(catalog.ORACLES["limit_then_filter"]).fetchall() and len(got) == 440
+
+
 def test_titles_that_end_within_a_reference(spark, tmp_path):
     titles = ["a &amp", "b &am", "c &amp;&amp;&amp", "&amp;lt; &copy; d", "&lt;e", "f " * 95 + "&amp &amp &amp"]
     rows = [(i, f"https://a.example/{i}", f"<html><title>{title}</title></html>") for i, title in enumerate(t for t in titles for _ in range(6))]

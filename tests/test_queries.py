@@ -57,6 +57,19 @@ def test_of_findings_of_one_place_the_first_row_tells_the_tier(spark, tmp_path):
         assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(cursor.fetchall())
 
 
+def test_findings_without_a_place_are_no_first_ones(spark, tmp_path):
+    """Rows without a page or an element count, but the tier and impact of a rule are those of the first row that has both."""
+    con = duckdb.connect()
+    page, node = "case when l_quantity < 5 then null else l_orderkey end", "case when l_quantity > 45 then null else l_linenumber end"
+    con.execute(f"copy (select lineitem.* replace ({page} as l_orderkey, {node} as l_linenumber) from '{SF}/lineitem.parquet') to '{tmp_path}/lineitem.parquet'")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    for name in ("groups_to_review", "tier_counts", "findings_by_rule"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        cursor = con.execute(catalog.ORACLES[name])
+        names = [d[0] for d in cursor.description]
+        assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr) == sorted(cursor.fetchall(), key=repr)
+
+
 def test_rows_of_one_key_are_cut_by_their_place_in_the_table(spark, tmp_path):
     """At the limit all rows tie; one thread of DuckDB keeps the first ones, though the SQL leaves it open; Spark reads the largest file first."""
     folder = tmp_path / "lineitem.parquet"
